@@ -28,7 +28,7 @@ from tidemark.llm.common import map_batches, table
 #: Fixed value: how byte-level tokenizers of this family split text before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's memory of encoded pieces, and of its pair-compatibility table; memory only, never results.
-MEMORY = 600_000
+MEMORY = 150_000
 #: A blank before a visible character always starts a pre-token.
 BLANK = re.compile(r" (?=\S)")
 
@@ -41,15 +41,18 @@ def printable_bytes() -> dict[str, int]:
 
 
 class Pieces(dict):
-    """Encoded pieces by text; a missing one is encoded, and the memory starts anew when it is full."""
+    """Encoded pieces by text. A full memory becomes the old one, from which pieces in use come back; the one before is forgotten."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, piece):
-        out = self.encode(piece)
+        out = self.old.get(piece)
+        if out is None:
+            out = self.encode(piece)
         if len(self) >= MEMORY:
+            self.old = dict(self)
             self.clear()
         self[piece] = out
         return out
@@ -70,17 +73,8 @@ class Codec:
         self.pair_rank = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(parts)}
         self.made_by = {vocab[a + b]: (vocab[a], vocab[b], rank) for rank, (a, b) in enumerate(parts)}
 
-        size = max([*self.ids.values(), *self.special.values()]) + 1
-        blob = [b""] * size
-        for token, i in self.ids.items():
-            blob[i] = token
-        for token, i in self.special.items():
-            blob[i] = token.encode()
-        self.lengths = np.array([len(x) for x in blob], dtype=np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        self.blob = np.frombuffer(b"".join(blob), dtype=np.uint8)
-        self.token_length = self.lengths.tolist()
-        self.packed = [i.to_bytes(4, "little") for i in range(size)]
+        self.token_length = {i: len(token) for token, i in self.ids.items()}
+        self.packed = {i: i.to_bytes(4, "little") for i in [*self.ids.values(), *self.special.values()]}
 
         self.automaton = ahocorasick.Automaton()
         for token, i in self.ids.items():
@@ -173,6 +167,20 @@ class Codec:
             return self._plain(text)
         return b"".join([self.packed[self.special[x]] if x in self.special else self._plain(x) for x in self.cut.split(text) if x])
 
+
+class Decoder:
+    """One vocabulary's offset table in one worker."""
+
+    def __init__(self, source: bytes):
+        model = json.loads(source)
+        to_byte = printable_bytes()
+        special = {t["id"]: t["content"].encode() for t in model.get("added_tokens", [])}
+        vocab = {i: bytes(to_byte[c] for c in token) for token, i in model["model"]["vocab"].items() if i not in special} | special
+        blob = [vocab.get(i, b"") for i in range(max(vocab) + 1)]
+        self.lengths = np.array([len(x) for x in blob], dtype=np.int64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.blob = np.frombuffer(b"".join(blob), dtype=np.uint8)
+
     def decode(self, ids: bytes) -> bytes:
         tokens = np.frombuffer(ids, dtype="<u4")
         if not len(tokens):
@@ -183,16 +191,16 @@ class Codec:
         return self.blob[take].tobytes()
 
 
-_CODECS: dict[int, Codec] = {}
+_TABLES: dict[tuple[type, int], Codec | Decoder] = {}
 
 
-def codec(source: bytes) -> Codec:
-    """The codec of a vocabulary, built once in each worker."""
-    key = hash(source)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(source)
-    return _CODECS[key]
+def tables(kind: type, source: bytes):
+    """A vocabulary's Codec or Decoder, built once in each worker."""
+    key = (kind, hash(source))
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = kind(source)
+    return _TABLES[key]
 
 
 def _vocabulary(spark: SparkSession, path: str):
@@ -207,7 +215,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: Sequence[str] = (
     keep = list(keep)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(source.value)
+        c = tables(Codec, source.value)
         ids = [c.encode(x.as_py() or "") for x in batch.column("bpe_text")]
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(ids, pa.binary())], [*keep, "token_ids"])
 
@@ -222,7 +230,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", keep: Sequence[str]
     keep = list(keep)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(source.value)
+        c = tables(Decoder, source.value)
         out = [c.decode(x.as_py() or b"") for x in batch.column("bpe_ids")]
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(out, pa.binary())], [*keep, "decoded"])
 

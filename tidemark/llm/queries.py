@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, mixing, urls
+from tidemark.llm import bpe, html, lines, media, mixing, topk, urls
 
 
 def queries() -> dict:
@@ -10,8 +10,12 @@ def queries() -> dict:
         "op2_bpe": bpe.op2_bpe,
         "op3_mixing": mixing.op3_mixing,
         "op4_urls": urls.op4_urls,
+        "op5_html": html.op5_html,
+        "op6_topk": topk.op6_topk,
+        "op8_media": media.op8_media,
+        "op10_lines": lines.op10_lines,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op4_urls": urls.SQL}
+    return {"op3_mixing": mixing.SQL, "op4_urls": urls.SQL, "op6_topk": topk.SQL, "op10_lines": lines.SQL}
