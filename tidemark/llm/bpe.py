@@ -27,8 +27,9 @@ from tidemark.llm.common import map_batches, table
 
 #: Fixed value: how byte-level tokenizers of this family split text before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's memory of encoded pieces, and of its pair-compatibility table; memory only, never results.
+#: Entries of a worker's memory of encoded pieces (there are two, each with an old one), and of its pair-compatibility table: memory only, never results.
 MEMORY = 150_000
+PAIRS = 300_000
 #: A blank before a visible character always starts a pre-token.
 BLANK = re.compile(r" (?=\S)")
 
@@ -108,7 +109,7 @@ class Codec:
                 rank = self.pair_rank.get((a, b))
                 if rank is not None and rank < a_ends and rank <= b_ends:
                     known = False
-        if len(self.pairs) >= MEMORY:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         self.pairs[left << 32 | right] = known
         return known
