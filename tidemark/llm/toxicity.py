@@ -49,7 +49,9 @@ WORD = re.compile(r"[^\s]+")
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_*])[^\W\d_](?:\1[^\W\d_])+)(?![^\W_])")
 SYMBOLS = "".join(map(re.escape, LOOKALIKES))
 HIDING = re.compile(rf"[^\W\d_][{SYMBOLS}]+[^\W\d_]|^[{SYMBOLS}][^\W\d_]{{2,}}|([^\W\d_])\1\1")
-EDGES = "".join(sorted(set(".,;:?\"'()[]{}<>«»„“”‘’…·|/\\-–—_=")))
+EDGE = r"[.,;:?\"'()\[\]{}<>«»„“”‘’…·|/\\\-–—_=%&~^`]"
+#: Marks around a word: punctuation, and repeated symbols, which stand for no letters.
+AROUND = re.compile(rf"^(?:{EDGE}|([^\w\s])\1+)+|(?:{EDGE}|([^\w\s])\2+)+$")
 
 #: The model's characters: blank, a to z, other letters, anything else.
 BLANK, OTHER_LETTER, OTHER, SIZE = 0, 27, 28, 29
@@ -171,7 +173,7 @@ class Restorer:
     def word(self, token: str) -> str:
         out = self.known.get(token)
         if out is None:
-            bare = token.strip(EDGES)
+            bare = AROUND.sub("", token)
             out = bare.rstrip("!").lower()
             if not out.isalpha() and HIDING.search(bare.lower()) or re.search(r"([^\W\d_])\1\1", out):
                 out = decode(bare.lower(), self.model)
