@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, html, lines, media, mixing, topk, urls
+from tidemark.llm import bpe, html, lines, media, mixing, substrings, topk, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_substrings": substrings.op1_substrings,
         "op2_bpe": bpe.op2_bpe,
         "op3_mixing": mixing.op3_mixing,
         "op4_urls": urls.op4_urls,
         "op5_html": html.op5_html,
         "op6_topk": topk.op6_topk,
         "op8_media": media.op8_media,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_lines": lines.op10_lines,
     }
 

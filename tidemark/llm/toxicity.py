@@ -41,8 +41,9 @@ MEMORY = 150_000
 
 #: The letters that a written symbol may stand for, besides itself.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "aeiou"}
-#: Costs (negative log probabilities) of a symbol for a letter, of a hidden letter, and of a run for its letter or two.
-SYMBOL_COST, HIDDEN_COST, RUN_COST, DOUBLE_COST, DOUBLED_COST, KEPT_COST = 1.0, 2.5, 0.3, 1.0, 3.0, 6.0
+#: Costs (negative log probabilities) of a symbol for a letter, of a hidden letter, of a run for its letter
+#: or two, of one letter for two, of a symbol kept, of a gap, and of a symbol that may be a letter left out.
+SYMBOL_COST, HIDDEN_COST, RUN_COST, DOUBLE_COST, DOUBLED_COST, KEPT_COST, GAP_COST, LOST_COST = 1.0, 2.5, 0.3, 1.0, 3.0, 6.0, 1.5, 12.0
 
 WORD = re.compile(r"[^\s]+")
 #: Three single letters or more, with the same small gap between them.
@@ -119,8 +120,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 ways.append((letter + letter, cost + DOUBLE_COST))
         if not c.isalpha():
             ways.append((c, KEPT_COST))
-            if n == 1:
-                ways.append(("", KEPT_COST))
+            ways.append(("", LOST_COST if c in LOOKALIKES or c.isalnum() else GAP_COST))
         out.append(ways)
     return out
 
