@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, html, lines, media, mixing, substrings, topk, toxicity, urls
+from tidemark.llm import bpe, html, lines, media, mixing, neardup, substrings, topk, toxicity, urls
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_urls": urls.op4_urls,
         "op5_html": html.op5_html,
         "op6_topk": topk.op6_topk,
+        "op7_neardup": neardup.op7_neardup,
         "op8_media": media.op8_media,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_lines": lines.op10_lines,

@@ -21,6 +21,8 @@ don't matter.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -152,28 +154,38 @@ def all_paths(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFram
 
 
 def edges_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """row_key, minimiser, edge (hash), first and times of each edge of the paths that spans (first, edges, minimiser, times) of docs name."""
+    """The edges of the paths that spans (first, edges, minimiser, times) of docs name.
+
+    Of each path a row for each distinct edge: row_key, minimiser, edge (hash), first, edges (1) and times; and where a
+    path with one occurrence holds edges several times, rows without an edge for these stretches."""
 
     def f(batch: pa.RecordBatch):
         keys, spans = batch.column("row_key").to_numpy(), batch.column("spans").to_pylist()
         out: list[tuple] = []
 
         def made() -> pa.RecordBatch:
-            columns = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
+            key, minimiser, edge, first, edges, times = (np.concatenate(x) for x in zip(*out, strict=True))
             out.clear()
-            return pa.RecordBatch.from_arrays(columns, ["row_key", "minimiser", "edge", "first", "times"])
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(minimiser), pa.array(edge, mask=times == 0), pa.array(first.astype(np.int32)), pa.array(edges.astype(np.int32)), pa.array(times)], ["row_key", "minimiser", "edge", "first", "edges", "times"])
 
         for i, _, words in _rows(batch):
             hashes = Spans(words, 3).all(window).view(np.int64)
             for s in spans[i]:
-                at = np.arange(s["first"], s["first"] + s["edges"])
-                out.append((np.full(len(at), keys[i]), np.full(len(at), s["minimiser"]), hashes[at], at.astype(np.int32), np.full(len(at), s["times"])))
+                own = hashes[s["first"] : s["first"] + s["edges"]]
+                edge, at, which, n = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+                first, edges, times = at + s["first"], np.ones(len(at), int), n * s["times"]
+                if s["times"] == 1 and n.max() > 1:
+                    turn = np.diff(np.concatenate([[0], n[which] > 1, [0]]).astype(int))
+                    start = np.flatnonzero(turn == 1)
+                    edge, times = np.concatenate([edge, np.zeros(len(start), np.int64)]), np.concatenate([times, np.zeros(len(start), int)])
+                    first, edges = np.concatenate([first, start + s["first"]]), np.concatenate([edges, np.flatnonzero(turn == -1) - start])
+                out.append((np.full(len(edge), keys[i]), np.full(len(edge), s["minimiser"]), edge, first, edges, times))
             if sum(len(x[0]) for x in out) > 50_000:
                 yield made()
         if out:
             yield made()
 
-    return map_batches(docs.select("row_key", "text", "spans"), f, "row_key long, minimiser long, edge long, first int, times long")
+    return map_batches(docs.select("row_key", "text", "spans"), f, "row_key long, minimiser long, edge long, first int, edges int, times long")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
@@ -192,13 +204,14 @@ def repeated(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame
     edges = settle(edges_of(docs.select("row_key", "text").join(spans, "row_key"), window))
     sweep(docs.sparkSession)
 
-    often = edges.groupBy("minimiser", "edge").agg(F.sum("times").alias("n")).filter("n > 1").select("minimiser", "edge")
+    often = edges.filter("edge IS NOT NULL").groupBy("minimiser", "edge").agg(F.sum("times").alias("n")).filter("n > 1").select("minimiser", "edge")
     stretches = [
         hits.filter("NOT branches").select("row_key", "first", "edges"),
         forks.join(kinds.filter("times > 1").select("minimiser", "content"), ["minimiser", "content"]).select("row_key", "first", "edges"),
-        edges.filter("times = 1").join(often, ["minimiser", "edge"]).select("row_key", "first", F.lit(1).alias("edges")),
+        edges.filter("edge IS NULL").select("row_key", "first", "edges"),
+        edges.filter("times = 1").join(often, ["minimiser", "edge"]).select("row_key", "first", "edges"),
     ]
-    together = stretches[0].unionByName(stretches[1]).unionByName(stretches[2])
+    together = reduce(DataFrame.unionByName, stretches)
     one = F.struct(F.col("first"), (F.col("edges") + (window - 1)).alias("words"))
     return together.groupBy("row_key").agg(F.collect_list(one).alias("stretches"))  # of one text
 
