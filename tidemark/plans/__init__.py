@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("snapshots",)
+MODULES = ("snapshots", "changes")
 
 
 def _registry():
