@@ -35,7 +35,7 @@ from tidemark.llm.substrings import Spans, word_hashes
 SHINGLE, SIMILAR = 5, 0.8
 SIGNS, DEPTH, MISS = 128, 3, 1e-6
 #: Classes that two shared min-hashes may bring together; classes of a stretch compared by signature; of a block.
-CROWD, STRETCH, BLOCK = 256, 2048, 1024
+CROWD, STRETCH, BLOCK = 256, 2048, 512
 _SPREAD = np.random.default_rng(7).integers(1, 1 << 63, SIGNS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -248,7 +248,8 @@ def confirmed_links(docs: DataFrame, members: DataFrame, shingle: int, similar:
         found = [x.tobytes() for x in shingle_sets(utf8(batch.column("text")), shingle)]
         return pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("class", "region", "blocks", "block")), pa.array(found, pa.binary())], ["class", "region", "blocks", "block", "shingles"])
 
-    texts = docs.select("row_key", "text").join(dealt, "row_key").select("class", "region", "blocks", "block", "text")
+    # members grow with the documents, so this is a shuffle at every size, and never a broadcast that only small inputs allow
+    texts = docs.select("row_key", "text").join(dealt.hint("merge"), "row_key").select("class", "region", "blocks", "block", "text")
     held = settle(map_batches(texts, sets, "class long, region long, blocks int, block int, shingles binary"))
     sweep(docs.sparkSession)
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
