@@ -62,9 +62,9 @@ def status_size_distribution(spark, d):
     return last.filter(F.col("metric_type").isin("REGIONAL_ESTABLISHMENTS_BY_STATUS", "REGIONAL_COMPANIES_BY_SIZE")).select("metric_type", F.coalesce("status_code", "size_code").alias("code"), "value")
 
 
-@query("trend", A.sql("SELECT competence, count(cnpj) AS total FROM months LEFT JOIN (SELECT * FROM est WHERE is_in_region AND municipality_ibge_code = '3100017') USING (competence) GROUP BY 1"))
+@query("trend", A.sql("SELECT competence, count(cnpj) AS total FROM months LEFT JOIN (SELECT * FROM est WHERE is_in_region AND municipality_ibge_code = '3100000') USING (competence) GROUP BY 1"))
 def trend(spark, d):
-    return D.trend(D.in_region(A.establishments(spark, d), "3100017"), A.months(spark))
+    return D.trend(D.in_region(A.establishments(spark, d), "3100000"), A.months(spark))
 
 
 @query("opening_closing", events_sql("SELECT competence, count(*) FILTER (WHERE event_type = 'ESTABLISHMENT_OPENED') AS openings, count(*) FILTER (WHERE event_type = 'ESTABLISHMENT_CLOSED') AS closings FROM months LEFT JOIN elig ON competence = to_month GROUP BY 1", _ELIGIBLE))
