@@ -117,9 +117,9 @@ def zero_dates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def invalid_ids(df: DataFrame, column: str, examples: int = 5) -> DataFrame:
     """One row: the number of invalid full ids and the first few of them."""
-    bad = df.select(F.col(column).alias("id")).filter(~ids.valid_full(F.col("id"))).distinct()
-    few = bad.orderBy("id").limit(examples).agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("examples"))
-    return bad.agg(F.count(F.lit(1)).alias("invalid")).join(few)
+    bad = df.select(F.col(column).alias("id")).distinct().select("id", ids.valid_full(F.col("id")).alias("valid")).filter("NOT valid").select("id")
+    few = bad.orderBy("id").limit(examples).agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("examples")).withColumn("one", F.lit(1))
+    return bad.agg(F.count(F.lit(1)).alias("invalid")).withColumn("one", F.lit(1)).join(few, "one").drop("one")
 
 
 def batch_summary(issues: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("snapshots", "changes", "dashboard", "places")
+MODULES = ("snapshots", "changes", "dashboard", "places", "ingest")
 
 
 def _registry():

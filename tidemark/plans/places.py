@@ -145,12 +145,12 @@ def map_summary(spark, d):
     return maps.summary(maps.selected(observations(spark, d), maps.Selection(NOW)))
 
 
-_FILTER = f"competence = {N} AND municipality = '3100000' AND branch_type = '1' AND tax_profile = 'REGULAR' AND method = 'ADDRESS' AND activity_start_date BETWEEN CAST({N} - INTERVAL 11 MONTH AS DATE) AND last_day({N})"
+_FILTER = f"competence = {N} AND municipality = '3100000' AND branch_type = '1' AND tax_profile = 'REGULAR' AND activity_start_date BETWEEN CAST({N} - INTERVAL 11 MONTH AS DATE) AND last_day({N})"
 
 
 @query("observation_filter", geo_sql(f"SELECT cnpj, cnae_code, size_code, level FROM obs WHERE {_FILTER}"))
 def observation_filter(spark, d):
-    chosen = maps.Selection(NOW, municipality="3100000", branch_type="1", tax_profile="REGULAR", method="ADDRESS", opening_months=12)
+    chosen = maps.Selection(NOW, municipality="3100000", branch_type="1", tax_profile="REGULAR", opening_months=12)
     return maps.selected(observations(spark, d), chosen).select("cnpj", "cnae_code", "size_code", "level")
 
 

@@ -1,0 +1 @@
+"""Streams: the registry arrives by months in batches, and a corrected month is a batch of its own (operators.diff), so there are none."""
