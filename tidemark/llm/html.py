@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_batches, table
 
-#: Elements whose borders end a block; elements without an end; elements whose content is no text.
+#: Elements whose borders end a block; those that end an open one of their kind; elements without an end; elements whose content is no text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+LIKE = frozenset("li td th tr dt dd option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math head title iframe object canvas audio video textarea select button".split())
 #: Elements and words in class, id or role that name boilerplate.
@@ -103,13 +104,12 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
-        if name in ("p", "li", "td", "tr", "dt", "dd", "option"):  # these end their like
+        if name in BLOCKS:  # it ends an open paragraph, and an item or cell its like
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
+                if stack[i][0] in BLOCKS:
+                    if stack[i][0] != "p" and not (name in LIKE and stack[i][0] == name):
+                        break
                     del stack[i:]
-                    break
-                if stack[i][0] in ("ul", "ol", "table", "dl", "article", "section", "div", "body"):
-                    break
         count += 1
         _, _, inside, outside = stack[-1]
         named = " ".join(x.strip("\"'") for x in ATTRIBUTE.findall(m[3])) if m[3] else ""
