@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +16,12 @@ def normalised(c: Column) -> Column:
 
 
 def _digit(c: Column, weights: tuple[int, ...]) -> Column:
-    """Modulo 11 of the weighted values, a character's value being its code less 48."""
-    total = reduce(Column.__add__, [(F.ascii(F.substring(c, i + 1, 1)) - 48) * w for i, w in enumerate(weights)])
-    rest = total % 11
-    return F.when(rest < 2, 0).otherwise(11 - rest)
+    """Modulo 11 of the weighted values of the first characters, a character's value being its code less 48."""
+    letters = F.slice(F.split(c, ""), 1, len(weights))
+    terms = F.zip_with(letters, F.array(*[F.lit(w) for w in weights]), lambda x, w: (F.ascii(x) - 48) * w)
+    rest = F.aggregate(terms, F.lit(0), lambda total, x: total + x, lambda total: total % 11)
+    by_rest = [0 if rest < 2 else 11 - rest for rest in range(11)]
+    return F.get(F.array(*[F.lit(x) for x in by_rest]), rest)
 
 
 def valid_root(c: Column) -> Column:
