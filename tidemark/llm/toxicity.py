@@ -183,11 +183,12 @@ class Restorer:
         return out
 
     def spaced(self, text: str) -> set[str]:
-        """Words whose letters are written apart."""
+        """Words whose letters are written apart; the first letter may also be a word before it."""
         out = set()
         for m in SPACED.finditer(text):
             letters = m[0].replace(m[1], "").lower()
-            out.add(decode(letters, self.model) if re.search(r"(.)\1\1", letters) else letters)
+            word = decode(letters, self.model) if re.search(r"(.)\1\1", letters) else letters
+            out.update((word, word[1:]))
         return out
 
     def words(self, text: str) -> set[str]:
