@@ -120,6 +120,8 @@ def test_html():
     <section class="comments"><p>I think this article is great and I say so at length, really.</p></section><div class=sidebar>Links</div><footer>&copy; us</footer></body>"""
     assert html.main_blocks(page) == ["Big & news", "First bold text <here> that is long enough.", "Second."]
     assert html.main_blocks("") == [] and html.main_blocks("<script>x") == [] and html.main_blocks("<!-- x") == []
+    script = """<script>for(i=0;i<n;i++){ s = "it's"; t = '<!--'; }</script >"""
+    assert html.main_blocks(f"<head>{script}</head><article>{script}<p>It's the text that follows a script.</article>") == ["It's the text that follows a script."]
     assert html.main_blocks("<p>Just a paragraph that stands alone on its page.") == ["Just a paragraph that stands alone on its page."]
 
 

@@ -39,6 +39,7 @@ SPOKEN = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|repl(?:y|ies)|respo
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+END_OF = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in SILENT}
 #: Costs: of crossing a border between neighbours in page order, and more for sharing the parent or grandparent.
 NEXT, SIBLING, COUSIN = 0.6, 0.8, 0.3
 
@@ -70,14 +71,8 @@ def blocks(page: str) -> list[Block]:
             text.clear()
         linked = 0
 
-    silent = ""
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         name = m[2] and m[2].lower()
-        if silent:  # only its own end tag ends it; what lies between is no text
-            if not (name == silent and m[1]):
-                continue
-            at, silent = m.end(), ""
-            continue
         if m.start() > at:
             piece = page[at : m.start()]
             text.append(piece)
@@ -100,7 +95,9 @@ def blocks(page: str) -> list[Block]:
         if name in SILENT and not m[3].rstrip().endswith("/"):
             if name == "head":
                 continue
-            silent = name
+            # only its own end tag ends it; what lies between is neither text nor tags
+            end = END_OF[name].search(page, at)
+            at = end.end() if end else len(page)
             continue
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
@@ -118,7 +115,7 @@ def blocks(page: str) -> list[Block]:
         elif name in ("article", "main") or named and MAIN.search(named):
             inside = True
         stack.append((name, count, inside, outside))
-    if not silent and at < len(page):
+    if at < len(page):
         text.append(page[at:])
     flush()
     return out
