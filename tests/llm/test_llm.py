@@ -68,7 +68,9 @@ def test_bpe(spark, docs):
     extra = ["<|endoftext|>a <|endoftext|>", "  x\n\n  y \t", "it's we'll 'S", "日本語🎉 é² ½ Ⅷ\x1c\x85", "a" * 3000, " " * 500]
     some = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
     ids = bpe.encode(some, path, keep=("doc_id", "text"))
-    for r in bpe.decode(ids, path, keep=("text", "token_ids")).collect():
+    both = bpe.encode(some, path, keep=("text",), decoded=True)
+    assert sorted(map(str, both.collect())) == sorted(map(str, bpe.decode(ids, path, keep=("text", "token_ids")).collect()))
+    for r in both.collect():
         want = theirs.encode(r.text or "", add_special_tokens=False).ids
         assert np.frombuffer(r.token_ids, "<u4").tolist() == want
         assert bytes(r.decoded).decode() == theirs.decode(want, skip_special_tokens=False)

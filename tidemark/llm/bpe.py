@@ -28,7 +28,7 @@ from tidemark.llm.common import map_batches, table
 #: Fixed value: how byte-level tokenizers of this family split text before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's memory of encoded pieces (there are two, each with an old one), and of its pair-compatibility table: memory only, never results.
-MEMORY = 150_000
+MEMORY = 300_000
 PAIRS = 300_000
 #: A blank before a visible character always starts a pre-token.
 BLANK = re.compile(r" (?=\S)")
@@ -196,10 +196,11 @@ _TABLES: dict[tuple[type, int], Codec | Decoder] = {}
 
 
 def tables(kind: type, source: bytes):
-    """A vocabulary's Codec or Decoder, built once in each worker."""
+    """A vocabulary's Codec or Decoder, built once in each worker, which holds those of one vocabulary."""
     key = (kind, hash(source))
     if key not in _TABLES:
-        _TABLES.clear()
+        for other in [k for k in _TABLES if k[1] != key[1]]:
+            del _TABLES[other]
         _TABLES[key] = kind(source)
     return _TABLES[key]
 
@@ -210,19 +211,23 @@ def _vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """keep, and token_ids: the ids of each text as little-endian unsigned 32-bit integers (no tokens: empty)."""
+def encode(df: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """keep, and token_ids: the ids of each text as little-endian unsigned 32-bit integers (no tokens: empty).
+
+    decoded: with a column decoded as decode() gives it, made from the ids in the same pass and the same worker."""
     source = _vocabulary(df.sparkSession, path)
     keep = list(keep)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = tables(Codec, source.value)
-        ids = [c.encode(x.as_py() or "") for x in batch.column("bpe_text")]
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(ids, pa.binary())], [*keep, "token_ids"])
+        made = {"token_ids": [c.encode(x.as_py() or "") for x in batch.column("bpe_text")]}
+        if decoded:
+            made["decoded"] = list(map(tables(Decoder, source.value).decode, made["token_ids"]))
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(x, pa.binary()) for x in made.values())], [*keep, *made])
 
     rows = df.select(*keep, F.col(text).alias("bpe_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return map_batches(rows, run, f"{kinds}, token_ids binary")
+    return map_batches(rows, run, f"{kinds}, token_ids binary" + ", decoded binary" * decoded)
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -249,8 +254,7 @@ def default_vocabulary() -> str:
 def op2_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Every whole text encoded, and decoded again from its ids."""
     path = path or default_vocabulary()
-    ids = encode(table(spark, sf_dir, "documents"), path)
-    both = decode(ids, path, keep=("doc_id", "token_ids"))
+    both = encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return both.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
