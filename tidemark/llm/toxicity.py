@@ -1,11 +1,11 @@
 """Toxicity scores through a noisy channel.
 
-Writers hide words by look-alike symbols, by spacing their letters and by repeating them. Each suspicious token becomes
-a lattice: every written character may stand for the letters it resembles, a run of equal letters for one or two of
-them, and single letters with gaps between for one word. Viterbi decoding finds the restoration that a character
-trigram model of the corpus and the channel's costs like best. Restored words are scored: word starts and whole words
-have the share of toxic documents among the training documents that hold them, and a document's score joins the
-telling ones of its distinct words as independent signs (noisy or), above a base rate.
+Writers hide words by look-alike symbols, by spacing their letters and by repeating them. Each token with a symbol or a
+doubled letter becomes a lattice: every written character may stand for the letters it resembles, a run of equal letters
+for one or two of them, and single letters with gaps between for one word. Viterbi decoding finds the restoration that a
+character trigram model of the corpus and the channel's costs like best. Written and restored forms are scored, as one
+word: word starts and whole words have the share of toxic documents among the training documents that hold them, and a
+document's score joins the telling ones of its distinct words as independent signs (noisy or), above a base rate.
 
 The language model counts every character of every text; it has 29^3 numbers at any input size. The classifier learns
 from TRAINING labelled documents at most (those with the smallest hashes of their ids), which bounds what goes to the
@@ -46,13 +46,21 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SYMBOL_COST, HIDDEN_COST, RUN_COST, DOUBLE_COST, DOUBLED_COST, KEPT_COST, GAP_COST, LOST_COST = 1.0, 2.5, 0.3, 1.0, 3.0, 6.0, 1.5, 12.0
 
 WORD = re.compile(r"[^\s]+")
-#: Three single letters or more, with the same small gap between them.
-SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_*])[^\W\d_](?:\1[^\W\d_])+)(?![^\W_])")
 SYMBOLS = "".join(map(re.escape, LOOKALIKES))
-HIDING = re.compile(rf"[^\W\d_][{SYMBOLS}]+[^\W\d_]|^[{SYMBOLS}][^\W\d_]{{2,}}|([^\W\d_])\1\1")
+#: A letter, or a symbol that may be one; a star is also a gap mark.
+SINGLE, GAP = rf"(?:[^\W\d_]|(?!\*)[{SYMBOLS}])", r"[\s.\-_,;:/~·•]"
+#: Three single letters or more with any gaps between them; a star beside gaps may hide the first or the last.
+SPACED = re.compile(rf"(?<![^\W_])(?:{SINGLE}|(?<!\*)\*(?={GAP}))(?:(?:{GAP}|\*)++{SINGLE}(?![^\W_])){{2,}}+(?:{GAP}+\*(?!\*))?")
+BETWEEN = re.compile(rf"(?:{GAP}|\*)+")
+HIDDEN = re.compile(rf"({GAP}+)\*(?=\1)")
+#: A letter or two look-alikes among other characters, and a doubled letter.
+HIDING = re.compile(rf"[^\W\d_]|[{SYMBOLS}].*[{SYMBOLS}]", re.S)
+DOUBLED = re.compile(r"([^\W\d_])\1+")
 EDGE = r"[.,;:?\"'()\[\]{}<>«»„“”‘’…·|/\\\-–—_=%&~^`]"
 #: Marks around a word: punctuation, and repeated symbols, which stand for no letters.
 AROUND = re.compile(rf"^(?:{EDGE}|([^\w\s])\1+)+|(?:{EDGE}|([^\w\s])\2+)+$")
+#: Those of them that are no look-alikes.
+PLAIN = re.compile(rf"^(?:(?![{SYMBOLS}]){EDGE})+|(?:(?![{SYMBOLS}]){EDGE})+$")
 
 #: The model's characters: blank, a to z, other letters, anything else.
 BLANK, OTHER_LETTER, OTHER, SIZE = 0, 27, 28, 29
@@ -149,13 +157,17 @@ def decode(token: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
-def features(words: set[str], known: set[str] | None = None) -> set[str]:
-    """Of a text's restored words: each word with an ending blank, and each start with the numbers of words that it reaches.
+def features(words: set[tuple[str, ...]], known: set[str] | None = None) -> set[str]:
+    """Of a text's words: each form with an ending blank, and each start with the numbers of words that it reaches.
 
-    known: the starts and words that matter, all without it."""
-    words = {w for w in words if len(w) >= LEAST_LETTERS and w.isalpha()}
-    starts = Counter(w[:n] for w in words for n in STARTS if n <= len(w) and (known is None or w[:n] in known))
-    return {w + " " for w in words if known is None or w + " " in known} | {f"{start}{t}" for start, n in starts.items() for t in TIMES if t <= n}
+    words: the forms of each. known: the starts and words that matter, all without it."""
+    out: set[str] = set()
+    starts: Counter[str] = Counter()
+    for forms in words:
+        forms = [w for w in forms if len(w) >= LEAST_LETTERS and w.isalpha()]
+        out.update(w + " " for w in forms if known is None or w + " " in known)
+        starts.update({w[:n] for w in forms for n in STARTS if n <= len(w) and (known is None or w[:n] in known)})
+    return out | {f"{start}{t}" for start, n in starts.items() for t in TIMES if t <= n}
 
 
 def stems(telling) -> set[str]:
@@ -163,39 +175,88 @@ def stems(telling) -> set[str]:
     return {f.rstrip("0123456789") for f in telling}
 
 
+def single(word: str) -> str:
+    """Each run of equal letters as one; no restoration of letters changes this."""
+    return DOUBLED.sub(r"\1", word)
+
+
 class Restorer:
-    """Restored words of a text in one worker; memory holds words, never results of a text."""
+    """Written and restored forms of a text's words in one worker; memory holds words, never results of a text.
 
-    def __init__(self, model: np.ndarray):
-        self.model = model
-        self.known: dict[str, str] = {}
+    known: the starts and words that matter; letters that can't be restored to any of them are left as they are."""
 
-    def word(self, token: str) -> str:
-        out = self.known.get(token)
+    def __init__(self, model: np.ndarray, known: set[str] | None = None):
+        self.model = model
+        self.memory: dict[str, tuple[str, ...]] = {}
+        self.reached = None if known is None else {single(x.strip()[: STARTS[-1]]) for x in known}
+
+    def restored(self, letters: str) -> str:
+        """The restoration of what holds a letter, or two look-alikes, and is not all single letters."""
+        if letters.isalpha():
+            if not DOUBLED.search(letters):
+                return letters
+            if self.reached is not None:
+                short = single(letters)
+                if not any(short[:n] in self.reached for n in range(1, STARTS[-1] + 1)):
+                    return letters
+        elif not HIDING.search(letters):
+            return letters
+        return decode(letters, self.model)
+
+    def forms(self, token: str) -> tuple[str, ...]:
+        """The forms of a token: as written, restored, and restored with the look-alikes around it."""
+        if token.isalpha():
+            bare = token.lower()
+            forms = {bare, self.restored(bare)}
+        else:
+            bare = AROUND.sub("", token).rstrip("!").lower()
+            wide = PLAIN.sub("", token).lower()
+            forms = {bare, self.restored(bare), self.restored(wide) if wide != bare else bare}
+        return tuple(sorted(forms))
+
+    def word(self, token: str) -> tuple[str, ...]:
+        """forms of a token, from memory if it is there."""
+        out = self.memory.get(token)
         if out is None:
-            bare = AROUND.sub("", token)
-            out = bare.rstrip("!").lower()
-            if not out.isalpha() and HIDING.search(bare.lower()) or re.search(r"([^\W\d_])\1\1", out):
-                out = decode(bare.lower(), self.model)
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            self.known[token] = out
+            if len(self.memory) >= MEMORY:
+                self.memory.clear()
+            out = self.memory[token] = self.forms(token)
         return out
 
-    def spaced(self, text: str) -> set[str]:
-        """Words whose letters are written apart; the first letter may also be a word before it."""
+    def spaced(self, text: str) -> set[tuple[str, ...]]:
+        """Words whose letters are written apart: all letters of a stretch, and those with the same gap between them; the first letter may also be a word before it."""
         out = set()
         for m in SPACED.finditer(text):
-            letters = m[0].replace(m[1], "").lower()
-            word = decode(letters, self.model) if re.search(r"(.)\1\1", letters) else letters
-            out.update((word, word[1:]))
+            for letters in stretches(m[0].lower()):
+                for x in (letters, letters[1:]):
+                    bare = x.rstrip("!")
+                    out.add(tuple(sorted({bare, self.restored(bare), self.restored(x)})))
         return out
 
-    def words(self, text: str) -> set[str]:
-        """The distinct restored words."""
+    def words(self, text: str) -> set[tuple[str, ...]]:
+        """The distinct words, by their forms."""
         return {self.word(x) for x in set(text.split())} | self.spaced(text)
 
 
+def stretches(apart: str) -> set[str]:
+    """Letters written apart, without the gaps: all, all with hidden ones, and each three or more with the same gap."""
+    out = set()
+    for reading in {apart, HIDDEN.sub(r"\1#", apart)}:
+        if reading[-1] == "*":
+            reading = reading[:-1] + "#"
+        if reading[0] == "*":
+            reading = "#" + reading[1:]
+        letters, gaps = BETWEEN.split(reading), BETWEEN.findall(reading)
+        out.add("".join(letters))
+        first = 0
+        for i in range(1, len(gaps) + 1):
+            if i == len(gaps) or gaps[i] != gaps[first]:
+                if i - first >= 2:
+                    out.add("".join(letters[first : i + 1]))
+                first = i
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document's label is never learnt from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -213,9 +274,9 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: int = TRA
     toxic, clean = chosen.filter("label > 0"), chosen.filter("label <= 0")
     n_toxic, n_clean = toxic.count(), clean.count()
 
-    def counted(part: DataFrame, per_text) -> DataFrame:
+    def counted(part: DataFrame, per_text, known: set[str] | None = None) -> DataFrame:
         def run(batches):
-            restorer, n = Restorer(model), Counter()
+            restorer, n = Restorer(model, known), Counter()
             for batch in batches:
                 for text in batch.column("text").to_pylist():
                     n.update(per_text(restorer.words(text or "")))
@@ -226,12 +287,12 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: int = TRA
     in_toxic = counted(toxic, features).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "feature").limit(FEATURES)
     many = {r.feature: r.n for r in in_toxic.collect()}  # FEATURES rows at most
     known = stems(many)
-    in_clean = {r.feature: r.n for r in counted(clean, lambda words: features(words, known) & many.keys()).collect()}  # features of many
+    in_clean = {r.feature: r.n for r in counted(clean, lambda words, known=known: features(words, known) & many.keys(), known).collect()}  # features of many
     share = {f: (n + 0.1) / (n + in_clean.get(f, 0) + 1) for f, n in many.items()}
     rank = {f: (many[f], len(f), f) for f in many if share[f] >= LEAST_SHARE}
     known = stems(rank)
     best = lambda words: [max(mine, key=rank.get)] if (mine := features(words, known) & rank.keys()) else []
-    earning = [r.feature for r in counted(toxic, best).collect()]  # features of many
+    earning = [r.feature for r in counted(toxic, best, known).collect()]  # features of many
     return {f: math.log1p(-share[f]) for f in earning}, min(0.4, 0.05 * (n_toxic + 0.1) / (n_toxic + n_clean + 1))
 
 
@@ -241,12 +302,14 @@ def score(docs: DataFrame, telling: dict[str, float], base: float, model: np.nda
 
     def run(batches):
         telling, base, model = shared.value
-        restorer, known = Restorer(model), stems(telling)
-        matter: dict[str, str] = {}  # a token's restored word if it matters, else nothing
-
-        def look(token: str) -> str:
-            word = restorer.word(token)
-            out = word if features({word}, known) else ""
+        known = stems(telling)
+        first = {x[:LEAST_LETTERS] for x in known}  # every feature of a word begins with its first letters
+        restorer = Restorer(model, known)
+        matter: dict[str, tuple[str, ...]] = {}  # a token's forms if they matter, else nothing
+
+        def look(token: str) -> tuple[str, ...]:
+            forms = restorer.forms(token)
+            out = forms if any(w[:LEAST_LETTERS] in first for w in forms) and features({forms}, known) else ()
             if len(matter) >= MEMORY:
                 matter.clear()
             matter[token] = out
@@ -258,17 +321,17 @@ def score(docs: DataFrame, telling: dict[str, float], base: float, model: np.nda
                 whole = whole or ""
                 words = set()
                 for token in set(whole.split()):
-                    word = matter.get(token)
-                    if word is None:
-                        word = look(token)
-                    if word:
-                        words.add(word)
-                words.update(w for w in restorer.spaced(whole) if features({w}, known))
+                    forms = matter.get(token)
+                    if forms is None:
+                        forms = look(token)
+                    if forms:
+                        words.add(forms)
+                words.update(w for w in restorer.spaced(whole) if any(x[:LEAST_LETTERS] in first for x in w) and features({w}, known))
                 roots: dict[str, float] = {}  # features with the same first letters are one sign
                 for f in features(words, known) & telling.keys():
                     roots[f[:LEAST_LETTERS]] = min(roots.get(f[:LEAST_LETTERS], 0.0), telling[f])
                 scores.append(1 - (1 - base) * math.exp(sum(sorted(roots.values()))))
-                found.append(sorted(w for w in words if w[:LEAST_LETTERS] in roots))
+                found.append(sorted({w for forms in words for w in forms if w[:LEAST_LETTERS] in roots}))
             made = [pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "toxicity", "restored"])
 
