@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidemark.llm import toxicity
+from tidemark.llm import html, toxicity
 
 HIDDEN_WORDS = ["idio7", "garbag3", "worthle55", "1d107", "st.upid", "id-iot", "clo_wn", "stuupid", "idioot", "trassh", "1diot!", "i.  d.  i.  o.  t", "s t u p 1 d", "c  l  0  w  n", "t r * s h"]
 
@@ -36,3 +36,25 @@ def test_known_words_change_no_features(taught):
     for text in [*HIDDEN_WORDS, "a little letter", "stuuupid iiddiioott", "clowwn, trrash!"]:
         full, quick = (toxicity.features(toxicity.Restorer(model, k).words(text), known) for k in (None, known))
         assert full == quick
+
+
+def test_articles_below_marked_elements():
+    """A form around the page, words of layout and marks around an article leave its text; small forms, comments and teasers go."""
+    own = "<h1>Big news of the day</h1><p>First text that is long enough to be read by all.<p>Second text of it."
+    want = ["Big news of the day", "First text that is long enough to be read by all.", "Second text of it."]
+    around = ["<form id=form1>", "<div class='content with-sidebar'>", "<div class='page nav-open'>", "<div class='has-comments no-sidebar'>", "<div class=overlay>", "<section class=banner><form>"]
+    for x in around:
+        assert html.main_blocks(f"<body><nav>Home</nav>{x}<article>{own}</article>") == want, x
+    assert html.main_blocks(f"<form id=form1>{own[own.index("<p>") :]}</form><footer>us</footer>") == want[1:]
+    assert html.main_blocks(f"<div class='content with-sidebar'>{own}</div><footer>us</footer>") == want
+    teaser = "<article><p>Another story that has a long teaser of its own, to be read elsewhere by those who like.</article>"
+    for x in ("<aside>", "<section class=comments>", "<div class=related>", "<div hidden>"):
+        assert html.main_blocks(f"<article>{own}</article>{x}{teaser}") == want, x
+    for x in ("<section class=comments>", "<div class=related>", "<div hidden>"):
+        assert html.main_blocks(f"{x}{teaser}") == [], x
+
+
+def test_edges_restore_a_marked_sentence():
+    """Between sentences of its own paragraph a marked one is content."""
+    page = "<article><div>A long first sentence stands here, with twelve words or some more in it.<br><p>x.</p><span class=notice>This sentence is marked, but it has as many words as the others around.<hr></span>A long last sentence stands here, with twelve words or some more in it.</div></article>"
+    assert "This sentence is marked, but it has as many words as the others around." in html.main_blocks(page)

@@ -31,10 +31,14 @@ LIKE = frozenset("li td th tr dt dd option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math head title iframe object canvas audio video textarea select button".split())
 #: Elements and words in class, id or role that name boilerplate.
-OUTSIDE = frozenset("nav footer aside form menu dialog search".split())
+OUTSIDE = frozenset("nav footer aside menu dialog search".split())
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav\w*|menus?|breadcrumbs?|side-?bar|widgets?|footer|masthead|comments?|comment-?list|repl(?:y|ies)|respond|disqus|discussion|share|sharing|social|related|recommend\w*|more-stories|newsletter|subscri\w+|sign-?up|log-?in|pagination|pager|toolbar|skip-?link|copyright|legal|disclaimer|outbrain|taboola|complementary|contentinfo|navigation|search)(?:$|[\s_-])", re.I)
 MAIN = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|post|entry|story|body-?text|post-?body|entry-?content)(?:$|[\s_-])", re.I)
 SPOKEN = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|repl(?:y|ies)|respond|disqus|discussion)(?:$|[\s_-])", re.I)
+#: Of these no article or main below is taken back.
+FIRM = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|repl(?:y|ies)|respond|disqus|discussion|related|recommend\w*|more-stories|outbrain|taboola)(?:$|[\s_-])", re.I)
+#: Words that say how a page is laid out or what is open on it, not what an element holds.
+LAYOUT = re.compile(r"(?<!\S)(?:(?:with|without|has|no)[_-]\S+|(?:nav\w*|menus?|side-?bar|modal|overlay|search|toolbar|banner|cookies?)[_-](?:open|opened|close|closed|collapsed|expanded|enabled|disabled|toggled|visible|shown))(?!\S)", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -42,13 +46,16 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|disp
 END_OF = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in SILENT}
 #: Costs: of crossing a border between neighbours in page order, and more for sharing the parent or grandparent.
 NEXT, SIBLING, COUSIN = 0.6, 0.8, 0.3
+#: Cost of calling content what a mark of boilerplate is on: edges on both sides can outweigh it for a whole sentence.
+MARKED = 4.5
 
 
 class Block:
-    __slots__ = ("text", "inside", "outside", "linked", "parent", "grand")
+    __slots__ = ("text", "inside", "outside", "back", "forms", "linked", "parent", "grand")
 
-    def __init__(self, text, inside, outside, linked, parent, grand):
-        self.text, self.inside, self.outside, self.linked, self.parent, self.grand = text, inside, outside, linked, parent, grand
+    def __init__(self, text, inside, outside, back, forms, linked, parent, grand):
+        self.text, self.inside, self.outside, self.back, self.forms = text, inside, outside, back, forms
+        self.linked, self.parent, self.grand = linked, parent, grand
 
 
 def blocks(page: str) -> list[Block]:
@@ -56,8 +63,9 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     linked = 0
-    # open elements: name, number, within content, within boilerplate
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    # open elements: name, number, within content, within boilerplate (2: for good), in an article taken back from it, forms around
+    stack: list[tuple[str, int, bool, int, bool, tuple[int, ...]]] = [("", 0, False, 0, False, ())]
+    neutral: set[int] = set()  # forms that hold an article or main
     count = at = 0
     in_link = False
 
@@ -67,7 +75,7 @@ def blocks(page: str) -> list[Block]:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
                 up = [x for x in stack if x[0] in BLOCKS or not x[0]]
-                out.append(Block(whole, stack[-1][2], stack[-1][3], min(1.0, linked / len(whole)), up[-1][1], up[-2][1] if len(up) > 1 else 0))
+                out.append(Block(whole, stack[-1][2], stack[-1][3] > 0, stack[-1][4], stack[-1][5], min(1.0, linked / len(whole)), up[-1][1], up[-2][1] if len(up) > 1 else 0))
             text.clear()
         linked = 0
 
@@ -108,16 +116,38 @@ def blocks(page: str) -> list[Block]:
                         break
                     del stack[i:]
         count += 1
-        _, _, inside, outside = stack[-1]
-        named = " ".join(x.strip("\"'") for x in ATTRIBUTE.findall(m[3])) if m[3] else ""
-        if name in OUTSIDE or name == "header" and not inside or named and NAMED.search(named) and not (name in ("article", "main", "body", "html") and not SPOKEN.search(named)) or m[3] and HIDDEN.search(m[3]):
-            outside = True
+        _, _, inside, outside, back, forms = stack[-1]
+        named = LAYOUT.sub("", " ".join(x.strip("\"'") for x in ATTRIBUTE.findall(m[3]))) if m[3] else ""
+        whole = name in ("article", "main", "body", "html")
+        if whole and name[0] in "am":
+            neutral.update(forms)
+        if named and FIRM.search(named) and (not whole or SPOKEN.search(named)) or m[3] and HIDDEN.search(m[3]):
+            outside = 2
+        elif name in OUTSIDE or name == "header" and not inside or named and NAMED.search(named) and not whole:
+            outside = outside or 1
         elif name in ("article", "main") or named and MAIN.search(named):
+            if outside == 1 and not inside and name in ("article", "main"):
+                outside, back = 0, name == "article"
             inside = True
-        stack.append((name, count, inside, outside))
+        if name == "form":
+            forms = (*forms, count)
+        stack.append((name, count, inside, outside, back, forms))
     if at < len(page):
         text.append(page[at:])
     flush()
+    # a form is boilerplate unless it holds an article, main or most of the text
+    held: dict[int, int] = {}
+    for b in out:
+        for form in b.forms:
+            held[form] = held.get(form, 0) + len(b.text)
+    most = sum(len(b.text) for b in out) / 2
+    small = {form for form, n in held.items() if n <= most} - neutral
+    for b in out:
+        b.outside = b.outside or not small.isdisjoint(b.forms)
+    # an article in boilerplate is the page's own only if there is no other
+    if any(b.inside and not b.outside and not b.back for b in out):
+        for b in out:
+            b.outside = b.outside or b.back
     return out
 
 
@@ -125,7 +155,7 @@ def costs(b: Block, page_has_main: bool) -> tuple[float, float]:
     """The cost of calling the block boilerplate, and of calling it content."""
     content = boilerplate = 0.0
     if b.outside:
-        boilerplate += 30
+        boilerplate += MARKED
     elif b.inside:
         content += 12
     elif page_has_main:
