@@ -58,3 +58,13 @@ def test_edges_restore_a_marked_sentence():
     """Between sentences of its own paragraph a marked one is content."""
     page = "<article><div>A long first sentence stands here, with twelve words or some more in it.<br><p>x.</p><span class=notice>This sentence is marked, but it has as many words as the others around.<hr></span>A long last sentence stands here, with twelve words or some more in it.</div></article>"
     assert "This sentence is marked, but it has as many words as the others around." in html.main_blocks(page)
+
+
+def test_rare_features_are_learnt(spark, taught, monkeypatch):
+    """No limit on features: what only a few toxic documents hold tells as well."""
+    monkeypatch.setattr(toxicity, "FEATURES", 20, raising=False)
+    docs, labels, _ = taught
+    rare = spark.createDataFrame([(1000 + i, "river garden window zanybrute") for i in range(8)], "doc_id long, text string")
+    marks = rare.selectExpr("doc_id", "1 AS quality", "1 AS toxic")
+    telling, _, _ = toxicity.fitted(docs.union(rare), labels.selectExpr("doc_id", "int(quality) AS quality", "int(toxic) AS toxic").union(marks))
+    assert any(f.startswith("zany") for f in telling)

@@ -9,7 +9,7 @@ document's score joins the telling ones of its distinct words as independent sig
 
 The language model counts every character of every text; it has 29^3 numbers at any input size. The classifier learns
 from TRAINING labelled documents at most (those with the smallest hashes of their ids), which bounds what goes to the
-driver; its table has FEATURES entries at most. Every whole text is scored.
+driver and the table of features, which is not cut. Every whole text is scored.
 
 Defined results: null and empty texts have the base rate; repeated labels of one document count each; labels null or
 of null ids don't count; without labels, or with no toxic ones, every score is a small base rate; rows that repeat get
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import chunks, settle, table, utf8
 
-#: At most so many labelled documents are learnt from, and so many features kept: both go through the driver.
-TRAINING, FEATURES = 20_000, 50_000
+#: At most so many labelled documents are learnt from; their features go through the driver.
+TRAINING = 20_000
 #: Lengths of word starts, and numbers of distinct words of a text with a start: each reached number is a feature.
 STARTS, TIMES = (4, 5, 6, 7, 8), (1, 2, 3, 5, 8)
 #: A feature tells if so many training documents hold it and so large a share of them is toxic.
@@ -284,8 +284,8 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: int = TRA
 
         return part.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
-    in_toxic = counted(toxic, features).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "feature").limit(FEATURES)
-    many = {r.feature: r.n for r in in_toxic.collect()}  # FEATURES rows at most
+    in_toxic = counted(toxic, features).filter(F.col("n") >= LEAST_DOCS)
+    many = {r.feature: r.n for r in in_toxic.collect()}  # features of TRAINING documents at most
     known = stems(many)
     in_clean = {r.feature: r.n for r in counted(clean, lambda words, known=known: features(words, known) & many.keys(), known).collect()}  # features of many
     share = {f: (n + 0.1) / (n + in_clean.get(f, 0) + 1) for f, n in many.items()}
@@ -298,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: int = TRA
 
 def score(docs: DataFrame, telling: dict[str, float], base: float, model: np.ndarray, text: str = "text") -> DataFrame:
     """docs with toxicity (0 to 1) and restored (the words that the score rests on, sorted)."""
-    shared = docs.sparkSession.sparkContext.broadcast((telling, base, model))  # FEATURES entries and SIZE^3 numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast((telling, base, model))  # features of TRAINING documents and SIZE^3 numbers at most
 
     def run(batches):
         telling, base, model = shared.value
