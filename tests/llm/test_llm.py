@@ -147,22 +147,39 @@ def test_min_cut():
 
 
 def test_topk(spark):
+    """Small blocks, groups and cells against brute force: ties, repeated rows and ids, zero and large vectors, dimensions."""
     r = np.random.default_rng(5)
     made = [(i, [float(x) for x in r.normal(size=6).round(1)]) for i in range(130)]
-    odd = [(200, None), (201, []), (202, [float("nan")] * 6), (203, [None] + [1.0] * 5), (None, [1.0] * 6), (220, [1.0, 2.0]), (240, [3.0, 1.0]), (5, made[5][1])]
-    df = spark.createDataFrame(made + odd, "vec_id long, embedding array<float>").repartition(4)
-    v = topk.quantised(df)
-    got = defaultdict(list)
-    for x in topk.search(v, v.filter("id % 20 = 0"), 7, 2, 16, 3).orderBy("query_id", "rank").collect():
-        got[x.query_id].append((x.vec_id, x.score))
-    ints = [(i, [math.floor(64 * np.float32(c)) for c in e]) for i, e in made + [odd[5], odd[6], odd[7]]]
+    odd = [(200, None), (201, []), (202, [float("nan")] * 6), (203, [None] + [1.0] * 5), (204, [float("inf")] * 6), (None, [1.0] * 6), (220, [1.0, 2.0]), (240, [3.0, 1.0]), (5, made[5][1])]
+    same = [(i, made[7][1]) for i in (300, 301, 302, 303, 304, 320)] + [(320, made[7][1])] * 12 + [(i, [0.0] * 6) for i in range(400, 421)] + [(i, [float(i % 2), 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(440, 461)]
+    large = [(500, [4e7] + [1.0] * 5), (501, [-4e7] * 6), (520, [4e7, 0.5, -4e7, 0.0, 1.0, 2.0]), (540, [3e38, -3e38, 1.0, 0.0, 0.0, 0.0])]
+    sound = made + odd[6:] + same + large
+    df = spark.createDataFrame(sound + odd[:6], "vec_id long, embedding array<float>").repartition(4)
+    v = topk.usable(df)
+    ints = [(i, [int(np.float32(c)) * 64 if abs(c) > 1e9 else math.floor(64 * float(np.float32(c))) for c in e]) for i, e in sound]
+    want = []
     for q, a in ints:
         if q % 20 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ints if i != q and len(b) == len(a))[:7]
-            assert got[q] == [(i, -s) for s, i in scores]
+            scores = sorted((-min(max(sum(x * y for x, y in zip(a, b, strict=True)), -(1 << 63)), (1 << 63) - 1), i) for i, b in ints if i != q and len(b) == len(a))[:7]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    for bits, block, group in ((6, 16, 20), (3, 5, 3), (4, 4096, 8192)):
+        got = topk.search(v, v.filter("id % 20 = 0"), 7, bits, block, group).collect()
+        assert sorted(map(tuple, got)) == sorted(want), (bits, block, group)
     assert topk.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_topk_reads_few_exact_vectors(spark):
+    """Cells exclude most vectors; doubles work like floats."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(3000, 16)) / 4
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    v = topk.usable(df)
+    file = topk.packed(topk.classes(v, 10), 512, 6).cache()
+    asked = topk.packed(v.filter("id % 50 = 0").selectExpr("x", "array(named_struct('id', id, 'n', 1)) AS ids"), 512, None).cache()
+    assert file.filter("at IS NULL").agg(F.max(F.octet_length("cells"))).first()[0] == 512 * 16 * 6 // 8
+    assert topk.candidates(file.filter("at IS NULL"), asked.filter("at IS NULL"), 10, 6).count() < 0.1 * 60 * 3000
+
+
 def components(rows, size, part, whole):
     sets = []
     for i, t in rows:
