@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -180,11 +181,13 @@ def test_topk_reads_few_exact_vectors(spark):
     assert topk.candidates(file.filter("at IS NULL"), asked.filter("at IS NULL"), 10, 6).count() < 0.1 * 60 * 3000
 
 
+def shingled(text, size):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+
+
 def components(rows, size, part, whole):
-    sets = []
-    for i, t in rows:
-        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append((i, {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set())))
+    sets = [(i, shingled(t, size)) for i, t in rows]
     up = list(range(len(sets)))
     find = lambda a: a if up[a] == a else find(up[a])
     for a in range(len(sets)):
@@ -208,13 +211,63 @@ def test_neardup(docs, size, similar):
 
 def test_neardup_blocks_and_borders(docs, monkeypatch):
     """Small blocks, stretches and crowds give the same components."""
-    for name in ("CROWD", "STRETCH", "BLOCK"):
-        monkeypatch.setattr(neardup, name, 3)
+    for name, n in (("CROWD", 3), ("STRETCH", 3), ("BLOCK", 3), ("HELD", 8), ("WIDE", 4), ("PIVOTS", 1)):
+        monkeypatch.setattr(neardup, name, n)
     want = components([(r.doc_id, r.text) for r in docs.collect()], 3, 85, 100)
     got = neardup.near_duplicates(with_key(docs.select("doc_id", "text"), "doc_id", "text"), 3, (85, 100)).collect()
     assert null_last((r.doc_id, r.n_shingles, r.component_id) for r in got) == null_last(want)
 
 
+def test_neardup_chains(spark, monkeypatch):
+    """Chains and stars around the threshold in one crowded region: representatives link some, and the rest is still found."""
+    for name, n in (("CROWD", 4), ("BLOCK", 2), ("WIDE", 3), ("PIVOTS", 1)):
+        monkeypatch.setattr(neardup, name, n)
+    r = np.random.default_rng(11)
+    base = list(r.choice(WORDS, 120))
+    rows = []
+    for star in range(3):
+        own = base[:]
+        own[star * 40 : star * 40 + 14] = [f"s{star}{i}" for i in range(14)]
+        rows += [own[:k] + [f"x{star}{k}"] + own[k + 1 :] for k in range(0, 120, 13)]
+    for k in range(24):
+        rows.append(base[:-k or None] + [f"y{i}" for i in range(k)])
+    r.shuffle(rows)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(3)
+    for similar in ((85, 100), (93, 100)):
+        want = components([(x.doc_id, x.text) for x in df.collect()], 3, *similar)
+        assert len({c for _, _, c in want}) > 1
+        got = neardup.near_duplicates(with_key(df, "doc_id", "text"), 3, similar).collect()
+        assert null_last((x.doc_id, x.n_shingles, x.component_id) for x in got) == null_last(want)
+        assert sum(x.first for x in got) == len({c for _, _, c in want})
+
+
+def test_neardup_descends_to_longer_prefixes(monkeypatch):
+    """What more than STRETCH classes share is compared at a greater depth, and linked whole only at full depth."""
+    monkeypatch.setattr(neardup, "STRETCH", 4)
+    r = np.random.default_rng(2)
+    stem, rows = bytes(12), []
+    for tail in range(4):
+        like = r.integers(0, 256, neardup.SIGNS, dtype=np.uint8).tobytes()
+        rows += [(0, stem + tail.to_bytes(4, "big") + bytes(4), tail * 3 + i, like) for i in range(3)]
+    rows += [(0, stem + (9).to_bytes(4, "big") + bytes(4), 100 + i, r.integers(0, 256, neardup.SIGNS, dtype=np.uint8).tobytes()) for i in range(6)]
+    rows = [(0, b"\xff" * 20, 900, bytes(neardup.SIGNS)), *[(1, *x[1:]) for x in rows], (2, bytes(20), 901, bytes(neardup.SIGNS))]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["tree", "path", "class", "signs"])
+    links = {(x["a"], x["b"]) for b in neardup.walk([batch], 100) for x in b.to_pylist() if x["border"] is None}
+    assert links == {(t * 3, t * 3 + i) for t in range(4) for i in (1, 2)} | {(100, 100 + i) for i in range(1, 6)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_neardup_recall(spark):
+    """Measured recall on the given documents: every row whose id is divisible by 50 against all rows by full sets."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(x.doc_id, shingled(x.text, 3)) for x in df.collect()]
+    pairs = [(a, b) for a, x in rows if a % 50 == 0 for b, y in rows if a != b and x and 100 * len(x & y) >= 85 * len(x | y)]
+    part = {x.doc_id: x.component_id for x in neardup.near_duplicates(with_key(df, "doc_id", "text"), 3, (85, 100)).collect()}
+    assert len(pairs) > 0 and all(part[a] == part[b] for a, b in pairs)
+
+
 def test_media(spark, docs):
     payload = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     clips = media.store(docs.withColumn("payload", media.padded(payload)), "payload", ("doc_id", "text"))

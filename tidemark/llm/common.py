@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,15 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; one of our own only where all of Spark is one process, and an error elsewhere."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if there:
         return there.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -37,12 +37,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Ask for the shuffle files of results that nothing refers to any more to be dropped."""
-    import gc
+def release(*settled: DataFrame) -> None:
+    """Empty settled tables that nothing still to be computed reads."""
+    for df in settled:
+        for file in df.inputFiles()[:1]:
+            df.sparkSession.range(0).write.mode("overwrite").parquet(file.rsplit("/", 1)[0])
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def fresh(taken: Iterable[str], name: str) -> str:
+    """name, with as many underscores as it takes to clash with no taken column."""
+    have = {x.lower() for x in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -1,17 +1,20 @@
 """MinHash near-duplicates by an LSH forest, confirmed on full shingle sets.
 
-Texts with one set of word shingles are a class; what follows is on classes. Each has SIGNS min-hashes. A tree of the
-forest sorts all classes by a path of DEPTH min-hashes, range-partitioned so that crowded regions spread over tasks,
-and neighbours in that order with a long common prefix are candidates. The depth adapts: where few classes share two
-min-hashes, two are enough; in crowded regions three are asked for. Candidates whose signatures agree about as often as
-similar sets' do are linked, each stretch giving a spanning forest of links only, never all pairs; a stretch that is
-longer than STRETCH classes or goes on in a neighbouring partition is linked whole. There are as many trees as leave a
-pair at the threshold unseen with a probability under MISS at the greater depth.
-
-Components of these links are regions. The full sets of a region's classes meet in blocks of BLOCK classes, each block
-with each, and every pair is confirmed by exact intersection unless confirmed links connect its two classes already,
-so no link between different texts is lost once its region is found, and no group is ever whole in one task. The
-components of confirmed links, by their least document id, are the result.
+Texts with one set of word shingles are a class; what follows is on classes. Each has SIGNS min-hashes, and in each tree
+of the forest a label of LONGEST of them. A tree sorts all classes by their labels, range-partitioned so that crowded
+regions spread over tasks, and neighbours in that order with a long common prefix are candidates. The depth adapts to the
+region: two min-hashes where few classes share them, DEPTH in crowded regions, and more, up to LONGEST, where more than
+STRETCH classes share DEPTH. Candidates whose signatures agree about as often as similar sets' do are linked, each
+stretch giving a spanning forest of links only, never all pairs; what is longer than STRETCH at full depth, or goes on in
+a neighbouring partition, is linked whole. There are as many trees as leave a pair at the threshold unseen with a
+probability under MISS at DEPTH.
+
+Components of these links are regions. A region's classes are dealt into blocks in the order of the first tree's labels,
+so that neighbours with long common prefixes share a block. First each block's full sets meet each other and those of a
+few representatives of the region; pairs that links connect already are not compared. Then only classes outside a
+region's largest component so far meet the rest of their region, wide block by wide block. So no link between different
+texts is lost once its region is found, a group of near copies costs about its own size, and no group is ever whole in
+one task. The components of confirmed links, by their least document id, are the result.
 
 Defined results: null and empty texts and those of white space have no shingles, no links, and their own id as
 component; texts with fewer words than a shingle are one shingle; repeated rows are in one component; rows with a null
@@ -25,22 +28,26 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tidemark.llm.common import chunks, map_batches, settle, sweep, table, utf8, with_key
+from tidemark.llm.common import chunks, map_batches, release, settle, table, utf8, with_key
 from tidemark.llm.graph import connected
 from tidemark.llm.substrings import Spans, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
-SIGNS, DEPTH, MISS = 128, 3, 1e-6
-#: Classes that two shared min-hashes may bring together; classes of a stretch compared by signature; of a block.
-CROWD, STRETCH, BLOCK = 256, 2048, 512
+SIGNS, DEPTH, LONGEST, MISS = 128, 3, 5, 1e-6
+#: Classes that two shared min-hashes may bring together; classes of a stretch compared by signature, and held by a task.
+CROWD, STRETCH, HELD = 256, 2048, 32_768
+#: Classes of a block and of a wide block, and a region's representatives.
+BLOCK, WIDE, PIVOTS = 64, 256, 4
 _SPREAD = np.random.default_rng(7).integers(1, 1 << 63, SIGNS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def trees_for(similar: float) -> int:
-    return min(SIGNS // DEPTH, math.ceil(math.log(MISS) / math.log(1 - similar**DEPTH)))
+    return min(SIGNS // LONGEST, math.ceil(math.log(MISS) / math.log(1 - similar**DEPTH)))
 
 
 def shingle_sets(texts: list[bytes], shingle: int):
@@ -72,7 +79,7 @@ def sketches(docs: DataFrame, shingle: int, trees: int) -> DataFrame:
                 least = min_hashes(found)
                 named.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
                 signs.append(least.astype(np.uint8).tobytes())
-                path.append(least[: trees * DEPTH].astype(">u4").tobytes())
+                path.append(least[: trees * LONGEST].astype(">u4").tobytes())
             else:
                 for x in (named, signs, path):
                     x.append(None)
@@ -112,11 +119,13 @@ def _alike(ids: np.ndarray, signs: np.ndarray, least: int) -> list[tuple[int, in
 
 
 def walk(batches, least: int):
-    """Links among sorted rows (tree, path, class, signs); border rows carry the tree and path of stretches at a partition's ends."""
+    """Links among sorted rows (tree, path, class, signs); border rows carry the tree and DEPTH of stretches at a partition's ends."""
     out: list[tuple] = []
     pending: list[tuple[list, list]] = []  # whole stretches with the same two min-hashes so far
     crowded = False
-    stretch: tuple[list, list] = ([], [])
+    ids: list[int] = []  # of the stretch at hand, with signs and the rest of the labels
+    signs: list[bytes] = []
+    tails: list[bytes] = []
     key, first_key, rep, whole = None, None, 0, False
 
     def batch() -> pa.RecordBatch:
@@ -128,6 +137,20 @@ def walk(batches, least: int):
         if len(ids) > 1:
             out.extend((a, b, None, None) for a, b in _alike(np.array(ids), np.frombuffer(b"".join(signs), np.uint8).reshape(len(ids), SIGNS), least))
 
+    def descend(first: int, last: int, depth: int) -> None:
+        """Compare part of the stretch, which shares depth min-hashes, at the depth that leaves few enough."""
+        if last - first <= STRETCH:
+            compare(ids[first:last], signs[first:last])
+        elif depth == LONGEST:
+            out.extend((ids[first], x, None, None) for x in ids[first + 1 : last])
+        else:
+            end = 4 * (depth + 1 - DEPTH)
+            start = first
+            for i in range(first + 1, last + 1):
+                if i == last or tails[i][:end] != tails[start][:end]:
+                    descend(start, i, depth + 1)
+                    start = i
+
     def settle_pending() -> None:
         if crowded:
             for ids, signs in pending:
@@ -136,44 +159,52 @@ def walk(batches, least: int):
             compare([x for ids, _ in pending for x in ids], [x for _, signs in pending for x in signs])
         pending.clear()
 
+    def empty() -> None:
+        for x in (ids, signs, tails):
+            x.clear()
+
     def close() -> None:
         """The stretch at hand is over."""
         nonlocal crowded
         if not whole:
-            pending.append((stretch[0][:], stretch[1][:]))
-            if not crowded and sum(len(x) for x, _ in pending) > CROWD:
+            if len(ids) > STRETCH:
                 crowded = True
+                descend(0, len(ids), DEPTH)
+            else:
+                pending.append((ids[:], signs[:]))
+                if not crowded and sum(len(x) for x, _ in pending) > CROWD:
+                    crowded = True
             if crowded:
                 settle_pending()
-        stretch[0].clear()
-        stretch[1].clear()
+        empty()
 
     def link_whole() -> None:
         nonlocal whole
         whole = True
-        out.extend((rep, x, None, None) for x in stretch[0] if x != rep)
-        stretch[0].clear()
-        stretch[1].clear()
+        out.extend((rep, x, None, None) for x in ids if x != rep)
+        empty()
 
     for b in batches:
-        for tree, path, ident, signs in zip(*(b.column(n).to_pylist() for n in ("tree", "path", "class", "signs")), strict=True):
-            if (tree, path) != key:
+        for tree, path, ident, sign in zip(*(b.column(n).to_pylist() for n in ("tree", "path", "class", "signs")), strict=True):
+            stem = path[: 4 * DEPTH]
+            if (tree, stem) != key:
                 if key is not None:
                     close()
                     if (tree, path[:8]) != (key[0], key[1][:8]):
                         settle_pending()
                         crowded = False
-                key, rep, whole = (tree, path), ident, False
+                key, rep, whole = (tree, stem), ident, False
                 if first_key is None:  # it may have begun in the partition before
                     first_key, whole = key, True
-                    out.append((rep, rep, tree, path))
+                    out.append((rep, rep, tree, stem))
             if whole:
                 if ident != rep:
                     out.append((rep, ident, None, None))
             else:
-                stretch[0].append(ident)
-                stretch[1].append(signs)
-                if len(stretch[0]) > STRETCH:
+                ids.append(ident)
+                signs.append(sign)
+                tails.append(path[4 * DEPTH :])
+                if len(ids) > HELD:
                     link_whole()
             if len(out) > 20_000:
                 yield batch()
@@ -190,7 +221,7 @@ def candidate_links(classes: DataFrame, trees: int, similar: float) -> DataFrame
     """a, b: links that join every two classes whose likeness makes them candidates."""
     sure = 4.5 * math.sqrt(similar * (1 - similar) / SIGNS)
     least = math.floor(SIGNS * (similar - sure))
-    at = lambda t: F.substring("paths", F.lit(1) + t * (4 * DEPTH), F.lit(4 * DEPTH))
+    at = lambda t: F.substring("paths", F.lit(1) + t * (4 * LONGEST), F.lit(4 * LONGEST))
     spread = classes.select("class", "signs", "paths", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("tree", at(F.col("tree")).alias("path"), "class", "signs")
     order = ["tree", "path", "class"]
     ordered = spread.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -202,10 +233,11 @@ def candidate_links(classes: DataFrame, trees: int, similar: float) -> DataFrame
     return rows.filter("border IS NULL").select("a", "b").unionByName(over).filter("a <> b")
 
 
-def confirm(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, similar: tuple[int, int]) -> list[tuple[int, int]]:
-    """A spanning forest of the confirmed links between places of left and the others (all places if all are left).
+def confirm(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, similar: tuple[int, int], parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the confirmed links between places of left and all places.
 
-    similar: numerator and denominator. A link holds if intersection / union is that or more."""
+    similar: numerator and denominator. A link holds if intersection / union is that or more. Places of one part (by
+    default each is its own) are connected already."""
     part, whole = similar
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
@@ -213,12 +245,12 @@ def confirm(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, similar:
     borders = np.concatenate([[0], np.cumsum(sizes)])
     mark = np.zeros(int(flat.max()) + 1, bool)
     joined, out = Sets(len(ids)), []
-    roots = np.arange(len(ids))
-    others = ~left if (~left).any() else left
+    if parts is not None:
+        _, first, which = np.unique(parts, return_index=True, return_inverse=True)
+        joined.up = first[which].tolist()
+    roots, place = joined.roots(), np.arange(len(ids))
     for i in np.flatnonzero(left):
-        fits = others & (roots != roots[i]) & (whole * np.minimum(sizes, sizes[i]) >= part * np.maximum(sizes, sizes[i]))
-        if others is left:
-            fits[: i + 1] = False
+        fits = (~left | (place > i)) & (roots != roots[i]) & (whole * np.minimum(sizes, sizes[i]) >= part * np.maximum(sizes, sizes[i]))
         need = np.flatnonzero(fits)
         if not len(need):
             continue
@@ -238,68 +270,123 @@ def confirm(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, similar:
     return out
 
 
-def confirmed_links(docs: DataFrame, members: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
-    """a, b: links on full sets. members: class, row_key (of a text), region."""
-    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(sizes, "region").select("class", "row_key", "region", blocks.alias("blocks"), F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"))
+def dealt(members: DataFrame, *sizes: int) -> DataFrame:
+    """members (region, label, class and more) with the numbers of their blocks: block_0, block_1 and so on, of so many neighbours by label."""
+    order = ["region", "label", "class"]
+    names = [f"block_{i}" for i in range(len(sizes))]
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [x.tobytes() for x in shingle_sets(utf8(batch.column("text")), shingle)]
-        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("class", "region", "blocks", "block")), pa.array(found, pa.binary())], ["class", "region", "blocks", "block", "shingles"])
+    def run(batches):
+        number, held = TaskContext.get().partitionId() << 32, [0] * len(sizes)
+        at, region = [number] * len(sizes), None
+        for b in batches:
+            out = []
+            for r in b.column("region").to_pylist():
+                for i, size in enumerate(sizes):
+                    if r != region or held[i] == size:
+                        at[i], held[i] = at[i] + 1, 0
+                    held[i] += 1
+                region = r
+                out.append(tuple(at))
+            made = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(sizes)
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *names])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema)
+    return members.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, ", ".join([kinds, *(f"{n} long" for n in names)]))
 
-    # members grow with the documents, so this is a shuffle at every size, and never a broadcast that only small inputs allow
-    texts = docs.select("row_key", "text").join(dealt.hint("merge"), "row_key").select("class", "region", "blocks", "block", "text")
-    held = settle(map_batches(texts, sets, "class long, region long, blocks int, block int, shingles binary"))
-    sweep(docs.sparkSession)
-    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = held.withColumn("partner", partner).select("region", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "block", "class", "shingles")
-    order = ["region", "i", "j"]
-    together = pairs.repartition(*order).sortWithinPartitions(*order)
 
-    def links(batches):
-        key, rows, out = None, [], []
+def linked(rows: DataFrame, group: list[str], similar: tuple[int, int]) -> DataFrame:
+    """a, b: confirmed links between parts, of rows (group, class, left, part, shingles) by group."""
+
+    def run(batches):
+        key, held, out = None, {}, []
 
         def close() -> None:
-            if len(rows) > 1:
-                ids = np.array([r[0] for r in rows])
-                out.extend(confirm(ids, [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] == key[1] for r in rows]), similar))
-            rows.clear()
+            if len(held) > 1:
+                ids, left, parts, sets = (list(x) for x in zip(*((c, *x) for c, x in held.items()), strict=True))
+                part = dict(zip(ids, parts, strict=True))
+                links = confirm(np.array(ids), [np.frombuffer(x, np.uint64) for x in sets], np.array(left), similar, np.array(parts))
+                out.extend((part[a], part[b]) for a, b in links)
+            held.clear()
 
         for b in batches:
-            for r in zip(*(b.column(n).to_pylist() for n in [*order, "class", "block", "shingles"]), strict=True):
-                if r[:3] != key:
+            for *k, c, left, part, shingles in zip(*(b.column(n).to_pylist() for n in [*group, "class", "left", "part", "shingles"]), strict=True):
+                if k != key:
                     close()
-                    key = r[:3]
-                rows.append(r[3:])
+                    key = k
+                held[c] = (left or held.get(c, (False,))[0], part, shingles)
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return together.mapInArrow(links, "a long, b long")
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
+
+
+def confirmed(docs: DataFrame, members: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
+    """node and root of the classes that confirmed links connect. members: class, row_key (of a text), region, label."""
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [x.tobytes() for x in shingle_sets(utf8(batch.column("text")), shingle)]
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(found, pa.binary())], [*kept, "shingles"])
+
+    blocks = settle(dealt(members, BLOCK, WIDE))
+    kept = ["class", "region", "block_0", "block_1"]
+    # members grow with the documents, so this is a shuffle at every size, and never a broadcast that only small inputs allow
+    texts = docs.select("row_key", "text").join(blocks.select("row_key", *kept).hint("merge"), "row_key").select(*kept, "text")
+    held = settle(map_batches(texts, sets, "class long, region long, block_0 long, block_1 long, shingles binary"))
+
+    # each block in itself and with its region's representatives
+    several = blocks.select("region", "block_0").distinct().withColumn("n", F.count(F.lit(1)).over(W.partitionBy("region"))).filter("n > 1").select("region", "block_0")
+    place = F.row_number().over(W.partitionBy("region").orderBy(F.xxhash64("class"), "class"))
+    pivots = blocks.select("region", "class").withColumn("place", place).filter(F.col("place") <= PIVOTS).select("class")
+    sent = held.join(pivots, "class", "left_semi").select("region", "class", "shingles").join(several, "region")
+    rows = held.select("block_0", "class", "shingles").unionByName(sent.select("block_0", "class", "shingles"))
+    near = connected(linked(rows.select("block_0", "class", F.lit(True).alias("left"), F.col("class").alias("part"), "shingles"), ["block_0"], similar))
+
+    # what isn't in the region's largest component meets the rest of it
+    placed = blocks.select("class", "region", "label", "block_1").join(several.select("region").distinct(), "region", "left_semi")
+    placed = placed.join(near.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "region", "label", "block_1", F.coalesce("root", "class").alias("part"))
+    sizes = placed.groupBy("region", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("region").agg(F.max(F.struct("n", "part"))["part"].alias("largest"))
+    placed = settle(placed.join(largest, "region").select("class", "region", "label", "block_1", "part", (F.col("part") != F.col("largest")).alias("open")))
+    apart = placed.filter("open")
+    if apart.isEmpty():
+        return near
+    apart = settle(dealt(apart.select("region", "label", "class", "part"), WIDE).withColumnRenamed("block_0", "side"))
+    meeting = apart.select("region", "side").distinct().join(placed.select("region", "block_1").distinct(), "region").select("side", "block_1")
+    shingles = held.select("class", "shingles")
+    one = apart.join(shingles, "class").join(meeting, "side").select("side", "block_1", "class", F.lit(True).alias("left"), "part", "shingles")
+    other = placed.select("block_1", "class", "part").join(shingles, "class").join(meeting, "block_1").select("side", "block_1", "class", F.lit(False).alias("left"), "part", "shingles")
+    far = connected(linked(one.unionByName(other), ["side", "block_1"], similar))
+    # far is on parts, each named by a class
+    parts = placed.select("class", "part").unionByName(near.select(F.col("node").alias("class"), F.col("root").alias("part"))).distinct()
+    return parts.join(far.select(F.col("node").alias("part"), F.col("root").alias("onward")), "part", "left").select(F.col("class").alias("node"), F.coalesce("onward", "part").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = (4, 5)) -> DataFrame:
-    """doc_id, row_key, n_shingles, component_id and kept of each row of docs, which has doc_id, text and row_key."""
-    spark = docs.sparkSession
+    """doc_id, row_key, n_shingles, component_id, kept and first of each row of docs, which has doc_id, text and row_key.
+
+    kept: the row's id names its component. first: of all rows of the component it has the least id (null last) and key,
+    so that one row_key of each component is first, whatever ids are null or repeat."""
     share = similar[0] / similar[1]
     trees = trees_for(share)
     sketched = settle(sketches(docs, shingle, trees))
-    per_class = sketched.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.min("signs").alias("signs"), F.min("paths").alias("paths"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    per_class = sketched.filter("class IS NOT NULL").groupBy("class").agg(F.min(row).alias("least"), F.min("row_key").alias("row_key"), F.min("signs").alias("signs"), F.min("paths").alias("paths"))
     classes = settle(per_class)
     regions = connected(candidate_links(classes, trees, share))
-    sweep(spark)
-    members = settle(classes.select("class", "row_key").join(regions.select(F.col("node").alias("class"), F.col("root").alias("region")), "class"))
-    parts = connected(confirmed_links(docs, members, shingle, similar))
-    sweep(spark)
-    rooted = classes.select("class", "least_id").join(parts.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "least_id", F.coalesce("root", "class").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least_id").alias("name"))
+    label = F.substring("paths", 1, 4 * LONGEST).alias("label")
+    members = settle(classes.select("class", "row_key", label).join(regions.select(F.col("node").alias("class"), F.col("root").alias("region")), "class"))
+    parts = confirmed(docs, members, shingle, similar)
+    rooted = settle(classes.select("class", "least").join(parts.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root")))
+    names = rooted.groupBy("root").agg(F.min("least").alias("name"))
     named = rooted.select("class", "root").join(names, "root").select("class", "name")
     out = sketched.select("doc_id", "row_key", "n_shingles", "class").join(named, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("name"))
-    return out.select("doc_id", "row_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = F.col("class").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("name.doc_id"))
+    first = alone | (F.col("doc_id").eqNullSafe(F.col("name.doc_id")) & (F.col("row_key") == F.col("name.row_key")))
+    return out.select("doc_id", "row_key", "n_shingles", component.alias("component_id"), first.alias("first")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles are alike to 0.85 or more."""
     docs = with_key(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    return near_duplicates(docs, 3, (85, 100)).drop("row_key")
+    return near_duplicates(docs, 3, (85, 100)).drop("row_key", "first")

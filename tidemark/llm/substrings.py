@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, map_batches, settle, sweep, table, utf8, with_key
+from tidemark.llm.common import chunks, map_batches, release, settle, table, utf8, with_key
 
 #: Words of a window, and of the runs among which its minimiser is found.
 WINDOW, RUN = 35, 10
@@ -195,14 +195,13 @@ def repeated(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame
     per_minimiser = found.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("a"), F.max("content").alias("b"), F.max("branched").alias("branched"))
     several = per_minimiser.filter("n > 1 OR branched").select("minimiser", (F.col("branched") | (F.col("a") != F.col("b"))).alias("branches"))
     hits = settle(found.select("row_key", "minimiser", "first", "edges", "content").join(several, "minimiser"))
-    sweep(docs.sparkSession)
+    release(found)
 
     forks = hits.filter("branches")
     kinds = forks.groupBy("minimiser", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row_key", "first", "edges")).alias("at"))
     kinds = settle(kinds.select("minimiser", "content", "times", "at.row_key", "at.first", "at.edges"))
     spans = kinds.groupBy("row_key").agg(F.collect_list(F.struct("first", "edges", "minimiser", "times")).alias("spans"))  # of one text
     edges = settle(edges_of(docs.select("row_key", "text").join(spans, "row_key"), window))
-    sweep(docs.sparkSession)
 
     often = edges.filter("edge IS NOT NULL").groupBy("minimiser", "edge").agg(F.sum("times").alias("n")).filter("n > 1").select("minimiser", "edge")
     stretches = [
