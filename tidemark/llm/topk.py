@@ -34,6 +34,8 @@ from tidemark.llm.common import settle, table
 K, SCALE, CELL_BITS = 20, 64.0, 6
 #: Vectors in a block, queries in a block and in a group that a square holds.
 VECTORS, QUERIES, GROUP = 4096, 512, 8192
+#: Vectors that a square sees at least, if there are so many: with few, its own kth bound excludes little.
+SEEN = 16_384
 #: Candidates that a square holds before it passes them on.
 HELD = 1_000_000
 LONG = (-(1 << 63), (1 << 63) - 1)
@@ -224,10 +226,10 @@ class Square:
 def candidates(cells: DataFrame, queries: DataFrame, k: int, bits: int, group: int = GROUP) -> DataFrame:
     """qb, qat, block, at, low, up and ident (smallest id that isn't the query's) of what the squares' bounds leave."""
     spark = cells.sparkSession
-    n_queries, n_blocks = queries.agg(F.sum(F.octet_length("first") / 8)).first()[0] or 0, cells.count()
+    n_queries, n_vectors = (x.agg(F.sum(F.octet_length("first") / 8)).first()[0] or 0 for x in (queries, cells))
     columns = max(1, math.ceil(n_queries / group))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = max(1, min(n_blocks, math.ceil(tasks / columns)))
+    rows = max(1, min(int(n_vectors / SEEN), math.ceil(tasks / columns)))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     held = ["dim", "block", "first", "second", "low", "step", "cells"]
