@@ -91,6 +91,10 @@ def test_mixing(spark, docs):
     share = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
     assert share["rare"] == pytest.approx(2000, rel=0.08) and share["big"] == pytest.approx(2000, rel=0.1)
     assert got.groupBy("doc_id").agg(F.countDistinct("mix_key").alias("k"), F.count("*").alias("n")).filter("k <> n").count() == 0
+    clashing = docs.selectExpr("*", "1 AS parts", "2 AS cdf", "3 AS mix_source", "4 AS mix_salt", "5 AS MIX_CDF", "6 AS mix_key")
+    for most in (mixing.BROADCAST_SOURCES, 0):
+        got = mixing.mix(clashing, broadcast_sources=most)
+        assert key(got) == key(a) and {tuple(r) for r in got.select("parts", "cdf", "mix_source", "mix_salt", "mix_cdf").collect()} == {(1, 2, 3, 4, 5)}
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
@@ -115,6 +119,14 @@ def test_urls(spark):
         assert len(got) == len(cases) * 2
         for r in got:
             assert (r.host, r.path, r.rule, r.verdict) == judge(r.url), r.url
+    clashing = pages.selectExpr("page_id", "url", "1 AS best", "2 AS at_host", "3 AS best_rule", "4 AS short", "5 AS RULE", "6 AS way")
+    for most in (urls.BROADCAST_RULES, 0):
+        got = urls.judge(clashing, urls.rules_of(spark, urls.RULES), broadcast_rules=most).collect()
+        assert len(got) == len(cases) * 2 and all((r.host, r.path, r.rule, r.verdict) == judge(r.url) and (r.best, r.best_rule, r.way) == (1, 3, 6) for r in got)
+    long_host = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "org/es/x")], "page_id long, url string")
+    assert [r.rule for r in urls.judge(long_host, urls.rules_of(spark, urls.RULES)).collect()] == ["org/es/"]
+    assert urls.judge(pages.limit(0), rules).count() == 0
+    assert {r.verdict for r in urls.judge(pages, rules.limit(0)).collect()} == {"allow"}
 
 
 def test_html():
@@ -323,9 +335,9 @@ def test_lines(docs):
             if len(key(x)) >= 20:
                 holders[key(x)].add(i)
     want = sorted((i, "\n".join(x for x in t.split("\n") if len(holders[key(x)]) < 3 or i == max(holders[key(x)]))) for i, t in rows)
-    got = lines.with_bitmaps(lines.keyed(docs.select("doc_id", "text"))).collect()
+    got = lines.with_bitmaps(docs.select("doc_id", "text")).collect()
     assert sorted((lines.SMALLEST if r.doc_id is None else r.doc_id, lines.kept_text((r.text or "").encode(), r.keep).decode()) for r in got) == want
-    assert lines.with_bitmaps(lines.keyed(docs.select("doc_id", "text").limit(0))).count() == 0
+    assert lines.with_bitmaps(docs.select("doc_id", "text").limit(0)).count() == 0
 
 
 def test_pipeline_stages(spark, docs, tmp_path):

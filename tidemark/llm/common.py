@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The bytes that separate words, and what bytes.split() and bytes.strip() take as white space.
@@ -66,9 +66,13 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | It
     return df.mapInArrow(run, schema)
 
 
+def row_key(*columns: str) -> Column:
+    """The same number for repeated rows and only for those: ids may be null or repeat."""
+    return F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
+
+
 def with_key(df: DataFrame, *columns: str) -> DataFrame:
-    """Add row_key, the same for repeated rows and only for those: ids may be null or repeat."""
-    return df.withColumn("row_key", F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns]))
+    return df.withColumn("row_key", row_key(*columns))
 
 
 def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:

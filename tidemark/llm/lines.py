@@ -11,7 +11,7 @@ keep bitmap for each document that loses lines; the text itself is never shuffle
 
 Defined results: null and empty texts are one empty line; rows that repeat (equal id and text) are one document and get
 equal bitmaps; a null id is a document smaller than all others, and all rows with a null id are one document. Other
-columns don't matter.
+columns stay whatever their names are.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, settle, table, utf8, with_key
+from tidemark.llm.common import fresh, map_batches, row_key, settle, table, utf8, with_key
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SMALLEST = -(1 << 63)
@@ -148,20 +148,18 @@ def kept_text(text: bytes, keep: bytes | None) -> bytes:
     return b"\n".join([line for line, bit in zip(lines, np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8)), strict=False) if bit])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return with_key(docs, "doc_id", "text")
-
-
-def with_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs (with row_key) and keep of each document, null where all lines stay."""
-    maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("row_key").alias("map_key"), F.col("doc").alias("map_doc"), "keep")
-    same = (F.col("row_key") == F.col("map_key")) & (F.coalesce("doc_id", F.lit(SMALLEST)) == F.col("map_doc"))
-    return docs.join(maps, same, "left").drop("map_key", "map_doc")
+def with_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, keep: str = "keep") -> DataFrame:
+    """docs with the bitmap of each document in keep (no column of docs), null where all lines stay."""
+    key, map_key, map_doc = (fresh([*docs.columns, keep], c) for c in ("line_key", "map_key", "map_doc"))
+    maps = keep_bitmaps(with_key(docs.select("doc_id", "text"), "doc_id", "text"), min_chars, min_docs)
+    maps = maps.select(F.col("row_key").alias(map_key), F.col("doc").alias(map_doc), F.col("keep").alias(keep))
+    same = (F.col(key) == F.col(map_key)) & (F.coalesce("doc_id", F.lit(SMALLEST)) == F.col(map_doc))
+    return docs.withColumn(key, row_key("doc_id", "text")).join(maps, same, "left").drop(key, map_key, map_doc)
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after its shared lines are gone."""
-    docs = with_bitmaps(keyed(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = with_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_lines, n_dropped, digest = [], [], []

@@ -8,7 +8,8 @@ equal parts whose variates are added, which has the same distribution and never
 
 Defined results: null is a source of its own; documents with equal ids (null included) get equal numbers; a source
 without a weight is dropped by an explicit weight table and weighted by default otherwise; an empty table gives no
-rows. No source is sampled or capped: the counts are over all rows.
+rows; other columns stay whatever their names are, but for columns named as the ones that are added, which these replace.
+No source is sampled or capped: the counts are over all rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import fresh, table
 
 #: Share of a source in proportion to its number of documents to this power.
 TEMPERATURE = 0.5
@@ -58,23 +59,29 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, source: s
     return rated.select("mix_source", "n_docs", "rate", "parts", made["cdf"].alias("cdf")), n_sources
 
 
-def copies(key: Column, seed: str) -> Column:
+def copies(key: Column, seed: str, parts: str = "parts", cdf: str = "cdf") -> Column:
     """The Poisson variate of a row that has parts and cdf."""
-    one = lambda i: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), key, i)))
-    return F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, i: acc + one(i))
+    one = lambda i: F.size(F.filter(cdf, lambda c: c <= uniform(F.lit(seed), key, i)))
+    return F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda acc, i: acc + one(i))
+
+
+ADDED = ("mix_copies", "mix_copy", "mix_key")
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", key: str = "doc_id", seed: str = SEED, temperature: float = TEMPERATURE, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """docs replicated to the target weights and spread over the cluster, with mix_copy (from 1), mix_copies and mix_key (the place in the shuffle)."""
+    docs = docs.drop(*ADDED)
     rated, n_sources = rates(docs, weights, source, temperature)
-    rated = rated.select("mix_source", "parts", "cdf")
+    origin, parts, cdf, salt, its_salt = (fresh(docs.columns, c) for c in ("mix_source", "mix_parts", "mix_cdf", "mix_salt", "mix_salt_of_source"))
+    rated = rated.select(F.col("mix_source").alias(origin), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
+    same = F.col(source).eqNullSafe(F.col(origin))
     if n_sources <= broadcast_sources:
-        joined = docs.join(F.broadcast(rated), F.col(source).eqNullSafe(F.col("mix_source")))
+        joined = docs.join(F.broadcast(rated), same)
     else:
-        salted = docs.withColumn("mix_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-        spread = rated.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(spread, salted[source].eqNullSafe(spread["mix_source"]) & (salted["mix_salt"] == spread["mix_salt"])).drop("mix_salt")
-    counted = joined.withColumn("mix_copies", copies(F.col(key), seed)).filter("mix_copies > 0").drop("mix_source", "parts", "cdf")
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        spread = rated.withColumn(its_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(spread, same & (F.col(salt) == F.col(its_salt))).drop(salt, its_salt)
+    counted = joined.withColumn("mix_copies", copies(F.col(key), seed, parts, cdf)).filter("mix_copies > 0").drop(origin, parts, cdf)
     out = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     out = out.withColumn("mix_key", F.substring(F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("mix_copy"))), 1, 16))
     return out.repartition("mix_key").sortWithinPartitions("mix_key")

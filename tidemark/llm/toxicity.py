@@ -11,9 +11,10 @@ The language model counts every character of every text; it has 29^3 numbers at
 from TRAINING labelled documents at most (those with the smallest hashes of their ids), which bounds what goes to the
 driver and the table of features, which is not cut. Every whole text is scored.
 
-Defined results: null and empty texts have the base rate; repeated labels of one document count each; labels null or
-of null ids don't count; without labels, or with no toxic ones, every score is a small base rate; rows that repeat get
-equal scores.
+Defined results: null and empty texts have the base rate; repeated labels of one document count each; of documents that
+share an id, one (of the least text hash) is learnt from; labels null or of null ids don't count; without labels, or with
+no toxic ones, every score is a small base rate; rows that repeat get equal scores; an empty table gives no rows; other
+columns stay, whatever their names are but those of the columns added.
 """
 
 from __future__ import annotations
@@ -270,7 +271,10 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: int = TRA
     no credit beside these, and what has no credit doesn't tell."""
     rows = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("label")).filter("label_id IS NOT NULL AND label IS NOT NULL").filter(~held_out(F.col("label_id")))
     sample = rows.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(most)
-    chosen = settle(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("text", "label"))  # most labels at most
+    sample = settle(sample)
+    known = F.broadcast(sample.select(F.col("label_id").alias("doc_id")).distinct())  # most ids at most
+    held = docs.select("doc_id", "text").join(known, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    chosen = settle(held.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("text", "label"))
     toxic, clean = chosen.filter("label > 0"), chosen.filter("label <= 0")
     n_toxic, n_clean = toxic.count(), clean.count()
 
@@ -296,8 +300,8 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: int = TRA
     return {f: math.log1p(-share[f]) for f in earning}, min(0.4, 0.05 * (n_toxic + 0.1) / (n_toxic + n_clean + 1))
 
 
-def score(docs: DataFrame, telling: dict[str, float], base: float, model: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with toxicity (0 to 1) and restored (the words that the score rests on, sorted)."""
+def score(docs: DataFrame, telling: dict[str, float], base: float, model: np.ndarray, text: str = "text", added: tuple[str, str] = ("toxicity", "restored")) -> DataFrame:
+    """docs with toxicity (0 to 1) and restored (the words that the score rests on, sorted), under the names in added, which docs has no columns of."""
     shared = docs.sparkSession.sparkContext.broadcast((telling, base, model))  # features of TRAINING documents and SIZE^3 numbers at most
 
     def run(batches):
@@ -333,10 +337,10 @@ def score(docs: DataFrame, telling: dict[str, float], base: float, model: np.nda
                 scores.append(1 - (1 - base) * math.exp(sum(sorted(roots.values()))))
                 found.append(sorted({w for forms in words for w in forms if w[:LEAST_LETTERS] in roots}))
             made = [pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "toxicity", "restored"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *added])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, toxicity double, restored array<string>")
+    return docs.mapInArrow(run, f"{kinds}, `{added[0]}` double, `{added[1]}` array<string>")
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float, np.ndarray]:
