@@ -1,16 +1,18 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is read into blocks: runs of text between block-level tags, each with the elements around it. A classifier gives
-each block the cost of calling it content and of calling it boilerplate, from the roles that its elements and their
-classes name, its links and its length. These costs are the capacities from the source and to the sink; neighbours in
-page order and blocks close in the element tree are joined by edges whose capacity is the cost of labelling them
-differently. The minimum cut, found by augmenting paths, is the labelling of least total cost. Blocks whose terminal
-capacities outweigh all their edges are settled first, which no minimum cut contradicts, so paths are searched only
-among the undecided.
-
-Defined results: null and empty pages have no blocks and an empty text; a page without content blocks too; unclosed
-and stray tags never fail; scripts, styles, comments and the head are no text; text is decoded, white space in a block
-becomes one space, blocks are joined by one line feed in page order.
+each block the cost of calling it content and of calling it boilerplate, from its length, how it ends, its element, its
+links, and the role that its elements and their classes name, which is one bounded sign among these. These costs are the
+capacities from the source and to the sink; neighbours in page order and blocks close in the element tree are joined by
+edges of like size, whose capacity is the cost of labelling them differently. The minimum cut, found by augmenting paths,
+is the labelling of least total cost: short lines and links within an article are kept by what stands around them, and so
+is a marked sentence amid a paragraph. Blocks whose terminal capacities outweigh all their edges are settled first, which
+no minimum cut contradicts, so paths are searched only among the undecided.
+
+Defined results: null and empty pages have no blocks and an empty text; a page without content blocks too; repeated pages
+have equal texts; unclosed and stray tags and quotes never fail; scripts, styles, comments and the head are no text; text
+is decoded, white space in a block becomes one space, blocks are joined by one line feed in page order; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, table
+from tidemark.llm.common import fresh, map_batches, table
 
 #: Elements whose borders end a block; those that end an open one of their kind; elements without an end; elements whose content is no text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 LIKE = frozenset("li td th tr dt dd option".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math head title iframe object canvas audio video textarea select button".split())
 #: Elements and words in class, id or role that name boilerplate.
@@ -37,25 +40,33 @@ MAIN = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|post|entry|story|body
 SPOKEN = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|repl(?:y|ies)|respond|disqus|discussion)(?:$|[\s_-])", re.I)
 #: Of these no article or main below is taken back.
 FIRM = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|repl(?:y|ies)|respond|disqus|discussion|related|recommend\w*|more-stories|outbrain|taboola)(?:$|[\s_-])", re.I)
+#: Class names of their own that name an element as the page's text, whatever else it is named, if nothing else on the page is.
+OWN = frozenset("article content entry main post story".split())
 #: Words that say how a page is laid out or what is open on it, not what an element holds.
-LAYOUT = re.compile(r"(?<!\S)(?:(?:with|without|has|no)[_-]\S+|(?:nav\w*|menus?|side-?bar|modal|overlay|search|toolbar|banner|cookies?)[_-](?:open|opened|close|closed|collapsed|expanded|enabled|disabled|toggled|visible|shown))(?!\S)", re.I)
+LAYOUT = re.compile(r"(?<!\S)(?:(?:with|without|has|no)(?:[_-]|\s+)\S+|(?:nav\w*|menus?|side-?bar|modal|overlay|search|toolbar|banner|cookies?|comments?)[_-](?:open|opened|close|closed|collapsed|expanded|enabled|disabled|toggled|visible|shown))(?!\S)", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+#: A value in quotes ends where white space, a slash or the tag's end follows; quotes elsewhere are characters like others.
+VALUE = r"(?:\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|[^\s>\"'][^\s>]*)"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*{VALUE}?|[\"'])*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(rf"\b(?:class|id|role|aria-label|itemprop)\s*=\s*({VALUE})", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 END_OF = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in SILENT}
 #: Costs: of crossing a border between neighbours in page order, and more for sharing the parent or grandparent.
-NEXT, SIBLING, COUSIN = 0.6, 0.8, 0.3
-#: Cost of calling content what a mark of boilerplate is on: edges on both sides can outweigh it for a whole sentence.
-MARKED = 4.5
+NEXT, SIBLING, COUSIN = 0.6, 0.8, 0.7
+#: Signs of the text: by its least number of words; a sentence's end, or none; a heading; the part that is linked.
+WORDS, ENDED, OPEN, HEADING, LINKED = ((12, 1.5), (5, 0.5), (0, -0.75)), 0.7, -0.3, 0.4, -2.5
+#: Signs of the role: within an article, marked as boilerplate, beside the page's article, and on a page without any.
+#: Blocks of an article are raised together where their mean falls below LEVEL.
+ARTICLE, MARKED, BESIDE, UNKNOWN, LEVEL = 1.0, -4.5, -4.0, 1.25, 0.8
+END_MARK = re.compile(r"[.!?…。]['\")»”]*$")
 
 
 class Block:
-    __slots__ = ("text", "inside", "outside", "back", "forms", "linked", "parent", "grand")
+    __slots__ = ("text", "inside", "outside", "back", "forms", "linked", "heading", "parent", "grand")
 
-    def __init__(self, text, inside, outside, back, forms, linked, parent, grand):
+    def __init__(self, text, inside, outside, back, forms, linked, heading, parent, grand):
         self.text, self.inside, self.outside, self.back, self.forms = text, inside, outside, back, forms
-        self.linked, self.parent, self.grand = linked, parent, grand
+        self.linked, self.heading, self.parent, self.grand = linked, heading, parent, grand
 
 
 def blocks(page: str) -> list[Block]:
@@ -75,7 +86,7 @@ def blocks(page: str) -> list[Block]:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
                 up = [x for x in stack if x[0] in BLOCKS or not x[0]]
-                out.append(Block(whole, stack[-1][2], stack[-1][3] > 0, stack[-1][4], stack[-1][5], min(1.0, linked / len(whole)), up[-1][1], up[-2][1] if len(up) > 1 else 0))
+                out.append(Block(whole, stack[-1][2], stack[-1][3] > 0, stack[-1][4], stack[-1][5], min(1.0, linked / len(whole)), up[-1][0] in HEADINGS, up[-1][1], up[-2][1] if len(up) > 1 else 0))
             text.clear()
         linked = 0
 
@@ -121,7 +132,10 @@ def blocks(page: str) -> list[Block]:
         whole = name in ("article", "main", "body", "html")
         if whole and name[0] in "am":
             neutral.update(forms)
-        if named and FIRM.search(named) and (not whole or SPOKEN.search(named)) or m[3] and HIDDEN.search(m[3]):
+        doubtful = named and not whole and not inside and outside < 2 and NAMED.search(named) and not OWN.isdisjoint(named.lower().split())
+        if doubtful and not HIDDEN.search(m[3]):
+            outside, back, inside = 0, True, True
+        elif named and FIRM.search(named) and (not whole or SPOKEN.search(named)) or m[3] and HIDDEN.search(m[3]):
             outside = 2
         elif name in OUTSIDE or name == "header" and not inside or named and NAMED.search(named) and not whole:
             outside = outside or 1
@@ -151,42 +165,54 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def costs(b: Block, page_has_main: bool) -> tuple[float, float]:
-    """The cost of calling the block boilerplate, and of calling it content."""
-    content = boilerplate = 0.0
-    if b.outside:
-        boilerplate += MARKED
-    elif b.inside:
-        content += 12
-    elif page_has_main:
-        boilerplate += 8
-    else:  # nothing says what it is
-        content += 0.8
+def text_sign(b: Block) -> float:
+    """What the block's text says for content (above 0) or boilerplate."""
     words = b.text.count(" ") + 1
-    if words >= 12:
-        content += 1.5
-    elif words >= 5:
-        content += 0.5
-    elif not b.inside:
-        boilerplate += 0.7
-    if re.search(r"[.!?…。]['\")»”]*$", b.text):
-        content += 0.7
-    boilerplate += 2.5 * b.linked
-    return content, boilerplate
-
-
-def min_cut(gain: list[float], edges: dict[int, dict[int, float]]) -> list[bool]:
+    length = next(sign for least, sign in WORDS if words >= least)
+    return length + (ENDED if END_MARK.search(b.text) else OPEN) + HEADING * b.heading + LINKED * b.linked
+
+
+def gains(found: list[Block]) -> list[float]:
+    """Of each block the cost of calling it boilerplate less that of calling it content: what text and role say."""
+    signs = [text_sign(b) for b in found]
+    own = [s for b, s in zip(found, signs, strict=True) if b.inside and not b.outside]
+    article = max(ARTICLE, LEVEL - sum(own) / len(own)) if own else 0.0
+    return [s + (MARKED if b.outside else article if b.inside else BESIDE if own else UNKNOWN) for b, s in zip(found, signs, strict=True)]
+
+
+def proximity(found: list[Block]) -> list[dict[int, float]]:
+    """The edges of each block: to its neighbours in page order, and to the blocks before and after it below the same element."""
+    edges: list[dict[int, float]] = [{} for _ in found]
+
+    def join(i: int, j: int, weight: float) -> None:
+        edges[i][j] = edges[j][i] = edges[i].get(j, 0.0) + weight
+
+    last_in: dict[int, int] = {}
+    for i, b in enumerate(found):
+        if i:
+            join(i - 1, i, NEXT)
+        if b.parent in last_in:
+            join(last_in[b.parent], i, SIBLING)
+        elif (g := -1 - b.grand) in last_in:
+            join(last_in[g], i, COUSIN)
+        last_in[b.parent] = last_in[-1 - b.grand] = i
+    return edges
+
+
+def min_cut(gain: list[float], edges: list[dict[int, float]]) -> list[bool]:
     """For each node whether it is on the source's side. gain: capacity from the source, less that to the sink."""
     side: list[bool | None] = [None] * len(gain)
     gain = list(gain)
+    pull = [sum(e.values()) for e in edges]  # of undecided neighbours
     todo = deque(range(len(gain)))
     while todo:
         i = todo.popleft()
-        if side[i] is None and abs(gain[i]) >= sum(w for j, w in edges[i].items() if side[j] is None):
+        if side[i] is None and abs(gain[i]) >= pull[i] - 1e-9:
             side[i] = gain[i] >= 0
             for j, w in edges[i].items():
                 if side[j] is None:
                     gain[j] += w if side[i] else -w
+                    pull[j] -= w
                     todo.append(j)
     left = [i for i, x in enumerate(side) if x is None]
     if not left:
@@ -223,38 +249,19 @@ def min_cut(gain: list[float], edges: dict[int, dict[int, float]]) -> list[bool]
 def main_blocks(page: str) -> list[str]:
     """The texts of the page's content blocks."""
     found = blocks(page)
-    has_main = any(b.inside and not b.outside for b in found)
-    edges: dict[int, dict[int, float]] = {i: {} for i in range(len(found))}
-
-    def join(i: int, j: int, weight: float) -> None:
-        edges[i][j] = edges[j][i] = edges[i].get(j, 0.0) + weight
-
-    last_in: dict[int, int] = {}
-    for i, b in enumerate(found):
-        if i:
-            join(i - 1, i, NEXT)
-        if b.parent in last_in:
-            join(last_in[b.parent], i, SIBLING)
-        elif (g := -1 - b.grand) in last_in:
-            join(last_in[g], i, COUSIN)
-        last_in[b.parent] = last_in[-1 - b.grand] = i
-    gains = []
-    for b in found:
-        content, boilerplate = costs(b, has_main)
-        gains.append(content - boilerplate)
-    return [b.text for b, kept in zip(found, min_cut(gains, edges), strict=True) if kept]
+    return [b.text for b, kept in zip(found, min_cut(gains(found), proximity(found)), strict=True) if kept]
 
 
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """keep, and blocks: the content blocks of each page in page order."""
-    keep = list(keep)
+    keep, source = list(keep), fresh(keep, "page_source")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [main_blocks(x.as_py() or "") for x in batch.column("page_source")]
+        found = [main_blocks(x.as_py() or "") for x in batch.column(source)]
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(found, pa.list_(pa.string()))], [*keep, "blocks"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return map_batches(df.select(*keep, F.col(html).alias("page_source")), run, f"{kinds}, blocks array<string>")
+    return map_batches(df.select(*keep, F.col(html).alias(source)), run, f"{kinds}, blocks array<string>")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
