@@ -350,6 +350,55 @@ def test_media(spark, docs):
         media.samples(media.wav(b"x" * 64)[:-1])
 
 
+def test_media_features_against_brute_force(spark):
+    """Resampling, filterbank, pooling, segments and windows against their definitions, sample by sample."""
+    r = np.random.default_rng(8)
+    quiet, loud = (128 + r.integers(-2, 3, 6000)).astype(np.uint8), r.integers(0, 256, 9000).astype(np.uint8)
+    clips = [bytes(64), b"short text".ljust(64, b"\0"), b"plain words " * 900, quiet.tobytes() + loud.tobytes() + quiet.tobytes()]
+    clips = [c + bytes(-len(c) % 64) for c in clips]
+    df = spark.createDataFrame([(i, bytearray(media.wav(c))) for i, c in enumerate(clips)] * 2, "doc_id long, media binary").withColumn("stored_clip", F.lit(0))
+    got = media.features(df, keep=("doc_id", "stored_clip")).collect()
+    assert len(got) == 2 * len(clips)
+    assert len({(x.doc_id, str(x)) for x in got}) == len(clips)  # equal clips, equal values
+    n = np.arange(media.TAPS * media.DOWN) - (media.TAPS * media.DOWN - 1) / 2
+    low = np.sinc(n / media.DOWN) / media.DOWN * np.hamming(len(n))
+    low /= low.sum()
+    hz = np.arange(media.FRAME // 2 + 1) * media.RATE / media.DOWN / media.FRAME
+    top = 2595 * math.log10(1 + media.RATE / media.DOWN / 2 / 700)
+    edge = [700 * (10 ** (top * i / (media.MELS + 1) / 2595) - 1) for i in range(media.MELS + 2)]
+    bank = np.array([[max(0.0, min((f - edge[m]) / (edge[m + 1] - edge[m]), (edge[m + 2] - f) / (edge[m + 2] - edge[m + 1]))) for m in range(media.MELS)] for f in hz])
+    dft = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME)) / media.FRAME)
+    for x in got[: len(clips)]:
+        wave = (np.frombuffer(clips[x.doc_id], np.uint8).astype(float) - 128) / 128
+        y = np.convolve(wave, low)[media.DOWN - 1 :: media.DOWN][: -(-len(wave) // media.DOWN)]
+        frames = max(1, -(-(len(y) - media.FRAME) // media.HOP) + 1)
+        y = np.concatenate([y, np.zeros((frames - 1) * media.HOP + media.FRAME - len(y))])
+        mel = np.array([np.log(np.abs(dft @ (y[k * media.HOP : k * media.HOP + media.FRAME] * np.hanning(media.FRAME))) ** 2 @ bank + 1e-6) for k in range(frames)])
+        assert x.n_frames == frames
+        windows = media.read_windows(bytes(x.windows))
+        stored = windows.column("log_mel").to_numpy_ndarray()
+        assert stored.shape == (-(-frames // media.WINDOW), media.WINDOW, media.MELS)
+        flat = stored.reshape(-1, media.MELS)
+        assert np.allclose(flat[:frames], mel, atol=0.02) and np.allclose(flat[frames:], media.SILENCE)
+        assert windows.column("start_ms").to_pylist() == [k * media.WINDOW * media.HOP / 8 for k in range(len(stored))]
+        assert windows.column("end_ms")[-1].as_py() == ((frames - 1) * media.HOP + media.FRAME) / 8
+        cut = [k * frames / media.POOLED for k in range(media.POOLED + 1)]
+        spans = [(min(math.floor(a), frames - 1), max(math.ceil(b), min(math.floor(a), frames - 1) + 1)) for a, b in zip(cut, cut[1:], strict=False)]
+        assert np.allclose(np.array(x.log_mel).reshape(media.POOLED, media.MELS), [flat[a:b].mean(axis=0) for a, b in spans], atol=1e-4)
+        level = flat[:frames].mean(axis=1) * 10 / math.log(10)
+        floor, on, segments = sorted(level)[frames // 10], False, []
+        for k, v in enumerate(level):
+            if not on and v >= floor + media.HIGH:
+                on, start = True, k
+            elif on and v < floor + media.LOW:
+                on = False
+                segments.append((start, k - 1))
+        segments += [(start, frames - 1)] if on else []
+        assert list(zip(x.span_start_ms, x.span_end_ms, strict=True)) == [(a * media.HOP / 8, (b * media.HOP + media.FRAME) / 8) for a, b in segments]
+    assert any(len(x.span_start_ms) == 1 for x in got)
+    assert media.features(df.limit(0)).count() == 0
+
+
 def test_resampling_keeps_low_tones():
     t = np.arange(16000) / 16000
     low, high = (np.abs(media.resampled(np.sin(2 * np.pi * hz * t).astype(np.float32))[100:-100]).max() for hz in (500, 7500))

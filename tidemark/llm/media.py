@@ -2,14 +2,16 @@
 
 store() packs a payload into a WAV file of unsigned 8-bit mono samples, which keeps every byte. features() reads the
 stored bytes back: the samples go through a polyphase low-pass filter that halves the rate, overlapped Hann frames
-through a mel filterbank, and frame energies through a two-threshold (hysteresis) detector. log_mel is a tensor of the
-fixed shape POOLED x MELS (mean log-mel of as many equal time spans), flattened; tensor() gives it as an Arrow
-fixed-shape tensor. spans are the detected segments in milliseconds.
+through a mel filterbank, and frame energies through a two-threshold (hysteresis) detector. windows holds every frame: an
+Arrow record batch of the schema WINDOWS with a fixed-shape tensor of WINDOW x MELS log-mels for each WINDOW frames of the
+clip, and its time span; the last one is padded with silence, and its span ends with the clip. log_mel is the mean log-mel
+of POOLED equal time spans, flattened, and spans are the detected segments in milliseconds.
 
 Each clip is computed by itself in blocks of a fixed size, so equal clips have equal values wherever they are.
 
 Defined results: null is an empty payload; an empty payload is padded to UNIT zero bytes; a clip shorter than a frame
-is one zero-padded frame; silence has no segments; bytes that aren't such a file raise an error.
+is one zero-padded frame; silence has no segments; bytes that aren't such a file raise an error; an empty table gives no
+rows; columns that are kept may have any names but those of the features.
 """
 
 from __future__ import annotations
@@ -25,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, table
+from tidemark.llm.common import fresh, map_batches, table
 
 UNIT = 64
 RATE, DOWN, TAPS = 16_000, 2, 16
-FRAME, HOP, MELS, POOLED = 256, 128, 24, 8
+FRAME, HOP, MELS, POOLED, WINDOW = 256, 128, 24, 8, 64
+#: What a log-mel is in silence.
+SILENCE = np.log(np.float32(1e-6))
+#: The columns of windows.
+WINDOWS = pa.schema([("start_ms", pa.float64()), ("end_ms", pa.float64()), ("log_mel", pa.fixed_shape_tensor(pa.float32(), [WINDOW, MELS], dim_names=["frame", "mel"]))])
 #: Hysteresis in dB over a clip's quietest tenth of frames: a segment starts above HIGH and lasts while above LOW.
 HIGH, LOW = 9.0, 4.0
 BLOCK = 4096
@@ -118,6 +124,23 @@ def pooled(mel: np.ndarray) -> np.ndarray:
     return ((sums[last] - sums[first]) / (last - first)[:, None]).astype(np.float32)
 
 
+def in_windows(mel: np.ndarray) -> bytes:
+    """Frames x MELS as a serialised record batch of WINDOWS."""
+    n = -(-len(mel) // WINDOW)
+    whole = np.full((n * WINDOW, MELS), SILENCE, np.float32)
+    whole[: len(mel)] = mel
+    tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(whole.reshape(n, WINDOW, MELS), dim_names=["frame", "mel"])
+    ms = 1000 * DOWN / RATE
+    first = np.arange(n) * WINDOW
+    last = np.minimum(first + WINDOW, len(mel)) - 1
+    return pa.RecordBatch.from_arrays([pa.array(first * HOP * ms), pa.array((last * HOP + FRAME) * ms), tensors], schema=WINDOWS).serialize().to_pybytes()
+
+
+def read_windows(stored: bytes) -> pa.RecordBatch:
+    """What in_windows() makes, as a record batch."""
+    return pa.ipc.read_record_batch(pa.py_buffer(stored), WINDOWS)
+
+
 def describe(stored: bytes) -> tuple:
     """All features of one stored clip."""
     payload = samples(stored)
@@ -128,36 +151,29 @@ def describe(stored: bytes) -> tuple:
     found = segments(level)
     ms = 1000 * DOWN / RATE
     spans = (found * [HOP, HOP] + [0, FRAME]) * ms
-    return payload, len(mel), pooled(mel).ravel(), spans[:, 0], spans[:, 1], float(level.mean()), float(level.max())
+    return payload, len(mel), pooled(mel).ravel(), spans[:, 0], spans[:, 1], float(level.mean()), float(level.max()), in_windows(mel)
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, log_mel array<float>, span_start_ms array<double>, span_end_ms array<double>, level_mean double, level_max double"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, log_mel array<float>, span_start_ms array<double>, span_end_ms array<double>, level_mean double, level_max double, windows binary"
 
 
 def features(df: DataFrame, media: str = "media", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """keep, and what FEATURES names, of each stored clip read back from its bytes."""
-    keep = list(keep)
+    keep, source = list(keep), fresh(keep, "stored_clip")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for clip in batch.column("stored_clip"):
+        for clip in batch.column(source):
             stored = clip.as_py()
-            payload, n, mel, start, end, mean, most = describe(stored)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), n, mel, start, end, mean, most))
+            payload, n, mel, start, end, mean, most, windows = describe(stored)
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), n, mel, start, end, mean, most, windows))
         names = [x.split()[0] for x in FEATURES.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.binary()]
         made = [pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *made], [*keep, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return map_batches(df.select(*keep, F.col(media).alias("stored_clip")), run, f"{kinds}, {FEATURES}")
-
-
-def tensor(column: pa.Array) -> pa.Array:
-    """A log_mel column as an Arrow fixed-shape tensor of POOLED x MELS."""
-    kind = pa.fixed_shape_tensor(pa.float32(), [POOLED, MELS], dim_names=["span", "mel"])
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat.flatten(), POOLED * MELS))
+    return map_batches(df.select(*keep, F.col(media).alias(source)), run, f"{kinds}, {FEATURES}")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,5 +183,5 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = features(store(docs, "payload", ("doc_id", "n_bytes")), keep=("doc_id", "n_bytes"))
     # rounded so that the text shows the values; the digest covers them all
     digest = F.sha2(F.array_join(F.transform("log_mel", lambda x: F.format_string("%.4f", x)), ","), 256)
-    feature = F.concat_ws(";", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("segments="), F.size("span_start_ms")), F.concat(F.lit("level_mean="), F.format_string("%.4f", "level_mean")), F.concat(F.lit("level_max="), F.format_string("%.4f", "level_max")), F.concat(F.lit("log_mel="), digest))
+    feature = F.concat_ws(";", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("windows_bytes="), F.octet_length("windows")), F.concat(F.lit("segments="), F.size("span_start_ms")), F.concat(F.lit("level_mean="), F.format_string("%.4f", "level_mean")), F.concat(F.lit("level_max="), F.format_string("%.4f", "level_max")), F.concat(F.lit("log_mel="), digest))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
