@@ -432,34 +432,19 @@ def test_deobfuscation():
         assert toxicity.decode(written, model) == meant
 
 
-def test_lines(docs):
+def without_shared_lines(rows):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
-    rows = [(lines.SMALLEST if r.doc_id is None else r.doc_id, r.text or "") for r in docs.collect()]
     holders = defaultdict(set)
     for i, t in rows:
         for x in t.split("\n"):
             if len(key(x)) >= 20:
                 holders[key(x)].add(i)
-    want = sorted((i, "\n".join(x for x in t.split("\n") if len(holders[key(x)]) < 3 or i == max(holders[key(x)]))) for i, t in rows)
+    return [(i, "\n".join(x for x in t.split("\n") if len(holders[key(x)]) < 3 or i == max(holders[key(x)]))) for i, t in rows]
+
+
+def test_lines(docs):
+    rows = [(lines.SMALLEST if r.doc_id is None else r.doc_id, r.text or "") for r in docs.collect()]
+    want = sorted(without_shared_lines(rows))
     got = lines.with_bitmaps(docs.select("doc_id", "text")).collect()
     assert sorted((lines.SMALLEST if r.doc_id is None else r.doc_id, lines.kept_text((r.text or "").encode(), r.keep).decode()) for r in got) == want
     assert lines.with_bitmaps(docs.select("doc_id", "text").limit(0)).count() == 0
-
-
-def test_pipeline_stages(spark, docs, tmp_path):
-    """Each stage keeps what it has no reason to drop, and its columns."""
-    import corpus_pipeline as P
-
-    clean = docs.drop("class").filter("doc_id IS NOT NULL")
-    spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    columns = clean.columns
-    stages = dict(P.STAGES)
-    assert stages["toxicity"](spark, clean, str(tmp_path)).count() == clean.count()
-    cut = stages["lines"](spark, clean, str(tmp_path))
-    assert cut.columns == columns and cut.count() == clean.count() and cut.filter("text IS NOT NULL AND n_chars <> length(text)").count() == 0
-    one = stages["neardup"](spark, clean, str(tmp_path))
-    names = {c for _, _, c in components([(r.doc_id, r.text) for r in clean.collect()], 5, 4, 5)}
-    empty = {r.doc_id for r in clean.collect() if not words(r.text)}
-    assert one.columns == columns and sorted(r.doc_id for r in one.collect()) == sorted(names | empty)
-    assert stages["mixing"](spark, one, str(tmp_path)).columns == columns
-    assert stages["bpe"](spark, one, str(tmp_path)).count() == one.count()
