@@ -1,6 +1,8 @@
 import hashlib
 import hmac
 import json
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -16,8 +18,23 @@ def test_text(spark):
         spark, text.search_text(F.lit("  Ação & Cia. S/A Nº 5 ")).alias("s"), text.without_documents(F.lit("JOAO ***456789** SILVA 123.456.789-09")).alias("d"), text.without_documents(F.lit("LOJA 123456789012")).alias("long"),
         text.address_text(F.lit("  Av. João  Pinheiro ")).alias("a"), text.address_number(F.lit("00042")).alias("n"), text.address_number(F.lit("s/n")).alias("sn"), text.address_postal_code(F.lit("38.400-130")).alias("p"), text.address_postal_code(F.lit(None).cast("string")).alias("none"),
     )
-    assert row.asDict() == {"s": "acao cia s a no 5", "d": "JOAO SILVA", "long": "LOJA 123456789012", "a": "AV JOAO PINHEIRO", "n": "42", "sn": "", "p": "38400130", "none": ""} or row.s in ("acao cia s a nº 5",)
-    assert (row.d, row.long, row.a, row.n, row.sn, row.p, row.none) == ("JOAO SILVA", "LOJA 123456789012", "AV JOAO PINHEIRO", "42", "", "38400130", "")
+    assert row.asDict() == {"s": "acao cia s a no 5", "d": "JOAO SILVA", "long": "LOJA 123456789012", "a": "AV JOAO PINHEIRO", "n": "42", "sn": "", "p": "38400130", "none": ""}
+
+
+def test_whole_code_page(spark):
+    """Every character of the source's code page as Unicode's decomposition says, within a word and alone."""
+    def plain(x):
+        return "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+
+    def search(x):
+        return " ".join("".join(c.lower() if c.isalnum() else " " for c in plain(x)).split())
+
+    def address(x):
+        return " ".join(re.sub("[^A-Z0-9]+", " ", plain(x.strip().upper())).split())
+
+    texts = [w for c in text.CODE_PAGE for w in (c, f"1{c}", f"a{c}b", f"RUA {c}{c} 7")]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.search_text(F.col("t")).alias("s"), text.address_text(F.col("t")).alias("a")).collect()
+    assert [(r.t, r.s, r.a) for r in rows] == [(t, search(t), address(t)) for t in texts]
 
 
 def test_source_fields(spark):

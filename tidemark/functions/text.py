@@ -1,24 +1,44 @@
 """Text normalisation and parsing as Column expressions; none leaves the JVM.
 
-Null in gives null out unless said otherwise. Bad dates, decimals and flags give null and are counted by the checks in
-operators.quality, instead of failing a task.
+Null in gives null out unless said otherwise. Bad dates, decimals and flags give null, so that no task fails; bad_flag(),
+bad_date() and bad_money() say which they are, and the snapshot build's gate (operators.cohort) refuses them.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks, and the letters that they are without them.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 #: What stands for "no number" in addresses, after normalisation.
 NO_NUMBER = ("", "0", "SN", "S N", "SEM NUMERO", "SNUMERO")
+#: A masked and a full personal document number.
+MASKED_DOCUMENT = r"\*{3}[0-9]{6}\*{2}"
+FULL_DOCUMENT = r"(?<![0-9])[0-9]{3}\.?[0-9]{3}\.?[0-9]{3}-?[0-9]{2}(?![0-9])"
+
+
+def _decomposed(c: str) -> str:
+    """Compatibility decomposition without combining marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+#: Characters of the source's code page, and of Unicode's Latin, Greek and Cyrillic blocks and number forms.
+CODE_PAGE = bytes(range(0x20, 0x100)).decode("cp1252", errors="replace")
+_KNOWN = sorted({*CODE_PAGE, *map(chr, [*range(0xA0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000), *range(0x2070, 0x20A0), *range(0x2100, 0x2190), *range(0x2460, 0x2474)])})
+_SINGLE = {c: d for c in _KNOWN if len(d := _decomposed(c)) == 1 and d != c}
+#: Those of the code page that become several characters.
+_SEVERAL = {c: d for c in sorted(set(CODE_PAGE)) if len(d := _decomposed(c)) > 1}
 
 
 def without_accents(c: Column) -> Column:
-    """Latin letters without their marks; combining marks that stand alone go."""
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}+", "")
+    """Letters without their marks, ordinal signs, superscripts and fractions as the characters they stand for; combining marks that stand alone go.
+
+    Exact for the source's whole code page; elsewhere for what one character replaces."""
+    out = F.translate(c, "".join(_SINGLE), "".join(_SINGLE.values()))
+    for one, several in _SEVERAL.items():
+        out = F.replace(out, F.lit(one), F.lit(several))
+    return F.regexp_replace(out, r"\p{M}+", "")
 
 
 def search_text(c: Column) -> Column:
@@ -28,16 +48,14 @@ def search_text(c: Column) -> Column:
 
 def without_documents(c: Column) -> Column:
     """Masked (***dddddd**) and 11-digit personal document numbers removed, runs of white space one blank, ` ./-` stripped."""
-    masked = F.regexp_replace(c, r"\*{3}[0-9]{6}\*{2}", "")
-    full = F.regexp_replace(masked, r"(?<!\d)\d{3}\.?\d{3}\.?\d{3}-?\d{2}(?!\d)", "")
+    full = F.regexp_replace(F.regexp_replace(c, MASKED_DOCUMENT, ""), FULL_DOCUMENT, "")
     return F.btrim(F.regexp_replace(full, r"\s{2,}", " "), F.lit(" ./-"))
 
 
 def holds_document(c: Column, opaque: bool = False) -> Column:
     """Whether a value shows a personal document number; opaque keys are only looked at for masked ones. Null shows none."""
-    masked = c.rlike(r"\*{3}[0-9]{6}\*{2}")
-    found = masked if opaque else masked | c.rlike(r"(?<!\d)\d{3}\.?\d{3}\.?\d{3}-?\d{2}(?!\d)")
-    return F.coalesce(found, F.lit(False))
+    masked = c.rlike(MASKED_DOCUMENT)
+    return F.coalesce(masked if opaque else masked | c.rlike(FULL_DOCUMENT), F.lit(False))
 
 
 def text(c: Column) -> Column:
@@ -88,8 +106,8 @@ def partner_type(c: Column) -> Column:
 
 
 def address_text(c: Column) -> Column:
-    """Upper case without marks, everything but A-Z and 0-9 one blank; null is empty."""
-    return F.trim(F.regexp_replace(F.upper(without_accents(text(c))), "[^A-Z0-9]+", " "))
+    """Upper case, then without marks, then everything but A-Z and 0-9 one blank (so ordinal signs, which have no upper case, go); null is empty."""
+    return F.trim(F.regexp_replace(without_accents(F.upper(text(c))), "[^A-Z0-9]+", " "))
 
 
 def address_number(c: Column) -> Column:

@@ -1,5 +1,8 @@
 """Queries on normalisation, cohort, contracts and keys."""
 
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids, keys, show, text
@@ -17,6 +20,24 @@ def normalize_search_text(spark, d):
     return A.table(spark, d, "documents").select("doc_id", text.search_text(F.col("text")).alias("search"))
 
 
+def _forms(c: str) -> tuple[str, str]:
+    """What Unicode says that search and address text make of c within a word."""
+    plain = lambda x: "".join(y for y in unicodedata.normalize("NFKD", x) if not unicodedata.combining(y))
+    searched = "".join(y.lower() if y.isalnum() else " " for y in plain(f"n{c}1"))
+    return " ".join(searched.split()), " ".join(re.sub("[^A-Z0-9]+", " ", plain(f"N{c}1".upper())).split())
+
+
+_PAGE = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(map(_forms, text.CODE_PAGE)))
+
+
+@query("normalize_code_page", f"SELECT c_custkey, searched || ' ' || trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS searched, addressed || ' ' || trim(regexp_replace(upper(c_name), '[^A-Z0-9]+', ' ', 'g')) AS addressed FROM customer JOIN (VALUES {_PAGE}) p(i, searched, addressed) ON c_custkey % {len(text.CODE_PAGE)} = i")
+def normalize_code_page(spark, d):
+    """Names behind a word with each of the source code page's characters."""
+    c = F.element_at(F.array(*map(F.lit, text.CODE_PAGE)), (F.col("c_custkey") % len(text.CODE_PAGE) + 1).cast("int"))
+    name = F.concat(F.lit("N"), c, F.lit("1 "), "c_name")
+    return A.table(spark, d, "customer").select("c_custkey", text.search_text(name).alias("searched"), text.address_text(name).alias("addressed"))
+
+
 _DOCS = "c_name || CASE c_custkey % 4 WHEN 0 THEN ' 123.456.789-09' WHEN 1 THEN ' ***456789**' WHEN 2 THEN ' 12345678909  LTDA ./-' ELSE ' ME' END"
 
 
@@ -244,9 +265,9 @@ def opening_range(spark, d):
     return A.establishments(spark, d).groupBy("competence").agg(F.count(F.lit(1)).alias("n")).select("competence", first.alias("first_day"), last.alias("last_day"), "n")
 
 
-@query("month_spine", A.sql("SELECT competence, count(od) AS orders FROM months LEFT JOIN (SELECT CAST(date_trunc('month', od) AS DATE) AS competence, od FROM o WHERE o_orderkey % 50 = 0) USING (competence) GROUP BY 1"))
+@query("month_spine", A.sql("SELECT competence, count(od) AS orders FROM months LEFT JOIN (SELECT CAST(date_trunc('month', od) AS DATE) AS competence, od FROM o) USING (competence) GROUP BY 1"))
 def month_spine(spark, d):
-    some = A.orders(spark, d).filter("o_orderkey % 50 = 0").select(F.trunc("od", "month").alias("competence"), "od")
+    some = A.orders(spark, d).select(F.trunc("od", "month").alias("competence"), "od")
     return A.months(spark).join(some, "competence", "left").groupBy("competence").agg(F.count("od").alias("orders"))
 
 
