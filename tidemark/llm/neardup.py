@@ -12,7 +12,7 @@ probability under MISS at DEPTH.
 Components of these links are regions. A region's classes are dealt into blocks in the order of the first tree's labels,
 so that neighbours with long common prefixes share a block. First each block's full sets meet each other and those of a
 few representatives of the region; pairs that links connect already are not compared. Then only classes outside a
-region's largest component so far meet the rest of their region, wide block by wide block. So no link between different
+region's largest component so far meet the rest of their region, in wide blocks dealt by hash. So no link between different
 texts is lost once its region is found, a group of near copies costs about its own size, and no group is ever whole in
 one task. The components of confirmed links, by their least document id, are the result.
 
@@ -31,9 +31,8 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tidemark.llm.common import chunks, map_batches, release, settle, table, utf8, with_key
+from tidemark.llm.common import chunks, map_batches, settle, table, utf8, with_key
 from tidemark.llm.graph import connected
 from tidemark.llm.substrings import Spans, word_hashes
 
@@ -41,8 +40,8 @@ SHINGLE, SIMILAR = 5, 0.8
 SIGNS, DEPTH, LONGEST, MISS = 128, 3, 5, 1e-6
 #: Classes that two shared min-hashes may bring together; classes of a stretch compared by signature, and held by a task.
 CROWD, STRETCH, HELD = 256, 2048, 32_768
-#: Classes of a block and of a wide block, and a region's representatives.
-BLOCK, WIDE, PIVOTS = 64, 256, 4
+#: Classes of a block and of a wide block, and about how many representatives a region has.
+BLOCK, WIDE, PIVOTS = 64, 256, 16
 _SPREAD = np.random.default_rng(7).integers(1, 1 << 63, SIGNS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -270,28 +269,23 @@ def confirm(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, similar:
     return out
 
 
-def dealt(members: DataFrame, *sizes: int) -> DataFrame:
-    """members (region, label, class and more) with the numbers of their blocks: block_0, block_1 and so on, of so many neighbours by label."""
+def dealt(members: DataFrame) -> DataFrame:
+    """members (region, label, class and more) with block: the number of a block of up to BLOCK neighbours by label."""
     order = ["region", "label", "class"]
-    names = [f"block_{i}" for i in range(len(sizes))]
 
     def run(batches):
-        number, held = TaskContext.get().partitionId() << 32, [0] * len(sizes)
-        at, region = [number] * len(sizes), None
+        number, held, region = TaskContext.get().partitionId() << 32, 0, None
         for b in batches:
             out = []
             for r in b.column("region").to_pylist():
-                for i, size in enumerate(sizes):
-                    if r != region or held[i] == size:
-                        at[i], held[i] = at[i] + 1, 0
-                    held[i] += 1
-                region = r
-                out.append(tuple(at))
-            made = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(sizes)
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *names])
+                if r != region or held == BLOCK:
+                    number, held, region = number + 1, 0, r
+                held += 1
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "block"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema)
-    return members.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, ", ".join([kinds, *(f"{n} long" for n in names)]))
+    return members.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"{kinds}, block long")
 
 
 def linked(rows: DataFrame, group: list[str], similar: tuple[int, int]) -> DataFrame:
@@ -322,43 +316,45 @@ def linked(rows: DataFrame, group: list[str], similar: tuple[int, int]) -> DataF
 
 def confirmed(docs: DataFrame, members: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
     """node and root of the classes that confirmed links connect. members: class, row_key (of a text), region, label."""
+    blocks = settle(dealt(members))
+    kept = ["class", "region", "block"]
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [x.tobytes() for x in shingle_sets(utf8(batch.column("text")), shingle)]
         return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(found, pa.binary())], [*kept, "shingles"])
 
-    blocks = settle(dealt(members, BLOCK, WIDE))
-    kept = ["class", "region", "block_0", "block_1"]
     # members grow with the documents, so this is a shuffle at every size, and never a broadcast that only small inputs allow
     texts = docs.select("row_key", "text").join(blocks.select("row_key", *kept).hint("merge"), "row_key").select(*kept, "text")
-    held = settle(map_batches(texts, sets, "class long, region long, block_0 long, block_1 long, shingles binary"))
+    held = settle(map_batches(texts, sets, "class long, region long, block long, shingles binary"))
 
     # each block in itself and with its region's representatives
-    several = blocks.select("region", "block_0").distinct().withColumn("n", F.count(F.lit(1)).over(W.partitionBy("region"))).filter("n > 1").select("region", "block_0")
-    place = F.row_number().over(W.partitionBy("region").orderBy(F.xxhash64("class"), "class"))
-    pivots = blocks.select("region", "class").withColumn("place", place).filter(F.col("place") <= PIVOTS).select("class")
-    sent = held.join(pivots, "class", "left_semi").select("region", "class", "shingles").join(several, "region")
-    rows = held.select("block_0", "class", "shingles").unionByName(sent.select("block_0", "class", "shingles"))
-    near = connected(linked(rows.select("block_0", "class", F.lit(True).alias("left"), F.col("class").alias("part"), "shingles"), ["block_0"], similar))
-
-    # what isn't in the region's largest component meets the rest of it
-    placed = blocks.select("class", "region", "label", "block_1").join(several.select("region").distinct(), "region", "left_semi")
-    placed = placed.join(near.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "region", "label", "block_1", F.coalesce("root", "class").alias("part"))
-    sizes = placed.groupBy("region", "part").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("region").agg(F.max(F.struct("n", "part"))["part"].alias("largest"))
-    placed = settle(placed.join(largest, "region").select("class", "region", "label", "block_1", "part", (F.col("part") != F.col("largest")).alias("open")))
-    apart = placed.filter("open")
-    if apart.isEmpty():
+    several = blocks.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("block").alias("b")).filter("b > 1").select("region", "n")
+    chosen = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / PIVOTS)) == 0
+    pivots = held.select("class", "region", "shingles").join(several, "region").filter(chosen).select("class", "region", "shingles")
+    sent = pivots.join(blocks.select("region", "block").distinct(), "region").select("block", "class", "shingles")
+    rows = held.select("block", "class", "shingles").unionByName(sent)
+    near = connected(linked(rows.select("block", "class", F.lit(True).alias("left"), F.col("class").alias("part"), "shingles"), ["block"], similar))
+
+    # what isn't in the region's largest component meets the rest of it: sides of the one by wide blocks of the other
+    placed = blocks.select("class", "region").join(several, "region").join(near.select(F.col("node").alias("class"), "root"), "class", "left")
+    placed = placed.select("class", "region", "n", F.coalesce("root", "class").alias("part"))
+    sizes = placed.groupBy("region", "n", "part").agg(F.count(F.lit(1)).alias("own"))
+    largest = sizes.groupBy("region", "n").agg(F.max(F.struct("own", "part")).alias("top")).filter("top.own < n")
+    parts = lambda n: F.ceil(n / WIDE).cast("int")
+    largest = largest.select("region", F.col("top.part").alias("largest"), parts(F.col("n") - F.col("top.own")).alias("sides"), parts(F.col("n")).alias("blocks"))
+    placed = settle(placed.join(largest, "region").select("class", "region", "part", "sides", "blocks", (F.col("part") != F.col("largest")).alias("open")))
+    if placed.isEmpty():
         return near
-    apart = settle(dealt(apart.select("region", "label", "class", "part"), WIDE).withColumnRenamed("block_0", "side"))
-    meeting = apart.select("region", "side").distinct().join(placed.select("region", "block_1").distinct(), "region").select("side", "block_1")
-    shingles = held.select("class", "shingles")
-    one = apart.join(shingles, "class").join(meeting, "side").select("side", "block_1", "class", F.lit(True).alias("left"), "part", "shingles")
-    other = placed.select("block_1", "class", "part").join(shingles, "class").join(meeting, "block_1").select("side", "block_1", "class", F.lit(False).alias("left"), "part", "shingles")
-    far = connected(linked(one.unionByName(other), ["side", "block_1"], similar))
+    own = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    met = placed.join(held.select("class", "shingles"), "class")
+    one = met.filter("open").withColumn("side", own("sides")).withColumn("block", every("blocks"))
+    other = met.withColumn("block", own("blocks")).withColumn("side", every("sides"))
+    both = one.withColumn("left", F.lit(True)).unionByName(other.withColumn("left", F.lit(False))).select("region", "side", "block", "class", "left", "part", "shingles")
+    far = connected(linked(both, ["region", "side", "block"], similar))
     # far is on parts, each named by a class
-    parts = placed.select("class", "part").unionByName(near.select(F.col("node").alias("class"), F.col("root").alias("part"))).distinct()
-    return parts.join(far.select(F.col("node").alias("part"), F.col("root").alias("onward")), "part", "left").select(F.col("class").alias("node"), F.coalesce("onward", "part").alias("root"))
+    named = placed.select("class", "part").unionByName(near.select(F.col("node").alias("class"), F.col("root").alias("part"))).distinct()
+    return named.join(far.select(F.col("node").alias("part"), F.col("root").alias("onward")), "part", "left").select(F.col("class").alias("node"), F.coalesce("onward", "part").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = (4, 5)) -> DataFrame:
