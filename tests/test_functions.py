@@ -74,3 +74,9 @@ def test_show(spark):
 def test_warning_parts(spark):
     row = one(spark, *[c.alias(n) for n, c in show.warning_parts(F.lit("SOURCE_ZERO_DATE:partners.entry_date:17")).items()])
     assert tuple(row) == ("SOURCE_ZERO_DATE", "partners.entry_date", 17, "PARTICIPATION")
+
+
+def test_any_event_as_text(spark):
+    payload = F.lit('{"street_name":"NORTH","mei_optant":true,"odd_field":false,"empty":"","none":null,"n":12}')
+    row = one(spark, show.event_value(F.lit("SOMETHING_NEW"), payload, True).alias("v"), show.event_value(F.lit("X"), F.lit("{}"), True).alias("none"), show.event_label(F.lit("SOMETHING_NEW_HERE"), payload, payload).alias("l"))
+    assert tuple(row) == ("Logradouro: NORTH · Situação: Sim · Odd field: Não · N: 12", "Sem informação", "Something new here")

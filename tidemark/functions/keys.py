@@ -64,14 +64,17 @@ def address_fingerprint(ibge: Column, postal: Column, street: Column, number: Co
     return F.sha2(F.concat_ws(UNIT, ibge, postal, street, number), 256)
 
 
-def set_hash(df: DataFrame, value: Column, buckets: int = 64) -> DataFrame:
-    """One row, n and set_hash, of the distinct values of df in order-free form: sorted values hashed by bucket, then the buckets.
-
-    A bucket is chosen by the first two hex digits of a value's hash, so none grows beyond its share, and only one line
-    for each bucket meets in the end."""
-    rows = df.select(value.alias("value")).distinct().withColumn("digest", F.sha2(F.col("value"), 256)).withColumn("bucket", F.conv(F.substring("digest", 1, 2), 16, 10).cast("int") % buckets)
-    per = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ""), 256).alias("hash"))
-    return per.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "hash"))), lambda x: x["hash"]), ""), 256).alias("set_hash"))
+def digest_sums(digest: Column) -> Column:
+    """An aggregate of hex SHA-256 digests in any order and in fixed space: the exact sums of their four 64-bit words, as text."""
+    word = lambda i: F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")
+    return F.concat_ws(":", *[F.coalesce(F.sum(word(i)), F.lit(0)).cast("decimal(38,0)").cast("string") for i in range(4)])
+
+
+def set_hash(df: DataFrame, value: Column) -> DataFrame:
+    """One row, n and set_hash, of the distinct values of df in order-free form: of their number and digest_sums()."""
+    rows = df.select(value.alias("value")).distinct().select(F.sha2("value", 256).alias("digest"))
+    summed = rows.agg(F.count(F.lit(1)).alias("n"), digest_sums(F.col("digest")).alias("sums"))
+    return summed.select("n", F.sha2(F.concat_ws(":", "n", "sums"), 256).alias("set_hash"))
 
 
 def scope_hash(df: DataFrame, *columns: str) -> DataFrame:

@@ -26,6 +26,33 @@ EVENTS = {
     "SHARE_CAPITAL_CHANGED": "Alteração de capital social",
     "SIMPLES_STATUS_CHANGED": "Mudança no Simples Nacional",
 }
+FIELDS = {
+    "address_complement": "Complemento",
+    "company_size_code": "Porte",
+    "country_code": "País",
+    "display_name": "Sócio",
+    "entry_date": "Entrada",
+    "legal_nature_code": "Natureza jurídica",
+    "main_cnae_code": "CNAE principal",
+    "mei_exclusion_date": "Exclusão",
+    "mei_optant": "Situação",
+    "mei_option_date": "Opção",
+    "municipality_ibge_code": "Município IBGE",
+    "neighborhood": "Bairro",
+    "partner_cnpj_basic": "CNPJ básico do sócio",
+    "partner_type": "Tipo",
+    "postal_code": "CEP",
+    "qualification_code": "Qualificação",
+    "registration_status_code": "Situação cadastral",
+    "share_capital": "Capital social",
+    "simples_exclusion_date": "Exclusão",
+    "simples_optant": "Situação",
+    "simples_option_date": "Opção",
+    "state_code": "UF",
+    "street_name": "Logradouro",
+    "street_number": "Número",
+    "street_type": "Tipo de logradouro",
+}
 STATUSES = {"01": "Nula", "02": "Ativa", "03": "Suspensa", "04": "Inapta", "08": "Baixada"}
 SIZES = {"00": "Não informado", "01": "Microempresa", "03": "Empresa de pequeno porte", "05": "Demais"}
 BRANCHES = {"1": "Matriz", "2": "Filial"}
@@ -106,10 +133,16 @@ def capital(payload: Column) -> Column:
     return F.get_json_object(payload, "$.share_capital").try_cast("decimal(18,2)")
 
 
+def capitalised(code: Column) -> Column:
+    """A code as words: underscores are blanks, the first letter upper case, all others lower case."""
+    words = F.replace(code, F.lit("_"), F.lit(" "))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substring(words, F.lit(2), F.length(words))))
+
+
 def event_label(event: Column, before: Column, after: Column) -> Column:
     """A change of capital is an increase or a reduction where both amounts are known."""
     up, down = capital(after) > capital(before), capital(after) < capital(before)
-    plain = label(event, EVENTS, F.initcap(F.replace(event, F.lit("_"), F.lit(" "))))
+    plain = label(event, EVENTS, capitalised(event))
     return F.when((event == "SHARE_CAPITAL_CHANGED") & up, "Aumento de capital social").when((event == "SHARE_CAPITAL_CHANGED") & down, "Redução de capital social").otherwise(plain)
 
 
@@ -117,6 +150,21 @@ def _day(c: Column) -> Column:
     return F.coalesce(F.date_format(c.try_cast("date"), "dd/MM/yyyy"), c)
 
 
+def mapping(payload: Column) -> Column:
+    """Any JSON object as text: its fields in order with their labels, booleans as Sim and Não, empty and null ones left out."""
+    keys = F.filter(F.json_object_keys(payload), lambda k: F.coalesce(_scalar(payload, k), F.lit("")) != "")
+    shown = F.transform(keys, lambda k: F.concat(label(k, FIELDS, capitalised(k)), F.lit(": "), _scalar(payload, k)))
+    return F.coalesce(F.nullif(F.array_join(shown, " · "), F.lit("")), F.lit("Sem informação"))
+
+
+def _scalar(payload: Column, key: Column) -> Column:
+    value = F.try_element_at(F.from_json(payload, "map<string,string>"), key)
+    return F.when(value == "true", "Sim").when(value == "false", "Não").otherwise(value)
+
+
+# The texts below are fixed values too: what each type of event shows.
+
+
 def event_value(event: Column, payload: Column, before: bool) -> Column:
     """An event's value before or after as text, by the event's type."""
     at = lambda key: F.nullif(F.get_json_object(payload, f"$.{key}"), F.lit(""))
@@ -145,7 +193,7 @@ def event_value(event: Column, payload: Column, before: bool) -> Column:
         .when(event == "SIMPLES_STATUS_CHANGED", tax("simples"))
         .when(event == "MEI_STATUS_CHANGED", tax("mei"))
         .when(event == "PARTNER_QUALIFICATION_CHANGED", F.coalesce(prefixed("Qualificação ", "qualification_code"), F.lit("Não informada")))
-        .otherwise("Sem informação")
+        .otherwise(mapping(payload))
     )
 
 

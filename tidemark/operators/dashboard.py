@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import ids, text
+from tidemark.functions.show import capital
 from tidemark.operators.pages import page
 
 #: Metric families.
@@ -48,6 +49,11 @@ def eligible_events(events: DataFrame, regional: DataFrame, first: date, last: d
     return span.filter("entity_type = 'ESTABLISHMENT'").join(own, "cnpj", "left_semi").select(span.columns).unionByName(span.filter("entity_type <> 'ESTABLISHMENT'").join(roots, "cnpj_basic", "left_semi").select(span.columns))
 
 
+def of_headquarters(events: DataFrame, regional: DataFrame) -> DataFrame:
+    """Events of companies whose headquarters is among the region's establishments: the narrower scope of capital changes."""
+    return events.join(regional.filter("branch_type = '1'").select("cnpj_basic").distinct(), "cnpj_basic", "left_semi").select(events.columns)
+
+
 def counts_by_type(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("total"))
 
@@ -75,13 +81,15 @@ def cnae_growth(regional: DataFrame, first: date, last: date, top: int = 5) -> D
     return both.withColumn("place", F.row_number().over(W.partitionBy("direction").orderBy(F.desc(F.abs("delta")), "cnae_code"))).select("direction", "place", "cnae_code", "start", "end", "delta")
 
 
-def capital_growth(events: DataFrame, names: DataFrame, number: int = 1, size: int = 3) -> DataFrame:
-    """A page of the companies whose capital grew: from the first readable change's earlier amount to the last one's later."""
-    from tidemark.functions.show import capital
-
+def grown_capital(events: DataFrame) -> DataFrame:
+    """cnpj_basic, previous, current and delta of companies whose capital grew from the first readable change's earlier amount to the last one's later."""
     rows = events.filter("event_type = 'SHARE_CAPITAL_CHANGED'").select("cnpj_basic", "to_month", capital(F.col("previous_value")).alias("a"), capital(F.col("new_value")).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    grown = rows.groupBy("cnpj_basic").agg(F.min_by("a", "to_month").alias("previous"), F.max_by("b", "to_month").alias("current")).withColumn("delta", F.col("current") - F.col("previous")).filter("delta > 0")
-    return named(page(grown, [F.desc("delta"), F.col("cnpj_basic")], number, size), names)
+    return rows.groupBy("cnpj_basic").agg(F.min_by("a", "to_month").alias("previous"), F.max_by("b", "to_month").alias("current")).withColumn("delta", F.col("current") - F.col("previous")).filter("delta > 0")
+
+
+def capital_growth(events: DataFrame, names: DataFrame, number: int = 1, size: int = 3) -> DataFrame:
+    """A page of grown_capital(), the largest growth first, with names."""
+    return named(page(grown_capital(events), [("delta", True), ("cnpj_basic", False)], number, size), names)
 
 
 def named(rows: DataFrame, names: DataFrame) -> DataFrame:

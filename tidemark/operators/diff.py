@@ -1,8 +1,9 @@
 """Snapshots of consecutive months into typed change events, for all month pairs of a window in one job.
 
-Both sides of a pair meet in one full outer join on identity and month, and only rows whose content hash differs are
-looked at further. A changed row becomes an array of the events whose condition holds, exploded once. A row's absence
-never is a closure; it is a quality issue. The first month has no predecessor, so it gives no events.
+Content hashes come first: identity, month and hash of every row are shuffled once, and a row's neighbours in time say
+where content differs or a side is missing. Whole rows are fetched for these keys only, by a join that few keys make a
+broadcast and many a filtered shuffle. A changed row becomes an array of the events whose condition holds, exploded once.
+A row's absence never is a closure; it is a quality issue. The first month has no predecessor, so it gives no events.
 
 Events: to_month, event_type, entity_type, dimension, entity_key, cnpj_basic, cnpj, previous_value, new_value (JSON) and
 effective_date. Issues: to_month, rule_code, entity_type and entity_key.
@@ -27,18 +28,35 @@ def month_pairs(months: DataFrame) -> DataFrame:
     return months.select("competence").distinct().select(F.lag("competence").over(W.orderBy("competence")).alias("from_month"), F.col("competence").alias("to_month")).filter("from_month IS NOT NULL")
 
 
-def paired(snapshots: DataFrame, pairs: DataFrame, identity: list[str]) -> DataFrame:
-    """identity, to_month, from_month, p and c (the rows before and after as structs, null where absent) of all pairs."""
-    row = F.struct(*[c for c in snapshots.columns if c not in (*identity, "competence")])
+def neighbours(snapshots: DataFrame, pairs: DataFrame, identity: list[str]) -> DataFrame:
+    """identity, from_month, to_month, old_hash and new_hash (null where a side lacks the identity) of every identity and pair that either side has.
+
+    One shuffle of identities, months and hashes; an identity has one row for each month at most."""
+    own = W.partitionBy(*identity).orderBy("competence")
     # pairs has a row for each month of a window
-    before = snapshots.join(F.broadcast(pairs), F.col("competence") == F.col("from_month")).select(*identity, "to_month", row.alias("p"))
-    after = snapshots.join(F.broadcast(pairs), F.col("competence") == F.col("to_month")).select(*identity, "to_month", row.alias("c"))
-    return before.join(after, [*identity, "to_month"], "full_outer").join(F.broadcast(pairs), "to_month")
+    ahead = F.broadcast(pairs.select(F.col("from_month").alias("competence"), F.col("to_month").alias("next_month")))
+    behind = F.broadcast(pairs.select(F.col("to_month").alias("competence"), F.col("from_month").alias("last_month")))
+    rows = snapshots.select(*identity, "competence", "record_hash").join(ahead, "competence", "left").join(behind, "competence", "left")
+    seen = rows.select(*identity, "competence", "record_hash", "next_month", "last_month", F.lag("competence").over(own).alias("before"), F.lag("record_hash").over(own).alias("hash_before"), F.lead("competence").over(own).alias("after"))
+    none = F.lit(None).cast("string")
+    side = lambda first, last, old, new: F.struct(first.alias("from_month"), last.alias("to_month"), old.alias("old_hash"), new.alias("new_hash"))
+    month, held = F.col("competence"), F.col("record_hash")
+    came = F.when(F.col("last_month").isNotNull(), side(F.col("last_month"), month, F.when(F.col("before") == F.col("last_month"), F.col("hash_before")), held))
+    went = F.when(F.col("next_month").isNotNull() & ~F.col("after").eqNullSafe(F.col("next_month")), side(month, F.col("next_month"), held, none))
+    return seen.select(*identity, F.inline(F.array_compact(F.array(came, went))))
 
 
 def changed(snapshots: DataFrame, pairs: DataFrame, identity: list[str]) -> DataFrame:
-    """Of paired(), the rows whose content differs or that one side lacks."""
-    return paired(snapshots, pairs, identity).filter(~F.col("p.record_hash").eqNullSafe(F.col("c.record_hash")))
+    """identity, to_month, from_month, p and c (the rows before and after as structs, null where absent) of all rows whose content differs or that one side lacks."""
+    keys = neighbours(snapshots, pairs, identity).filter(~F.col("old_hash").eqNullSafe(F.col("new_hash")))
+    here = F.struct(F.col("from_month").alias("competence"), F.lit(True).alias("old"))
+    there = F.struct(F.col("to_month").alias("competence"), F.lit(False).alias("old"))
+    wanted = keys.select(*identity, "from_month", "to_month", F.inline(F.array_compact(F.array(F.when(F.col("old_hash").isNotNull(), here), F.when(F.col("new_hash").isNotNull(), there)))))
+    row = F.struct(*[c for c in snapshots.columns if c not in (*identity, "competence")])
+    found = snapshots.select(*identity, "competence", row.alias("row")).join(wanted, [*identity, "competence"])
+    # each side has one row at most, so first is that row
+    side = lambda old: F.first(F.when(F.col("old") == F.lit(old), F.col("row")), ignorenulls=True)
+    return found.groupBy(*identity, "to_month", "from_month").agg(side(True).alias("p"), side(False).alias("c"))
 
 
 def json(side: str, *fields: str) -> Column:
@@ -110,7 +128,7 @@ def company_events(rows: DataFrame) -> DataFrame:
 
 def comparable(companies: DataFrame, pairs: DataFrame) -> DataFrame:
     """cnpj_basic and to_month of companies that both months have."""
-    return paired(companies.select("cnpj_basic", "competence", "record_hash"), pairs, ["cnpj_basic"]).filter("p IS NOT NULL AND c IS NOT NULL").select("cnpj_basic", "to_month")
+    return neighbours(companies, pairs, ["cnpj_basic"]).filter("old_hash IS NOT NULL AND new_hash IS NOT NULL").select("cnpj_basic", "to_month")
 
 
 PARTNER = ("partner_type", "display_name", "partner_cnpj_basic", "country_code", "qualification_code", "entry_date")

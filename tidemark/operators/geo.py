@@ -59,31 +59,35 @@ def unique_points(candidates: DataFrame, key: list[str]) -> DataFrame:
 
 def best_level(points: DataFrame, key: list[str]) -> DataFrame:
     """The points of each key's lowest level."""
-    least = points.groupBy(*key).agg(F.min("level").alias("least"))
-    return points.join(least, key).filter("level = least").drop("least")
+    return points.withColumn("least", F.min("level").over(W.partitionBy(*key))).filter("level = least").drop("least")
 
 
-def dispersion(points: DataFrame, key: list[str]) -> DataFrame:
-    """key, n and dispersion (metres): the largest distance of two points, the box's diagonal beyond PAIRWISE points, 0 under two."""
-    boxes = points.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("latitude").alias("s"), F.min("longitude").alias("w"), F.max("latitude").alias("t"), F.max("longitude").alias("e"))
-    some = points.join(boxes.filter(F.col("n").between(2, PAIRWISE)).select(*key), key, "left_semi").select(*key, F.struct("latitude", "longitude").alias("a"))
-    # at most PAIRWISE points of a key meet each other
-    pairs = some.join(some.withColumnRenamed("a", "b"), key).filter("a < b")
-    apart = pairs.groupBy(*key).agg(F.max(haversine(F.col("a.latitude"), F.col("a.longitude"), F.col("b.latitude"), F.col("b.longitude"))).alias("apart"))
+def resolved_points(points: DataFrame, key: list[str]) -> DataFrame:
+    """Of each key the representative point with its address_code and level, n and dispersion (metres).
+
+    The representative is nearest to the medians of latitude and longitude; ties (to the millimetre) by code and coordinates.
+    The dispersion is the largest distance of two points, the box's diagonal beyond PAIRWISE points, 0 under two. All comes
+    of one shuffle by key; what is held of a key in one place is PAIRWISE points at most."""
+    own = W.partitionBy(*key)
+    seen = points.withColumns({"n": F.count(F.lit(1)).over(own), "mid_lat": F.median("latitude").over(own), "mid_lon": F.median("longitude").over(own)})
+    away = F.round(haversine(F.col("latitude"), F.col("longitude"), F.col("mid_lat"), F.col("mid_lon")), 3)
+    per = seen.groupBy(*key).agg(
+        F.min(F.struct(away.alias("away"), "address_code", "latitude", "longitude", "level")).alias("x"), F.max("n").alias("n"),
+        F.min("latitude").alias("s"), F.min("longitude").alias("w"), F.max("latitude").alias("t"), F.max("longitude").alias("e"),
+        F.collect_list(F.when(F.col("n").between(2, PAIRWISE), F.struct("latitude", "longitude"))).alias("few"),
+    )
+    pair = lambda p: F.array_max(F.transform("few", lambda q: haversine(p["latitude"], p["longitude"], q["latitude"], q["longitude"])))
     box = haversine(F.col("s"), F.col("w"), F.col("t"), F.col("e"))
-    return boxes.join(apart, key, "left").select(*key, "n", F.when(F.col("n") > PAIRWISE, box).otherwise(F.coalesce("apart", F.lit(0.0))).alias("dispersion"))
+    apart = F.when(F.col("n") > PAIRWISE, box).otherwise(F.coalesce(F.array_max(F.transform("few", pair)), F.lit(0.0)))
+    return per.select(*key, "x.address_code", "x.latitude", "x.longitude", "x.level", "n", apart.alias("dispersion"))
 
 
-def representative(points: DataFrame, key: list[str]) -> DataFrame:
-    """Of each key the point nearest to the medians of latitude and longitude; ties (to the millimetre) by code and coordinates."""
-    middle = points.groupBy(*key).agg(F.median("latitude").alias("mid_lat"), F.median("longitude").alias("mid_lon"))
-    away = F.round(haversine(F.col("latitude"), F.col("longitude"), F.col("mid_lat"), F.col("mid_lon")), 3)
-    best = F.min(F.struct(away.alias("away"), "address_code", "latitude", "longitude", "level")).alias("x")
-    return points.join(middle, key).groupBy(*key).agg(best).select(*key, "x.address_code", "x.latitude", "x.longitude", "x.level")
+def dispersion(points: DataFrame, key: list[str]) -> DataFrame:
+    return resolved_points(points, key).select(*key, "n", "dispersion")
 
 
-def resolved_points(points: DataFrame, key: list[str]) -> DataFrame:
-    return representative(points, key).join(dispersion(points, key), key)
+def representative(points: DataFrame, key: list[str]) -> DataFrame:
+    return resolved_points(points, key).select(*key, "address_code", "latitude", "longitude", "level")
 
 
 def resolve(addresses: DataFrame, reference: DataFrame) -> DataFrame:
@@ -125,8 +129,13 @@ def unmatched(establishments: DataFrame, resolutions: DataFrame) -> DataFrame:
     return with_address(eligible(establishments)).join(resolutions.select("fingerprint"), "fingerprint", "left_anti")
 
 
-def quality_report(seen: DataFrame, overall: float = 0.90, municipal: float = 0.70, drop: float = 0.05, approve_drop: bool = False) -> DataFrame:
-    """scope (total, municipality, month, structure), key, eligible, located and passed."""
+def quality_report(seen: DataFrame, overall: float = 0.90, municipal: float = 0.70, drop: float = 0.05, approve_drop: bool = False, expected: DataFrame | None = None, months: DataFrame | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """scope (total, municipality, month, structure), key, eligible, located and passed.
+
+    Structure is sound where no observation has a point that doesn't fit its method, or a company that isn't its
+    establishment's; and, of what is given, where there are as many observations as expected (the eligible establishments),
+    every month of months (competence) and no other, and no municipality outside scope (municipality; of it, those without
+    observations pass). located counts offences there."""
     located = F.count_if(F.col("method") != "UNLOCATED")
     count = F.count(F.lit(1))
     enough = lambda share: F.col("eligible") * F.lit(share) <= F.col("located")
@@ -136,13 +145,29 @@ def quality_report(seen: DataFrame, overall: float = 0.90, municipal: float = 0.
     rate = F.col("located") / F.nullif(F.col("eligible"), F.lit(0))
     fallen = per_month.withColumn("passed", F.lit(approve_drop) | F.coalesce(F.lag(rate).over(before) - rate <= drop, F.lit(True)))
     missing = F.col("latitude").isNull() | F.col("longitude").isNull() | F.col("level").isNull()
-    odd = F.count_if(F.when(F.col("method") == "UNLOCATED", F.col("latitude").isNotNull() | F.col("longitude").isNotNull()).otherwise(missing))
-    return (
-        line(seen.agg(count.alias("eligible"), located.alias("located")).withColumn("passed", enough(overall)), "total", F.lit("all"))
-        .unionByName(line(seen.groupBy("municipality").agg(count.alias("eligible"), located.alias("located")).withColumn("passed", enough(municipal)), "municipality", F.col("municipality")))
+    odd = F.when(F.col("method") == "UNLOCATED", F.col("latitude").isNotNull() | F.col("longitude").isNotNull()).otherwise(missing)
+    owner = ~F.col("cnpj").startswith(F.col("cnpj_basic"))
+    whole = seen.agg(count.alias("eligible"), located.alias("located"), F.count_if(odd).alias("odd"), F.count_if(owner).alias("owner"))
+    structure = lambda df, column, key: line(df.select("eligible", F.col(column).cast("long").alias("located")).withColumn("passed", F.col("located") == 0), "structure", F.lit(key))
+    cities = seen.groupBy("municipality").agg(count.alias("eligible"), located.alias("located"))
+    if scope is not None:
+        cities = cities.join(scope.select("municipality").distinct().withColumn("known", F.lit(True)), "municipality", "full_outer").fillna(0, ["eligible", "located"])
+    out = (
+        line(whole.withColumn("passed", enough(overall)), "total", F.lit("all"))
+        .unionByName(line(cities.withColumn("passed", enough(municipal)), "municipality", F.col("municipality")))
         .unionByName(line(fallen, "month", F.col("competence").cast("string")))
-        .unionByName(line(seen.agg(count.alias("eligible"), odd.alias("located")).withColumn("passed", F.col("located") == 0), "structure", F.lit("points that don't fit their method")))
+        .unionByName(structure(whole, "odd", "points that don't fit their method"))
+        .unionByName(structure(whole, "owner", "companies of other establishments"))
     )
+    if scope is not None:
+        out = out.unionByName(structure(cities.agg(count.alias("eligible"), F.count_if(F.col("known").isNull()).alias("outside")), "outside", "municipalities outside the scope"))
+    if expected is not None:
+        both = expected.agg(count.alias("wanted")).join(F.broadcast(whole.select("eligible")), F.lit(True))  # one row each
+        out = out.unionByName(structure(both.withColumn("off", F.abs(F.col("wanted") - F.col("eligible"))), "off", "observations for eligible establishments"))
+    if months is not None:
+        met = months.select("competence").distinct().withColumn("known", F.lit(True)).join(per_month.select("competence", "eligible"), "competence", "full_outer")
+        out = out.unionByName(structure(met.agg(F.count("eligible").alias("eligible"), F.count_if(F.col("known").isNull() | F.col("eligible").isNull()).alias("off")), "off", "months of the window"))
+    return out
 
 
 def latest_population(population: DataFrame, scope: DataFrame) -> DataFrame:

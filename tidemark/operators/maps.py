@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.show import opening_range, percentage_change, share
+from tidemark.functions.show import cnae_label, opening_range, percentage_change, share
 from tidemark.operators.geo import inside_box
 from tidemark.operators.pages import at_most, page
 
@@ -23,7 +23,9 @@ CHOICES = {"branch_type": ("1", "2"), "size_code": ("00", "01", "03", "05"), "ta
 
 @dataclass(frozen=True)
 class Selection:
-    """What to show; nothing means all. A value that isn't known is an error, as are dynamics by opening or per inhabitant."""
+    """What to show; nothing means all. A value that isn't known is an error, as are dynamics by opening or per inhabitant.
+
+    Codes are checked by CHOICES, municipality and activity by shape; known_in() also holds them against what there is."""
 
     competence: date
     municipality: str | None = None
@@ -39,7 +41,7 @@ class Selection:
     def __post_init__(self):
         for name, choices in CHOICES.items():
             value = getattr(self, name)
-            if value is not None and value not in choices and name != "size_code":
+            if value is not None and value not in choices:
                 raise ValueError(f"unknown {name}: {value}")
         for name in ("municipality", "cnae_code"):
             value = getattr(self, name)
@@ -48,6 +50,14 @@ class Selection:
         if self.mode == "dynamics" and (self.opening_months or self.metric != "absolute"):
             raise ValueError("dynamics take neither an opening period nor inhabitants")
 
+    def known_in(self, months: DataFrame, scope: DataFrame) -> Selection:
+        """The selection, or an error if its month isn't among months (competence) or its municipality not in scope (municipality); both are small closed sets."""
+        if months.filter(F.col("competence") == F.lit(self.competence)).isEmpty():
+            raise ValueError(f"unknown competence: {self.competence}")
+        if self.municipality is not None and scope.filter(F.col("municipality") == self.municipality).isEmpty():
+            raise ValueError(f"unknown municipality: {self.municipality}")
+        return self
+
     @property
     def condition(self) -> Column:
         out = F.col("competence") == F.lit(self.competence)
@@ -141,14 +151,27 @@ def clusters(rows: DataFrame, centres: DataFrame, zoom: int, box: tuple[float, f
     return "municipality", municipality_points(rows, centres)
 
 
-def location_details(rows: DataFrame, latitude: str, longitude: str, establishments: DataFrame, companies: DataFrame, number: int = 1, size: int = 25) -> DataFrame:
-    """A page of the establishments at a point (six decimals), with their names."""
+def location_details(rows: DataFrame, latitude: str, longitude: str, establishments: DataFrame, companies: DataFrame, catalogue: DataFrame, number: int = 1, size: int = 25, method: str | None = None, level: int | None = None) -> DataFrame:
+    """A page of the establishments at a point (six decimals), with their names and their activity's label; of one method and level if given.
+
+    catalogue: code, description of activities (a national catalogue). Names are fetched for the page's rows only."""
+    if method is not None and method not in CHOICES["method"]:
+        raise ValueError(f"unknown method: {method}")
+    if level is not None and not 1 <= level <= 6:
+        raise ValueError(f"unknown level: {level}")
     six = lambda x: F.lit(Decimal(x).quantize(Decimal("0.000001")))
-    here = rows.filter((F.col("latitude") == six(latitude)) & (F.col("longitude") == six(longitude))).select("competence", "cnpj", "cnpj_basic", "cnae_code")
-    few = F.broadcast(page(here, [F.col("cnpj")], number, size))  # a page
+    here = rows.filter((F.col("latitude") == six(latitude)) & (F.col("longitude") == six(longitude)))
+    if method is not None:
+        here = here.filter(F.col("method") == method)
+    if level is not None:
+        here = here.filter(F.col("level") == level)
+    few = page(here.select("competence", "cnpj", "cnpj_basic", "municipality_name", "cnae_code", "branch_type", "method", "level"), [("cnpj", False)], number, size)
+    few = F.broadcast(few)  # a page
     named = establishments.join(few.select("cnpj", "competence"), ["cnpj", "competence"], "left_semi").select("cnpj", "trade_name")
     firms = companies.join(few.select("cnpj_basic", "competence"), ["cnpj_basic", "competence"], "left_semi").select("cnpj_basic", "legal_name")
-    return few.join(named, "cnpj", "left").join(firms, "cnpj_basic", "left")
+    known = catalogue.join(few.select(F.col("cnae_code").alias("code")).distinct(), "code", "left_semi").select(F.col("code").alias("cnae_code"), "description")
+    out = few.join(named, "cnpj", "left").join(firms, "cnpj_basic", "left").join(known, "cnae_code", "left")
+    return out.withColumn("cnae_label", cnae_label(F.col("cnae_code"), F.col("description"))).drop("description")
 
 
 def features(groups: DataFrame, identifier: Column) -> DataFrame:

@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.sources.sinks import work_dir
+
+
+#: Rows that one task may order for a page.
+NEAR = 10_000
+
 
-def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+def page(rows: DataFrame, order: list[tuple[str, bool]], number: int, size: int, near: int = NEAR) -> DataFrame:
     """The rows of a page, with place (from 1), page_number, pages and total; number is clamped to the pages there are.
 
-    Only the rows up to the page's end are ordered and numbered."""
+    order: columns, each with whether it falls; they must tell all rows apart. A page near either end is taken from that end, so that near rows at most (or a page's) are
+    ordered in one place. Elsewhere the rows are range-partitioned by order and kept so; a count for each partition says which of
+    them hold the page, and only these are numbered."""
+    back = [F.asc(c) if falls else F.desc(c) for c, falls in order]
+    order = [F.desc(c) if falls else F.asc(c) for c, falls in order]
     total = rows.count()
     pages = max(1, -(-total // size))
     number = min(max(1, number), pages)
-    upto = rows.orderBy(*order).limit(number * size)  # the pages so far
-    placed = upto.withColumn("place", F.row_number().over(W.orderBy(*order)))
-    return placed.filter(F.col("place") > (number - 1) * size).withColumns({"page_number": F.lit(number), "pages": F.lit(pages), "total": F.lit(total)})
+    first, last = (number - 1) * size + 1, min(number * size, total)
+    shown = {"page_number": F.lit(number), "pages": F.lit(pages), "total": F.lit(total)}
+    if last <= max(near, size):
+        placed = rows.orderBy(*order).limit(last).withColumn("place", F.row_number().over(W.orderBy(*order)))
+    elif total - first < max(near, size):
+        kept = rows.orderBy(*back).limit(total - first + 1)
+        placed = kept.withColumn("place", (F.lit(total + 1) - F.row_number().over(W.orderBy(*back))).cast("int"))
+    else:
+        dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+        path = f"{work_dir(rows.sparkSession)}/page-{uuid.uuid4().hex}"
+        dealt.write.parquet(path)
+        kept = rows.sparkSession.read.schema(dealt.schema).parquet(path)
+        sizes = sorted(map(tuple, kept.groupBy("part").count().collect()))  # a row for each partition
+        before, wanted = 0, {}
+        for part, n in sizes:
+            if before < last and before + n >= first:
+                wanted[part] = before
+            before += n
+        offset = F.create_map(*[F.lit(x) for item in wanted.items() for x in item])
+        own = kept.filter(F.col("part").isin(list(wanted)))
+        placed = own.withColumn("place", (F.row_number().over(W.partitionBy("part").orderBy(*order)) + offset[F.col("part")]).cast("int")).drop("part")
+    return placed.filter(F.col("place").between(first, last)).withColumns(shown)
 
 
 def at_most(rows: DataFrame, limit: int) -> DataFrame | None:

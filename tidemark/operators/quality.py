@@ -58,11 +58,14 @@ def domain_rules(kind: str) -> dict[str, Column]:
     }[kind]
 
 
-def first_of_ambiguous(partners: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Partners with one row for each company and key, the first by root, type, name and source id; and an issue for each key with different rows."""
-    key = W.partitionBy("competence", "cnpj_basic", "partner_key")
-    ordered = partners.withColumn("place", F.row_number().over(key.orderBy("partner_cnpj_basic", "partner_type", "display_name", "record_hash")))
-    kinds = partners.groupBy("competence", "cnpj_basic", "partner_key").agg(F.countDistinct("record_hash").alias("kinds")).filter("kinds > 1")
+def first_of_ambiguous(partners: DataFrame, order: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Partners with one row for each company and key, the first by order; and an issue for each key with different rows.
+
+    order: the source's own order (root, type, name, source id), which snapshots no longer hold; without it by type, name and content."""
+    key = ["competence", "cnpj_basic", "partner_key"]
+    places = W.partitionBy(*key).orderBy(*(order or [F.col(c) for c in ("partner_cnpj_basic", "partner_type", "display_name", "record_hash")]))
+    ordered = partners.withColumn("place", F.row_number().over(places))
+    kinds = partners.groupBy(*key).agg(F.countDistinct("record_hash").alias("kinds")).filter("kinds > 1")
     issues = kinds.select("competence", F.lit("AMBIGUOUS_PARTNER").alias("rule_code"), F.concat_ws("/", "cnpj_basic", "partner_key").alias("entity_key"), "kinds")
     return ordered.filter("place = 1").drop("place"), issues
 
@@ -125,3 +128,11 @@ def invalid_ids(df: DataFrame, column: str, examples: int = 5) -> DataFrame:
 def batch_summary(issues: DataFrame) -> DataFrame:
     """batch, severity and rule with count and affected rows."""
     return issues.groupBy("batch", "severity", "rule_code").agg(F.count(F.lit(1)).alias("issues"), F.sum("affected_rows").alias("affected_rows"))
+
+
+def revision_artifacts(revisions: DataFrame, sources: DataFrame, packages: DataFrame) -> DataFrame:
+    """revisions (competence, revision_number and more) with their numbers of distinct source and package artefacts (artifact)."""
+    key = ["competence", "revision_number"]
+    count = lambda df, name: df.groupBy(*key).agg(F.countDistinct("artifact").alias(name))
+    out = revisions.join(count(sources, "source_count"), key, "left").join(count(packages, "package_count"), key, "left")
+    return out.fillna(0, ["source_count", "package_count"])

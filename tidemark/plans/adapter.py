@@ -32,9 +32,16 @@ def orders(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("od"), F.col("o_orderstatus").alias("st"), F.substring("o_orderpriority", 1, 1).alias("pr"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
 
 
+def from_month(df: DataFrame, day: Column, last: Column | None = None) -> DataFrame:
+    """A row of df for each month of the window from the first that begins on day or after it, up to last (by default the window's end)."""
+    start = F.greatest(F.add_months(F.trunc(F.date_sub(day, 1), "month"), 1), F.lit(FIRST).cast("date"))
+    end = F.lit(LAST).cast("date") if last is None else F.least(last, F.lit(LAST).cast("date"))
+    return df.withColumn("competence", F.explode(F.when(start <= end, F.sequence(start, end, F.expr("INTERVAL 1 MONTH")))))
+
+
 def companies(spark: SparkSession, d: str) -> DataFrame:
     """Companies of every month from their orders up to it."""
-    seen = orders(spark, d).join(F.broadcast(months(spark)), F.col("od") <= F.col("competence"))
+    seen = from_month(orders(spark, d), F.col("od"))
     state = seen.groupBy("o_custkey", "competence").agg(F.sum("price").cast("decimal(18,2)").alias("share_capital"), F.max(F.struct("od", "o_orderkey", "pr", "st")).alias("last"))
     simples, mei, day = F.col("last.pr").isin("1", "2"), F.col("last.st") == "F", F.col("last.od")
     named = state.join(table(spark, d, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
@@ -60,8 +67,8 @@ def establishments(spark: SparkSession, d: str) -> DataFrame:
     o = orders(spark, d)
     late = F.col("o_orderkey") % 40 == 0
     hidden = (F.col("competence") == F.lit("1998-06-01").cast("date")) & (F.col("o_orderkey") % 1500 == 7)
-    present = o.join(F.broadcast(months(spark)), F.when(late, F.add_months("od", 1)).otherwise(F.col("od")) <= F.col("competence")).filter(~hidden).select("o_orderkey", "o_custkey", "od", "competence")
-    shipped = lines(spark, d).join(o.select("o_orderkey", "od"), F.col("l_orderkey") == F.col("o_orderkey")).filter("od < ship").join(F.broadcast(months(spark)), F.col("ship") <= F.col("competence"))
+    present = from_month(o, F.when(late, F.add_months("od", 1)).otherwise(F.col("od"))).filter(~hidden).select("o_orderkey", "o_custkey", "od", "competence")
+    shipped = from_month(lines(spark, d).join(o.select("o_orderkey", "od"), F.col("l_orderkey") == F.col("o_orderkey")).filter("od < ship"), F.col("ship"))
     last = shipped.groupBy(F.col("l_orderkey").alias("line_order"), F.col("competence").alias("line_month")).agg(F.max(F.struct("ship", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "flag")).alias("x"))
     rows = present.join(last, (F.col("o_orderkey") == F.col("line_order")) & (F.col("competence") == F.col("line_month")), "left")
     rows = rows.join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
@@ -81,13 +88,17 @@ def establishments(spark: SparkSession, d: str) -> DataFrame:
     return conform(out.withColumn("record_hash", keys.record_hash(out)), ESTABLISHMENTS)
 
 
-def partners(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers of a customer's lines shipped in the three months up to each month."""
+def partner_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers of a customer's lines shipped in the three months up to each month, with their source_id."""
     sold = lines(spark, d).join(orders(spark, d).select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    seen = sold.join(F.broadcast(months(spark)), (F.col("ship") <= F.col("competence")) & (F.col("ship") > F.add_months("competence", -3)))
+    seen = from_month(sold, F.col("ship"), F.add_months(F.date_sub("ship", 1), 3)).filter(F.col("ship") > F.add_months("competence", -3))
     state = seen.groupBy("o_custkey", "l_suppkey", "competence").agg(F.max(F.struct("ship", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "flag")).alias("last"), F.min("ship").alias("entry_date"))
     kind = F.element_at(F.array(F.lit("PJ"), F.lit("PF"), F.lit("FOREIGN")), (F.col("l_suppkey") % 3 + 1).cast("int"))
-    rows = state.select(root(F.col("o_custkey")).alias("cnpj_basic"), kind.alias("partner_type"), F.concat(F.lit("SÓCIO "), "l_suppkey").alias("display_name"), F.when(F.col("l_suppkey") % 5 != 4, root(F.col("l_suppkey"))).alias("source_id"), F.when(F.col("l_suppkey") % 3 == 2, "105").alias("country_code"), F.col("last.flag").alias("qualification_code"), "entry_date", "competence")
+    return state.select(root(F.col("o_custkey")).alias("cnpj_basic"), kind.alias("partner_type"), F.concat(F.lit("SÓCIO "), "l_suppkey").alias("display_name"), F.when(F.col("l_suppkey") % 5 != 4, root(F.col("l_suppkey"))).alias("source_id"), F.when(F.col("l_suppkey") % 3 == 2, "105").alias("country_code"), F.col("last.flag").alias("qualification_code"), "entry_date", "competence")
+
+
+def partners(spark: SparkSession, d: str) -> DataFrame:
+    rows = partner_rows(spark, d)
     found = keys.partner_identity(F.col("cnpj_basic"), F.col("partner_type"), F.col("display_name"), F.col("source_id"), F.col("country_code"), SECRET)
     out = rows.withColumns({n: found[n] for n in ("partner_key", "partner_cnpj_basic")}).drop("source_id")
     return conform(out.withColumn("record_hash", keys.record_hash(out)), PARTNERS)

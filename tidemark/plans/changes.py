@@ -5,25 +5,22 @@ from pyspark.sql import functions as F
 from tidemark.functions import keys, show
 from tidemark.operators import diff, quality
 from tidemark.plans import adapter as A
+from tidemark.plans import store as S
 from tidemark.plans.registry import query
+from tidemark.sources import sinks
 
 ADDRESS = diff.ADDRESS
 
 
-def pairs(spark):
-    return diff.month_pairs(A.months(spark))
+pairs = S.pairs
 
 
 def company_rows(spark, d):
-    return diff.changed(A.companies(spark, d), pairs(spark), ["cnpj_basic"])
+    return diff.changed(S.companies(spark, d), pairs(spark), ["cnpj_basic"])
 
 
 def place_rows(spark, d):
-    return diff.changed(A.establishments(spark, d), pairs(spark), ["cnpj"])
-
-
-def events(spark, d):
-    return diff.window_events(A.companies(spark, d), A.establishments(spark, d), A.partners(spark, d), pairs(spark))
+    return diff.changed(S.establishments(spark, d), pairs(spark), ["cnpj"])
 
 
 # ---- SQL
@@ -117,8 +114,8 @@ def changed_rows(spark, d):
 
 @query("comparable_partners", events_sql("SELECT partner.cnpj_basic, partner_key, pr.to_month FROM partner JOIN pr ON partner.cnpj_basic = pr.cnpj_basic AND competence = pr.to_month"))
 def comparable_partners(spark, d):
-    known = diff.comparable(A.companies(spark, d), pairs(spark))
-    return A.partners(spark, d).withColumnRenamed("competence", "to_month").join(known, ["cnpj_basic", "to_month"], "left_semi").select("cnpj_basic", "partner_key", "to_month")
+    known = diff.comparable(S.companies(spark, d), pairs(spark))
+    return S.partners(spark, d).withColumnRenamed("competence", "to_month").join(known, ["cnpj_basic", "to_month"], "left_semi").select("cnpj_basic", "partner_key", "to_month")
 
 
 @query("establishment_events", events_sql("SELECT * FROM est_events"))
@@ -133,13 +130,13 @@ def company_events(spark, d):
 
 @query("partner_events", events_sql("SELECT * FROM par_events"))
 def partner_events(spark, d):
-    rows = diff.changed(A.partners(spark, d), pairs(spark), ["cnpj_basic", "partner_key"])
-    return diff.partner_events(rows, diff.comparable(A.companies(spark, d), pairs(spark)))
+    rows = diff.changed(S.partners(spark, d), pairs(spark), ["cnpj_basic", "partner_key"])
+    return diff.partner_events(rows, diff.comparable(S.companies(spark, d), pairs(spark)))
 
 
 @query("full_recompute", events_sql("SELECT to_month, entity_type, event_type, count(*) AS n, count(DISTINCT entity_key) AS entities FROM events_ GROUP BY ALL"))
 def full_recompute(spark, d):
-    return events(spark, d).groupBy("to_month", "entity_type", "event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity_key").alias("entities"))
+    return S.window_events(spark, d).groupBy("to_month", "entity_type", "event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity_key").alias("entities"))
 
 
 @query("event_counts", events_sql("SELECT to_month, event_type, count(*) AS n FROM est_events GROUP BY ALL"))
@@ -155,7 +152,7 @@ _HASH = "sha256(strftime({0}, '%Y-%m-%d'))"
 def event_keys(spark, d):
     day = lambda c: F.sha2(F.date_format(c, "yyyy-MM-dd"), 256)
     key = keys.event_key(F.lit("window"), day("from_month"), day("to_month"), F.col("entity_type"), F.col("entity_key"), F.col("dimension"), F.col("event_type"))
-    return events(spark, d).select("entity_key", "event_type", "to_month", key.alias("event_key"))
+    return S.events(spark, d).select("entity_key", "event_type", "to_month", key.alias("event_key"))
 
 
 @query("affected_intervals", events_sql("SELECT e.to_month, event_type, count(*) AS n FROM events_ e JOIN pairs USING (to_month) WHERE DATE '1998-05-01' IN (pairs.from_month, to_month) GROUP BY ALL"))
@@ -163,26 +160,26 @@ def affected_intervals(spark, d):
     """Only the events of pairs that a revised month is in are made again."""
     revised = A.months(spark).filter("competence = DATE '1998-05-01'")
     hit = diff.affected_pairs(pairs(spark), revised)
-    made = diff.window_events(A.companies(spark, d), A.establishments(spark, d), A.partners(spark, d), hit)
+    made = diff.window_events(S.companies(spark, d), S.establishments(spark, d), S.partners(spark, d), hit)
     return made.groupBy("to_month", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-_CONTENT = "SELECT competence, count(*) AS n, max(record_hash) AS content_hash FROM company {} GROUP BY competence"
+_OLD = "NOT (cnpj_basic[8:8] = '7' AND competence > DATE '1998-10-01')"
 
 
-@query("changed_packages", A.sql(f"SELECT a.competence FROM ({_CONTENT.format('')}) a JOIN ({_CONTENT.format('WHERE NOT (cnpj_basic[8:8] = ' + chr(39) + '7' + chr(39) + ' AND competence > DATE ' + chr(39) + '1998-10-01' + chr(39) + ')')}) b USING (competence) WHERE a.n <> b.n OR a.content_hash <> b.content_hash"))
+@query("changed_packages", A.sql(f"SELECT competence FROM company GROUP BY 1 HAVING count(*) FILTER (WHERE NOT ({_OLD})) > 0"))
 def changed_packages(spark, d):
-    content = lambda df: df.groupBy("competence").agg(F.concat_ws(":", F.count(F.lit(1)), F.max("record_hash")).alias("content_hash"))
-    offered = A.companies(spark, d)
+    """Months whose stored package lacks some of the companies that are offered now."""
+    offered = S.companies(spark, d)
     stored = offered.filter("NOT (substring(cnpj_basic, 8, 1) = '7' AND competence > DATE '1998-10-01')")
-    return diff.changed_packages(content(stored), content(offered))
+    return diff.changed_packages(sinks.manifest({"companies": stored}), sinks.manifest({"companies": offered}))
 
 
 @query("active_revisions", A.sql("""
 , r AS (SELECT competence, CAST(s AS INTEGER) AS revision_number, CASE WHEN (month(competence) + s) % 4 = 0 THEN 'REJECTED' ELSE 'PUBLISHED' END AS status FROM (SELECT DISTINCT competence FROM company), range(1, 4) t(s))
 SELECT *, status = 'PUBLISHED' AND revision_number = max(revision_number) FILTER (WHERE status = 'PUBLISHED') OVER (PARTITION BY competence) AS active FROM r""".strip()))
 def active_revisions(spark, d):
-    tries = A.companies(spark, d).select("competence").distinct().select("competence", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("revision_number"))
+    tries = S.companies(spark, d).select("competence").distinct().select("competence", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("revision_number"))
     status = F.when((F.month("competence") + F.col("revision_number")) % 4 == 0, "REJECTED").otherwise("PUBLISHED")
     return diff.active_revisions(tries.withColumn("status", status))
 
@@ -203,7 +200,7 @@ def issues(spark, d):
 
 
 def gate(spark, d):
-    tables = {"COMPANY": A.companies(spark, d), "ESTABLISHMENT": A.establishments(spark, d)}
+    tables = {"COMPANY": S.companies(spark, d), "ESTABLISHMENT": S.establishments(spark, d)}
     return quality.gate(issues(spark, d).withColumn("affected_rows", F.lit(1)), quality.eligible(tables, pairs(spark)))
 
 
@@ -225,7 +222,7 @@ def quality_recompute(spark, d):
 
 @query("adjacent_months", A.sql("SELECT from_month, to_month FROM pairs", _PAIRS))
 def adjacent_months(spark, d):
-    return diff.month_pairs(A.companies(spark, d))
+    return diff.month_pairs(S.companies(spark, d))
 
 
 _LABEL = "CASE " + " ".join(f"WHEN event_type = '{k}' THEN '{v}'" for k, v in show.EVENTS.items()) + " END"
@@ -258,11 +255,11 @@ _EVENT_LABEL = f"CASE WHEN event_type = 'SHARE_CAPITAL_CHANGED' AND {_AMOUNT.for
 @query("event_text", events_sql(f"SELECT to_month, entity_key, event_type, {_EVENT_LABEL} AS label, {_text('previous_value', True)} AS before_text, {_text('new_value', False)} AS after_text FROM events_"))
 def event_text(spark, d):
     e = F.col("event_type")
-    return events(spark, d).select("to_month", "entity_key", "event_type", show.event_label(e, F.col("previous_value"), F.col("new_value")).alias("label"), show.event_value(e, F.col("previous_value"), True).alias("before_text"), show.event_value(e, F.col("new_value"), False).alias("after_text"))
+    return S.events(spark, d).select("to_month", "entity_key", "event_type", show.event_label(e, F.col("previous_value"), F.col("new_value")).alias("label"), show.event_value(e, F.col("previous_value"), True).alias("before_text"), show.event_value(e, F.col("new_value"), False).alias("after_text"))
 
 
 @query("event_entity_gate", events_sql("SELECT e.entity_type, count(*) AS events, count(*) FILTER (WHERE c.cnpj_basic IS NULL) AS unresolved FROM events_ e LEFT JOIN (SELECT DISTINCT cnpj_basic FROM company) c ON e.cnpj_basic = c.cnpj_basic GROUP BY 1"))
 def event_entity_gate(spark, d):
     """Events whose company no snapshot has: none is to be left."""
-    known = A.companies(spark, d).select("cnpj_basic").distinct().withColumn("known", F.lit(True))
-    return events(spark, d).join(known, "cnpj_basic", "left").groupBy("entity_type").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("known").isNull()).alias("unresolved"))
+    known = S.companies(spark, d).select("cnpj_basic").distinct().withColumn("known", F.lit(True))
+    return S.events(spark, d).join(known, "cnpj_basic", "left").groupBy("entity_type").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("known").isNull()).alias("unresolved"))

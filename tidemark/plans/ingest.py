@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import ids, keys, show, text
 from tidemark.operators import cohort, contracts, geo, pages, quality
 from tidemark.plans import adapter as A
-from tidemark.plans.changes import events, events_sql
+from tidemark.plans import store as S
+from tidemark.plans.changes import events_sql
 from tidemark.plans.registry import query
 from tidemark.sources import sinks
 
@@ -97,12 +98,12 @@ def invalid_cohort_ids(spark, d):
 
 @query("partner_identity", A.sql("SELECT cnpj_basic, display_name, competence, partner_key, partner_cnpj_basic FROM partner"))
 def partner_identity(spark, d):
-    return A.partners(spark, d).select("cnpj_basic", "display_name", "competence", "partner_key", "partner_cnpj_basic")
+    return S.partners(spark, d).select("cnpj_basic", "display_name", "competence", "partner_key", "partner_cnpj_basic")
 
 
 @query("record_hash", A.sql("SELECT cnpj_basic, competence, record_hash FROM company"))
 def record_hash(spark, d):
-    rows = A.companies(spark, d)
+    rows = S.companies(spark, d)
     return rows.select("cnpj_basic", "competence", keys.record_hash(rows).alias("record_hash"))
 
 
@@ -115,7 +116,7 @@ def parse_source_fields(spark, d):
 
 
 def raw_places(spark, d):
-    e = A.establishments(spark, d)
+    e = S.establishments(spark, d)
     return e.select("cnpj_basic", F.substring("cnpj", 9, 4).alias("cnpj_order"), F.substring("cnpj", 13, 2).alias("cnpj_digits"), F.concat(F.lit(" "), "municipality_tom_code").alias("municipality_tom_code"), "competence")
 
 
@@ -144,12 +145,12 @@ _COHORT = "coh AS (SELECT DISTINCT cnpj FROM est WHERE is_in_region AND competen
 def cohort_semi_join(spark, d):
     known = cohort.discover(raw_places(spark, d).filter("competence < DATE '1998-04-01'"), region(spark, d))
     one = lambda name, df: df.groupBy("competence").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "competence", "n")
-    return one("companies", cohort.of_cohort(A.companies(spark, d), known)).unionByName(one("establishments", cohort.of_cohort(raw_places(spark, d), known, by_id=True)))
+    return one("companies", cohort.of_cohort(S.companies(spark, d), known)).unionByName(one("establishments", cohort.of_cohort(raw_places(spark, d), known, by_id=True)))
 
 
 @query("company_tax_join", A.sql("SELECT c.cnpj_basic, c.competence, r.optant AS simples_optant, r.d AS simples_option_date FROM company c LEFT JOIN (SELECT cnpj_basic, competence, max(simples_optant) AS optant, max(coalesce(simples_option_date, simples_exclusion_date)) AS d FROM company WHERE cnpj_basic[8:8] <> '3' GROUP BY ALL) r ON r.cnpj_basic = c.cnpj_basic AND r.competence = c.competence"))
 def company_tax_join(spark, d):
-    c = A.companies(spark, d)
+    c = S.companies(spark, d)
     some = c.filter("substring(cnpj_basic, 8, 1) <> '3'").select("cnpj_basic", "competence", "simples_optant", F.coalesce("simples_option_date", "simples_exclusion_date").alias("simples_option_date"))
     twice = some.unionByName(some.withColumn("simples_option_date", F.lit(None).cast("date")))  # of repeated rows the one that sorts last is taken
     return c.select("cnpj_basic", "competence").join(cohort.last_regime(twice), ["cnpj_basic", "competence"], "left")
@@ -157,8 +158,8 @@ def company_tax_join(spark, d):
 
 @query("orphan_establishments", A.sql("SELECT cnpj, competence FROM est WHERE cnpj_basic[8:8] = '5' OR NOT EXISTS (SELECT 1 FROM company c WHERE c.cnpj_basic = est.cnpj_basic AND c.competence = est.competence)"))
 def orphan_establishments(spark, d):
-    fewer = A.companies(spark, d).filter("substring(cnpj_basic, 8, 1) <> '5'")
-    return cohort.orphans(A.establishments(spark, d), fewer).select("cnpj", "competence")
+    fewer = S.companies(spark, d).filter("substring(cnpj_basic, 8, 1) <> '5'")
+    return cohort.orphans(S.establishments(spark, d), fewer).select("cnpj", "competence")
 
 
 @query("municipality_resolution", A.sql("SELECT DISTINCT municipality_tom_code AS tom, state_code AS uf, municipality_ibge_code AS ibge, municipality_name AS city FROM est"))
@@ -166,44 +167,44 @@ def municipality_resolution(spark, d):
     n = A.nations(spark, d)
     names = n.select("tom", F.col("city").alias("name"))
     catalogue = n.select(text.search_text(F.col("city")).alias("name_search"), "uf", "ibge", F.col("city").alias("name"))
-    rows = A.establishments(spark, d).select(F.col("municipality_tom_code").alias("tom"), F.col("state_code").alias("uf")).distinct()
+    rows = S.establishments(spark, d).select(F.col("municipality_tom_code").alias("tom"), F.col("state_code").alias("uf")).distinct()
     return cohort.resolve_municipalities(rows, names, catalogue).select("tom", "uf", "ibge", "city")
 
 
 @query("scope_membership", A.sql("SELECT competence, inside AS in_scope, count(*) AS n, count(*) FILTER (WHERE is_in_region <> inside) AS wrong FROM est JOIN nat ON municipality_ibge_code = ibge GROUP BY 1, 2"))
 def scope_membership(spark, d):
     inside = F.broadcast(region(spark, d).select(F.col("ibge").alias("municipality_ibge_code"), F.lit(True).alias("in_scope")))  # a closed set
-    rows = A.establishments(spark, d).join(inside, "municipality_ibge_code", "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
+    rows = S.establishments(spark, d).join(inside, "municipality_ibge_code", "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
     return rows.groupBy("competence", "in_scope").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_in_region") != F.col("in_scope")).alias("wrong"))
 
 
 @query("contract_checks", A.sql("SELECT 'companies' AS table_name, count(*) AS rows, 0::BIGINT AS required_nulls, (SELECT count(*) FROM (SELECT 1 FROM company GROUP BY cnpj_basic, competence HAVING count(*) > 1)) AS repeated_identities, count(*) FILTER (WHERE competence <> DATE '1998-02-01') AS other_months FROM company UNION ALL SELECT 'establishments', count(*), count(*) FILTER (WHERE cnpj IS NULL), (SELECT count(*) FROM (SELECT 1 FROM est GROUP BY cnpj, competence HAVING count(*) > 1)), count(*) FILTER (WHERE competence <> DATE '1998-02-01') FROM est"))
 def contract_checks(spark, d):
     month = F.lit("1998-02-01").cast("date")
-    return contracts.contract_report(A.companies(spark, d), contracts.COMPANIES, month).unionByName(contracts.contract_report(A.establishments(spark, d), contracts.ESTABLISHMENTS, month))
+    return contracts.contract_report(S.companies(spark, d), contracts.COMPANIES, month).unionByName(contracts.contract_report(S.establishments(spark, d), contracts.ESTABLISHMENTS, month))
 
 
 @query("business_rows", A.sql("SELECT 'BAD_RECORD_HASH' AS rule_code, cnpj_basic AS entity_key, count(*) AS n FROM company WHERE cnpj_basic[8:8] = '1' AND competence = DATE '1998-05-01' GROUP BY 2 UNION ALL SELECT 'REGION_FLAG', cnpj, count(*) FROM est WHERE municipality_name = 'NATION_0' AND competence = DATE '1998-05-01' GROUP BY 2"))
 def business_rows(spark, d):
     """Rows altered on purpose: other hashes, and a scope without one of its municipalities."""
     month = "competence = DATE '1998-05-01'"
-    c = A.companies(spark, d).filter(month).withColumn("record_hash", F.when(F.substring("cnpj_basic", 8, 1) == "1", F.sha2("cnpj_basic", 256)).otherwise(F.col("record_hash")))
-    broken = quality.business_rows(c, A.establishments(spark, d).filter(month), A.partners(spark, d).filter(month), A.nations(spark, d).filter("inside AND city <> 'NATION_0'").select("ibge", "tom"))
+    c = S.companies(spark, d).filter(month).withColumn("record_hash", F.when(F.substring("cnpj_basic", 8, 1) == "1", F.sha2("cnpj_basic", 256)).otherwise(F.col("record_hash")))
+    broken = quality.business_rows(c, S.establishments(spark, d).filter(month), S.partners(spark, d).filter(month), A.nations(spark, d).filter("inside AND city <> 'NATION_0'").select("ibge", "tom"))
     return broken.groupBy("rule_code", "entity_key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("domain_checks", events_sql("SELECT 'BAD_CNAE' AS rule_code, count(*) FILTER (WHERE main_cnae_code[7:7] = '7') AS n FROM est UNION ALL SELECT 'NO_VALUE', count(*) FROM events_ WHERE previous_value IS NULL AND event_type = 'PARTNER_ADDED'"))
 def domain_checks(spark, d):
     """Activities ending in 7 and the values of added partners are spoilt on purpose."""
-    e = A.establishments(spark, d).withColumn("main_cnae_code", F.regexp_replace("main_cnae_code", "7$", "x"))
-    v = events(spark, d).withColumn("new_value", F.when(F.col("event_type") != "PARTNER_ADDED", F.col("new_value")))
+    e = S.establishments(spark, d).withColumn("main_cnae_code", F.regexp_replace("main_cnae_code", "7$", "x"))
+    v = S.events(spark, d).withColumn("new_value", F.when(F.col("event_type") != "PARTNER_ADDED", F.col("new_value")))
     broken = contracts.violations(e, F.col("cnpj"), quality.domain_rules("establishment")).unionByName(contracts.violations(v, F.col("entity_key"), quality.domain_rules("event")))
     return broken.groupBy("rule_code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ambiguous_partners", A.sql("SELECT competence, 'AMBIGUOUS_PARTNER' AS rule_code, cnpj_basic || '/' || partner_key AS entity_key, 2::BIGINT AS kinds FROM partner WHERE qualification_code = 'R'"))
 def ambiguous_partners(spark, d):
-    p = A.partners(spark, d)
+    p = S.partners(spark, d)
     other = p.filter("qualification_code = 'R'").withColumn("record_hash", F.sha2("record_hash", 256))
     return quality.first_of_ambiguous(p.unionByName(other))[1]
 
@@ -225,13 +226,13 @@ def warning_parse(spark, d):
 
 @query("address_normalise", A.sql("SELECT DISTINCT street_name, street_number, upper(strip_accents(street_name)) AS street, CASE WHEN street_number = '0' THEN '0' ELSE ltrim(street_number, '0') END AS number, postal_code AS postal FROM est"))
 def address_normalise(spark, d):
-    rows = A.establishments(spark, d).select("street_name", "street_number", "postal_code").distinct()
+    rows = S.establishments(spark, d).select("street_name", "street_number", "postal_code").distinct()
     return rows.select("street_name", "street_number", text.address_text(F.concat(F.lit(" "), "street_name", F.lit("."))).alias("street"), text.address_number(F.concat(F.lit("000"), "street_number")).alias("number"), text.address_postal_code(F.concat(F.substring("postal_code", 1, 5), F.lit("-"), F.substring("postal_code", 6, 3))).alias("postal")).distinct()
 
 
 @query("tax_profile", A.sql("SELECT tax, count(*) AS n FROM (SELECT CASE WHEN mei_optant THEN 'MEI' WHEN simples_optant THEN 'SIMPLES' ELSE 'REGULAR' END AS tax FROM company) GROUP BY 1"))
 def tax_profile(spark, d):
-    return A.companies(spark, d).select(show.tax_profile(F.col("simples_optant"), F.col("mei_optant")).alias("tax")).groupBy("tax").agg(F.count(F.lit(1)).alias("n"))
+    return S.companies(spark, d).select(show.tax_profile(F.col("simples_optant"), F.col("mei_optant")).alias("tax")).groupBy("tax").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ratios", "SELECT l_orderkey, n, q, CAST((n * 20000 + q) // nullif(2 * q, 0) / 100 AS DECIMAL(18,2)) AS ratio FROM (SELECT l_orderkey, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY 1)")
@@ -255,14 +256,14 @@ _STATUS = "CASE registration_status_code WHEN '02' THEN 'Ativa (02)' WHEN '03' T
 
 @query("code_labels", A.sql(f"SELECT {_STATUS} AS status, CASE branch_type WHEN '1' THEN 'Matriz' ELSE 'Filial' END AS branch, count(*) AS n FROM est GROUP BY 1, 2"))
 def code_labels(spark, d):
-    rows = A.establishments(spark, d).select(show.status_label(F.col("registration_status_code")).alias("status"), show.label(F.col("branch_type"), show.BRANCHES, F.col("branch_type")).alias("branch"))
+    rows = S.establishments(spark, d).select(show.status_label(F.col("registration_status_code")).alias("status"), show.label(F.col("branch_type"), show.BRANCHES, F.col("branch_type")).alias("branch"))
     return rows.groupBy("status", "branch").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("opening_range", A.sql("SELECT competence, CAST(competence - INTERVAL 2 MONTH AS DATE) AS first_day, last_day(competence) AS last_day, count(*) AS n FROM est GROUP BY 1"))
 def opening_range(spark, d):
     first, last = show.opening_range(F.col("competence"), 3)
-    return A.establishments(spark, d).groupBy("competence").agg(F.count(F.lit(1)).alias("n")).select("competence", first.alias("first_day"), last.alias("last_day"), "n")
+    return S.establishments(spark, d).groupBy("competence").agg(F.count(F.lit(1)).alias("n")).select("competence", first.alias("first_day"), last.alias("last_day"), "n")
 
 
 @query("month_spine", A.sql("SELECT competence, count(od) AS orders FROM months LEFT JOIN (SELECT CAST(date_trunc('month', od) AS DATE) AS competence, od FROM o) USING (competence) GROUP BY 1"))
@@ -276,32 +277,45 @@ def scope_hash(spark, d):
     return keys.scope_hash(A.table(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 4, "0").alias("tom"), "n_name"), "tom", "n_name")
 
 
-_BUCKETS = "SELECT bucket, count(*) AS n, sha256(string_agg(digest, '' ORDER BY digest)) AS h FROM (SELECT sha256(cnpj) AS digest, CAST('0x' || sha256(cnpj)[1:2] AS INTEGER) % 64 AS bucket FROM (SELECT DISTINCT cnpj FROM est WHERE is_in_region)) GROUP BY 1"
+def _sums(digest: str) -> str:
+    words = " || ':' || ".join(f"coalesce(sum(('0x' || {digest}[{1 + 16 * i}:{16 + 16 * i}])::UBIGINT), 0)::VARCHAR" for i in range(4))
+    return f"sha256(count(*)::VARCHAR || ':' || {words})"
 
 
-@query("cohort_hash", A.sql(f"SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, '' ORDER BY bucket)) AS set_hash FROM ({_BUCKETS})"))
+@query("cohort_hash", A.sql(f"SELECT count(*) AS n, {_sums('digest')} AS set_hash FROM (SELECT sha256(cnpj) AS digest FROM (SELECT DISTINCT cnpj FROM est WHERE is_in_region))"))
 def cohort_hash(spark, d):
     return keys.set_hash(found(spark, d), F.col("cnpj"))
 
 
-_FOLD = "SELECT competence, sum(n)::BIGINT AS rows, sha256(string_agg(h, '' ORDER BY fold)) AS content_hash FROM (SELECT competence, record_hash[1:2] AS fold, count(*) AS n, sha256(string_agg(record_hash, '' ORDER BY record_hash)) AS h FROM {} GROUP BY 1, 2) GROUP BY 1"
+@query("package_manifest", A.sql(f"SELECT competence, 'companies' AS table_name, count(*) AS rows, {_sums('record_hash')} AS content_hash FROM company GROUP BY 1 UNION ALL SELECT competence, 'establishments', count(*), {_sums('record_hash')} FROM est GROUP BY 1"))
+def package_manifest(spark, d):
+    return sinks.manifest({"companies": S.companies(spark, d), "establishments": S.establishments(spark, d)})
 
 
-@query("package_manifest", A.sql(f"SELECT competence, 'companies' AS table_name, rows, content_hash FROM ({_FOLD.format('company')}) UNION ALL SELECT competence, 'establishments', rows, content_hash FROM ({_FOLD.format('est')})"))
-def package_manifest(spark, d):
-    return sinks.manifest({"companies": A.companies(spark, d), "establishments": A.establishments(spark, d)})
+@query("window_problems", A.sql("""SELECT competence, 'content_hash:companies' AS problem FROM months WHERE competence = DATE '1998-04-01' UNION ALL SELECT competence, 'row_count:establishments' FROM est WHERE competence = DATE '1998-06-01' GROUP BY 1
+UNION ALL SELECT competence, 'missing_table:establishments' FROM est WHERE competence = DATE '1998-09-01' GROUP BY 1 UNION ALL SELECT DATE '1998-07-01', 'identity:cohort' UNION ALL SELECT DATE '1998-11-01', 'missing_month'"""))
+def window_problems(spark, d):
+    """Packages spoilt on purpose: a changed row, a lost row, a lost table, another cohort and a month without a package."""
+    c, e = S.companies(spark, d), S.establishments(spark, d)
+    offered = sinks.manifest({"companies": c, "establishments": e})
+    first = c.agg(F.min("cnpj_basic")).first()[0]
+    spoilt = c.withColumn("record_hash", F.when((F.col("competence") == F.lit("1998-04-01")) & (F.col("cnpj_basic") == F.lit(first)), F.sha2("record_hash", 256)).otherwise(F.col("record_hash")))
+    one = e.filter("competence = DATE '1998-06-01'").agg(F.min("cnpj")).first()[0]
+    fewer = e.filter((F.col("competence") != F.lit("1998-09-01")) & ((F.col("competence") != F.lit("1998-06-01")) | (F.col("cnpj") != F.lit(one))))
+    packages = A.months(spark).filter("competence <> DATE '1998-11-01'").select("competence", F.lit("s").alias("scope"), F.when(F.col("competence") == F.lit("1998-07-01"), "other").otherwise("c").alias("cohort"))
+    return sinks.window_problems(offered, sinks.manifest({"companies": spoilt, "establishments": fewer}), {"scope": "s", "cohort": "c"}, packages)
 
 
 @query("dimension_upsert", A.sql(f"SELECT cnpj_basic, legal_name, share_capital FROM company WHERE competence = {T} UNION ALL SELECT cnpj_basic, legal_name, share_capital FROM company WHERE competence = DATE '1998-01-01' AND cnpj_basic NOT IN (SELECT cnpj_basic FROM company WHERE competence = {T})"))
 def dimension_upsert(spark, d):
-    c = A.companies(spark, d)
+    c = S.companies(spark, d)
     at = lambda day: c.filter(F.col("competence") == F.lit(day).cast("date")).select("cnpj_basic", "legal_name", "share_capital")
     return pages.upsert(at(A.FIRST), at(A.LAST), ["cnpj_basic"])
 
 
 @query("dimension_conflicts", A.sql(f"SELECT a.cnpj_basic, a.company_size_code, b.company_size_code AS new_company_size_code FROM company a JOIN company b ON a.cnpj_basic = b.cnpj_basic AND a.competence = DATE '1998-01-01' AND b.competence = {T} WHERE a.company_size_code IS DISTINCT FROM b.company_size_code"))
 def dimension_conflicts(spark, d):
-    c = A.companies(spark, d)
+    c = S.companies(spark, d)
     at = lambda day: c.filter(F.col("competence") == F.lit(day).cast("date")).select("cnpj_basic", "company_size_code")
     return pages.conflicts(at(A.FIRST), at(A.LAST), ["cnpj_basic"], ["company_size_code"])
 
@@ -323,4 +337,125 @@ def set_equality(spark, d):
 
 @query("eligible_addresses", A.sql("SELECT competence, count(*) AS n FROM est WHERE is_in_region AND registration_status_code = '02' GROUP BY 1"))
 def eligible_addresses(spark, d):
-    return geo.eligible(A.establishments(spark, d)).groupBy("competence").agg(F.count(F.lit(1)).alias("n"))
+    return geo.eligible(S.establishments(spark, d)).groupBy("competence").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- the snapshot build, from raw shapes of the snapshots
+
+
+def _sd(c: str):
+    """A date as the source writes it; none is zeros."""
+    return F.coalesce(F.date_format(c, "yyyyMMdd"), F.lit("00000000"))
+
+
+def _last(c: str, digit: str):
+    return F.substring(c, 8, 1) == digit
+
+
+def raw_companies(spark, d):
+    """Padded roots in lower case, amounts with commas, names with document numbers or nothing else, and regimes apart; some companies have none, some two."""
+    c = S.companies(spark, d)
+    root = F.concat(F.lit(" "), F.lower("cnpj_basic"), F.lit(" "))
+    name = F.when(_last("cnpj_basic", "3"), "123.456.789-09").when(_last("cnpj_basic", "4"), F.concat(F.lit(" "), "legal_name", F.lit(" ***456789**"))).otherwise(F.col("legal_name"))
+    raw = c.select(root.alias("cnpj_basic"), name.alias("legal_name"), F.concat("legal_nature_code", F.lit(" ")).alias("legal_nature_code"), F.replace(F.col("share_capital").cast("string"), F.lit("."), F.lit(",")).alias("share_capital"), F.when(~_last("cnpj_basic", "5"), F.col("company_size_code")).otherwise(" ").alias("company_size_code"), "competence")
+    flag = lambda n: F.when(F.col(n), " s").otherwise("N")
+    regimes = c.filter(~_last("cnpj_basic", "6")).select("cnpj_basic", *[x for p in ("simples", "mei") for x in (flag(f"{p}_optant").alias(f"{p}_optant"), _sd(f"{p}_option_date").alias(f"{p}_option_date"), _sd(f"{p}_exclusion_date").alias(f"{p}_exclusion_date"))], "competence")
+    earlier = regimes.filter(_last("cnpj_basic", "7")).withColumn("simples_optant", F.lit(""))
+    return raw, regimes.unionByName(earlier)
+
+
+_NAMED = "CASE WHEN cnpj_basic[8:8] = '3' THEN 'NOME SUPRIMIDO' ELSE legal_name END"
+_REGIME = ", ".join(f"CASE WHEN cnpj_basic[8:8] <> '6' THEN {c} END AS {c}" for c in ("simples_optant", "simples_option_date", "simples_exclusion_date", "mei_optant", "mei_option_date", "mei_exclusion_date"))
+_BUILT = f"built AS (SELECT cnpj_basic, {_NAMED} AS legal_name, CASE WHEN cnpj_basic[8:8] = '3' THEN 'nome suprimido' ELSE legal_name_search END AS legal_name_search, legal_nature_code, share_capital, CASE WHEN cnpj_basic[8:8] <> '5' THEN company_size_code END AS company_size_code, {_REGIME}, competence FROM company)"
+
+
+@query("build_companies", A.sql(f"SELECT *, sha256({A._json(A.C)}) AS record_hash FROM built r", _BUILT))
+def build_companies(spark, d):
+    raw, regimes = raw_companies(spark, d)
+    cohort.refuse(cohort.company_offences(raw, regimes))
+    return cohort.company_snapshots(raw, regimes)
+
+
+@query("company_offences", A.sql("SELECT 'BAD_COMPANY_ROOT' AS rule_code, count(*) FILTER (WHERE cnpj_basic[8:8] = '1') AS n FROM company UNION ALL SELECT 'BAD_DECIMAL:share_capital', count(*) FILTER (WHERE cnpj_basic[8:8] = '2') FROM company UNION ALL SELECT 'BAD_FLAG:mei_optant', count(*) FILTER (WHERE cnpj_basic[8:8] = '3') FROM company UNION ALL SELECT 'BAD_DATE:simples_option_date', count(*) FILTER (WHERE cnpj_basic[8:8] = '4') FROM company UNION ALL SELECT 'REPEATED_COMPANY', count(*) FILTER (WHERE cnpj_basic[8:8] = '5') FROM company"))
+def company_offences(spark, d):
+    """Raw companies spoilt on purpose."""
+    raw, regimes = raw_companies(spark, d)
+    kind = F.substring(F.trim("cnpj_basic"), 8, 1)
+    bad = raw.withColumns({"share_capital": F.when(kind == "2", "1,x").otherwise(F.col("share_capital")), "cnpj_basic": F.when(kind == "1", F.concat("cnpj_basic", F.lit("*"))).otherwise(F.col("cnpj_basic"))})
+    spoilt = regimes.filter(kind != "7").withColumns({"mei_optant": F.when(kind == "3", "X").otherwise(F.col("mei_optant")), "simples_option_date": F.when(kind == "4", "19981399").otherwise(F.col("simples_option_date"))})
+    found = cohort.company_offences(bad.unionByName(raw.filter(kind == "5")), spoilt.filter(kind != "5"))
+    return found.groupBy("rule_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _base(e: str) -> str:
+    return f"{e}.cnpj[1:12]"
+
+
+_FULL1 = "full1 AS (SELECT est.*, " + _base("est") + " || " + _check("cnpj", ids.FIRST) + " AS more FROM est)"
+_FULL2 = "full2 AS (SELECT * EXCLUDE (cnpj, more, record_hash, registration_status_date, street_name, trade_name, trade_name_search), more || " + _check("more", ids.SECOND) + " AS cnpj, registration_status_date, street_name, trade_name, trade_name_search FROM full1)"
+
+
+def raw_establishments(spark, d):
+    """Ids in three parts with their right check digits, dates as text, blanks around texts, and nothing that the catalogues say."""
+    e = S.establishments(spark, d)
+    base = F.substring("cnpj", 1, 12)
+    digit = lambda c, w: ids._digit(c, w).cast("string")
+    e = e.withColumn("d1", digit(base, ids.FIRST)).withColumn("d2", digit(F.concat(base, "d1"), ids.SECOND))
+    plain = ["branch_type", "registration_status_code", "street_type", "street_number", "address_complement", "neighborhood", "postal_code", "main_cnae_code"]
+    return e.select(
+        F.concat(F.lit(" "), "cnpj_basic").alias("cnpj_basic"), F.substring("cnpj", 9, 4).alias("cnpj_order"), F.concat("d1", "d2", F.lit(" ")).alias("cnpj_digits"), F.concat("trade_name", F.lit(" 12345678909")).alias("trade_name"), _sd("registration_status_date").alias("registration_status_date"), F.lit("  ").alias("registration_status_reason_code"),
+        F.date_format("activity_start_date", "yyyyMMdd").alias("activity_start_date"), F.concat(F.lit(" "), "street_name", F.lit(" ")).alias("street_name"), *plain, "state_code", F.concat("municipality_tom_code", F.lit(" ")).alias("municipality_tom_code"), "competence",
+    )
+
+
+def catalogues(spark, d):
+    n = A.nations(spark, d)
+    return n.select("tom", F.col("city").alias("name")), n.select(text.search_text(F.col("city")).alias("name_search"), "uf", "ibge", F.col("city").alias("name"))
+
+
+@query("build_establishments", A.sql(f"SELECT *, sha256({A._json(A.E)}) AS record_hash FROM full2 r", _FULL1, _FULL2))
+def build_establishments(spark, d):
+    raw, known = raw_establishments(spark, d), catalogues(spark, d)
+    cohort.refuse(cohort.establishment_offences(raw, *known, region(spark, d), raw_companies(spark, d)[0]))
+    return cohort.establishment_snapshots(raw, *known, region(spark, d))
+
+
+@query("establishment_offences", A.sql("SELECT 'BAD_ESTABLISHMENT_ID' AS rule_code, count(*) FILTER (WHERE cnpj_basic[8:8] = '1') AS n FROM est UNION ALL SELECT 'UNKNOWN_MUNICIPALITY', count(*) FILTER (WHERE municipality_name = 'NATION_3') FROM est UNION ALL SELECT 'BAD_DATE:activity_start_date', count(*) FILTER (WHERE cnpj_basic[8:8] = '2') FROM est UNION ALL SELECT 'COMPANY_MISSING', count(DISTINCT (cnpj_basic, competence)) FROM est WHERE cnpj_basic[8:8] = '5'"))
+def establishment_offences(spark, d):
+    """Raw establishments spoilt on purpose, companies taken away, and a catalogue without one of its municipalities."""
+    kind = F.substring(F.trim("cnpj_basic"), 8, 1)
+    raw = raw_establishments(spark, d).withColumns({"cnpj_digits": F.when(kind == "1", "0x").otherwise(F.col("cnpj_digits")), "activity_start_date": F.when(kind == "2", "1998").otherwise(F.col("activity_start_date"))})
+    names, known = catalogues(spark, d)
+    found = cohort.establishment_offences(raw, names, known.filter("name <> 'NATION_3'"), region(spark, d), raw_companies(spark, d)[0].filter(kind != "5"))
+    return found.groupBy("rule_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def raw_partners(spark, d):
+    """Codes for types, ids of companies in full form, and of some keys a second row with another name and content, which sorts last."""
+    p = A.partner_rows(spark, d)
+    code = F.when(F.col("partner_type") == "PJ", "1").when(F.col("partner_type") == "PF", "2").otherwise("3")
+    raw = p.select("cnpj_basic", code.alias("partner_type_code"), "display_name", "source_id", "country_code", "qualification_code", _sd("entry_date").alias("entry_date"), "competence")
+    keyed = raw.filter("source_id IS NOT NULL AND partner_type_code <> '3' AND qualification_code = 'R'")
+    return raw.unionByName(keyed.withColumn("display_name", F.concat("display_name", F.lit(" ZZ"))).withColumn("entry_date", F.lit("19990101")))
+
+
+@query("build_partners", A.sql("SELECT * FROM partner"))
+def build_partners(spark, d):
+    raw = raw_partners(spark, d)
+    cohort.refuse(cohort.partner_offences(raw))
+    return cohort.partner_snapshots(raw, A.SECRET)[0]
+
+
+@query("partner_warnings", A.sql("""SELECT rule_code, count(*) AS n FROM (
+SELECT competence, 'AMBIGUOUS_PARTNER' AS rule_code, cnpj_basic || '/' || partner_key AS entity_key FROM partner2 WHERE qualification_code = 'R' AND display_name IN (SELECT 'SÓCIO ' || l_suppkey FROM lineitem WHERE l_suppkey % 5 <> 4) AND partner_type <> 'FOREIGN'
+UNION SELECT competence, 'PF_WITHOUT_SOURCE_IDENTIFIER', cnpj_basic FROM partner1 WHERE partner_type = 'PF' AND source_id IS NULL UNION SELECT competence, 'PJ_WITHOUT_VALID_CNPJ', cnpj_basic FROM partner1 WHERE partner_type = 'PJ' AND source_id IS NULL) GROUP BY 1"""))
+def partner_warnings(spark, d):
+    return cohort.partner_snapshots(raw_partners(spark, d), A.SECRET)[1].groupBy("rule_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("partner_offences", A.sql("SELECT 'UNKNOWN_PARTNER_TYPE' AS rule_code, count(*) FILTER (WHERE partner_type = 'FOREIGN') AS n FROM partner UNION ALL SELECT 'BAD_DATE:entry_date', count(*) FILTER (WHERE partner_type = 'PF') FROM partner"))
+def partner_offences(spark, d):
+    """Raw partners spoilt on purpose."""
+    p = raw_partners(spark, d).filter("display_name NOT LIKE '% ZZ'")
+    bad = p.withColumn("entry_date", F.when(F.col("partner_type_code") == "2", "2x").otherwise(F.col("entry_date"))).withColumn("partner_type_code", F.when(F.col("partner_type_code") == "3", "9").otherwise(F.col("partner_type_code")))
+    return cohort.partner_offences(bad).groupBy("rule_code").agg(F.count(F.lit(1)).alias("n"))

@@ -7,33 +7,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import show
 from tidemark.operators import geo, maps
 from tidemark.plans import adapter as A
-from tidemark.plans.changes import events_sql, establishment_events
+from tidemark.plans import store as S
+from tidemark.plans.changes import events_sql
 from tidemark.plans.registry import query
 
 NOW, BEFORE = date(1998, 9, 1), date(1998, 8, 1)
 N, B = "DATE '1998-09-01'", "DATE '1998-08-01'"
 
 
-def reference(spark, d):
-    """Address candidates from the distinct parts that suppliers ship; some parts have none, some lie far apart."""
-    sold = A.table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct().filter("l_partkey % 11 <> 0")
-    at = sold.join(A.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(A.nations(spark, d)), F.col("s_nationkey") == F.col("n_nationkey"))
-    part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    far = F.when(part % 13 == 0, 900).otherwise(0)
-    lat = (F.lit(-20000000) + F.col("n_nationkey") * 50000 + supp % 40 * 1000 + part % 30 * 10 + part % 3 * 3 + far) / 1e6
-    lon = (F.lit(-48000000) + F.col("n_nationkey") * 40000 + supp % 40 * 1000 + part % 30 * 12 + part % 4 * 2 + far) / 1e6
-    number = lambda c: c.cast("long").cast("string")
-    return at.select("ibge", number(F.lit(30000000) + supp % 40 * 100 + part % 3).alias("postal"), F.when(part % 2 == 0, "DOUTOR").otherwise("").alias("title"), F.concat(F.lit("RUA SAO "), number(supp % 40)).alias("street"), number(part % 30).alias("number"), F.concat(F.lpad(number(supp), 8, "0"), F.lpad(number(part), 8, "0")).alias("address_code"), lat.alias("latitude"), lon.alias("longitude"), (part % 6 + 1).cast("int").alias("level"))
-
-
-def resolutions(spark, d):
-    return geo.resolve(geo.distinct_addresses(geo.eligible(A.establishments(spark, d))), reference(spark, d))
-
-
-def observations(spark, d):
-    return geo.observations(A.establishments(spark, d), A.companies(spark, d), resolutions(spark, d))
-
-
 def population(spark, d):
     people = A.table(spark, d, "customer").join(F.broadcast(A.nations(spark, d)), F.col("c_nationkey") == F.col("n_nationkey"))
     return people.groupBy(F.col("ibge").alias("municipality")).agg((F.count(F.lit(1)) * 1000).alias("population")).select("municipality", F.lit(2022).alias("year"), F.lit("census").alias("source"), "population")
@@ -97,12 +78,12 @@ def geo_sql(body: str, *more: str) -> str:
 
 @query("distinct_addresses", geo_sql("SELECT * FROM addresses"))
 def distinct_addresses(spark, d):
-    return geo.distinct_addresses(geo.eligible(A.establishments(spark, d)))
+    return geo.distinct_addresses(geo.eligible(S.establishments(spark, d)))
 
 
 @query("candidate_dedupe", geo_sql("SELECT * FROM adr_b"))
 def candidate_dedupe(spark, d):
-    return geo.best_level(geo.unique_points(geo.by_alias(reference(spark, d)), geo.ADDRESS), geo.ADDRESS)
+    return geo.best_level(geo.unique_points(geo.by_alias(S.reference(spark, d)), geo.ADDRESS), geo.ADDRESS)
 
 
 def best(spark, d):
@@ -116,18 +97,18 @@ def representative_point(spark, d):
 
 @query("address_dispersion", geo_sql("SELECT ibge, postal, n, round(dispersion, 2) AS dispersion FROM pos_d"))
 def address_dispersion(spark, d):
-    points = geo.unique_points(geo.by_postal_code(reference(spark, d)), geo.POSTAL)
+    points = geo.unique_points(geo.by_postal_code(S.reference(spark, d)), geo.POSTAL)
     return geo.dispersion(points, geo.POSTAL).withColumn("dispersion", F.round("dispersion", 2))
 
 
 @query("address_resolution", geo_sql("SELECT * FROM res"))
 def address_resolution(spark, d):
-    return resolutions(spark, d)
+    return S.resolved(spark, d)
 
 
 @query("observations", geo_sql("SELECT * FROM obs"))
 def all_observations(spark, d):
-    return observations(spark, d)
+    return geo.observations(S.establishments(spark, d), S.companies(spark, d), S.resolutions(spark, d))
 
 
 _SUM = """SELECT count(*) AS establishments, count(DISTINCT cnpj_basic) AS companies, count(DISTINCT municipality) AS municipalities, count(*) FILTER (WHERE method = 'ADDRESS') AS by_address, count(*) FILTER (WHERE method = 'POSTAL_CODE') AS by_postal_code, count(*) FILTER (WHERE method = 'UNLOCATED') AS unlocated,
@@ -142,7 +123,7 @@ def per(a: str, b: str, times: int) -> str:
 
 @query("map_summary", geo_sql(_SUM.format("sel")))
 def map_summary(spark, d):
-    return maps.summary(maps.selected(observations(spark, d), maps.Selection(NOW)))
+    return maps.summary(maps.selected(S.observations(spark, d), maps.Selection(NOW)))
 
 
 _FILTER = f"competence = {N} AND municipality = '3100000' AND branch_type = '1' AND tax_profile = 'REGULAR' AND activity_start_date BETWEEN CAST({N} - INTERVAL 11 MONTH AS DATE) AND last_day({N})"
@@ -151,11 +132,11 @@ _FILTER = f"competence = {N} AND municipality = '3100000' AND branch_type = '1'
 @query("observation_filter", geo_sql(f"SELECT cnpj, cnae_code, size_code, level FROM obs WHERE {_FILTER}"))
 def observation_filter(spark, d):
     chosen = maps.Selection(NOW, municipality="3100000", branch_type="1", tax_profile="REGULAR", opening_months=12)
-    return maps.selected(observations(spark, d), chosen).select("cnpj", "cnae_code", "size_code", "level")
+    return maps.selected(S.observations(spark, d), chosen).select("cnpj", "cnae_code", "size_code", "level")
 
 
 def now(spark, d):
-    return maps.selected(observations(spark, d), maps.Selection(NOW))
+    return maps.selected(S.observations(spark, d), maps.Selection(NOW))
 
 
 _BOX = (-47.9, -19.95, -47.3, -19.2)
@@ -182,12 +163,12 @@ UNION ALL SELECT {{0}}, 'c' FROM obs WHERE competence = {B} AND cnpj IN (SELECT
 
 @query("dynamics_municipality", events_sql(_DYN.format("municipality"), *GEO))
 def dynamics_municipality(spark, d):
-    return maps.dynamics(observations(spark, d), establishment_events(spark, d), maps.Selection(NOW, mode="dynamics"), BEFORE, "municipality")
+    return maps.dynamics(S.observations(spark, d), S.events(spark, d), maps.Selection(NOW, mode="dynamics"), BEFORE, "municipality")
 
 
 @query("dynamics_cnae", events_sql(_DYN.format("cnae_code") + " ORDER BY abs(stock_change) DESC, stock_change DESC, key LIMIT 10", *GEO))
 def dynamics_cnae(spark, d):
-    return maps.movement_ranking(maps.dynamics(observations(spark, d), establishment_events(spark, d), maps.Selection(NOW, mode="dynamics"), BEFORE, "cnae_code"))
+    return maps.movement_ranking(maps.dynamics(S.observations(spark, d), S.events(spark, d), maps.Selection(NOW, mode="dynamics"), BEFORE, "cnae_code"))
 
 
 @query("stock_ranking", geo_sql("SELECT cnae_code, count(*) AS total FROM sel WHERE coalesce(cnae_code, '') <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"))
@@ -223,24 +204,36 @@ def adaptive_level(spark, d):
     return groups.agg(F.count(F.lit(1)).alias("groups"), F.sum("total").alias("total")).select(F.lit(level).alias("level_shown"), "groups", "total")
 
 
-_SPOT = "spot AS (SELECT latitude, longitude FROM sel WHERE latitude IS NOT NULL GROUP BY 1, 2 ORDER BY count(*) DESC, 1, 2 LIMIT 1)"
+_SPOT = "spot AS (SELECT latitude, longitude, method, level FROM sel WHERE latitude IS NOT NULL GROUP BY 1, 2, 3, 4 ORDER BY count(*) DESC, 1, 2, 3, 4 LIMIT 1)"
+_CNAE = "cat AS (SELECT lpad(regexp_replace(p_brand, '[^0-9]', '', 'g'), 7, '0') AS cnae_code, min(p_brand) AS description FROM part GROUP BY 1)"
+
+
+def catalogue(spark, d):
+    """Brands as activities."""
+    code = F.lpad(F.regexp_replace("p_brand", "[^0-9]", ""), 7, "0")
+    return A.table(spark, d, "part").groupBy(code.alias("code")).agg(F.min("p_brand").alias("description"))
 
 
-@query("location_details", geo_sql("""SELECT s.cnpj, s.cnpj_basic, s.competence, s.cnae_code, CAST(place AS INTEGER) AS place, 1 AS page_number, CAST(ceil(total / 25.0) AS INTEGER) AS pages, CAST(total AS INTEGER) AS total, trade_name, legal_name
-FROM (SELECT sel.*, row_number() OVER (ORDER BY cnpj) AS place, count(*) OVER () AS total FROM sel JOIN spot USING (latitude, longitude)) s LEFT JOIN est USING (cnpj, competence) LEFT JOIN company c ON c.cnpj_basic = s.cnpj_basic AND c.competence = s.competence WHERE place <= 25""", _SPOT))
+@query("location_details", geo_sql("""SELECT s.* EXCLUDE (place, total), CAST(place AS INTEGER) AS place, 1 AS page_number, CAST(ceil(total / 25.0) AS INTEGER) AS pages, CAST(total AS INTEGER) AS total, trade_name, legal_name, coalesce(cnae_code[1:4] || '-' || cnae_code[5:5] || '/' || cnae_code[6:7] || ' — ' || description, '') AS cnae_label
+FROM (SELECT sel.competence, sel.cnpj, sel.cnpj_basic, sel.municipality_name, sel.cnae_code, sel.branch_type, method, level, row_number() OVER (ORDER BY cnpj) AS place, count(*) OVER () AS total FROM sel JOIN spot USING (latitude, longitude, method, level)) s
+LEFT JOIN est USING (cnpj, competence) LEFT JOIN company c ON c.cnpj_basic = s.cnpj_basic AND c.competence = s.competence LEFT JOIN cat USING (cnae_code) WHERE place <= 25""", _SPOT, _CNAE))
 def location_details(spark, d):
+    """Of the point, method and level with most establishments."""
     rows = now(spark, d)
-    spot = rows.filter("latitude IS NOT NULL").groupBy("latitude", "longitude").count().orderBy(F.desc("count"), "latitude", "longitude").first()
+    spot = rows.filter("latitude IS NOT NULL").groupBy("latitude", "longitude", "method", "level").count().orderBy(F.desc("count"), "latitude", "longitude", "method", "level").first()
     at = (str(spot.latitude), str(spot.longitude)) if spot else ("0", "0")
-    return maps.location_details(rows, *at, A.establishments(spark, d), A.companies(spark, d))
+    return maps.location_details(rows, *at, S.establishments(spark, d), S.companies(spark, d), catalogue(spark, d), method=spot and spot.method, level=spot and spot.level)
 
 
 @query("map_quality_gate", geo_sql("""SELECT 'total' AS scope, 'all' AS key, count(*) AS eligible, count(*) FILTER (WHERE method <> 'UNLOCATED') AS located, eligible * 0.9 <= located AS passed FROM obs
-UNION ALL SELECT 'municipality', municipality, count(*), count(*) FILTER (WHERE method <> 'UNLOCATED') AS l, count(*) * 0.7 <= l FROM obs GROUP BY 2
+UNION ALL SELECT 'municipality', s.municipality, count(o.cnpj), count(*) FILTER (WHERE method <> 'UNLOCATED') AS l, count(o.cnpj) * 0.7 <= l FROM scope_ s LEFT JOIN obs o USING (municipality) GROUP BY 2
 UNION ALL SELECT 'month', CAST(competence AS VARCHAR), e, l, coalesce(lag(l / e) OVER (ORDER BY competence) - l / e <= 0.05, true) FROM (SELECT competence, count(*) AS e, count(*) FILTER (WHERE method <> 'UNLOCATED') AS l FROM obs GROUP BY 1)
-UNION ALL SELECT 'structure', 'points that don''t fit their method', count(*), 0, true FROM obs"""))
+UNION ALL SELECT 'structure', 'points that don''t fit their method', count(*), 0, true FROM obs UNION ALL SELECT 'structure', 'companies of other establishments', count(*), 0, true FROM obs
+UNION ALL SELECT 'structure', 'municipalities outside the scope', count(*), 0, true FROM scope_ UNION ALL SELECT 'structure', 'observations for eligible establishments', (SELECT count(*) FROM elg), abs((SELECT count(*) FROM elg) - count(*)), (SELECT count(*) FROM elg) = count(*) FROM obs
+UNION ALL SELECT 'structure', 'months of the window', count(DISTINCT competence), (SELECT count(*) FROM months) - count(DISTINCT competence), count(DISTINCT competence) = (SELECT count(*) FROM months) FROM obs"""))
 def map_quality_gate(spark, d):
-    return geo.quality_report(observations(spark, d))
+    wanted = geo.eligible(S.establishments(spark, d))
+    return geo.quality_report(S.observations(spark, d), expected=wanted, months=A.months(spark), scope=scope(spark, d))
 
 
 @query("feature_table", geo_sql(f"SELECT s.municipality, coalesce(total, 0) AS total, coalesce(companies, 0) AS companies, coalesce(located, 0) AS located, population, {per('coalesce(total, 0)', 'population', 1000)} AS per_1000 FROM scope_ s LEFT JOIN (SELECT municipality, count(*) AS total, count(DISTINCT cnpj_basic) AS companies, count(*) FILTER (WHERE method <> 'UNLOCATED') AS located FROM sel GROUP BY 1) USING (municipality) LEFT JOIN pop USING (municipality)"))

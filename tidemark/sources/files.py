@@ -78,8 +78,17 @@ BOUNDS = (-52.5, -23.5, -39.0, -13.0)
 ADDRESS_COLUMNS = "COD_UNICO_ENDERECO COD_MUNICIPIO CEP NOM_TITULO_SEGLOGR NOM_SEGLOGR NUM_ENDERECO LATITUDE LONGITUDE NV_GEO_COORD".split()
 
 
+def refuse(bad: DataFrame, what: str) -> None:
+    """Raise if there are bad rows (where, problem), with a few of them."""
+    if few := bad.limit(5).collect():
+        raise ValueError(f"{what}: " + "; ".join(f"{r.problem} in {r.where}" for r in few))
+
+
 def address_reference(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Candidates of operators.geo from one file for each municipality, named by its code; rows that don't parse or lie elsewhere go."""
+    """Candidates of operators.geo from one file for each municipality, named by its code.
+
+    An error on rows of other municipalities than their file's, without a code, or whose point or level doesn't parse, or
+    lies outside BOUNDS or 1 to 6."""
     raw = spark.read.csv(path, sep=";", header=True, inferSchema=False)
     missing = [c for c in ADDRESS_COLUMNS if c not in raw.columns]
     if missing:
@@ -87,8 +96,16 @@ def address_reference(spark: SparkSession, path: str | list[str]) -> DataFrame:
     stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
     lat, lon, level = F.col("LATITUDE").try_cast("double"), F.col("LONGITUDE").try_cast("double"), F.col("NV_GEO_COORD").try_cast("int")
     west, south, east, north = BOUNDS
-    kept = raw.filter((F.col("COD_MUNICIPIO") == stem) & lon.between(west, east) & lat.between(south, north) & level.between(1, 6) & (F.trim("COD_UNICO_ENDERECO") != ""))
-    return kept.select(F.col("COD_MUNICIPIO").alias("ibge"), F.col("CEP").alias("postal"), F.coalesce("NOM_TITULO_SEGLOGR", F.lit("")).alias("title"), F.coalesce("NOM_SEGLOGR", F.lit("")).alias("street"), F.coalesce("NUM_ENDERECO", F.lit("")).alias("number"), F.trim("COD_UNICO_ENDERECO").alias("address_code"), lat.alias("latitude"), lon.alias("longitude"), level.alias("level"))
+    city, code = F.trim(F.coalesce("COD_MUNICIPIO", F.lit(""))), F.trim(F.coalesce("COD_UNICO_ENDERECO", F.lit("")))
+    problem = (
+        F.when(city != stem, F.concat(F.lit("municipality "), city))
+        .when(lat.isNull() | lon.isNull() | level.isNull(), "a point or level that doesn't parse")
+        .when(~(lon.between(west, east) & lat.between(south, north)), "a point out of bounds")
+        .when(~level.between(1, 6), "a level out of bounds")
+        .when(code == "", "no address code")
+    )
+    refuse(raw.select(F.input_file_name().alias("where"), problem.alias("problem")).filter("problem IS NOT NULL"), "address reference")
+    return raw.select(city.alias("ibge"), F.col("CEP").alias("postal"), F.coalesce("NOM_TITULO_SEGLOGR", F.lit("")).alias("title"), F.coalesce("NOM_SEGLOGR", F.lit("")).alias("street"), F.coalesce("NUM_ENDERECO", F.lit("")).alias("number"), code.alias("address_code"), lat.alias("latitude"), lon.alias("longitude"), level.alias("level"))
 
 
 def boundaries(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -109,18 +126,39 @@ def boundaries(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return out.withColumns({"latitude": F.round((F.col("south") + F.col("north")) / 2, 6), "longitude": F.round((F.col("west") + F.col("east")) / 2, 6)})
 
 
-def population(spark: SparkSession, path: str, year: int = 2022, variable: str = "93") -> DataFrame:
-    """municipality, year, source and population; the header row, other variables and years and bad values go."""
+#: Fixed value: the first field of the population table's header row.
+POPULATION_HEADER = "Município (Código)"
+
+
+def population(spark: SparkSession, path: str, expected: list[str], year: int = 2022, variable: str = "93") -> DataFrame:
+    """municipality, year, source and population of the expected municipalities (a region's closed set).
+
+    But for the header row, an error on any other municipality, variable or year, on values that are no positive number,
+    and on municipalities that come twice or not at all."""
     raw = spark.read.schema("D1C string, D2C string, D3C string, V string").option("multiLine", True).json(path)
-    rows = raw.filter((F.col("D2C") == variable) & (F.col("D3C") == str(year)) & F.col("D1C").rlike(r"^\d{7}$")).select(F.col("D1C").alias("municipality"), F.lit(year).alias("year"), F.lit("census").alias("source"), F.col("V").try_cast("long").alias("population"))
-    return rows.filter("population > 0")
+    t = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    rows = raw.filter(t("D1C") != POPULATION_HEADER)
+    problem = (
+        F.when(~t("D1C").isin(expected), "an unknown municipality")
+        .when((t("D2C") != variable) | (t("D3C") != str(year)), "another variable or year")
+        .when(~t("V").rlike("^[0-9]+$") | (t("V").try_cast("long") <= 0), "a bad population")
+    )
+    refuse(rows.select(t("D1C").alias("where"), problem.alias("problem")).filter("problem IS NOT NULL"), "population")
+    out = rows.select(t("D1C").alias("municipality"), F.lit(year).alias("year"), F.lit("census").alias("source"), t("V").cast("long").alias("population"))
+    seen = out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("municipality").alias("distinct")).first()
+    if (seen.n, seen.distinct) != (len(set(expected)), len(set(expected))):
+        raise ValueError(f"population: {seen.n} rows of {seen.distinct} municipalities, {len(set(expected))} are expected")
+    return out
 
 
 def cnae_catalogue(spark: SparkSession, path: str, least: int = 1_000) -> DataFrame:
-    """code and description (blanks collapsed); of repeated codes the last description in order."""
+    """code and description (blanks collapsed); of repeated codes the last description of the file. An error on bad codes, empty descriptions and too few activities."""
     raw = spark.read.schema("id string, descricao string").option("multiLine", True).json(path)
-    rows = raw.select(F.regexp_replace("id", r"\D", "").alias("code"), F.trim(F.regexp_replace("descricao", r"\s+", " ")).alias("description")).filter(F.col("code").rlike(r"^\d{7}$"))
-    return enough(rows.groupBy("code").agg(F.max("description").alias("description")), least, "activities")
+    # a file is one task's, so its rows are numbered in their order
+    rows = raw.select(F.trim(F.coalesce("id", F.lit(""))).alias("code"), F.trim(F.regexp_replace(F.coalesce("descricao", F.lit("")), r"\s+", " ")).alias("description"), F.monotonically_increasing_id().alias("place"))
+    problem = F.when(~F.col("code").rlike(r"^[0-9]{7}$"), "a bad code").when(F.col("description") == "", "no description")
+    refuse(rows.select(F.col("code").alias("where"), problem.alias("problem")).filter("problem IS NOT NULL"), "activities")
+    return enough(rows.groupBy("code").agg(F.max_by("description", "place").alias("description")), least, "activities")
 
 
 def snapshots(spark: SparkSession, path: str, contract) -> DataFrame:

@@ -5,13 +5,27 @@ parts by month are replaced as wholes, so a task that runs twice leaves one resu
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import set_hash
+from tidemark.functions.keys import digest_sums, set_hash
 from tidemark.operators.contracts import Contract, conform, contract_report, schema_differences
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where all of Spark is one process, and an error elsewhere."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if there:
+        return there.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def write_snapshots(df: DataFrame, contract: Contract, path: str) -> None:
     """A package's table by month, checked as it is read again; an error leaves it without a manifest."""
     spark = df.sparkSession
@@ -26,19 +40,39 @@ def write_snapshots(df: DataFrame, contract: Contract, path: str) -> None:
         raise ValueError(f"{contract.name}: {report.asDict()}")
 
 
-def manifest(tables: dict[str, DataFrame], months: DataFrame | None = None) -> DataFrame:
+def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     """competence, table_name, rows and content_hash of each table and month; the hash doesn't depend on order or partitions.
 
-    Record hashes are folded by their first two digits, then the 256 folds, so no group holds more than its share."""
+    It is of the number of rows and the sums of the record hashes' words, which combine before the shuffle in fixed space."""
     out = None
     for name, df in tables.items():
-        fold = df.groupBy("competence", F.substring("record_hash", 1, 2).alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("record_hash")), ""), 256).alias("h"))
-        one = fold.groupBy("competence").agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("fold", "h"))), lambda x: x["h"]), ""), 256).alias("content_hash"))
-        one = one.select("competence", F.lit(name).alias("table_name"), "rows", "content_hash")
+        per = df.groupBy("competence").agg(F.count(F.lit(1)).alias("rows"), digest_sums(F.col("record_hash")).alias("sums"))
+        one = per.select("competence", F.lit(name).alias("table_name"), "rows", F.sha2(F.concat_ws(":", "rows", "sums"), 256).alias("content_hash"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def window_problems(offered: DataFrame, observed: DataFrame, window: dict[str, str], packages: DataFrame) -> DataFrame:
+    """competence and problem of a window whose packages aren't what its manifest says; none is to be left.
+
+    offered, observed: manifest rows, as written and as the tables read now have them. packages: competence and what each
+    package says of itself in the columns that window names (window, scope, cohort and contract hashes); a row each month."""
+    rows = offered.join(observed.select("competence", "table_name", F.col("rows").alias("rows_now"), F.col("content_hash").alias("hash_now")), ["competence", "table_name"], "full_outer")
+    said = F.concat_ws(":", F.lit("{}"), "table_name")
+    of_table = lambda name, test: rows.filter(test).select("competence", F.regexp_replace(said, r"^\{\}", name).alias("problem"))
+    there = F.col("rows").isNotNull() & F.col("rows_now").isNotNull()
+    out = of_table("missing_table", F.col("rows_now").isNull()).unionByName(of_table("unexpected_table", F.col("rows").isNull()))
+    out = out.unionByName(of_table("row_count", there & (F.col("rows") != F.col("rows_now")))).unionByName(of_table("content_hash", there & (F.col("rows") == F.col("rows_now")) & (F.col("content_hash") != F.col("hash_now"))))
+    for name, value in window.items():
+        out = out.unionByName(packages.filter(~F.col(name).eqNullSafe(F.lit(value))).select("competence", F.lit(f"identity:{name}").alias("problem")))
+    # a row for each month of the window
+    span = packages.agg(F.min("competence").alias("first"), F.max("competence").alias("last"))
+    months = span.select(F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 MONTH"))).alias("competence"))
+    gaps = months.join(packages, "competence", "left_anti").select("competence", F.lit("missing_month").alias("problem"))
+    twice = packages.groupBy("competence").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("competence", F.lit("repeated_month").alias("problem"))
+    return out.unionByName(gaps).unionByName(twice)
+
+
 def write_manifest(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("append").json(path)  # a row for each month and table
 
@@ -52,4 +86,4 @@ def replace_months(df: DataFrame, path: str, month: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(month).parquet(path)
 
 
-__all__ = ["manifest", "read_manifest", "replace_months", "set_hash", "write_manifest", "write_snapshots"]
+__all__ = ["manifest", "read_manifest", "replace_months", "set_hash", "window_problems", "work_dir", "write_manifest", "write_snapshots"]
