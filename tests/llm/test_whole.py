@@ -1,5 +1,9 @@
 """Cases of the review's findings: each failed before its change."""
 
+import math
+import os
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -68,3 +72,49 @@ def test_rare_features_are_learnt(spark, taught, monkeypatch):
     marks = rare.selectExpr("doc_id", "1 AS quality", "1 AS toxic")
     telling, _, _ = toxicity.fitted(docs.union(rare), labels.selectExpr("doc_id", "int(quality) AS quality", "int(toxic) AS toxic").union(marks))
     assert any(f.startswith("zany") for f in telling)
+
+
+def test_training_against_brute_force(spark, taught):
+    """Features, their shares and credits, and scores, as one process finds them from the same texts."""
+    docs, labels, (telling, base, model) = taught
+    marks = {r.doc_id: r.toxic for r in labels.filter(~toxicity.held_out(labels.doc_id)).collect()}
+    texts = [(r.text, marks[r.doc_id]) for r in docs.collect() if r.doc_id in marks]
+    restorer = toxicity.Restorer(model)
+    forms = [(toxicity.features(restorer.words(t)), toxic) for t, toxic in texts]
+    many = Counter(f for fs, toxic in forms if toxic for f in fs)
+    few = Counter(f for fs, toxic in forms if not toxic for f in fs)
+    some = {f: n for f, n in many.items() if n >= toxicity.LEAST_DOCS}
+    rate = sum(t for _, t in texts) / len(texts)
+    odds = lambda n, m: n * math.log(n / (n + m) / rate) + (m * math.log(m / (n + m) / (1 - rate)) if m else 0)
+    rank = {f: (odds(n, few[f]), len(f), f) for f, n in some.items() if n / (n + few[f]) >= toxicity.LEAST_SHARE and odds(n, few[f]) >= math.log(len(some))}
+    credited = {max(fs & rank.keys(), key=rank.get) for fs, toxic in forms if toxic and fs & rank.keys()}
+    assert telling == pytest.approx({f: math.log1p(-(many[f] + 0.1) / (many[f] + few[f] + 1)) for f in credited})
+    for r in toxicity.score(docs, telling, base, model).collect():
+        signs = {}
+        for f in toxicity.features(restorer.words(r.text)) & telling.keys():
+            signs[f[: toxicity.LEAST_LETTERS]] = min(signs.get(f[: toxicity.LEAST_LETTERS], 0.0), telling[f])
+        assert r.toxicity == pytest.approx(1 - (1 - base) * math.exp(sum(signs.values())))
+
+
+def test_odd_tables(spark, taught):
+    """Repeated ids teach once each, other columns of clashing names stay, and empty tables give no rows and a small base rate."""
+    docs, labels, model = taught
+    odd = spark.createDataFrame([(None, None, 1), (7, "", 2), (7, "", 2), (8, "you idiot " * 50_000, 3)], "doc_id long, text string, toxicity int")
+    got = toxicity.score(odd, *model, added=("toxicity_", "restored")).collect()
+    assert [r.toxicity for r in got] == [1, 2, 2, 3] and got[1].toxicity_ == got[2].toxicity_ < 0.5 <= got[3].toxicity_
+    assert toxicity.score(docs.limit(0), *model).count() == 0
+    twice = docs.union(docs.selectExpr("doc_id", "concat(text, ' more')"))
+    telling, base, _ = toxicity.fitted(twice, labels)
+    assert base == pytest.approx(model[1]) and telling
+    assert toxicity.fitted(docs.limit(0), labels)[0] == {}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_held_out_accuracy(spark):
+    """On the held-out fifth: nearly all toxic documents are found, and no more than one clean one in a hundred is marked."""
+    folder = "/root/testdata/sf0.1"
+    got = toxicity.op9_toxicity(spark, folder).filter("held_out").join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic"), "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in got}
+    print(n)
+    assert n.get((1, 1), 0) >= 0.85 * (n.get((1, 1), 0) + n.get((1, 0), 0))
+    assert n.get((0, 1), 0) <= 0.01 * (n.get((0, 1), 0) + n.get((0, 0), 0))

@@ -34,8 +34,9 @@ from tidemark.llm.common import chunks, settle, table, utf8
 TRAINING = 20_000
 #: Lengths of word starts, and numbers of distinct words of a text with a start: each reached number is a feature.
 STARTS, TIMES = (4, 5, 6, 7, 8), (1, 2, 3, 5, 8)
-#: A feature tells if so many training documents hold it and so large a share of them is toxic.
-LEAST_DOCS, LEAST_SHARE = 4, 0.8
+#: A feature tells if so many toxic training documents hold it, if so large a share of all that hold it is toxic, and if
+#: fewer than CHANCE of all features in toxic documents would have such a share by chance.
+LEAST_DOCS, LEAST_SHARE, CHANCE = 4, 0.9, 1.0
 #: Words shorter than this are no features.
 LEAST_LETTERS = 4
 MEMORY = 150_000
@@ -258,6 +259,14 @@ def stretches(apart: str) -> set[str]:
     return out
 
 
+def evidence(toxic: int, clean: int, rate: float) -> float:
+    """How unlikely so large a share of toxic documents is at their overall rate: the exponent that bounds its probability."""
+    share = toxic / (toxic + clean)
+    if share <= rate:
+        return 0.0
+    return toxic * math.log(share / rate) + (clean and clean * math.log((1 - share) / (1 - rate)))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document's label is never learnt from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -267,8 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: int = TRA
     """The telling features' log of one less their share of toxic documents, and the base rate of documents without any.
 
     Features are first sought in the toxic documents, then counted in the clean ones. Each toxic document then credits
-    the feature in it that most toxic documents hold; words that only keep telling ones company in copies of a text get
-    no credit beside these, and what has no credit doesn't tell."""
+    the feature in it with most evidence; words that only keep telling ones company in copies of a text get no credit
+    beside these, and what has no credit doesn't tell."""
     rows = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("label")).filter("label_id IS NOT NULL AND label IS NOT NULL").filter(~held_out(F.col("label_id")))
     sample = rows.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(most)
     sample = settle(sample)
@@ -293,7 +302,8 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: int = TRA
     known = stems(many)
     in_clean = {r.feature: r.n for r in counted(clean, lambda words, known=known: features(words, known) & many.keys(), known).collect()}  # features of many
     share = {f: (n + 0.1) / (n + in_clean.get(f, 0) + 1) for f, n in many.items()}
-    rank = {f: (many[f], len(f), f) for f in many if share[f] >= LEAST_SHARE}
+    rate, least = n_toxic / max(1, n_toxic + n_clean), math.log(max(1, len(many)) / CHANCE)
+    rank = {f: (e, len(f), f) for f, n in many.items() if n >= LEAST_SHARE * (n + in_clean.get(f, 0)) and (e := evidence(n, in_clean.get(f, 0), rate)) >= least}
     known = stems(rank)
     best = lambda words: [max(mine, key=rank.get)] if (mine := features(words, known) & rank.keys()) else []
     earning = [r.feature for r in counted(toxic, best, known).collect()]  # features of many
