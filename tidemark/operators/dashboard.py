@@ -120,7 +120,8 @@ def search(query: str, companies: DataFrame, establishments: DataFrame, regional
 
     companies and establishments are of one month; regional, if given, holds the establishments that a result must have one of."""
     wanted = text.search_text(F.lit(query))
-    shape = companies.sparkSession.range(1).select(ids.looks_like_id(F.lit(query)).alias("id"), ids.parsed(F.lit(query)).alias("full")).first()
+    # constants only, which need no job
+    shape = companies.sparkSession.sql("SELECT 1").select(ids.looks_like_id(F.lit(query)).alias("id"), ids.parsed(F.lit(query)).alias("full")).first()
     if shape.id:
         found = companies.select("cnpj_basic").filter(F.col("cnpj_basic") == F.lit(shape.full or "")) if len(shape.full or "") != 14 else establishments.filter(F.col("cnpj") == shape.full).select("cnpj_basic")
     elif len(query) >= 2:

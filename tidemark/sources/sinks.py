@@ -31,7 +31,8 @@ def write_snapshots(df: DataFrame, contract: Contract, path: str) -> None:
     spark = df.sparkSession
     if any(f.name not in df.columns for f in contract.schema):
         raise ValueError(f"{contract.name} lacks columns of its contract")
-    conform(df, contract).write.option("compression", "zstd").partitionBy("competence").parquet(path)
+    # rebalanced by month, so that a month is a few files of fair size, however many tasks made it
+    conform(df, contract).hint("rebalance", "competence").write.option("compression", "zstd").partitionBy("competence").parquet(path)
     back = conform(spark.read.parquet(path), contract)
     if wrong := schema_differences(back, contract):
         raise ValueError("; ".join(wrong))
@@ -83,7 +84,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def replace_months(df: DataFrame, path: str, month: str) -> None:
     """Write derived rows over the months that they hold; other months stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(month).parquet(path)
+    df.hint("rebalance", month).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(month).parquet(path)
 
 
 __all__ = ["manifest", "read_manifest", "replace_months", "set_hash", "window_problems", "work_dir", "write_manifest", "write_snapshots"]
