@@ -1,7 +1,7 @@
 """The registry's stored tables: built once for a folder of given tables, written by month, and read by what serves them.
 
 Snapshots are written as packages, checked and listed in a manifest; events, metrics, resolutions and observations are
-derived from the stored snapshots. A table is built when it is first asked for, by one application; reading it by month
+derived from the stored snapshots, events only once the window's quality issues have passed their gate. A table is built when it is first asked for, by one application; reading it by month
 reads that month's files only."""
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import dashboard, diff, geo
+from tidemark.operators import dashboard, diff, geo, quality
 from tidemark.operators.contracts import COMPANIES, ESTABLISHMENTS, PARTNERS, Contract, conform
 from tidemark.plans import adapter as A
 from tidemark.sources import sinks
@@ -61,8 +61,31 @@ def window_events(spark: SparkSession, d: str) -> DataFrame:
     return diff.window_events(companies(spark, d), establishments(spark, d), partners(spark, d), pairs(spark))
 
 
+def _changed(spark: SparkSession, d: str, table: Callable[[SparkSession, str], DataFrame], *identity: str) -> DataFrame:
+    return _derived(spark, d, f"changed_{table.__name__}", "to_month", lambda: diff.changed(table(spark, d), pairs(spark), list(identity)))
+
+
+def issues(spark: SparkSession, d: str) -> DataFrame:
+    """Quality issues of the window; an error if a rule's are over its limit."""
+
+    def make() -> DataFrame:
+        found = diff.missing_and_late(_changed(spark, d, companies, "cnpj_basic"), _changed(spark, d, establishments, "cnpj")).withColumn("affected_rows", F.lit(1))
+        sizes = quality.eligible({"COMPANY": companies(spark, d), "ESTABLISHMENT": establishments(spark, d)}, pairs(spark))
+        quality.enforce(quality.gate(found, sizes))
+        return found
+
+    return _derived(spark, d, "issues", "to_month", make)
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
-    return _derived(spark, d, "events", "to_month", lambda: window_events(spark, d))
+    """Events of the window, once its issues have passed their gate."""
+
+    def make() -> DataFrame:
+        issues(spark, d)
+        people = diff.partner_events(diff.changed(partners(spark, d), pairs(spark), ["cnpj_basic", "partner_key"]), diff.comparable(companies(spark, d), pairs(spark)))
+        return diff.company_events(_changed(spark, d, companies, "cnpj_basic")).unionByName(diff.establishment_events(_changed(spark, d, establishments, "cnpj"))).unionByName(people)
+
+    return _derived(spark, d, "events", "to_month", make)
 
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
