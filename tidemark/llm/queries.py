@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, html, lines, media, mixing, neardup, substrings, topk, toxicity, urls
+from tidemark.llm import bpe, html, lines, media, mixing, neardup, sharding, substrings, topk, toxicity, urls
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_media": media.op8_media,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_lines": lines.op10_lines,
+        "op11_sharding": sharding.op11_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op4_urls": urls.SQL, "op6_topk": topk.SQL, "op10_lines": lines.SQL}
+    return {"op3_mixing": mixing.SQL, "op4_urls": urls.SQL, "op6_topk": topk.SQL, "op10_lines": lines.SQL, "op11_sharding": sharding.SQL}
