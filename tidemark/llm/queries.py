@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, html, lines, media, mixing, neardup, sharding, substrings, topk, toxicity, urls
+from tidemark.llm import audit, bpe, html, lines, media, mixing, neardup, sharding, substrings, topk, toxicity, urls
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_lines": lines.op10_lines,
         "op11_sharding": sharding.op11_sharding,
+        "op12_audit": audit.op12_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op4_urls": urls.SQL, "op6_topk": topk.SQL, "op10_lines": lines.SQL, "op11_sharding": sharding.SQL}
+    return {"op3_mixing": mixing.SQL, "op4_urls": urls.SQL, "op6_topk": topk.SQL, "op10_lines": lines.SQL, "op11_sharding": sharding.SQL, "op12_audit": audit.SQL}
