@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import audit, bpe, html, lines, media, mixing, neardup, sharding, substrings, topk, toxicity, urls
+from tidemark.llm import audit, bpe, html, lines, media, mixing, neardup, search, sharding, substrings, topk, toxicity, urls
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_lines": lines.op10_lines,
         "op11_sharding": sharding.op11_sharding,
         "op12_audit": audit.op12_audit,
+        "op13_search": search.op13_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op4_urls": urls.SQL, "op6_topk": topk.SQL, "op10_lines": lines.SQL, "op11_sharding": sharding.SQL, "op12_audit": audit.SQL}
+    return {"op3_mixing": mixing.SQL, "op4_urls": urls.SQL, "op6_topk": topk.SQL, "op10_lines": lines.SQL, "op11_sharding": sharding.SQL, "op12_audit": audit.SQL, "op13_search": search.SQL}

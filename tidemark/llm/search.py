@@ -144,13 +144,15 @@ def _blocks(batches):
         yield held
 
 
-def about(count: np.ndarray, m: np.ndarray) -> np.ndarray:
+def about(count, m):
     """How much a document is about a term that it holds count times, in millionths."""
     return 1_000_000_000 * count // (1000 * count + 8 * m)
 
 
 def length_mark(n, n_docs: int, all_terms: int):
     """A document's length against the mean, in hundredths, three quarters of it."""
+    if int(np.max(n, initial=0)) * 75 * n_docs >= 1 << 63:
+        return (25 + 75 * np.asarray(n, object) * n_docs // all_terms).astype(np.int64)
     return 25 + 75 * n * n_docs // all_terms
 
 
@@ -213,7 +215,7 @@ def search_block(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     for r in wanted.collect():
         if (term := numbers[bytes(r.term)]) in known:
             df, own, most, least = known[term]
-            limit = int(about(np.int64(most), np.int64(length_mark(least, n_docs, all_terms))))
+            limit = about(most, int(length_mark(np.int64(least), n_docs, all_terms)))
             items.setdefault(r.item, (r.item_id, []))[1].append((df, term, own * r.times, limit))
     made = [Item(key, item_id, [r[1:] for r in sorted(rows)]) for key, (item_id, rows) in sorted(items.items())]
     partial = found.mapInArrow(scored(made, n_docs, all_terms, k, None), _FOUND)
