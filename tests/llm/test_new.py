@@ -3,22 +3,26 @@
 import itertools
 import math
 import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import audit, search, sharding
+import corpus_pipeline
+from tidemark.llm import audit, neardup, search, sharding, substrings
+from tidemark.llm.common import with_key
 
 # ---- sharding
 
 
+HOT = "hot text of many rows " * 20
+
+
 def rows_of(n, seed=5):
     """A third of all rows hold one text, some are long, some repeat, some lack text or id."""
     r = np.random.default_rng(seed)
-    out = [(i, "hot text of many rows" if i % 3 == 0 else f"text {i} " * int(r.integers(1, 60)), 7) for i in range(n)]
+    out = [(i, HOT if i % 3 == 0 else f"text {i} " * int(r.integers(1, 60)), 7) for i in range(n)]
     return [*out, (None, None, 1), (None, None, 1), (None, "", 2), (5000, "long " * 4000, 3), (1, "text 1 twice", 4), (1, "text 1 twice", 4), (-3, "ü" * 50, 5)]
 
 
@@ -46,7 +50,7 @@ def test_shards_near_equal_and_gapless(records):
     for r in got:
         groups[r.text].add(r.shard)
     whole = {t: size(t) * sum(r.text == t for r in got) for t in groups}
-    assert all(len(groups[t]) == 1 for t, n in whole.items() if n <= sharding.WHOLE * mean) and len(groups["hot text of many rows"]) > 1
+    assert all(len(groups[t]) == 1 for t, n in whole.items() if n <= sharding.WHOLE * mean) and len(groups[HOT]) > 1
     # shards follow the order of the keys, so slots go on from shard to shard
     assert len({(r.shard, r.slot) for r in got}) == len(got)
 
@@ -227,4 +231,41 @@ def test_search_of_nothing(spark, library):
     docs, items = (spark.createDataFrame(x, f"{n} long, text string") for x, n in zip(library, ("doc_id", "item_id"), strict=True))
     assert search.search(docs.limit(0), items).count() == 0
     assert search.search(docs, items.limit(0)).count() == 0
-    assert zlib.crc32(b"") == 0
+
+
+# ---- hashes that patterns can't cancel in
+
+
+def thue_morse(a, b, n):
+    """n symbols, and the same with a and b changed places: polynomials modulo a power of two can't tell these apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return [(a, b)[x] for x in bits], [(b, a)[x] for x in bits]
+
+
+@pytest.mark.parametrize("letters", [1024, 2048, 4096])
+def test_long_words_are_told_apart(spark, letters):
+    one, other = map("".join, thue_morse("a", "b", letters))
+    docs = spark.createDataFrame([(1, " ".join([one, *[f"w{i}" for i in range(34)]])), (2, " ".join([other, *[f"w{i}" for i in range(34)]]))], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.removed(docs).collect()] == [0, 0]
+    words = spark.createDataFrame([(1, one), (2, other), (3, other)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(with_key(words, "doc_id", "text")).collect()} == {1: 1, 2: 2, 3: 2}
+    assert sorted(r.doc_id for r in corpus_pipeline.copies_out(spark, words, "").collect()) == [1, 2]
+
+
+def test_long_runs_are_told_apart(spark):
+    """Runs of 2,048 words of two kinds: what repeats is what brute force says, and nothing else."""
+    one, other = thue_morse("x", "y", 2048)
+    rows = [(1, one), (2, other), (3, ["q", *one[:50]]), (4, [str(i) for i in range(60)]), (5, thue_morse("é", "z", 2048)[0])]
+    seen = Counter(tuple(w[k : k + 35]) for _, w in rows for k in range(len(w) - 34))
+    want = {}
+    for i, w in rows:
+        gone = set()
+        for k in range(len(w) - 34):
+            if seen[tuple(w[k : k + 35])] > 1:
+                gone.update(range(k, k + 35))
+        want[i] = (len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert {r.doc_id: (r.n_removed, r.kept) for r in substrings.removed(docs).collect()} == want
+    hashes = substrings.runs_of(substrings.word_hashes([w.encode() for w in one + other]), 1024)
+    real = [tuple((one + other)[k : k + 1024]) for k in range(4096 - 1023)]
+    assert len(set(hashes.tolist())) == len(set(real))

@@ -32,9 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, map_batches, settle, table, utf8, with_key
+from tidemark.llm.common import map_batches, settle, table, utf8, with_key
 from tidemark.llm.graph import connected
-from tidemark.llm.substrings import Spans, word_hashes
+from tidemark.llm.substrings import runs_of, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 SIGNS, DEPTH, LONGEST, MISS = 128, 3, 5, 1e-6
@@ -51,12 +51,9 @@ def trees_for(similar: float) -> int:
 
 def shingle_sets(texts: list[bytes], shingle: int):
     """The sorted distinct shingle hashes of each text, with A-Z in lower case."""
-    for a, b in chunks(texts):
-        hashes, n = word_hashes([t.lower() for t in texts[a:b]])
-        ends = np.cumsum(n)
-        for i in range(b - a):
-            words = hashes[ends[i] - n[i] : ends[i]]
-            yield np.unique(Spans(words, 1).all(min(shingle, len(words)))) if len(words) else np.empty(0, np.uint64)
+    for text in texts:
+        words = word_hashes(text.lower().split())  # of bytes, so at the white space of ASCII and A-Z only
+        yield np.unique(runs_of(words, min(shingle, len(words)))) if len(words) else np.empty(0, np.uint64)
 
 
 def min_hashes(found: np.ndarray) -> np.ndarray:

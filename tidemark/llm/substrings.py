@@ -11,8 +11,10 @@ number of occurrences of their path. Edges that only paths with a single occurre
 into source coordinates. All occurrences of other paths follow from their path.
 
 Counting combines before each shuffle, so a passage that a third of all texts hold is one row from each task; the joins
-that give counts back to occurrences are plain equi-joins, whose hot keys Spark splits. Hashes are of 64 bits in the
-minimiser and 64 more in the path or edge.
+that give counts back to occurrences are plain equi-joins, whose hot keys Spark splits. A minimiser is 64 bits that only
+bring together what may be equal. What counts as equal is decided by the words themselves, read at the path's or edge's
+coordinates: by 64 bits of a cryptographic digest of them, under a key that each run draws anew, so that no texts can be
+made to be taken for each other.
 
 Defined results: null and empty texts, and those of fewer than WINDOW words, keep all; repeated rows are texts like any
 other, so each loses what it shares with the other; white space between kept words becomes one space. Other columns
@@ -21,6 +23,8 @@ don't matter.
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from functools import reduce
 
 import numpy as np
@@ -28,30 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, map_batches, release, settle, table, utf8, with_key
+from tidemark.llm.common import map_batches, release, settle, table, utf8, with_key
 
 #: Words of a window, and of the runs among which its minimiser is found.
 WINDOW, RUN = 35, 10
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-
-
-class _Powers:
-    """base ** 0, base ** 1 and so on, modulo 2 ** 64; made once as far as they were asked for."""
-
-    def __init__(self, base: int):
-        self.base, self.made = np.uint64(base), np.ones(1, np.uint64)
-
-    def __call__(self, n: int) -> np.ndarray:
-        if n > len(self.made):
-            self.made = np.full(max(n, 4096), self.base, np.uint64)
-            self.made[0] = 1
-            np.cumprod(self.made, out=self.made)
-        return self.made[:n]
-
-
-_FORTH, _BACK = _Powers(int(_BASE)), _Powers(pow(int(_BASE), -1, 1 << 64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -63,41 +49,51 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_IS_WHITE = np.zeros(256, bool)
-_IS_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+class Words(dict):
+    """64 bits of a cryptographic digest of each word; made once for each word as far as memory is meant for it."""
+
+    MOST = 1 << 24
 
+    def __init__(self):
+        self.held = 0
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of texts in order, and the number of words of each text."""
-    raw = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
-    white = _IS_WHITE[raw]
-    starts = np.flatnonzero(white[:-1] & ~white[1:]) + 1
-    ends = np.flatnonzero(~white[:-1] & white[1:]) + 1
-    powers = _FORTH(int((ends - starts).max(initial=0)) + 1)
-    # the place of each byte in its word, so that a word's hash doesn't depend on where it stands
-    place = np.arange(len(raw)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(raw)]])))
-    place[white] = 0
-    terms = _BYTES[raw] * powers[place]
-    terms[white] = 0
-    hashes = _mixed(np.add.reduceat(terms, starts) + (ends - starts).astype(np.uint64) * _ODD) if len(starts) else np.empty(0, np.uint64)
-    borders = np.cumsum([1, *(len(t) + 1 for t in texts)])
-    return hashes, np.diff(np.searchsorted(starts, borders))
+    def __missing__(self, word: bytes) -> int:
+        made = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            if self.held > self.MOST:
+                self.clear()
+                self.held = 0
+            self.held += len(word) + 100
+            self[word] = made
+        return made
 
 
-class Spans:
-    """Hashes of any runs of a text's words, from prefix sums of word * base ** place; equal for equal runs anywhere."""
+_WORDS = Words()
 
-    def __init__(self, words: np.ndarray, seed: int):
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(words + np.uint64(seed * int(_ODD) % (1 << 64))) * _FORTH(len(words)), dtype=np.uint64)])
-        self.back = _BACK(len(words) + 1)
 
-    def at(self, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[first + length] - self.sums[first]) * self.back[first] + length.astype(np.uint64) * _ODD)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of words, one after another."""
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
-    def all(self, length: int) -> np.ndarray:
-        """Of every run of that length."""
-        return _mixed((self.sums[length:] - self.sums[:-length]) * self.back[: len(self.sums) - length])
+
+def runs_of(words: np.ndarray, length: int, seed: int = 1) -> np.ndarray:
+    """Hashes of every run of length words, scrambled at each doubling: no sum that patterns of words could cancel in."""
+    out, have = _mixed(words + np.uint64(seed * int(_ODD) % (1 << 64))), 1
+    while have < length:
+        step = min(have, length - have)  # the second half may begin within the first
+        left = out[: len(out) - step]
+        out = _mixed((left ^ (left >> np.uint64(29))) * _MIX[1] + out[step:] * _ODD + np.uint64(step))
+        have += step
+    return out
+
+
+def spans_of(words: list[bytes], first: np.ndarray, length: np.ndarray, key: bytes = b"") -> np.ndarray:
+    """64 bits of a keyed cryptographic digest of the words themselves, of each span of a text's words."""
+    text = memoryview(b" ".join(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    cuts = zip(starts[first].tolist(), ends[first + length - 1].tolist(), strict=True)
+    return np.frombuffer(b"".join([hashlib.blake2b(text[a:b], digest_size=8, key=key).digest() for a, b in cuts]), np.int64)
 
 
 def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -109,15 +105,15 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
     return x if have == n else np.minimum(x[: len(x) - (n - have)], x[n - have :])
 
 
-def paths(words: np.ndarray, window: int, run: int) -> tuple[np.ndarray, ...]:
-    """Paths of one text: minimiser, first edge, number of edges, hash of the words, and whether the minimiser repeats in it."""
+def paths(words: list[bytes], window: int, run: int, key: bytes = b"") -> tuple[np.ndarray, ...]:
+    """Paths of one text: minimiser, first edge, number of edges, digest of the words, and whether the minimiser repeats in it."""
     n = len(words) - window + 1
-    runs = Spans(words, 1).all(run)
+    runs = runs_of(word_hashes(words), run)
     span = window - run + 1
     least = sliding_least(runs, span)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     edges = np.diff(np.concatenate([first, [n]]))
-    content = Spans(words, 2).at(first, edges + window - 1)
+    content = spans_of(words, first, edges + window - 1, key)
     # occurrences of the minimiser among the runs of the path's edges
     reach = edges + span - 1
     owner = np.repeat(np.arange(len(first)), reach)
@@ -126,34 +122,25 @@ def paths(words: np.ndarray, window: int, run: int) -> tuple[np.ndarray, ...]:
     return least[first], first, edges, content, times > 1
 
 
-def _rows(batch: pa.RecordBatch, most: int = 1 << 20):
-    """Of each text its place in the batch, its bytes and the hashes of its words."""
-    texts = utf8(batch.column("text"))
-    for a, b in chunks(texts, most):
-        hashes, n = word_hashes(texts[a:b])
-        ends = np.cumsum(n)
-        for i in range(b - a):
-            yield a + i, texts[a + i], hashes[ends[i] - n[i] : ends[i]]
-
-
-def all_paths(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
+def all_paths(docs: DataFrame, window: int = WINDOW, run: int = RUN, key: bytes = b"") -> DataFrame:
     """row_key, minimiser, first (edge), edges, content and branched of each path. docs has row_key and text."""
 
     def f(batch: pa.RecordBatch):
         keys = batch.column("row_key").to_numpy()
         found, owners = [], []
-        for i, _, words in _rows(batch):
+        for i, text in enumerate(utf8(batch.column("text"))):
+            words = text.split()  # of bytes, so at the white space of ASCII only
             if len(words) >= window:
-                found.append(paths(words, window, run))
+                found.append(paths(words, window, run, key))
                 owners.append(np.full(len(found[-1][0]), keys[i]))
         if found:
             least, first, edges, content, branched = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), pa.array(least.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(edges.astype(np.int32)), pa.array(content.view(np.int64)), pa.array(branched)], ["row_key", "minimiser", "first", "edges", "content", "branched"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), pa.array(least.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(edges.astype(np.int32)), pa.array(content), pa.array(branched)], ["row_key", "minimiser", "first", "edges", "content", "branched"])
 
     return map_batches(docs.select("row_key", "text"), f, "row_key long, minimiser long, first int, edges int, content long, branched boolean")
 
 
-def edges_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def edges_of(docs: DataFrame, window: int = WINDOW, key: bytes = b"") -> DataFrame:
     """The edges of the paths that spans (first, edges, minimiser, times) of docs name.
 
     Of each path a row for each distinct edge: row_key, minimiser, edge (hash), first, edges (1) and times; and where a
@@ -168,10 +155,10 @@ def edges_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(key), pa.array(minimiser), pa.array(edge, mask=times == 0), pa.array(first.astype(np.int32)), pa.array(edges.astype(np.int32)), pa.array(times)], ["row_key", "minimiser", "edge", "first", "edges", "times"])
 
-        for i, _, words in _rows(batch):
-            hashes = Spans(words, 3).all(window).view(np.int64)
+        for i, text in enumerate(utf8(batch.column("text"))):
+            words = text.split()
             for s in spans[i]:
-                own = hashes[s["first"] : s["first"] + s["edges"]]
+                own = spans_of(words[s["first"] : s["first"] + s["edges"] + window - 1], np.arange(s["edges"]), np.full(s["edges"], window), key)
                 edge, at, which, n = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
                 first, edges, times = at + s["first"], np.ones(len(at), int), n * s["times"]
                 if s["times"] == 1 and n.max() > 1:
@@ -190,7 +177,8 @@ def edges_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def repeated(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """row_key and stretches (array of first word, words) of each text that holds repeated edges; stretches may overlap. docs has row_key and text."""
-    found = settle(all_paths(docs, window, run))
+    key = secrets.token_bytes(16)
+    found = settle(all_paths(docs, window, run, key))
     # a minimiser met once, on a path that holds it once, can't repeat
     per_minimiser = found.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("a"), F.max("content").alias("b"), F.max("branched").alias("branched"))
     several = per_minimiser.filter("n > 1 OR branched").select("minimiser", (F.col("branched") | (F.col("a") != F.col("b"))).alias("branches"))
@@ -201,7 +189,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame
     kinds = forks.groupBy("minimiser", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row_key", "first", "edges")).alias("at"))
     kinds = settle(kinds.select("minimiser", "content", "times", "at.row_key", "at.first", "at.edges"))
     spans = kinds.groupBy("row_key").agg(F.collect_list(F.struct("first", "edges", "minimiser", "times")).alias("spans"))  # of one text
-    edges = settle(edges_of(docs.select("row_key", "text").join(spans, "row_key"), window))
+    edges = settle(edges_of(docs.select("row_key", "text").join(spans, "row_key"), window, key))
 
     often = edges.filter("edge IS NOT NULL").groupBy("minimiser", "edge").agg(F.sum("times").alias("n")).filter("n > 1").select("minimiser", "edge")
     stretches = [
