@@ -38,11 +38,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.llm.common import shared_dir, table, utf8
 
 LETTERS = "ABCDE"
+#: State beyond memory, saved as changes; its files take the disk that they need, not blocks set aside for each of many partitions.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Limits of the filters: words, distinct words and capitals in a hundred, marks.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, MARKS = 200, 50, 3, b"#$%&*|"
 COPY = 1 << LETTERS.index("E")
 #: Micro-batches of a run, and documents that share a bucket of state.
-BATCHES, ROWS_PER_BUCKET, LEAST_BUCKETS = 8, 2048, 64
+BATCHES, ROWS_PER_BUCKET, LEAST_BUCKETS = 4, 2048, 64
 _CAPITALS, _REST = bytes(range(0x41, 0x5B)), bytes(range(0x80, 0xC0))
 
 
@@ -154,13 +160,14 @@ def stream_counters(spark: SparkSession, path: str, labels: DataFrame, folder: s
     def add(batch: DataFrame, number: int) -> None:
         counters(batch, labels).coalesce(1).write.mode("overwrite").parquet(f"{folder}/counters/batch={number}")  # a row for each part and mask
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         query = changes.writeStream.foreachBatch(add).outputMode("append").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-    finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    finally:  # the query has its own copy by now
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     query.awaitTermination()
     rows = spark.read.schema("part string, mask int, good boolean, toxic boolean, n long, batch int").parquet(f"{folder}/counters")
     return rows.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).filter("n <> 0")
