@@ -46,8 +46,12 @@ def neighbours(snapshots: DataFrame, pairs: DataFrame, identity: list[str]) -> D
     return seen.select(*identity, F.inline(F.array_compact(F.array(came, went))))
 
 
-def changed(snapshots: DataFrame, pairs: DataFrame, identity: list[str]) -> DataFrame:
-    """identity, to_month, from_month, p and c (the rows before and after as structs, null where absent) of all rows whose content differs or that one side lacks."""
+def changed(snapshots: DataFrame, pairs: DataFrame, identity: list[str], together: bool = False) -> DataFrame:
+    """identity, to_month, from_month, p and c (the rows before and after as structs, null where absent) of all rows whose content differs or that one side lacks.
+
+    together: rows of an identity are stored in one bucket, so whole rows meet their neighbours in time without a shuffle."""
+    if together:
+        return _changed_in_place(snapshots, pairs, identity)
     keys = neighbours(snapshots, pairs, identity).filter(~F.col("old_hash").eqNullSafe(F.col("new_hash")))
     here = F.struct(F.col("from_month").alias("competence"), F.lit(True).alias("old"))
     there = F.struct(F.col("to_month").alias("competence"), F.lit(False).alias("old"))
@@ -59,6 +63,23 @@ def changed(snapshots: DataFrame, pairs: DataFrame, identity: list[str]) -> Data
     return found.groupBy(*identity, "to_month", "from_month").agg(side(True).alias("p"), side(False).alias("c"))
 
 
+def _changed_in_place(snapshots: DataFrame, pairs: DataFrame, identity: list[str]) -> DataFrame:
+    own = W.partitionBy(*identity).orderBy("competence")
+    # pairs has a row for each month of a window
+    ahead = F.broadcast(pairs.select(F.col("from_month").alias("competence"), F.col("to_month").alias("next_month")))
+    behind = F.broadcast(pairs.select(F.col("to_month").alias("competence"), F.col("from_month").alias("last_month")))
+    row = F.struct(*[c for c in snapshots.columns if c not in (*identity, "competence")])
+    rows = snapshots.select(*identity, "competence", row.alias("row")).join(ahead, "competence", "left").join(behind, "competence", "left")
+    seen = rows.select("*", F.lag(F.struct("competence", "row")).over(own).alias("before"), F.lead("competence").over(own).alias("after"))
+    old = F.when(F.col("before.competence") == F.col("last_month"), F.col("before.row"))
+    none = F.lit(None).cast(rows.schema["row"].dataType)
+    side = lambda first, last, p, c: F.struct(last.alias("to_month"), first.alias("from_month"), p.alias("p"), c.alias("c"))
+    differs = ~old["record_hash"].eqNullSafe(F.col("row.record_hash"))
+    came = F.when(F.col("last_month").isNotNull() & differs, side(F.col("last_month"), F.col("competence"), old, F.col("row")))
+    went = F.when(F.col("next_month").isNotNull() & ~F.col("after").eqNullSafe(F.col("next_month")), side(F.col("competence"), F.col("next_month"), F.col("row"), none))
+    return seen.select(*identity, F.inline(F.array_compact(F.array(came, went))))
+
+
 def json(side: str, *fields: str) -> Column:
     """Fields of p or c as JSON with nulls."""
     values = [F.col(f"{side}.{f}").alias(f) for f in fields]
@@ -153,12 +174,12 @@ def missing_and_late(companies: DataFrame, establishments: DataFrame) -> DataFra
     return gone(companies, "cnpj_basic", "COMPANY_MISSING_IN_CURRENT", "COMPANY").unionByName(gone(establishments, "cnpj", "ESTABLISHMENT_MISSING_IN_CURRENT", "ESTABLISHMENT")).unionByName(late)
 
 
-def window_events(companies: DataFrame, establishments: DataFrame, partners: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All events of all pairs."""
+def window_events(companies: DataFrame, establishments: DataFrame, partners: DataFrame, pairs: DataFrame, together: bool = False) -> DataFrame:
+    """All events of all pairs. together: see changed()."""
     return (
-        company_events(changed(companies, pairs, ["cnpj_basic"]))
-        .unionByName(establishment_events(changed(establishments, pairs, ["cnpj"])))
-        .unionByName(partner_events(changed(partners, pairs, ["cnpj_basic", "partner_key"]), comparable(companies, pairs)))
+        company_events(changed(companies, pairs, ["cnpj_basic"], together))
+        .unionByName(establishment_events(changed(establishments, pairs, ["cnpj"], together)))
+        .unionByName(partner_events(changed(partners, pairs, ["cnpj_basic", "partner_key"], together), comparable(companies, pairs)))
     )
 
 
@@ -174,8 +195,8 @@ def changed_packages(stored: DataFrame, offered: DataFrame) -> DataFrame:
     return o.join(s, "competence", "left").filter(~F.col("had").eqNullSafe(F.col("content_hash"))).select("competence")
 
 
-def active_revisions(revisions: DataFrame) -> DataFrame:
-    """Of each month the published revision with the highest number; the others stay, superseded."""
+def active_revisions(revisions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Of each month (or by) the published revision with the highest number; the others stay, superseded."""
     published = F.col("status").isin("PUBLISHED", "PUBLISHED_WITH_WARNINGS")
-    top = F.max(F.when(published, F.col("revision_number"))).over(W.partitionBy("competence"))
+    top = F.max(F.when(published, F.col("revision_number"))).over(W.partitionBy(*(by or ["competence"])))
     return revisions.withColumn("active", F.coalesce(published & (F.col("revision_number") == top), F.lit(False)))

@@ -62,24 +62,53 @@ def best_level(points: DataFrame, key: list[str]) -> DataFrame:
     return points.withColumn("least", F.min("level").over(W.partitionBy(*key))).filter("level = least").drop("least")
 
 
+#: Coordinates are selected as whole millionths above these, by DIGITS bits at a time, twice.
+LOWEST, DIGITS = {"latitude": -90_000_000, "longitude": -180_000_000}, 15
+
+
+def medians(points: DataFrame, key: list[str]) -> DataFrame:
+    """key, mid_lat and mid_lon: exact medians of each key's coordinates (six decimals), by digits in fixed space.
+
+    Counts by key and first digits combine before the shuffle and say which digits hold the middle; counts by the last
+    digits of these points alone say the value. So of a key at most 2 ** DIGITS counts meet in one place, however many
+    points it has, and its points only where Spark splits the join."""
+    axes = F.explode(F.array(*[F.struct(F.lit(axis).alias("axis"), (F.round(F.col(axis) * 1_000_000).cast("long") - low).cast("int").alias("value")) for axis, low in LOWEST.items()]))
+    values = points.select(*key, axes.alias("x")).select(*key, "x.*")
+    own, base = [*key, "axis"], 1 << DIGITS
+    first = values.groupBy(*own, F.shiftright("value", DIGITS).alias("digits")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(W.partitionBy(*own))
+    before = F.sum("n").over(W.partitionBy(*own).orderBy("digits")) - F.col("n")
+    # of an even number of points the two in the middle; of an odd one the same twice
+    ranked = first.select(*own, "digits", "n", total.alias("total"), before.alias("before")).select(*own, "digits", "n", "before", F.posexplode(F.array(F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2))).alias("side", "rank"))
+    held = ranked.filter("rank >= before AND rank < before + n").select(*own, "side", F.col("digits").alias("wanted"), (F.col("rank") - F.col("before")).alias("rank"))
+    inside = values.join(held.select(*own, "wanted").distinct(), own).filter(F.shiftright("value", DIGITS) == F.col("wanted"))
+    last = inside.groupBy(*own, "wanted", F.col("value").bitwiseAND(base - 1).alias("digits")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.partitionBy(*own, "wanted").orderBy("digits")) - F.col("n")
+    found = last.withColumn("before", upto).join(held, [*own, "wanted"]).filter("rank >= before AND rank < before + n")
+    low = F.create_map(*[F.lit(x) for item in LOWEST.items() for x in item])[F.col("axis")]
+    exact = (F.col("wanted") * base + F.col("digits") + low) / 1_000_000.0
+    middle = lambda axis: F.avg(F.when(F.col("axis") == axis, exact))
+    return found.groupBy(*key).agg(middle("latitude").alias("mid_lat"), middle("longitude").alias("mid_lon"))
+
+
 def resolved_points(points: DataFrame, key: list[str]) -> DataFrame:
     """Of each key the representative point with its address_code and level, n and dispersion (metres).
 
     The representative is nearest to the medians of latitude and longitude; ties (to the millimetre) by code and coordinates.
-    The dispersion is the largest distance of two points, the box's diagonal beyond PAIRWISE points, 0 under two. All comes
-    of one shuffle by key; what is held of a key in one place is PAIRWISE points at most."""
-    own = W.partitionBy(*key)
-    seen = points.withColumns({"n": F.count(F.lit(1)).over(own), "mid_lat": F.median("latitude").over(own), "mid_lon": F.median("longitude").over(own)})
-    away = F.round(haversine(F.col("latitude"), F.col("longitude"), F.col("mid_lat"), F.col("mid_lon")), 3)
-    per = seen.groupBy(*key).agg(
-        F.min(F.struct(away.alias("away"), "address_code", "latitude", "longitude", "level")).alias("x"), F.max("n").alias("n"),
-        F.min("latitude").alias("s"), F.min("longitude").alias("w"), F.max("latitude").alias("t"), F.max("longitude").alias("e"),
-        F.collect_list(F.when(F.col("n").between(2, PAIRWISE), F.struct("latitude", "longitude"))).alias("few"),
-    )
+    The dispersion is the largest distance of two points, the box's diagonal beyond PAIRWISE points, 0 under two. Keys of up
+    to PAIRWISE points are held whole; of others no place holds more than counts: see medians(). Coordinates have six decimals."""
+    sizes = points.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("latitude").alias("s"), F.min("longitude").alias("w"), F.max("latitude").alias("t"), F.max("longitude").alias("e"))
+    away = lambda p: F.round(haversine(p["latitude"], p["longitude"], F.col("mid_lat"), F.col("mid_lon")), 3)
+    place = lambda p: F.struct(away(p).alias("away"), p["address_code"].alias("address_code"), p["latitude"].alias("latitude"), p["longitude"].alias("longitude"), p["level"].alias("level"))
+    point = F.struct("address_code", "latitude", "longitude", "level")
+    few = points.join(sizes.filter(F.col("n") <= PAIRWISE).select(*key, "n"), key).groupBy(*key).agg(F.first("n").alias("n"), F.median("latitude").alias("mid_lat"), F.median("longitude").alias("mid_lon"), F.collect_list(point).alias("few"))  # PAIRWISE at most
     pair = lambda p: F.array_max(F.transform("few", lambda q: haversine(p["latitude"], p["longitude"], q["latitude"], q["longitude"])))
+    near = few.select(*key, F.array_min(F.transform("few", place)).alias("x"), "n", F.when(F.col("n") > 1, F.array_max(F.transform("few", pair))).otherwise(F.lit(0.0)).alias("dispersion"))
+    large = points.join(sizes.filter(F.col("n") > PAIRWISE), key)
+    placed = large.join(medians(large, key), key).withColumn("p", point)
     box = haversine(F.col("s"), F.col("w"), F.col("t"), F.col("e"))
-    apart = F.when(F.col("n") > PAIRWISE, box).otherwise(F.coalesce(F.array_max(F.transform("few", pair)), F.lit(0.0)))
-    return per.select(*key, "x.address_code", "x.latitude", "x.longitude", "x.level", "n", apart.alias("dispersion"))
+    wide = placed.groupBy(*key, "n", "s", "w", "t", "e").agg(F.min(place(F.col("p"))).alias("x")).select(*key, "x", "n", box.alias("dispersion"))
+    return near.unionByName(wide).select(*key, "x.address_code", "x.latitude", "x.longitude", "x.level", "n", "dispersion")
 
 
 def dispersion(points: DataFrame, key: list[str]) -> DataFrame:

@@ -18,11 +18,14 @@ NEAR = 10_000
 def page(rows: DataFrame, order: list[tuple[str, bool]], number: int, size: int, near: int = NEAR) -> DataFrame:
     """The rows of a page, with place (from 1), page_number, pages and total; number is clamped to the pages there are.
 
-    order: columns, each with whether it falls; they must tell all rows apart. A page near either end is taken from that end, so that near rows at most (or a page's) are
+    order: columns, each with whether it falls; they must tell all rows apart. rows are computed once, and kept. A page near either end is taken from that end, so that near rows at most (or a page's) are
     ordered in one place. Elsewhere the rows are range-partitioned by order and kept so; a count for each partition says which of
     them hold the page, and only these are numbered."""
     back = [F.asc(c) if falls else F.desc(c) for c, falls in order]
     order = [F.desc(c) if falls else F.asc(c) for c, falls in order]
+    path = f"{work_dir(rows.sparkSession)}/page-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/rows")
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
     total = rows.count()
     pages = max(1, -(-total // size))
     number = min(max(1, number), pages)
@@ -35,9 +38,8 @@ def page(rows: DataFrame, order: list[tuple[str, bool]], number: int, size: int,
         placed = kept.withColumn("place", (F.lit(total + 1) - F.row_number().over(W.orderBy(*back))).cast("int"))
     else:
         dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-        path = f"{work_dir(rows.sparkSession)}/page-{uuid.uuid4().hex}"
-        dealt.write.parquet(path)
-        kept = rows.sparkSession.read.schema(dealt.schema).parquet(path)
+        dealt.write.parquet(f"{path}/parts")
+        kept = rows.sparkSession.read.schema(dealt.schema).parquet(f"{path}/parts")
         sizes = sorted(map(tuple, kept.groupBy("part").count().collect()))  # a row for each partition
         before, wanted = 0, {}
         for part, n in sizes:

@@ -131,7 +131,7 @@ company0 AS (SELECT o_custkey, competence, CAST(sum(price) AS DECIMAL(18,2)) AS
 company1 AS (SELECT lpad(o_custkey::VARCHAR, 8, '0') AS cnpj_basic, upper(c_name) AS legal_name, regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g') AS legal_name_search, pr AS legal_nature_code, share_capital,
                CAST(CAST(floor(share_capital / 500000) AS BIGINT) AS VARCHAR) AS company_size_code, pr IN ('1', '2') AS simples_optant, CASE WHEN pr IN ('1', '2') THEN day END AS simples_option_date, CASE WHEN pr NOT IN ('1', '2') THEN day END AS simples_exclusion_date,
                st = 'F' AS mei_optant, CASE WHEN st = 'F' THEN day END AS mei_option_date, CASE WHEN st <> 'F' THEN day END AS mei_exclusion_date, competence FROM company0 JOIN customer ON o_custkey = c_custkey),
-company AS (SELECT *, sha256({_json(C)}) AS record_hash FROM company1 r),
+company AS MATERIALIZED (SELECT *, sha256({_json(C)}) AS record_hash FROM company1 r),
 nat AS (SELECT n_nationkey, lpad(n_nationkey::VARCHAR, 4, '0') AS tom, (n_nationkey * 17 + 3100000)::VARCHAR AS ibge, n_name AS city, r_name[1:2] AS uf, r_name IN {REGION} AS inside FROM nation JOIN region ON n_regionkey = r_regionkey),
 present AS (SELECT o_orderkey, o_custkey, od, competence FROM o JOIN months ON CASE WHEN o_orderkey % 40 = 0 THEN CAST(od + INTERVAL 1 MONTH AS DATE) ELSE od END <= competence WHERE NOT (competence = DATE '1998-06-01' AND o_orderkey % 1500 = 7)),
 lastline AS (SELECT * FROM (SELECT l_orderkey, competence, l_partkey, l_suppkey, flag, ship, row_number() OVER (PARTITION BY l_orderkey, competence ORDER BY ship DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn
@@ -143,7 +143,7 @@ est1 AS (SELECT lpad(o_custkey::VARCHAR, 8, '0') || lpad((p.o_orderkey % 1000000
                tom AS municipality_tom_code, ibge AS municipality_ibge_code, city AS municipality_name, inside AS is_in_region, p.competence
              FROM present p LEFT JOIN lastline l ON p.o_orderkey = l.l_orderkey AND p.competence = l.competence JOIN customer ON o_custkey = c_custkey
              LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN part ON l_partkey = p_partkey JOIN nat ON coalesce(s_nationkey, c_nationkey) = n_nationkey),
-est AS (SELECT *, sha256({_json(E)}) AS record_hash FROM est1 r),
+est AS MATERIALIZED (SELECT *, sha256({_json(E)}) AS record_hash FROM est1 r),
 partner0 AS (SELECT * FROM (SELECT o_custkey, l_suppkey, competence, flag, min(ship) OVER w AS entry_date, row_number() OVER (w ORDER BY ship DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC, flag DESC) AS rn
                FROM li JOIN o ON l_orderkey = o_orderkey JOIN months ON ship <= competence AND ship > CAST(competence - INTERVAL 3 MONTH AS DATE) WINDOW w AS (PARTITION BY o_custkey, l_suppkey, competence)) WHERE rn = 1),
 partner1 AS (SELECT lpad(o_custkey::VARCHAR, 8, '0') AS cnpj_basic, CASE l_suppkey % 3 WHEN 0 THEN 'PJ' WHEN 1 THEN 'PF' ELSE 'FOREIGN' END AS partner_type, 'SÓCIO ' || l_suppkey AS display_name, CASE WHEN l_suppkey % 5 <> 4 THEN lpad(l_suppkey::VARCHAR, 8, '0') END AS source_id,
@@ -151,7 +151,7 @@ partner1 AS (SELECT lpad(o_custkey::VARCHAR, 8, '0') AS cnpj_basic, CASE l_suppk
 partner2 AS (SELECT * EXCLUDE (source_id, search), CASE WHEN partner_type = 'PF' THEN sha256(unhex('{_OUT}') || unhex(sha256(unhex('{_IN}') || encode('PF' || {U} || cnpj_basic || {U} || coalesce(source_id, search)))))
                WHEN partner_type = 'PJ' AND source_id IS NOT NULL THEN sha256('PJ' || {U} || cnpj_basic || {U} || source_id) ELSE sha256(partner_type || {U} || cnpj_basic || {U} || search || {U} || coalesce(country_code, '')) END AS partner_key,
                CASE WHEN partner_type = 'PJ' THEN source_id END AS partner_cnpj_basic FROM partner1),
-partner AS (SELECT *, sha256({_json(P)}) AS record_hash FROM partner2 r)
+partner AS MATERIALIZED (SELECT *, sha256({_json(P)}) AS record_hash FROM partner2 r)
 """
 
 

@@ -16,11 +16,11 @@ pairs = S.pairs
 
 
 def company_rows(spark, d):
-    return diff.changed(S.companies(spark, d), pairs(spark), ["cnpj_basic"])
+    return diff.changed(S.companies(spark, d), pairs(spark), ["cnpj_basic"], together=True)
 
 
 def place_rows(spark, d):
-    return diff.changed(S.establishments(spark, d), pairs(spark), ["cnpj"])
+    return diff.changed(S.establishments(spark, d), pairs(spark), ["cnpj"], together=True)
 
 
 # ---- SQL
@@ -130,7 +130,7 @@ def company_events(spark, d):
 
 @query("partner_events", events_sql("SELECT * FROM par_events"))
 def partner_events(spark, d):
-    rows = diff.changed(S.partners(spark, d), pairs(spark), ["cnpj_basic", "partner_key"])
+    rows = diff.changed(S.partners(spark, d), pairs(spark), ["cnpj_basic", "partner_key"], together=True)
     return diff.partner_events(rows, diff.comparable(S.companies(spark, d), pairs(spark)))
 
 

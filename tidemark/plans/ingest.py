@@ -9,7 +9,7 @@ from tidemark.functions import ids, keys, show, text
 from tidemark.operators import cohort, contracts, geo, pages, quality
 from tidemark.plans import adapter as A
 from tidemark.plans import store as S
-from tidemark.plans.changes import events_sql
+from tidemark.plans.changes import _ISSUES, events_sql
 from tidemark.plans.registry import query
 from tidemark.sources import sinks
 
@@ -178,18 +178,24 @@ def scope_membership(spark, d):
     return rows.groupBy("competence", "in_scope").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_in_region") != F.col("in_scope")).alias("wrong"))
 
 
+@query("stored_manifest", events_sql("""SELECT 'companies' AS table_name, competence, count(*) AS rows FROM company GROUP BY 2 UNION ALL SELECT 'establishments', competence, count(*) FROM est GROUP BY 2 UNION ALL SELECT 'partners', competence, count(*) FROM partner GROUP BY 2
+UNION ALL SELECT 'events', to_month, count(*) FROM events_ GROUP BY 2 UNION ALL SELECT 'issues', to_month, count(*) FROM issues GROUP BY 2 UNION ALL SELECT 'observations', competence, count(*) FROM est WHERE is_in_region AND registration_status_code = '02' GROUP BY 2""", _ISSUES))
+def stored_manifest(spark, d):
+    """What the commit record says of the published months."""
+    return S.manifest(spark, d).filter("table_name IN ('companies', 'establishments', 'partners', 'events', 'issues', 'observations')")
+
+
 @query("contract_checks", A.sql("SELECT 'companies' AS table_name, count(*) AS rows, 0::BIGINT AS required_nulls, (SELECT count(*) FROM (SELECT 1 FROM company GROUP BY cnpj_basic, competence HAVING count(*) > 1)) AS repeated_identities, count(*) FILTER (WHERE competence <> DATE '1998-02-01') AS other_months FROM company UNION ALL SELECT 'establishments', count(*), count(*) FILTER (WHERE cnpj IS NULL), (SELECT count(*) FROM (SELECT 1 FROM est GROUP BY cnpj, competence HAVING count(*) > 1)), count(*) FILTER (WHERE competence <> DATE '1998-02-01') FROM est"))
 def contract_checks(spark, d):
     month = F.lit("1998-02-01").cast("date")
     return contracts.contract_report(S.companies(spark, d), contracts.COMPANIES, month).unionByName(contracts.contract_report(S.establishments(spark, d), contracts.ESTABLISHMENTS, month))
 
 
-@query("business_rows", A.sql("SELECT 'BAD_RECORD_HASH' AS rule_code, cnpj_basic AS entity_key, count(*) AS n FROM company WHERE cnpj_basic[8:8] = '1' AND competence = DATE '1998-05-01' GROUP BY 2 UNION ALL SELECT 'REGION_FLAG', cnpj, count(*) FROM est WHERE municipality_name = 'NATION_0' AND competence = DATE '1998-05-01' GROUP BY 2"))
+@query("business_rows", A.sql("SELECT 'BAD_RECORD_HASH' AS rule_code, cnpj_basic AS entity_key, count(*) AS n FROM company WHERE cnpj_basic[8:8] = '1' GROUP BY 2 UNION ALL SELECT 'REGION_FLAG', cnpj, count(*) FROM est WHERE municipality_name = 'NATION_0' GROUP BY 2"))
 def business_rows(spark, d):
     """Rows altered on purpose: other hashes, and a scope without one of its municipalities."""
-    month = "competence = DATE '1998-05-01'"
-    c = S.companies(spark, d).filter(month).withColumn("record_hash", F.when(F.substring("cnpj_basic", 8, 1) == "1", F.sha2("cnpj_basic", 256)).otherwise(F.col("record_hash")))
-    broken = quality.business_rows(c, S.establishments(spark, d).filter(month), S.partners(spark, d).filter(month), A.nations(spark, d).filter("inside AND city <> 'NATION_0'").select("ibge", "tom"))
+    c = S.companies(spark, d).withColumn("record_hash", F.when(F.substring("cnpj_basic", 8, 1) == "1", F.sha2("cnpj_basic", 256)).otherwise(F.col("record_hash")))
+    broken = quality.business_rows(c, S.establishments(spark, d), S.partners(spark, d), A.nations(spark, d).filter("inside AND city <> 'NATION_0'").select("ibge", "tom"))
     return broken.groupBy("rule_code", "entity_key").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,95 +1,254 @@
-"""The registry's stored tables: built once for a folder of given tables, written by month, and read by what serves them.
+"""The registry's stored tables: made from the given ones, published by month, refreshed where what they come from changes.
 
-Snapshots are written as packages, checked and listed in a manifest; events, metrics, resolutions and observations are
-derived from the stored snapshots, events only once the window's quality issues have passed their gate. A table is built when it is first asked for, by one application; reading it by month
-reads that month's files only."""
+Snapshots are written by month as checked packages. Events, issues, metrics and map observations are derived from them,
+months at a time; events only once the issues have passed their gate. Every table is asked for by name. Before it is
+served, the files of the given tables are looked at (at most once in FRESH_SECONDS): if they are others, snapshots are
+made again, and months whose content differs from the stored package are published as a new revision. What depends on a
+month is told by the commit record: a pair's changes, issues and events by the snapshots of both its months, a month's
+metrics by its own, its observations also by what its addresses resolve to. Only months that are stale so are made again
+and published; all others keep their files.
+
+A build that fails or is stopped publishes nothing, and the next one starts from what is published. By default each
+application has a registry of its own below the shared folder; spark.tidemark.registry names a folder that outlives it."""
 
 from __future__ import annotations
 
+import hashlib
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.keys import digest_sums
 from tidemark.operators import dashboard, diff, geo, quality
-from tidemark.operators.contracts import COMPANIES, ESTABLISHMENTS, PARTNERS, Contract, conform
+from tidemark.operators.contracts import COMPANIES, ESTABLISHMENTS, PARTNERS, conform
 from tidemark.plans import adapter as A
+from tidemark.sources import revisions as R
 from tidemark.sources import sinks
 
-#: Folders of what this process has built, by application, given tables and name.
-_BUILT: dict[tuple[str, str, str], str] = {}
-
-
-def _folder(spark: SparkSession, d: str, name: str, write: Callable[[str], None]) -> str:
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _BUILT:
-        path = f"{sinks.work_dir(spark)}/stored-{uuid.uuid4().hex}/{name}"
-        write(path)
-        _BUILT[key] = path
-    return _BUILT[key]
-
-
-def _snapshots(spark: SparkSession, d: str, contract: Contract, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    path = _folder(spark, d, contract.name, lambda path: sinks.write_snapshots(make(spark, d), contract, path))
-    return conform(spark.read.parquet(path), contract)
+#: Served tables are at most so much older than the given ones.
+FRESH_SECONDS = 1.0
+#: Buckets of a month where spark.tidemark.buckets doesn't say; a cluster wants about as many as it has cores.
+BUCKETS = 8
+GIVEN = ("customer", "orders", "lineitem", "supplier", "part", "nation", "region")
+SNAPSHOTS = {"companies": (COMPANIES, A.companies), "establishments": (ESTABLISHMENTS, A.establishments), "partners": (PARTNERS, A.partners)}
+#: Month column and key of each table.
+LAYOUTS = {
+    "companies": ("competence", "cnpj_basic"), "establishments": ("competence", "cnpj"), "partners": ("competence", "cnpj_basic"), "changed_companies": ("to_month", None), "changed_establishments": ("to_month", None),
+    "issues": ("to_month", None), "events": ("to_month", "cnpj_basic"), "metrics": ("competence", None), "resolutions": (None, None), "addresses": ("competence", None), "observations": ("competence", None),
+}
+
+
+def _digest(parts: Iterable[str]) -> str:
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+
+class Registry:
+    """The stored tables of one folder of given tables."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d, self.buckets = spark, d, int(spark.conf.get("spark.tidemark.buckets", str(BUCKETS)))
+        kept = spark.conf.get("spark.tidemark.registry", None)
+        own = f"{sinks.work_dir(spark)}/registry-{spark.sparkContext.applicationId}"
+        self.root = f"{kept or own}/{_digest([d])[:16]}-{self.buckets}"
+        R.create(spark, self.root)
+        self.pairs = [(p.from_month, p.to_month) for p in pairs(spark).collect()]  # a row for each month
+        self.rows: dict[tuple[str, object], Row] = {}
+        self.looked, self.files = None, None
+        self.frames: dict[str, tuple] = {}
+        self.schemas: dict[str, object] = {}
+
+    def layout(self, name: str) -> R.Layout:
+        month, key = LAYOUTS[name]
+        return R.Layout(month, key, self.buckets if key else 0)
+
+    def months(self, name: str) -> dict[date, Row]:
+        return {m: r for (n, m), r in self.rows.items() if n == name}
+
+    def content(self, name: str, month: date | None) -> str:
+        row = self.rows.get((name, month))
+        return row.content_hash if row else ""
+
+    def publish(self, rows: list[tuple]) -> None:
+        R.commit(self.spark, self.root, rows)
+        self.rows = R.active(self.spark, self.root)
+
+    def next_revision(self) -> int:
+        return 1 + max((r.revision_number for r in self.rows.values()), default=0)
+
+    def new_folder(self, name: str) -> str:
+        return f"{self.root}/{name}/revision={self.next_revision()}-{uuid.uuid4().hex[:8]}"
+
+    def table(self, name: str, schema) -> DataFrame:
+        """What is published of a table; months are files that don't change, so it is opened once for each state."""
+        layout = self.layout(name)
+        folders = {m: R.month_folder(r.folder, layout, m) for m, r in self.months(name).items() if r.folder}
+        if self.frames.get(name, (None,))[0] != folders:
+            self.frames[name] = (folders, R.open_table(self.spark, name, schema, layout, folders))
+        return self.frames[name][1]
+
+    def look(self) -> None:
+        """Make snapshots again if the given files aren't those that they were made from."""
+        now = time.monotonic()
+        if self.looked is not None and now - self.looked < FRESH_SECONDS:
+            return
+        tables = [f"{self.d}/{name}.parquet" for name in GIVEN]
+        files = R.fingerprint(self.spark, [*tables, f"{self.root}/commits"])
+        if files != self.files:
+            self.rows = R.active(self.spark, self.root)  # this or another application has published
+            given = R.fingerprint(self.spark, tables)
+            if self.content("given", None) != given:
+                self.take(given)
+            else:
+                self.files = files
+        self.looked = time.monotonic()
+
+    def take(self, given: str) -> None:
+        """Publish the snapshot months that the given tables have now and the stored ones don't."""
+        spark = self.spark
+        offered = {name: conform(make(spark, self.d), contract) for name, (contract, make) in SNAPSHOTS.items()}
+        had = {name: self.months(name) for name in SNAPSHOTS}
+        rows, written, wanted = [], {}, {}
+        if any(had.values()):
+            new = {(r.table_name, r.competence): r.content_hash for r in sinks.manifest(offered).collect()}  # a row for each table and month
+            months = lambda pairs: spark.createDataFrame(pairs, "competence date, content_hash string")
+            for name in SNAPSHOTS:
+                now = [(m, h) for (n, m), h in new.items() if n == name]
+                wanted[name] = [r.competence for r in diff.changed_packages(months([(m, r.content_hash) for m, r in had[name].items()]), months(now)).collect()]
+                rows += [(name, m, self.next_revision(), "", 0, "", given) for m, r in had[name].items() if r.folder and (name, m) not in new]
+        for name, (contract, _) in SNAPSHOTS.items():
+            if wanted.get(name) != []:
+                written[name] = self.new_folder(name)
+                some = offered[name].filter(F.col("competence").isin(wanted[name])) if name in wanted else offered[name]
+                sinks.write_snapshots(some, contract, written[name], self.layout(name))
+        if written:
+            found = sinks.manifest({name: conform(spark.read.parquet(folder), SNAPSHOTS[name][0]) for name, folder in written.items()}).collect()
+            if wanted and {(r.table_name, r.competence): r.content_hash for r in found} != {(n, m): new[n, m] for n, ms in wanted.items() for m in ms}:
+                raise ValueError("the given tables changed while they were read")
+            rows += [(r.table_name, r.competence, self.next_revision(), written[r.table_name], r.rows, r.content_hash, given) for r in found]
+        self.publish([*rows, ("given", None, self.next_revision(), "", 0, given, "")])
+
+    def derived(self, name: str, sources: dict[date | None, list[str]], make: Callable[[list], DataFrame]) -> DataFrame:
+        """A table whose months are made from sources (hashes); make gives the rows of the months that are stale."""
+        wanted = {m: _digest(hashes) for m, hashes in sources.items()}
+        stored = self.months(name)
+        stale = sorted((m for m, h in wanted.items() if m not in stored or stored[m].made_from != h), key=str)
+        gone = [m for m, r in stored.items() if m not in wanted and r.folder]
+        if stale or gone:
+            layout, number = self.layout(name), self.next_revision()
+            counts, folder = {}, self.new_folder(name)
+            if stale:
+                made = make(stale)
+                self.schemas[name] = made.schema
+                R.write(made, folder, layout)
+                back = self.spark.read.schema(made.schema).parquet(folder)
+                per = back.groupBy(layout.month) if layout.month else back.groupBy(F.lit(None).cast("date").alias("month"))
+                counts = {r[0]: r[1] for r in per.agg(F.count(F.lit(1))).collect()}  # a row for each month
+            rows = [(name, m, number, folder if counts.get(m) else "", counts.get(m, 0), wanted[m], wanted[m]) for m in stale]
+            self.publish([*rows, *((name, m, number, "", 0, "", "") for m in gone)])
+        if name not in self.schemas:
+            self.schemas[name] = make([]).schema
+        return self.table(name, self.schemas[name])
+
+
+_OPEN: dict[tuple, Registry] = {}
+
+
+def registry(spark: SparkSession, d: str) -> Registry:
+    """The registry of d, after a look at whether the given tables are still those that it was made from."""
+    key = (spark.sparkContext.applicationId, id(spark), d)
+    if key not in _OPEN:
+        _OPEN[key] = Registry(spark, d)
+    _OPEN[key].look()
+    return _OPEN[key]
+
+
+def _snapshots(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return registry(spark, d).table(name, SNAPSHOTS[name][0].schema)
 
 
 def companies(spark: SparkSession, d: str) -> DataFrame:
-    return _snapshots(spark, d, COMPANIES, A.companies)
+    return _snapshots(spark, d, "companies")
 
 
 def establishments(spark: SparkSession, d: str) -> DataFrame:
-    return _snapshots(spark, d, ESTABLISHMENTS, A.establishments)
+    return _snapshots(spark, d, "establishments")
 
 
 def partners(spark: SparkSession, d: str) -> DataFrame:
-    return _snapshots(spark, d, PARTNERS, A.partners)
+    return _snapshots(spark, d, "partners")
 
 
 def pairs(spark: SparkSession) -> DataFrame:
     return diff.month_pairs(A.months(spark))
 
 
-def _derived(spark: SparkSession, d: str, name: str, month: str, make: Callable[[], DataFrame]) -> DataFrame:
-    path = _folder(spark, d, name, lambda path: sinks.replace_months(make(), path, month))
-    return spark.read.parquet(path)
+def _pairs(r: Registry, months: list[date]) -> DataFrame:
+    """The pairs whose later month is one of months."""
+    return r.spark.createDataFrame([p for p in r.pairs if p[1] in months], "from_month date, to_month date")
+
+
+def _of_pairs(r: Registry, *names: str) -> dict[date, list[str]]:
+    """Of each pair's later month the hashes of both months' snapshots."""
+    return {p[1]: [r.content(n, m) for n in names for m in p] for p in r.pairs}
+
+
+def _both_months(r: Registry, df: DataFrame, months: list[date]) -> DataFrame:
+    """Rows of df of the pairs whose later month is one of months; files of other months aren't read."""
+    return df.filter(F.col("competence").isin([m for p in r.pairs if p[1] in months for m in p]))
 
 
 def window_events(spark: SparkSession, d: str) -> DataFrame:
     """All events, made again."""
-    return diff.window_events(companies(spark, d), establishments(spark, d), partners(spark, d), pairs(spark))
+    return diff.window_events(companies(spark, d), establishments(spark, d), partners(spark, d), pairs(spark), together=True)
 
 
 def _changed(spark: SparkSession, d: str, table: Callable[[SparkSession, str], DataFrame], *identity: str) -> DataFrame:
-    return _derived(spark, d, f"changed_{table.__name__}", "to_month", lambda: diff.changed(table(spark, d), pairs(spark), list(identity)))
+    r = registry(spark, d)
 
+    def make(months: list) -> DataFrame:
+        return diff.changed(_both_months(r, table(spark, d), months), _pairs(r, months), list(identity), together=True)
 
-def issues(spark: SparkSession, d: str) -> DataFrame:
-    """Quality issues of the window; an error if a rule's are over its limit."""
+    return r.derived(f"changed_{table.__name__}", _of_pairs(r, table.__name__), make)
 
-    def make() -> DataFrame:
-        found = diff.missing_and_late(_changed(spark, d, companies, "cnpj_basic"), _changed(spark, d, establishments, "cnpj")).withColumn("affected_rows", F.lit(1))
-        sizes = quality.eligible({"COMPANY": companies(spark, d), "ESTABLISHMENT": establishments(spark, d)}, pairs(spark))
-        quality.enforce(quality.gate(found, sizes))
+
+def issues(spark: SparkSession, d: str) -> DataFrame:
+    """Quality issues of the window; an error if a rule's are over its limit in a month that is made."""
+    r = registry(spark, d)
+
+    def make(months: list) -> DataFrame:
+        own = lambda df: df.filter(F.col("to_month").isin(months))
+        found = diff.missing_and_late(own(_changed(spark, d, companies, "cnpj_basic")), own(_changed(spark, d, establishments, "cnpj"))).withColumn("affected_rows", F.lit(1))
+        if months:
+            sizes = quality.eligible({"COMPANY": _both_months(r, companies(spark, d), months), "ESTABLISHMENT": _both_months(r, establishments(spark, d), months)}, _pairs(r, months))
+            quality.enforce(quality.gate(found, sizes))
         return found
 
-    return _derived(spark, d, "issues", "to_month", make)
+    return r.derived("issues", _of_pairs(r, "companies", "establishments"), make)
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
     """Events of the window, once its issues have passed their gate."""
+    r = registry(spark, d)
 
-    def make() -> DataFrame:
-        issues(spark, d)
-        people = diff.partner_events(diff.changed(partners(spark, d), pairs(spark), ["cnpj_basic", "partner_key"]), diff.comparable(companies(spark, d), pairs(spark)))
-        return diff.company_events(_changed(spark, d, companies, "cnpj_basic")).unionByName(diff.establishment_events(_changed(spark, d, establishments, "cnpj"))).unionByName(people)
+    def make(months: list) -> DataFrame:
+        if months:
+            issues(spark, d)
+        some, own = _pairs(r, months), lambda df: df.filter(F.col("to_month").isin(months))
+        people = diff.partner_events(diff.changed(_both_months(r, partners(spark, d), months), some, ["cnpj_basic", "partner_key"], together=True), diff.comparable(_both_months(r, companies(spark, d), months), some))
+        return diff.company_events(own(_changed(spark, d, companies, "cnpj_basic"))).unionByName(diff.establishment_events(own(_changed(spark, d, establishments, "cnpj")))).unionByName(people)
 
-    return _derived(spark, d, "events", "to_month", make)
+    return r.derived("events", _of_pairs(r, "companies", "establishments", "partners"), make)
 
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _derived(spark, d, "metrics", "competence", lambda: dashboard.regional_metrics(companies(spark, d), establishments(spark, d)))
+    r = registry(spark, d)
+    own = lambda df, months: df.filter(F.col("competence").isin(months))
+    sources = {m: [r.content("companies", m), r.content("establishments", m)] for m in r.months("establishments")}
+    return r.derived("metrics", sources, lambda months: dashboard.regional_metrics(own(companies(spark, d), months), own(establishments(spark, d), months)))
 
 
 def reference(spark, d):
@@ -110,16 +269,41 @@ def resolved(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolutions(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, d, "resolutions", lambda path: resolved(spark, d).write.option("compression", "zstd").parquet(path))
-    return spark.read.parquet(path)
+    r = registry(spark, d)
+    return r.derived("resolutions", {None: [r.content("given", None), *(r.content("establishments", m) for m in sorted(r.months("establishments")))]}, lambda _: resolved(spark, d))
+
+
+def _addresses(spark: SparkSession, d: str) -> None:
+    """Publish of each month a hash of what its addresses resolve to, which its observations depend on. There are no rows."""
+    r = registry(spark, d)
+    known = resolutions(spark, d)
+    wanted = {m: _digest([r.content("resolutions", None), r.content("establishments", m)]) for m in r.months("establishments")}
+    stale = [m for m, h in wanted.items() if (row := r.rows.get(("addresses", m))) is None or row.made_from != h]
+    if stale:
+        own = geo.with_address(geo.eligible(establishments(spark, d).filter(F.col("competence").isin(stale)))).select("competence", "fingerprint").distinct()
+        each = own.join(known, "fingerprint").select("competence", F.sha2(F.to_json(F.struct(*known.columns)), 256).alias("digest"))
+        found = {x.competence: x.sums for x in each.groupBy("competence").agg(digest_sums(F.col("digest")).alias("sums")).collect()}  # a row for each month
+        r.publish([("addresses", m, r.next_revision(), "", 0, _digest([found.get(m, "")]), wanted[m]) for m in stale])
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
     """The map's observations, each eligible row resolved or else an error."""
+    r = registry(spark, d)
+    _addresses(spark, d)
 
-    def make() -> DataFrame:
-        if not geo.unmatched(establishments(spark, d), resolutions(spark, d)).isEmpty():
+    def make(months: list) -> DataFrame:
+        own = lambda df: df.filter(F.col("competence").isin(months))
+        places = own(establishments(spark, d))
+        if months and not geo.unmatched(places, resolutions(spark, d)).isEmpty():
             raise ValueError("eligible establishments without a resolution of their address")
-        return geo.observations(establishments(spark, d), companies(spark, d), resolutions(spark, d))
+        return geo.observations(places, own(companies(spark, d)), resolutions(spark, d))
+
+    return r.derived("observations", {m: [r.content(n, m) for n in ("companies", "establishments", "addresses")] for m in r.months("establishments")}, make)
+
 
-    return _derived(spark, d, "observations", "competence", make)
+def manifest(spark: SparkSession, d: str) -> DataFrame:
+    """table_name, competence and rows of the published months of all tables that have rows."""
+    for table in (events, metrics, observations):
+        table(spark, d)
+    r = registry(spark, d)
+    return R.record(spark, r.root).transform(lambda x: diff.active_revisions(x, ["table_name", "competence"])).filter("active AND rows > 0 AND competence IS NOT NULL").select("table_name", "competence", "rows")

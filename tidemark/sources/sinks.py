@@ -1,7 +1,4 @@
-"""Derived tables and packages on shared storage.
-
-A table is written to a new folder and counts from the moment that its manifest row exists, which is written last;
-parts by month are replaced as wholes, so a task that runs twice leaves one result."""
+"""Packages of snapshots on shared storage: written, checked, described by a manifest and held against it."""
 
 from __future__ import annotations
 
@@ -13,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import digest_sums, set_hash
 from tidemark.operators.contracts import Contract, conform, contract_report, schema_differences
+from tidemark.sources.revisions import Layout, write
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -26,13 +24,12 @@ def work_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def write_snapshots(df: DataFrame, contract: Contract, path: str) -> None:
-    """A package's table by month, checked as it is read again; an error leaves it without a manifest."""
+def write_snapshots(df: DataFrame, contract: Contract, path: str, layout: Layout = Layout()) -> None:  # noqa: B008
+    """A package's table by month, checked as it is read again; an error leaves it in no record."""
     spark = df.sparkSession
     if any(f.name not in df.columns for f in contract.schema):
         raise ValueError(f"{contract.name} lacks columns of its contract")
-    # rebalanced by month, so that a month is a few files of fair size, however many tasks made it
-    conform(df, contract).hint("rebalance", "competence").write.option("compression", "zstd").partitionBy("competence").parquet(path)
+    write(conform(df, contract), path, layout)
     back = conform(spark.read.parquet(path), contract)
     if wrong := schema_differences(back, contract):
         raise ValueError("; ".join(wrong))
@@ -82,9 +79,4 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("competence date, table_name string, rows long, content_hash string").json(path)
 
 
-def replace_months(df: DataFrame, path: str, month: str) -> None:
-    """Write derived rows over the months that they hold; other months stay."""
-    df.hint("rebalance", month).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(month).parquet(path)
-
-
-__all__ = ["manifest", "read_manifest", "replace_months", "set_hash", "window_problems", "work_dir", "write_manifest", "write_snapshots"]
+__all__ = ["manifest", "read_manifest", "set_hash", "window_problems", "work_dir", "write_manifest", "write_snapshots"]
