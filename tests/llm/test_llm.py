@@ -375,13 +375,14 @@ def test_media_features_against_brute_force(spark):
         y = np.concatenate([y, np.zeros((frames - 1) * media.HOP + media.FRAME - len(y))])
         mel = np.array([np.log(np.abs(dft @ (y[k * media.HOP : k * media.HOP + media.FRAME] * np.hanning(media.FRAME))) ** 2 @ bank + 1e-6) for k in range(frames)])
         assert x.n_frames == frames
-        windows = media.read_windows(bytes(x.windows))
-        stored = windows.column("log_mel").to_numpy_ndarray()
+        windows = x.windows
+        stored = np.array([w.log_mel for w in windows], np.float32).reshape(-1, media.WINDOW, media.MELS)
         assert stored.shape == (-(-frames // media.WINDOW), media.WINDOW, media.MELS)
+        assert x.windows_sha256 == hashlib.sha256(np.rint(stored * 100).astype("<i4").tobytes()).hexdigest()
         flat = stored.reshape(-1, media.MELS)
         assert np.allclose(flat[:frames], mel, atol=0.02) and np.allclose(flat[frames:], media.SILENCE)
-        assert windows.column("start_ms").to_pylist() == [k * media.WINDOW * media.HOP / 8 for k in range(len(stored))]
-        assert windows.column("end_ms")[-1].as_py() == ((frames - 1) * media.HOP + media.FRAME) / 8
+        assert [w.start_ms for w in windows] == [k * media.WINDOW * media.HOP / 8 for k in range(len(stored))]
+        assert windows[-1].end_ms == ((frames - 1) * media.HOP + media.FRAME) / 8
         cut = [k * frames / media.POOLED for k in range(media.POOLED + 1)]
         spans = [(min(math.floor(a), frames - 1), max(math.ceil(b), min(math.floor(a), frames - 1) + 1)) for a, b in zip(cut, cut[1:], strict=False)]
         assert np.allclose(np.array(x.log_mel).reshape(media.POOLED, media.MELS), [flat[a:b].mean(axis=0) for a, b in spans], atol=1e-4)
@@ -396,6 +397,10 @@ def test_media_features_against_brute_force(spark):
         segments += [(start, frames - 1)] if on else []
         assert list(zip(x.span_start_ms, x.span_end_ms, strict=True)) == [(a * media.HOP / 8, (b * media.HOP + media.FRAME) / 8) for a, b in segments]
     assert any(len(x.span_start_ms) == 1 for x in got)
+    column = media.features(df, keep=("doc_id",)).select("windows").toArrow().column("windows").combine_chunks()
+    tensors = media.tensors(column)
+    assert tensors.type == media.TENSOR and len(tensors) == sum(len(x.windows) for x in got)
+    assert sorted(map(float, tensors.to_numpy_ndarray().sum(axis=(1, 2)))) == pytest.approx(sorted(float(np.sum(w.log_mel)) for x in got for w in x.windows), rel=1e-3)
     assert media.features(df.limit(0)).count() == 0
 
 

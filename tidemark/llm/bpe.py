@@ -29,6 +29,8 @@ from tidemark.llm.common import map_batches, table
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's memory of encoded pieces (there are two, each with an old one), and of its pair-compatibility table: memory only, never results.
 MEMORY = 300_000
+#: Longer pieces aren't remembered, so a memory's bytes are bounded too: by some 500 for each entry.
+LONGEST_KEPT = 64
 PAIRS = 300_000
 #: A blank before a visible character always starts a pre-token.
 BLANK = re.compile(r" (?=\S)")
@@ -52,6 +54,8 @@ class Pieces(dict):
         out = self.old.get(piece)
         if out is None:
             out = self.encode(piece)
+            if len(piece) > LONGEST_KEPT:
+                return out
         if len(self) >= MEMORY:
             self.old = dict(self)
             self.clear()

@@ -2,9 +2,11 @@
 
 store() packs a payload into a WAV file of unsigned 8-bit mono samples, which keeps every byte. features() reads the
 stored bytes back: the samples go through a polyphase low-pass filter that halves the rate, overlapped Hann frames
-through a mel filterbank, and frame energies through a two-threshold (hysteresis) detector. windows holds every frame: an
-Arrow record batch of the schema WINDOWS with a fixed-shape tensor of WINDOW x MELS log-mels for each WINDOW frames of the
-clip, and its time span; the last one is padded with silence, and its span ends with the clip. log_mel is the mean log-mel
+through a mel filterbank, and frame energies through a two-threshold (hysteresis) detector. windows holds every frame: for
+each WINDOW frames of the clip their time span and a tensor of WINDOW x MELS log-mels, row by row; the last one is padded
+with silence, and its span ends with the clip. Spark has no tensor type, so the column holds what an Arrow tensor of that
+fixed shape stores, and tensors() makes it that without a copy of the values. windows_sha256 covers all of a clip's
+tensors, to a hundredth. log_mel is the mean log-mel
 of POOLED equal time spans, flattened, and spans are the detected segments in milliseconds.
 
 Each clip is computed by itself in blocks of a fixed size, so equal clips have equal values wherever they are.
@@ -34,8 +36,8 @@ RATE, DOWN, TAPS = 16_000, 2, 16
 FRAME, HOP, MELS, POOLED, WINDOW = 256, 128, 24, 8, 64
 #: What a log-mel is in silence.
 SILENCE = np.log(np.float32(1e-6))
-#: The columns of windows.
-WINDOWS = pa.schema([("start_ms", pa.float64()), ("end_ms", pa.float64()), ("log_mel", pa.fixed_shape_tensor(pa.float32(), [WINDOW, MELS], dim_names=["frame", "mel"]))])
+#: What the tensors of windows are to Arrow.
+TENSOR = pa.fixed_shape_tensor(pa.float32(), [WINDOW, MELS], dim_names=["frame", "mel"])
 #: Hysteresis in dB over a clip's quietest tenth of frames: a segment starts above HIGH and lasts while above LOW.
 HIGH, LOW = 9.0, 4.0
 BLOCK = 4096
@@ -124,21 +126,31 @@ def pooled(mel: np.ndarray) -> np.ndarray:
     return ((sums[last] - sums[first]) / (last - first)[:, None]).astype(np.float32)
 
 
-def in_windows(mel: np.ndarray) -> bytes:
-    """Frames x MELS as a serialised record batch of WINDOWS."""
+def in_windows(mel: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each WINDOW frames of Frames x MELS in milliseconds, and their values, windows x WINDOW x MELS."""
     n = -(-len(mel) // WINDOW)
     whole = np.full((n * WINDOW, MELS), SILENCE, np.float32)
     whole[: len(mel)] = mel
-    tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(whole.reshape(n, WINDOW, MELS), dim_names=["frame", "mel"])
     ms = 1000 * DOWN / RATE
     first = np.arange(n) * WINDOW
     last = np.minimum(first + WINDOW, len(mel)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(first * HOP * ms), pa.array((last * HOP + FRAME) * ms), tensors], schema=WINDOWS).serialize().to_pybytes()
+    return first * HOP * ms, (last * HOP + FRAME) * ms, whole.reshape(n, WINDOW, MELS)
 
 
-def read_windows(stored: bytes) -> pa.RecordBatch:
-    """What in_windows() makes, as a record batch."""
-    return pa.ipc.read_record_batch(pa.py_buffer(stored), WINDOWS)
+def column_of(windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Array:
+    """The column windows from the in_windows() of each clip."""
+    together = lambda k, kind: np.concatenate([np.empty(0, kind), *(x[k].ravel() for x in windows)])
+    values = together(2, np.float32)
+    size = WINDOW * MELS
+    mels = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, size), pa.int32()), pa.array(values))
+    spans = pa.StructArray.from_arrays([pa.array(together(0, np.float64)), pa.array(together(1, np.float64)), mels], ["start_ms", "end_ms", "log_mel"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[0]) for x in windows)]), pa.int32()), spans)
+
+
+def tensors(windows: pa.Array) -> pa.Array:
+    """The tensors of a column windows, one after another, as an Arrow array of fixed-shape tensors."""
+    mels = windows.flatten().field("log_mel")
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(mels.flatten(), WINDOW * MELS))
 
 
 def describe(stored: bytes) -> tuple:
@@ -154,7 +166,7 @@ def describe(stored: bytes) -> tuple:
     return payload, len(mel), pooled(mel).ravel(), spans[:, 0], spans[:, 1], float(level.mean()), float(level.max()), in_windows(mel)
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, log_mel array<float>, span_start_ms array<double>, span_end_ms array<double>, level_mean double, level_max double, windows binary"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, log_mel array<float>, span_start_ms array<double>, span_end_ms array<double>, level_mean double, level_max double, windows_sha256 string, windows array<struct<start_ms: double, end_ms: double, log_mel: array<float>>>"
 
 
 def features(df: DataFrame, media: str = "media", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -162,15 +174,17 @@ def features(df: DataFrame, media: str = "media", keep: Sequence[str] = ("doc_id
     keep, source = list(keep), fresh(keep, "stored_clip")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
+        rows, every = [], []
         for clip in batch.column(source):
             stored = clip.as_py()
             payload, n, mel, start, end, mean, most, windows = describe(stored)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), n, mel, start, end, mean, most, windows))
-        names = [x.split()[0] for x in FEATURES.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.binary()]
+            every.append(windows)
+            shown = hashlib.sha256(np.rint(windows[2] * 100).astype("<i4").tobytes()).hexdigest()
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), n, mel, start, end, mean, most, shown))
+        names = [x.split()[0] for x in FEATURES.partition(", windows ")[0].split(", ")]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.string()]
         made = [pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *made], [*keep, *names])
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *made, column_of(every)], [*keep, *names, "windows"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     return map_batches(df.select(*keep, F.col(media).alias(source)), run, f"{kinds}, {FEATURES}")
@@ -183,5 +197,5 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = features(store(docs, "payload", ("doc_id", "n_bytes")), keep=("doc_id", "n_bytes"))
     # rounded so that the text shows the values; the digest covers them all
     digest = F.sha2(F.array_join(F.transform("log_mel", lambda x: F.format_string("%.4f", x)), ","), 256)
-    feature = F.concat_ws(";", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("windows_bytes="), F.octet_length("windows")), F.concat(F.lit("segments="), F.size("span_start_ms")), F.concat(F.lit("level_mean="), F.format_string("%.4f", "level_mean")), F.concat(F.lit("level_max="), F.format_string("%.4f", "level_max")), F.concat(F.lit("log_mel="), digest))
+    feature = F.concat_ws(";", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("windows="), F.size("windows")), F.concat(F.lit("tensors="), "windows_sha256"), F.concat(F.lit("segments="), F.size("span_start_ms")), F.concat(F.lit("level_mean="), F.format_string("%.4f", "level_mean")), F.concat(F.lit("level_max="), F.format_string("%.4f", "level_max")), F.concat(F.lit("log_mel="), digest))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
