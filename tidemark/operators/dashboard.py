@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,6 +116,71 @@ def recent_companies(events: DataFrame, month: date, top: int = 8) -> DataFrame:
     return one.orderBy(F.desc("seen")).limit(top).select("cnpj_basic", "entity_type", "event_type", "entity_key")
 
 
+BOARD = "section string, place int, key string, label string, before decimal(19,2), after decimal(19,2), value decimal(19,2)"
+#: Size of a page of capital growth, and of the other lists of the board.
+CAPITAL_PAGE, CNAES, LIST = 3, 5, 8
+
+
+def board(companies: DataFrame, establishments: DataFrame, partners: DataFrame, events: DataFrame, months: list[date], municipality: str | None = None, cnae: str | None = None, headquarters: bool = False, capital_page: int = 1) -> DataFrame:
+    """The whole dashboard of the months from the first to the last of months under filters, as rows of BOARD.
+
+    What is regional is what the last month has in the region under the filters; with a filter, events count if they are of
+    these establishments or of their companies, without one all of the interval do. Sections: companies, establishments,
+    events (by type), status, size, trend, opened and closed (by month), growth and reduction (activities), capital (a page;
+    with headquarters only companies that have theirs in the region), partners and recent.
+
+    Counts are one aggregation of tagged rows: of each snapshot and event, what it counts for."""
+    first, last = months[0], months[-1]
+    inside = in_region(establishments, municipality, cnae).filter(F.col("competence").between(first, last))
+    now = inside.filter(F.col("competence") == last)
+    own = now.select("cnpj", "cnpj_basic", "branch_type")
+    roots = own.select("cnpj_basic").distinct()
+    span = events.filter((F.col("to_month") > first) & (F.col("to_month") <= last))
+    if municipality or cnae:
+        of_place = F.col("entity_type") == "ESTABLISHMENT"
+        span = span.filter(of_place).join(own.select("cnpj"), "cnpj", "left_semi").select(span.columns).unionByName(span.filter(~of_place).join(roots, "cnpj_basic", "left_semi").select(span.columns))
+
+    month, said = F.col("competence"), F.lit("—")
+    at = lambda m: (month == m).cast("long")
+    tag = lambda section, key, before, after: F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"), F.lit(before).cast("long").alias("before"), F.lit(after).cast("long").alias("after"))
+    when = lambda test, *rest: F.when(test, tag(*rest))
+    tagged = lambda df, *tags: df.select(F.inline(F.array_compact(F.array(*tags))))
+    code = F.coalesce(F.nullif("main_cnae_code", F.lit("")), said)
+    rows = tagged(
+        inside, tag("trend", month, 0, 1), when(month == last, "establishments", F.lit(""), 0, 1), when(month == last, "status", F.coalesce(F.nullif("registration_status_code", F.lit("")), said), 0, 1), when(month.isin(first, last), "cnae", code, at(first), at(last)),
+    )
+    sized = companies.filter(month == last).join(roots, "cnpj_basic", "left_semi")
+    kind = F.col("event_type")
+    told = tagged(span, tag("events", kind, 0, 1), *[when(kind == f"ESTABLISHMENT_{name.upper()}", name, F.col("to_month"), 0, 1) for name in ("opened", "closed")])
+    none = events.sparkSession.createDataFrame([(s, str(m), 0, 0) for m in months for s in ("trend", "opened", "closed")] + [(s, "", 0, 0) for s in ("establishments", "companies")], "section string, key string, before long, after long")
+    parts = [rows, tagged(sized, tag("size", F.coalesce(F.nullif("company_size_code", F.lit("")), said), 0, 1)), tagged(roots, tag("companies", F.lit(""), 0, 1)), told, none]
+    counted = reduce(DataFrame.unionByName, parts).groupBy("section", "key").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+    # one shuffle and as many rows as there are codes; of activities only those that moved most stay
+    delta = F.col("after") - F.col("before")
+    moved = F.when(F.col("section") != "cnae", F.col("section")).when(delta > 0, "growth").when(delta < 0, "reduction")
+    placed = counted.withColumn("section", moved).filter("section IS NOT NULL").withColumn("place", F.row_number().over(W.partitionBy("section").orderBy(F.desc(F.abs(delta)), "key")))
+    lists = F.col("section").isin("growth", "reduction")
+    money = lambda c: c.cast("decimal(19,2)")
+    line = lambda df, section, place, key, label, before, after, value: df.select(section.alias("section"), place.cast("int").alias("place"), key.alias("key"), label.cast("string").alias("label"), money(before).alias("before"), money(after).alias("after"), money(value).alias("value"))
+    out = line(placed.filter(~lists | (F.col("place") <= CNAES)), F.col("section"), F.when(lists, F.col("place")), F.col("key"), F.lit(None), F.when(lists, F.col("before")), F.when(lists, F.col("after")), F.when(lists, delta).otherwise(F.col("after")))
+
+    names = companies.filter(month == last).select("cnpj_basic", "legal_name")
+    grown = grown_capital(of_headquarters(span, now) if headquarters else span)
+    if capital_page == 1:
+        best = grown.orderBy(F.desc("delta"), "cnpj_basic").limit(CAPITAL_PAGE).withColumn("place", F.row_number().over(W.orderBy(F.desc("delta"), "cnpj_basic")))
+    else:
+        best = page(grown, [("delta", True), ("cnpj_basic", False)], capital_page, CAPITAL_PAGE)
+    people = partner_growth(span, partners, names, first, last, LIST)
+    newest = recent_companies(span, last, LIST)
+    ordered = lambda df, *order: df.withColumn("place", F.row_number().over(W.orderBy(*order)))  # noqa: E731  LIST rows at most
+    column = F.col
+    return (
+        out.unionByName(line(named(best, names), F.lit("capital"), column("place"), column("cnpj_basic"), column("legal_name"), column("previous"), column("current"), column("delta")))
+        .unionByName(line(ordered(people, F.desc("delta"), "cnpj_basic"), F.lit("partners"), column("place"), column("cnpj_basic"), column("legal_name"), column("previous"), column("current"), column("delta")))
+        .unionByName(line(ordered(newest, F.desc(F.sha2(F.concat_ws("|", "event_type", "entity_key"), 256))), F.lit("recent"), column("place"), column("cnpj_basic"), column("event_type"), F.lit(None), F.lit(None), F.lit(None)))
+    )
+
+
 def search(query: str, companies: DataFrame, establishments: DataFrame, regional: DataFrame | None = None, limit: int = 50) -> DataFrame:
     """Companies of one month by id, by the start of a name, or where no name starts so by a part of it; by legal name and id.
 

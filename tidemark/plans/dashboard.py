@@ -250,3 +250,58 @@ def dashboard(spark, d):
         part(D.counts_by_type(e), "events", "event_type", "total"), part(last("REGIONAL_ESTABLISHMENTS_BY_STATUS"), "status", "status_code"), part(last("REGIONAL_COMPANIES_BY_SIZE"), "size", "size_code"),
         part(kind("REGIONAL_ESTABLISHMENTS_TOTAL"), "trend", "competence"), part(series, "openings", "competence", "openings"), part(series, "closings", "competence", "closings"),
     ])
+
+
+def _months(first: date, last: date) -> list[date]:
+    return [date(first.year + (first.month - 1 + k) // 12, (first.month - 1 + k) % 12 + 1, 1) for k in range((last.year - first.year) * 12 + last.month - first.month + 1)]
+
+
+def _board_sql(first: str, last: str, place: str, filtered: bool, headquarters: bool) -> tuple[str, ...]:
+    code = lambda c: f"coalesce(nullif({c}, ''), '—')"
+    dec = lambda x: f"CAST({x} AS DECIMAL(19,2))"
+    row = lambda section, key, value, source: f"SELECT '{section}' AS section, CAST(NULL AS INTEGER) AS place, {key} AS key, CAST(NULL AS VARCHAR) AS label, {dec('NULL')} AS before, {dec('NULL')} AS after, {dec(value)} AS value FROM {source}"
+    own = " AND (CASE WHEN entity_type = 'ESTABLISHMENT' THEN cnpj IN (SELECT cnpj FROM reg) ELSE cnpj_basic IN (SELECT cnpj_basic FROM reg) END)" if filtered else ""
+    scope = f" AND cnpj_basic IN (SELECT cnpj_basic FROM reg WHERE branch_type = '1')" if headquarters else ""  # noqa: F541
+    by_month = lambda event: f"mon LEFT JOIN (SELECT * FROM ev WHERE event_type = '{event}') e ON e.to_month = mon.competence GROUP BY mon.competence"
+    moved = lambda name, test, order: f"SELECT '{name}', CAST(rn AS INTEGER), key, NULL, {dec('a')}, {dec('b')}, {dec('b - a')} FROM (SELECT *, row_number() OVER (ORDER BY {order}, key) AS rn FROM act WHERE {test}) WHERE rn <= 5"
+    tables = (
+        f"mon AS (SELECT competence FROM months WHERE competence BETWEEN {first} AND {last})", f"ins AS (SELECT * FROM est WHERE is_in_region AND {place} AND competence BETWEEN {first} AND {last})", f"reg AS (SELECT * FROM ins WHERE competence = {last})",
+        f"ev AS (SELECT * FROM events_ WHERE to_month > {first} AND to_month <= {last}{own})", f"names AS (SELECT cnpj_basic, legal_name FROM company WHERE competence = {last})",
+        f"act AS (SELECT {code('main_cnae_code')} AS key, count(*) FILTER (WHERE competence = {first}) AS a, count(*) FILTER (WHERE competence = {last}) AS b FROM ins WHERE competence IN ({first}, {last}) GROUP BY 1)",
+        f"grown AS (SELECT cnpj_basic, arg_min(a, to_month) AS previous, arg_max(b, to_month) AS current, current - previous AS delta FROM (SELECT *, {_CAP.format('previous_value')} AS a, {_CAP.format('new_value')} AS b FROM ev WHERE event_type = 'SHARE_CAPITAL_CHANGED'{scope}) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1 HAVING delta > 0)",
+        "people AS (SELECT cnpj_basic, count(*) FILTER (WHERE event_type = 'PARTNER_ADDED') - count(*) FILTER (WHERE event_type = 'PARTNER_REMOVED') AS delta FROM ev GROUP BY 1 HAVING delta > 0 ORDER BY delta DESC, cnpj_basic LIMIT 8)",
+        f"few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY seen DESC) AS k FROM (SELECT *, sha256(event_type || '|' || entity_key) AS seen FROM ev WHERE to_month = {last})) WHERE k <= 8)",
+        "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cnpj_basic ORDER BY seen DESC) AS r FROM few) WHERE r = 1 ORDER BY seen DESC LIMIT 8)",
+    )
+    at = lambda m: f"(SELECT count(*) FROM partner x WHERE x.cnpj_basic = p.cnpj_basic AND x.competence = {m})"
+    body = " UNION ALL ".join([
+        row("companies", "''", "count(DISTINCT cnpj_basic)", "reg"), row("establishments", "''", "count(*)", "reg"), row("events", "event_type", "count(*)", "ev GROUP BY event_type"), row("status", code("registration_status_code"), "count(*)", "reg GROUP BY 3"),
+        row("size", code("company_size_code"), "count(*)", f"company WHERE competence = {last} AND cnpj_basic IN (SELECT cnpj_basic FROM reg) GROUP BY 3"), row("trend", "CAST(mon.competence AS VARCHAR)", "count(ins.cnpj)", "mon LEFT JOIN ins ON ins.competence = mon.competence GROUP BY mon.competence"),
+        row("opened", "CAST(mon.competence AS VARCHAR)", "count(e.entity_key)", by_month("ESTABLISHMENT_OPENED")), row("closed", "CAST(mon.competence AS VARCHAR)", "count(e.entity_key)", by_month("ESTABLISHMENT_CLOSED")),
+        moved("growth", "b > a", "b - a DESC"), moved("reduction", "b < a", "b - a"),
+        f"SELECT 'capital', CAST(rn AS INTEGER), cnpj_basic, coalesce(legal_name, 'Empresa sem nome'), {dec('previous')}, {dec('current')}, {dec('delta')} FROM (SELECT *, row_number() OVER (ORDER BY delta DESC, cnpj_basic) AS rn FROM grown) LEFT JOIN names USING (cnpj_basic) WHERE rn <= 3",
+        f"SELECT 'partners', CAST(row_number() OVER (ORDER BY delta DESC, cnpj_basic) AS INTEGER), cnpj_basic, coalesce(legal_name, 'Empresa sem nome'), {dec(at(first))}, {dec(at(last))}, {dec('delta')} FROM people p LEFT JOIN names USING (cnpj_basic)",
+        f"SELECT 'recent', CAST(row_number() OVER (ORDER BY seen DESC) AS INTEGER), cnpj_basic, event_type, {dec('NULL')}, {dec('NULL')}, {dec('NULL')} FROM one",
+    ])
+    return (body, *tables)
+
+
+def board(spark, d, first=START, last=END, **filters):
+    """The whole dashboard; a municipality or activity that no row has is an empty one."""
+    return D.board(S.companies(spark, d), S.establishments(spark, d), S.partners(spark, d), S.events(spark, d), _months(first, last), **filters)
+
+
+@query("dashboard_filtered", events_sql(*_board_sql("DATE '1998-04-01'", "DATE '1998-12-01'", "municipality_ibge_code = '3100000'", True, False)))
+def dashboard_filtered(spark, d):
+    return board(spark, d, date(1998, 4, 1), date(1998, 12, 1), municipality="3100000")
+
+
+@query("dashboard_headquarters", events_sql(*_board_sql("DATE '1998-02-01'", "DATE '1998-07-01'", "main_cnae_code = '0000002'", True, True)))
+def dashboard_headquarters(spark, d):
+    """By activity, with capital of companies whose headquarters is in the region."""
+    return board(spark, d, date(1998, 2, 1), date(1998, 7, 1), cnae="0000002", headquarters=True)
+
+
+@query("dashboard_whole", events_sql(*_board_sql(FROM, T, "true", False, False)))
+def dashboard_whole(spark, d):
+    return board(spark, d)
