@@ -52,7 +52,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Words(dict):
     """64 bits of a cryptographic digest of each word; made once for each word as far as memory is meant for it."""
 
-    MOST = 1 << 24
+    MOST = 1 << 22
 
     def __init__(self):
         self.held = 0
