@@ -33,14 +33,14 @@ def test_company_rows(spark, tmp_path):
 
 
 def test_catalogues(spark, tmp_path):
-    (tmp_path / "n.csv").write_text("5403;UBERLANDIA\n0001;EXTERIOR\nxx;BAD\n1;SHORT\n")
-    assert sorted(r.tom for r in files.municipality_names(spark, f"{tmp_path}/n.csv", 2).collect()) == ["0001", "5403"]
+    (tmp_path / "n.csv").write_text("0711;LAGOA FRIA\n0002;LONGE\nxx;BAD\n1;SHORT\n")
+    assert sorted(r.tom for r in files.municipality_names(spark, f"{tmp_path}/n.csv", 2).collect()) == ["0002", "0711"]
     with pytest.raises(ValueError, match="2 municipality names"):
         files.municipality_names(spark, f"{tmp_path}/n.csv")
-    uf = {"UF": {"sigla": "MG"}}
-    (tmp_path / "i.json").write_text(json.dumps([{"id": 3170206, "nome": "Uberlândia", "microrregiao": {"mesorregiao": uf}}, {"id": 3100000, "nome": "Novo", "microrregiao": None, "regiao-imediata": {"regiao-intermediaria": uf}}]))
+    uf = {"UF": {"sigla": "ZZ"}}
+    (tmp_path / "i.json").write_text(json.dumps([{"id": 9170206, "nome": "Lagoa Fría", "microrregiao": {"mesorregiao": uf}}, {"id": 9100000, "nome": "Novo", "microrregiao": None, "regiao-imediata": {"regiao-intermediaria": uf}}]))
     got = files.ibge_catalogue(spark, f"{tmp_path}/i.json", 2)
-    assert sorted((r.name_search, r.uf, r.ibge) for r in got.collect()) == [("novo", "MG", "3100000"), ("uberlandia", "MG", "3170206")]
+    assert sorted((r.name_search, r.uf, r.ibge) for r in got.collect()) == [("lagoa fria", "ZZ", "9170206"), ("novo", "ZZ", "9100000")]
     people = lambda *rows: (tmp_path / "p.json").write_text(json.dumps([dict(zip(("D1C", "D2C", "D3C", "V"), r, strict=True)) for r in (("Município (Código)", "v", "a", "V"), *rows)]))
     good, other = ("0000042", "93", "2022", "812"), ("0000043", "93", "2022", "9")
     people(good, other)
@@ -56,7 +56,7 @@ def test_catalogues(spark, tmp_path):
         acts(("0000007", "Old"), bad)
         with pytest.raises(ValueError, match="activities"):
             files.cnae_catalogue(spark, f"{tmp_path}/a.json", 1)
-    (tmp_path / "scope.csv").write_text("municipio,codigo_ibge,codigo_tom,uf\nUberlândia,3170206,5403,MG\n")
+    (tmp_path / "scope.csv").write_text("municipio,codigo_ibge,codigo_tom,uf\nLagoa Fría,9170206,0711,ZZ\n")
     assert files.scope(spark, f"{tmp_path}/scope.csv", 1).count() == 1
     with pytest.raises(ValueError):
         files.scope(spark, f"{tmp_path}/scope.csv", 2)

@@ -203,3 +203,42 @@ def test_record(spark, tmp_path):
     assert seen != revisions.fingerprint(spark, [f"{root}/commits"])
     empty = revisions.open_table(spark, "t", spark.range(1).schema, revisions.Layout(), {})
     assert empty.count() == 0
+
+
+def test_search_by_postings(spark):
+    """By the start or a part of any of its names a company is found as by a scan of the month."""
+    month = F.col("competence") == date(1999, 1, 1)
+    firms, places = store.companies(spark, SF).filter(month), store.establishments(spark, SF).filter(month)
+    index = store.names(spark, SF).filter(month)
+    for query in ("Customer#0000001", "00042", "loja 1", "Loja", "ja", "r#0", "no such name", "42", "customer 000000042 "):
+        want = store.dashboard.search(query, firms, places).collect()
+        assert list(map(tuple, store.dashboard.indexed_search(query, index).collect())) == list(map(tuple, want)), query
+    assert store.dashboard.indexed_search("00000012", index) is None and store.dashboard.indexed_search("x", index) is None
+    one = index.filter("gram = '^cu'")
+    assert len({x[0].rsplit("_", 1)[1][:5] for x in one.select(F.input_file_name()).distinct().collect()}) == 1
+
+
+def test_medians_of_a_hot_key(spark):
+    """A key of very many points and keys of few have the medians that sorting gives, whatever is held of them."""
+    import numpy as np
+    from tidemark.operators import geo
+
+    r = np.random.default_rng(2)
+    rows = [("hot", float(x), float(y), 1, str(i)) for i, (x, y) in enumerate(np.round(r.normal((-19, -47), 0.5, (3001, 2)), 6))]
+    rows += [("even", float(x), float(y), 1, str(i)) for i, (x, y) in enumerate(np.round(r.normal((60, 179), 0.5, (400, 2)).clip(-180, 180), 6))]
+    rows += [(f"k{i % 40}", round(float(r.uniform(-90, 90)), 6), round(float(r.uniform(-180, 180)), 6), 1, str(i)) for i in range(130)] + [("one", 1.5, -1.5, 2, "x"), ("same", 0.0, 0.0, 1, "a")] + [("tie", 1.0, 1.0 + k, 1, str(9 - k)) for k in range(2)]
+    points = spark.createDataFrame(rows, "ibge string, latitude double, longitude double, level int, address_code string").repartition(5)
+    got = {x.ibge: (x.mid_lat, x.mid_lon) for x in geo.medians(points, ["ibge"]).collect()}
+    of = lambda k, c: float(np.median([x[c] for x in rows if x[0] == k]))
+    keys = {x[0] for x in rows}
+    assert set(got) == keys and all(got[k] == pytest.approx((of(k, 1), of(k, 2)), abs=1e-9) for k in keys)
+    held = {x.ibge: x for x in geo.resolved_points(points, ["ibge"]).collect()}
+    assert held["hot"].n == 3001 and held["even"].n == 400 and set(held) == keys
+    far = lambda a, b: float(np.round(6371008.8 * 2 * np.arcsin(np.sqrt(np.sin(np.radians(b[0] - a[0]) / 2) ** 2 + np.cos(np.radians(a[0])) * np.cos(np.radians(b[0])) * np.sin(np.radians(b[1] - a[1]) / 2) ** 2)), 3))
+    for k in ("hot", "even", "k1", "tie", "one"):
+        own = [x for x in rows if x[0] == k]
+        best = min((far((x[1], x[2]), (of(k, 1), of(k, 2))), x[4]) for x in own)
+        assert (held[k].address_code, k) == (best[1], k)
+    assert held["one"].dispersion == 0 and held["tie"].dispersion == pytest.approx(far((1, 1), (1, 2)), abs=0.01)
+    s, w, t, e = (f(x[c] for x in rows if x[0] == "hot") for c, f in ((1, min), (2, min), (1, max), (2, max)))
+    assert held["hot"].dispersion == pytest.approx(far((s, w), (t, e)), rel=1e-6)

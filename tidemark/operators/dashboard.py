@@ -181,6 +181,42 @@ def board(companies: DataFrame, establishments: DataFrame, partners: DataFrame,
     )
 
 
+#: What stands before a name, so that its start is a part like others.
+START_OF_NAME, GRAM = "^", 3
+
+
+def search_index(companies: DataFrame, establishments: DataFrame) -> DataFrame:
+    """Postings of names: competence, gram, name, cnpj_basic, legal_name and regional_establishments.
+
+    A company is found by its own name and by those of its establishments; a row for each run of GRAM characters of each of
+    its names, START_OF_NAME before it included. All that a result shows is in the row, so a search reads postings only."""
+    key = ["competence", "cnpj_basic"]
+    regional = establishments.filter("is_in_region").groupBy(*key).agg(F.count(F.lit(1)).alias("regional_establishments"))
+    firms = companies.select(*key, "legal_name", "legal_name_search").join(regional, key, "left").fillna(0, ["regional_establishments"])
+    shown = ["legal_name", "regional_establishments"]
+    named = firms.select(*key, *shown, F.col("legal_name_search").alias("name")).unionByName(establishments.select(*key, F.col("trade_name_search").alias("name")).distinct().join(firms.select(*key, *shown), key))
+    whole = F.concat(F.lit(START_OF_NAME), "name")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - (GRAM - 1), F.lit(1))), lambda i: F.substring(whole, i, F.lit(GRAM))))
+    return named.filter("name <> ''").distinct().select("competence", F.explode(grams).alias("gram"), "name", "cnpj_basic", *shown)
+
+
+def indexed_search(query: str, index: DataFrame, limit: int = 50) -> DataFrame | None:
+    """search() by name on postings of one month; none for what isn't a name of two characters or more."""
+    wanted = text.search_text(F.lit(query))
+    # constants only, which need no job
+    shape = index.sparkSession.sql("SELECT 1").select(ids.looks_like_id(F.lit(query)).alias("id"), wanted.alias("wanted")).first()
+    if shape.id or len(query) < 2 or len(shape.wanted) < 2:
+        return None
+    name, said = F.col("name"), shape.wanted
+    few = lambda rows: rows.select("cnpj_basic", "legal_name", "regional_establishments").distinct().orderBy("legal_name", "cnpj_basic").limit(limit)
+    found = few(index.filter((F.col("gram") == START_OF_NAME + said[: GRAM - 1]) & name.startswith(said))).collect()
+    if not found:
+        # a name that holds the term holds each of its parts; of a term of two characters there is none, but each name starts once
+        part = F.col("gram") == said[-GRAM:] if len(said) >= GRAM else F.col("gram").startswith(START_OF_NAME)
+        found = few(index.filter(part & name.contains(said))).collect()  # limit rows
+    return index.sparkSession.createDataFrame(found, "cnpj_basic string, legal_name string, regional_establishments long")
+
+
 def search(query: str, companies: DataFrame, establishments: DataFrame, regional: DataFrame | None = None, limit: int = 50) -> DataFrame:
     """Companies of one month by id, by the start of a name, or where no name starts so by a part of it; by legal name and id.
 

@@ -136,20 +136,26 @@ def now(df):
     return df.filter(F.col("competence") == END)
 
 
+def by_name(spark, d, query):
+    """Search of the last month, by postings where the query is a name."""
+    found = D.indexed_search(query, now(S.names(spark, d)))
+    return found if found is not None else D.search(query, now(S.companies(spark, d)), now(S.establishments(spark, d)))
+
+
 _SEARCH = f"""found AS (SELECT cnpj_basic FROM company WHERE competence = {T} AND starts_with(legal_name_search, 'customer 00000012') UNION SELECT cnpj_basic FROM est WHERE competence = {T} AND starts_with(trade_name_search, 'customer 00000012'))"""
 
 
 @query("company_search", A.sql(f"""SELECT cnpj_basic, legal_name, (SELECT count(*) FROM est e WHERE e.cnpj_basic = c.cnpj_basic AND competence = {T} AND is_in_region) AS regional_establishments FROM company c
 WHERE competence = {T} AND cnpj_basic IN (SELECT cnpj_basic FROM found) ORDER BY legal_name, cnpj_basic LIMIT 50""", _SEARCH))
 def company_search(spark, d):
-    return D.search("Customer#00000012", now(S.companies(spark, d)), now(S.establishments(spark, d)))
+    return by_name(spark, d, "Customer#00000012")
 
 
 @query("text_filter", A.sql(f"""SELECT cnpj_basic, legal_name, (SELECT count(*) FROM est e WHERE e.cnpj_basic = c.cnpj_basic AND competence = {T} AND is_in_region) AS regional_establishments FROM company c
 WHERE competence = {T} AND (contains(legal_name_search, '00042') OR cnpj_basic IN (SELECT cnpj_basic FROM est WHERE competence = {T} AND contains(trade_name_search, '00042'))) ORDER BY legal_name, cnpj_basic LIMIT 50"""))
 def text_filter(spark, d):
     """No name starts so, so parts of names count."""
-    return D.search("00042", now(S.companies(spark, d)), now(S.establishments(spark, d)))
+    return by_name(spark, d, "00042")
 
 
 @query("search_union", A.sql(f"""SELECT cnpj_basic, legal_name, (SELECT count(*) FROM est e WHERE e.cnpj_basic = c.cnpj_basic AND competence = {T} AND is_in_region) AS regional_establishments FROM company c

@@ -38,7 +38,7 @@ SNAPSHOTS = {"companies": (COMPANIES, A.companies), "establishments": (ESTABLISH
 #: Month column and key of each table.
 LAYOUTS = {
     "companies": ("competence", "cnpj_basic"), "establishments": ("competence", "cnpj"), "partners": ("competence", "cnpj_basic"), "changed_companies": ("to_month", None), "changed_establishments": ("to_month", None),
-    "issues": ("to_month", None), "events": ("to_month", "cnpj_basic"), "metrics": ("competence", None), "resolutions": (None, None), "addresses": ("competence", None), "observations": ("competence", None),
+    "issues": ("to_month", None), "events": ("to_month", "cnpj_basic"), "metrics": ("competence", None), "resolutions": (None, None), "addresses": ("competence", None), "observations": ("competence", None), "names": ("competence", "gram"),
 }
 
 
@@ -251,6 +251,15 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
     return r.derived("metrics", sources, lambda months: dashboard.regional_metrics(own(companies(spark, d), months), own(establishments(spark, d), months)))
 
 
+def names(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of the names of the last month, for search."""
+    r = registry(spark, d)
+    own = lambda df, months: df.filter(F.col("competence").isin(months))
+    last = max(r.months("companies"), default=None)
+    sources = {last: [r.content("companies", last), r.content("establishments", last)]} if last else {}
+    return r.derived("names", sources, lambda months: dashboard.search_index(own(companies(spark, d), months), own(establishments(spark, d), months)))
+
+
 def reference(spark, d):
     """Address candidates from the distinct parts that suppliers ship; some parts have none, some lie far apart."""
     sold = A.table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct().filter("l_partkey % 11 <> 0")
