@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.sinks import work_dir as shared_dir
+
 #: The bytes that separate words, and what bytes.split() and bytes.strip() take as white space.
 WHITE = b"\t\n\x0b\x0c\r "
 
@@ -19,17 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where all of Spark is one process, and an error elsewhere."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if there:
-        return there.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there and lost executors cost nothing before it."""
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
