@@ -269,3 +269,20 @@ def test_long_runs_are_told_apart(spark):
     hashes = substrings.runs_of(substrings.word_hashes([w.encode() for w in one + other]), 1024)
     real = [tuple((one + other)[k : k + 1024]) for k in range(4096 - 1023)]
     assert len(set(hashes.tolist())) == len(set(real))
+
+
+def test_crowded_regions_keep_their_links(spark):
+    """More near copies than a stretch compares by signature, so that labels go deeper: none is lost, nothing else joins."""
+    r = np.random.default_rng(12)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(2600):
+        copy = list(base)
+        for k in r.integers(0, 200, 2):
+            copy[k] = f"x{r.integers(0, 10**6)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(10_000 + i, " ".join(f"o{x}" for x in r.integers(0, 10**5, 200))) for i in range(100)]
+    docs = with_key(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), "doc_id", "text")
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(docs, 3, (85, 100)).collect()}
+    assert neardup.STRETCH < 2600
+    assert got == {i: 0 if i < 2600 else i for i, _ in rows}
