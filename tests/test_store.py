@@ -242,3 +242,35 @@ def test_medians_of_a_hot_key(spark):
     assert held["one"].dispersion == 0 and held["tie"].dispersion == pytest.approx(far((1, 1), (1, 2)), abs=0.01)
     s, w, t, e = (f(x[c] for x in rows if x[0] == "hot") for c, f in ((1, min), (2, min), (1, max), (2, max)))
     assert held["hot"].dispersion == pytest.approx(far((s, w), (t, e)), rel=1e-6)
+
+
+def test_boxes_skip_files(spark):
+    """Observations lie in the order of their places, so a small box reads fewer rows than the month has, and finds the same."""
+    from tidemark.operators import geo
+
+    z = spark.range(1).select(*[geo.cell(F.lit(float(a)), F.lit(float(b))) for a, b in ((-90, -180), (90, 180), (-90, 180), (90, -180), (0, 0))]).first()
+    assert (z[0], z[1], z[2], z[3]) == (0, 0xFFFFFFFF, 0x55555555, 0xAAAAAAAA) and 0 < z[4] < z[1]
+    month = store.observations(spark, SF).filter(F.col("competence") == date(1998, 9, 1))
+    rows = [(float(r.longitude), float(r.latitude)) for r in month.collect() if r.latitude is not None]
+    x, y = rows[0]
+    box = month.filter(geo.inside_box(x, y, x + 0.001, y + 0.001))
+    assert len(box.collect()) == sum(x <= a <= x + 0.001 and y <= b <= y + 0.001 for a, b in rows)
+    read = box._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value()
+    assert read <= 0.75 * month.count()
+
+
+def test_pages_of_a_stored_ranking(spark):
+    """Every page of a ranking that is stored once, read from the partitions that hold it."""
+    from tidemark.operators import pages
+
+    rows = spark.range(1000).selectExpr("id * 7919 % 100 AS score", "id").repartition(5)
+    want = [(r.score, r.id) for r in sorted(rows.collect(), key=lambda r: (-r.score, r.id))]
+    held = pages.ranked(rows, [("score", True), ("id", False)], parts=6)
+    assert held.total == 1000 and len(held.sizes) > 1
+    for number, size in ((1, 10), (34, 10), (100, 10), (999, 10), (0, 300), (2, 999)):
+        got = held.page(number, size)
+        last = min(max(1, number), -(-1000 // size))
+        found = sorted(got.collect(), key=lambda r: r.place)
+        assert [(r.score, r.id) for r in found] == want[(last - 1) * size : last * size] and {(r.page_number, r.pages, r.total) for r in found} == {(last, -(-1000 // size), 1000)}
+    assert "PartitionFilters: [isnotnull(part" in plan_of(held.page(50, 10))
+    assert pages.ranked(rows.limit(0), [("id", False)]).page(3, 10).count() == 0

@@ -63,7 +63,8 @@ class Registry:
 
     def layout(self, name: str) -> R.Layout:
         month, key = LAYOUTS[name]
-        return R.Layout(month, key, self.buckets if key else 0)
+        place = geo.cell(F.col("latitude"), F.col("longitude")) if name == "observations" else None
+        return R.Layout(month, key, self.buckets if key or place is not None else 0, place)
 
     def months(self, name: str) -> dict[date, Row]:
         return {m: r for (n, m), r in self.rows.items() if n == name}
@@ -143,7 +144,7 @@ class Registry:
             if stale:
                 made = make(stale)
                 self.schemas[name] = made.schema
-                R.write(made, folder, layout)
+                R.write(made, folder, layout, len(stale))
                 back = self.spark.read.schema(made.schema).parquet(folder)
                 per = back.groupBy(layout.month) if layout.month else back.groupBy(F.lit(None).cast("date").alias("month"))
                 counts = {r[0]: r[1] for r in per.agg(F.count(F.lit(1))).collect()}  # a row for each month

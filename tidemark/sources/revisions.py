@@ -9,8 +9,8 @@ A month's row says what it was made from, by hash: a month is stale when that is
 refresh is told by the record alone which months to make again, also if the last one stopped between two tables.
 
 Tables that are bucketed by a key keep each month in as many buckets, sorted by the key: months meet each other without a
-shuffle, and a lookup by key reads one bucket. Readers get them as tables of the session's catalog, whose partitions lie
-wherever their active revision does.
+shuffle, and a lookup by key reads one bucket. Tables in the order of a place are skipped by file and row group. Readers
+get them as tables of the session's catalog, whose partitions lie wherever their active revision does.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,11 +33,13 @@ PUBLISHED = "PUBLISHED"
 
 @dataclass(frozen=True)
 class Layout:
-    """How a table is stored: its month column (none for a table in one piece), and the key and number of its buckets."""
+    """How a table is stored: its month column (none for a table in one piece), and the key and number of its buckets; or, in
+    order of a number that a row has, in as many files a month, each a range of it."""
 
     month: str | None = "competence"
     key: str | None = None
     buckets: int = 0
+    order: Column | None = None
 
 
 def create(spark: SparkSession, root: str) -> None:
@@ -69,9 +71,13 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return files.agg(F.concat_ws(":", F.count(F.lit(1)), digest_sums(F.sha2(F.concat_ws("|", "path", "length", F.col("modificationTime").cast("double")), 256)))).first()[0]
 
 
-def write(df: DataFrame, folder: str, layout: Layout) -> None:
-    """df as Parquet below folder, by month and bucket; no table of the catalog is left."""
-    out = df.repartition(layout.buckets, layout.key) if layout.key else df.hint("rebalance", layout.month) if layout.month else df
+def write(df: DataFrame, folder: str, layout: Layout, months: int = 1) -> None:
+    """df (of so many months) as Parquet below folder, by month and bucket; no table of the catalog is left."""
+    if layout.order is not None:
+        place = "tidemark_place"
+        out = df.withColumn(place, layout.order).repartitionByRange(months * layout.buckets, layout.month, place).sortWithinPartitions(layout.month, place).drop(place)
+    else:
+        out = df.repartition(layout.buckets, layout.key) if layout.key else df.hint("rebalance", layout.month) if layout.month else df
     writer = out.write.format("parquet").option("compression", "zstd")
     if layout.month:
         writer = writer.partitionBy(layout.month)

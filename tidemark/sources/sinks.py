@@ -71,12 +71,4 @@ def window_problems(offered: DataFrame, observed: DataFrame, window: dict[str, s
     return out.unionByName(gaps).unionByName(twice)
 
 
-def write_manifest(rows: DataFrame, path: str) -> None:
-    rows.coalesce(1).write.mode("append").json(path)  # a row for each month and table
-
-
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("competence date, table_name string, rows long, content_hash string").json(path)
-
-
-__all__ = ["manifest", "read_manifest", "set_hash", "window_problems", "work_dir", "write_manifest", "write_snapshots"]
+__all__ = ["manifest", "set_hash", "window_problems", "work_dir", "write_snapshots"]
