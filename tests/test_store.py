@@ -8,7 +8,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import diff
+from tidemark.operators import diff, maps
 from tidemark.plans import adapter, store
 from tidemark.sources import revisions
 
@@ -274,3 +274,37 @@ def test_pages_of_a_stored_ranking(spark):
         assert [(r.score, r.id) for r in found] == want[(last - 1) * size : last * size] and {(r.page_number, r.pages, r.total) for r in found} == {(last, -(-1000 // size), 1000)}
     assert "PartitionFilters: [isnotnull(part" in plan_of(held.page(50, 10))
     assert pages.ranked(rows.limit(0), [("id", False)]).page(3, 10).count() == 0
+
+
+def test_companies_by_bitmaps(spark):
+    """Counts of cells are those of the observations, under any selection that cells tell; also over several buckets of numbers."""
+    seen, cells = store.observations(spark, SF), store.cells(spark, SF)
+    month = max(store.registry(spark, SF).months("cells"))
+    people = seen.select("municipality").distinct().withColumn("population", F.lit(3000))
+    some = seen.filter(F.col("competence") == F.lit(month)).first()
+    for chosen in ({}, {"branch_type": "1"}, {"branch_type": "2", "method": "ADDRESS"}, {"municipality": some.municipality, "tax_profile": some.tax_profile}, {"size_code": "01", "method": "UNLOCATED"}):
+        selection = maps.Selection(month, **chosen)
+        rows, sets = maps.selected(seen, selection), maps.selected_sets(cells, selection)
+        plain, quick = maps.summary(rows), maps.summary_of_sets(sets)
+        assert plain.columns == quick.columns and rows_of(plain) == rows_of(quick)
+        assert rows_of(maps.by_municipality(rows)) == rows_of(maps.by_municipality_of_sets(sets).select(*maps.by_municipality(rows).columns))
+        assert rows_of(maps.density(rows, people)) == rows_of(maps.density_of_sets(sets, people))
+    plan = maps.summary_of_sets(maps.selected_sets(cells, maps.Selection(month)))._jdf.queryExecution().executedPlan().toString()
+    assert "cnpj_basic" not in plan
+    with pytest.raises(ValueError):
+        maps.selected_sets(cells, maps.Selection(month, cnae_code="1234567"))
+    assert cells.agg(F.sum("establishments")).first()[0] == seen.count()
+
+
+def test_bitmaps_of_many_buckets(spark):
+    """Companies of two cells are counted once, on both sides of a bucket's end; no rows give no companies."""
+    n = 100_000
+    base = spark.range(n).select(F.lit(MAY).alias("competence"), F.lpad(F.col("id").cast("string"), 8, "0").alias("cnpj_basic"), F.lit("a").alias("municipality"), F.lit("A").alias("municipality_name"), F.when(F.col("id") % 3 == 0, "2").otherwise("1").alias("branch_type"), F.lit("01").alias("size_code"), F.lit("MEI").alias("tax_profile"), F.lit("ADDRESS").alias("method"))
+    rows = base.unionByName(base.filter("cnpj_basic < '00050000'").withColumns({"municipality": F.lit("b"), "municipality_name": F.lit("B"), "branch_type": F.lit(None).cast("string")}))
+    numbers = spark.createDataFrame(maps.company_numbers(rows).toPandas())
+    assert numbers.select("number").distinct().count() == n
+    cells = maps.company_sets(rows, numbers)
+    assert cells.filter("municipality = 'a'").select("bucket").distinct().count() > 3
+    assert rows_of(maps.summary(rows)) == rows_of(maps.summary_of_sets(cells))
+    assert rows_of(maps.by_municipality(rows)) == rows_of(maps.by_municipality_of_sets(cells).select(*maps.by_municipality(rows).columns))
+    assert rows_of(maps.summary(rows.limit(0))) == rows_of(maps.summary_of_sets(cells.limit(0)))

@@ -20,6 +20,9 @@ GROUPS = 5_000
 #: What a selection may name.
 CHOICES = {"branch_type": ("1", "2"), "size_code": ("00", "01", "03", "05"), "tax_profile": ("MEI", "SIMPLES", "REGULAR", "UNKNOWN"), "method": ("ADDRESS", "POSTAL_CODE", "UNLOCATED"), "opening_months": (1, 3, 6, 12), "mode": ("stock", "dynamics"), "metric": ("absolute", "per_1000")}
 
+#: What a cell of company_sets() is of.
+CELLS = ("municipality", "municipality_name", "branch_type", "size_code", "tax_profile", "method")
+
 
 @dataclass(frozen=True)
 class Selection:
@@ -58,6 +61,11 @@ class Selection:
             raise ValueError(f"unknown municipality: {self.municipality}")
         return self
 
+    @property
+    def of_cells(self) -> bool:
+        """Whether cells of company_sets() tell it; activities are too many for cells, and openings are by day."""
+        return self.cnae_code is None and self.opening_months is None
+
     @property
     def condition(self) -> Column:
         out = F.col("competence") == F.lit(self.competence)
@@ -89,11 +97,73 @@ def by_municipality(rows: DataFrame) -> DataFrame:
     return rows.groupBy("municipality", "municipality_name").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("cnpj_basic").alias("companies"), F.count_if(F.col("method") != "UNLOCATED").alias("located"))
 
 
+def company_numbers(observations: DataFrame) -> DataFrame:
+    """competence, cnpj_basic and number: the companies of each month, those of a municipality next to each other.
+
+    Numbers are dense within a partition of the sort, and nothing but that is said of them: write them before they are used."""
+    firms = observations.groupBy("competence", "cnpj_basic").agg(F.min("municipality").alias("home"))
+    order = ["competence", "home", "cnpj_basic"]
+    return firms.repartitionByRange(*order).sortWithinPartitions(*order).select("competence", "cnpj_basic", F.monotonically_increasing_id().alias("number"))
+
+
+def company_sets(observations: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Of each month, value of CELLS and bucket of 32,768 company numbers: how many establishments, and the companies as a bitmap.
+
+    Rows meet by municipality and bucket, so bitmaps are made where they stay and a large municipality is as many groups as
+    its companies fill. Bitmaps of other cells are joined by or: a company of several cells counts once in any sum of them."""
+    placed = observations.select("competence", "cnpj_basic", *CELLS).join(numbers, ["competence", "cnpj_basic"])
+    placed = placed.select("competence", *CELLS, F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("bit"))
+    return placed.repartition("competence", "municipality", "bucket").groupBy("competence", *CELLS, "bucket").agg(F.count(F.lit(1)).alias("establishments"), F.bitmap_construct_agg("bit").alias("companies"))
+
+
+def selected_sets(cells: DataFrame, selection: Selection) -> DataFrame:
+    """The cells of a selection, whose counts are those of its observations; an error if it asks for more than cells tell."""
+    if not selection.of_cells:
+        raise ValueError("activities and openings are told by observations only")
+    return cells.filter(selection.condition)
+
+
+def _companies_by(cells: DataFrame, *by: str) -> DataFrame:
+    """Establishments, located ones and distinct companies of cells, by columns."""
+    located = F.sum(F.when(F.col("method") != "UNLOCATED", F.col("establishments")).otherwise(0))
+    each = cells.groupBy(*by, "bucket").agg(F.sum("establishments").alias("total"), F.bitmap_count(F.bitmap_or_agg("companies")).alias("companies"), located.alias("located"))
+    add = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "companies", "located")]
+    return each.groupBy(*by).agg(*add)
+
+
+def summary_of_sets(cells: DataFrame) -> DataFrame:
+    """summary() of the observations that cells are of."""
+    of = lambda c, v: F.coalesce(F.sum(F.when(F.col(c) == v, F.col("establishments"))), F.lit(0))
+    counts = cells.agg(
+        F.coalesce(F.sum("establishments"), F.lit(0)).alias("establishments"), F.countDistinct("municipality").alias("municipalities"), of("method", "ADDRESS").alias("by_address"), of("method", "POSTAL_CODE").alias("by_postal_code"), of("method", "UNLOCATED").alias("unlocated"),
+        of("branch_type", "1").alias("headquarters"), of("branch_type", "2").alias("branches"), of("tax_profile", "MEI").alias("mei"), of("tax_profile", "SIMPLES").alias("simples"), of("tax_profile", "REGULAR").alias("regular"), of("tax_profile", "UNKNOWN").alias("unknown_tax"),
+    )
+    firms = _companies_by(cells).select("companies")
+    one = F.lit(1).alias("one")
+    out = counts.select("*", one).join(firms.select("*", one), "one")  # a row each
+    out = out.select("establishments", "companies", *[c for c in counts.columns if c != "establishments"])
+    return out.withColumn("coverage", share(F.col("by_address") + F.col("by_postal_code"), F.col("establishments")))
+
+
+def by_municipality_of_sets(cells: DataFrame) -> DataFrame:
+    """by_municipality() of the observations that cells are of."""
+    return _companies_by(cells, "municipality", "municipality_name")
+
+
 def density(rows: DataFrame, population: DataFrame) -> DataFrame:
     """by_municipality() with population and establishments and companies per 1,000 inhabitants, and a line for all of them."""
-    counted = by_municipality(rows).join(F.broadcast(population), "municipality", "left")  # a row for each municipality
+    return _density(by_municipality(rows), rows.agg(F.countDistinct("cnpj_basic").alias("companies")), population)
+
+
+def density_of_sets(cells: DataFrame, population: DataFrame) -> DataFrame:
+    """density() of the observations that cells are of."""
+    return _density(by_municipality_of_sets(cells), _companies_by(cells).select("companies"), population)
+
+
+def _density(counted: DataFrame, firms: DataFrame, population: DataFrame) -> DataFrame:
+    counted = counted.join(F.broadcast(population), "municipality", "left")  # a row for each municipality
     whole = counted.agg(F.sum("total").alias("total"), F.sum("population").alias("population"))
-    firms = rows.agg(F.countDistinct("cnpj_basic").alias("companies")).withColumn("one", F.lit(1))
+    firms = firms.withColumn("one", F.lit(1))
     region = whole.withColumn("one", F.lit(1)).join(firms, "one").select(F.lit("region").alias("municipality"), "total", "companies", "population")
     both = counted.select("municipality", "total", "companies", "population").unionByName(region)
     return both.withColumns({"establishments_per_1000": share(F.col("total"), F.col("population"), 1000), "companies_per_1000": share(F.col("companies"), F.col("population"), 1000)})
@@ -137,7 +207,11 @@ def postal_clusters(rows: DataFrame) -> DataFrame:
 
 def municipality_points(rows: DataFrame, centres: DataFrame) -> DataFrame:
     """by_municipality() at the municipalities' centres (municipality, latitude, longitude)."""
-    return by_municipality(rows).select("municipality", "total", "companies").join(F.broadcast(centres), "municipality")  # a closed set
+    return at_centres(by_municipality(rows), centres)
+
+
+def at_centres(counted: DataFrame, centres: DataFrame) -> DataFrame:
+    return counted.select("municipality", "total", "companies").join(F.broadcast(centres), "municipality")  # a closed set
 
 
 def clusters(rows: DataFrame, centres: DataFrame, zoom: int, box: tuple[float, float, float, float] | None = None, limit: int = GROUPS) -> tuple[str, DataFrame]:
@@ -183,7 +257,11 @@ def features(groups: DataFrame, identifier: Column) -> DataFrame:
 
 def municipality_features(rows: DataFrame, scope: DataFrame, population: DataFrame) -> DataFrame:
     """A row for each municipality of scope (municipality), zero where nothing is."""
-    counted = by_municipality(rows).select("municipality", "total", "companies", "located")
+    return features_by_municipality(by_municipality(rows), scope, population)
+
+
+def features_by_municipality(counted: DataFrame, scope: DataFrame, population: DataFrame) -> DataFrame:
+    counted = counted.select("municipality", "total", "companies", "located")
     out = scope.select("municipality").distinct().join(counted, "municipality", "left").fillna(0, ["total", "companies", "located"]).join(population, "municipality", "left")
     return out.withColumn("per_1000", share(F.col("total"), F.col("population"), 1000))
 

@@ -123,7 +123,18 @@ def per(a: str, b: str, times: int) -> str:
 
 @query("map_summary", geo_sql(_SUM.format("sel")))
 def map_summary(spark, d):
-    return maps.summary(maps.selected(S.observations(spark, d), maps.Selection(NOW)))
+    return maps.summary_of_sets(now_sets(spark, d))
+
+
+@query("map_summary_filtered", geo_sql(_SUM.format("sel WHERE branch_type = '2' AND tax_profile = 'REGULAR' AND method = 'ADDRESS'")))
+def map_summary_filtered(spark, d):
+    return maps.summary_of_sets(maps.selected_sets(S.cells(spark, d), maps.Selection(NOW, branch_type="2", tax_profile="REGULAR", method="ADDRESS")))
+
+
+@query("map_summary_openings", geo_sql(_SUM.format(f"sel WHERE activity_start_date BETWEEN CAST({N} - INTERVAL 11 MONTH AS DATE) AND last_day({N})")))
+def map_summary_openings(spark, d):
+    """Openings are told by the observations themselves."""
+    return maps.summary(maps.selected(S.observations(spark, d), maps.Selection(NOW, opening_months=12)))
 
 
 _FILTER = f"competence = {N} AND municipality = '3100000' AND branch_type = '1' AND tax_profile = 'REGULAR' AND activity_start_date BETWEEN CAST({N} - INTERVAL 11 MONTH AS DATE) AND last_day({N})"
@@ -139,6 +150,10 @@ def now(spark, d):
     return maps.selected(S.observations(spark, d), maps.Selection(NOW))
 
 
+def now_sets(spark, d):
+    return maps.selected_sets(S.cells(spark, d), maps.Selection(NOW))
+
+
 _BOX = (-47.9, -19.95, -47.3, -19.2)
 
 
@@ -151,7 +166,7 @@ def bbox_filter(spark, d):
 SELECT municipality, count(*) AS total, count(DISTINCT cnpj_basic) AS companies, any_value(population) AS population FROM sel LEFT JOIN pop USING (municipality) GROUP BY 1
 UNION ALL SELECT 'region', (SELECT count(*) FROM sel), (SELECT count(DISTINCT cnpj_basic) FROM sel), (SELECT CAST(sum(population) AS BIGINT) FROM pop WHERE municipality IN (SELECT municipality FROM sel)))"""))
 def municipality_density(spark, d):
-    return maps.density(now(spark, d), geo.latest_population(population(spark, d), scope(spark, d)))
+    return maps.density_of_sets(now_sets(spark, d), geo.latest_population(population(spark, d), scope(spark, d)))
 
 
 _DYN = f"""SELECT key, count(*) FILTER (WHERE side = 'b') AS previous_establishments, count(*) FILTER (WHERE side = 'n') AS establishments, count(*) FILTER (WHERE side = 'o') AS openings, count(*) FILTER (WHERE side = 'c') AS closures, establishments - previous_establishments AS stock_change, openings - closures AS lifecycle_balance,
@@ -194,7 +209,7 @@ _CENTRES = "SELECT municipality, count(*) AS total, count(DISTINCT cnpj_basic) A
 
 @query("municipality_points", geo_sql("SELECT municipality, count(*) AS total, count(DISTINCT cnpj_basic) AS companies, x.latitude, x.longitude FROM sel JOIN centres x USING (municipality) GROUP BY ALL"))
 def municipality_points(spark, d):
-    return maps.municipality_points(now(spark, d), centres(spark, d))
+    return maps.at_centres(maps.by_municipality_of_sets(now_sets(spark, d)), centres(spark, d))
 
 
 @query("adaptive_level", geo_sql(f"SELECT CASE WHEN (SELECT count(*) FROM ({_POSTAL})) > 40 THEN 'municipality' ELSE 'postal' END AS level_shown, count(*) AS groups, CAST(sum(total) AS BIGINT) AS total FROM (SELECT municipality, count(*) AS total FROM sel GROUP BY 1)"))
@@ -238,7 +253,7 @@ def map_quality_gate(spark, d):
 
 @query("feature_table", geo_sql(f"SELECT s.municipality, coalesce(total, 0) AS total, coalesce(companies, 0) AS companies, coalesce(located, 0) AS located, population, {per('coalesce(total, 0)', 'population', 1000)} AS per_1000 FROM scope_ s LEFT JOIN (SELECT municipality, count(*) AS total, count(DISTINCT cnpj_basic) AS companies, count(*) FILTER (WHERE method <> 'UNLOCATED') AS located FROM sel GROUP BY 1) USING (municipality) LEFT JOIN pop USING (municipality)"))
 def feature_table(spark, d):
-    return maps.municipality_features(now(spark, d), scope(spark, d), geo.latest_population(population(spark, d), scope(spark, d)))
+    return maps.features_by_municipality(maps.by_municipality_of_sets(now_sets(spark, d)), scope(spark, d), geo.latest_population(population(spark, d), scope(spark, d)))
 
 
 @query("point_features", geo_sql("SELECT municipality || '/' || postal AS id, '[' || CAST(longitude AS DOUBLE) || ',' || CAST(latitude AS DOUBLE) || ']' AS coordinates, total FROM (" + _POSTAL + ")"))

@@ -17,13 +17,15 @@ import hashlib
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import digest_sums
-from tidemark.operators import dashboard, diff, geo, quality
+from tidemark.operators import dashboard, diff, geo, maps, quality
 from tidemark.operators.contracts import COMPANIES, ESTABLISHMENTS, PARTNERS, conform
 from tidemark.plans import adapter as A
 from tidemark.sources import revisions as R
@@ -38,7 +40,7 @@ SNAPSHOTS = {"companies": (COMPANIES, A.companies), "establishments": (ESTABLISH
 #: Month column and key of each table.
 LAYOUTS = {
     "companies": ("competence", "cnpj_basic"), "establishments": ("competence", "cnpj"), "partners": ("competence", "cnpj_basic"), "changed_companies": ("to_month", None), "changed_establishments": ("to_month", None),
-    "issues": ("to_month", None), "events": ("to_month", "cnpj_basic"), "metrics": ("competence", None), "resolutions": (None, None), "addresses": ("competence", None), "observations": ("competence", None), "names": ("competence", "gram"),
+    "issues": ("to_month", None), "events": ("to_month", "cnpj_basic"), "metrics": ("competence", None), "resolutions": (None, None), "addresses": ("competence", None), "observations": ("competence", None), "numbers": ("competence", "cnpj_basic"), "cells": ("competence", None), "names": ("competence", "gram"),
 }
 
 
@@ -112,7 +114,7 @@ class Registry:
         spark = self.spark
         offered = {name: conform(make(spark, self.d), contract) for name, (contract, make) in SNAPSHOTS.items()}
         had = {name: self.months(name) for name in SNAPSHOTS}
-        rows, written, wanted = [], {}, {}
+        rows, wanted = [], {}
         if any(had.values()):
             new = {(r.table_name, r.competence): r.content_hash for r in sinks.manifest(offered).collect()}  # a row for each table and month
             months = lambda pairs: spark.createDataFrame(pairs, "competence date, content_hash string")
@@ -120,12 +122,15 @@ class Registry:
                 now = [(m, h) for (n, m), h in new.items() if n == name]
                 wanted[name] = [r.competence for r in diff.changed_packages(months([(m, r.content_hash) for m, r in had[name].items()]), months(now)).collect()]
                 rows += [(name, m, self.next_revision(), "", 0, "", given) for m, r in had[name].items() if r.folder and (name, m) not in new]
-        for name, (contract, _) in SNAPSHOTS.items():
-            if wanted.get(name) != []:
-                written[name] = self.new_folder(name)
-                some = offered[name].filter(F.col("competence").isin(wanted[name])) if name in wanted else offered[name]
-                sinks.write_snapshots(some, contract, written[name], self.layout(name))
+
+        def write(name: str) -> None:
+            some = offered[name].filter(F.col("competence").isin(wanted[name])) if name in wanted else offered[name]
+            sinks.write_snapshots(some, SNAPSHOTS[name][0], written[name], self.layout(name))
+
+        written = {name: self.new_folder(name) for name in SNAPSHOTS if wanted.get(name) != []}
         if written:
+            with ThreadPoolExecutor(len(written)) as pool:  # tables don't depend on each other; an error in one publishes none
+                list(pool.map(inheritable_thread_target(spark)(write), written))
             found = sinks.manifest({name: conform(spark.read.parquet(folder), SNAPSHOTS[name][0]) for name, folder in written.items()}).collect()
             if wanted and {(r.table_name, r.competence): r.content_hash for r in found} != {(n, m): new[n, m] for n, ms in wanted.items() for m in ms}:
                 raise ValueError("the given tables changed while they were read")
@@ -311,6 +316,16 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
     return r.derived("observations", {m: [r.content(n, m) for n in ("companies", "establishments", "addresses")] for m in r.months("establishments")}, make)
 
 
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    """The companies of the map's observations by cell, as bitmaps of their numbers within the month."""
+    r = registry(spark, d)
+    seen = observations(spark, d)
+    sources = {m: [r.content("observations", m)] for m in r.months("observations")}
+    own = lambda df, months: df.filter(F.col("competence").isin(months))
+    numbers = r.derived("numbers", sources, lambda months: maps.company_numbers(own(seen, months)))
+    return r.derived("cells", sources, lambda months: maps.company_sets(own(seen, months), own(numbers, months)))
+
+
 def manifest(spark: SparkSession, d: str) -> DataFrame:
     """table_name, competence and rows of the published months of all tables that have rows."""
     for table in (events, metrics, observations):
