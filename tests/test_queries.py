@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["establishment_snapshots", "event_counts", "company_events", "partner_events", "missing_and_late", "regional_metrics", "cnae_growth", "capital_growth", "address_resolution", "map_summary", "dynamics_cnae", "validate_cnpj", "cohort_discovery", "package_manifest", "invalid_cohort_ids",
+SOME = ["establishment_snapshots", "event_counts", "company_events", "partner_events", "missing_and_late", "regional_metrics", "cnae_growth", "capital_growth", "address_resolution", "map_summary", "map_summary_filtered", "municipality_density", "dynamics_cnae", "validate_cnpj", "cohort_discovery", "package_manifest", "invalid_cohort_ids",
         "build_companies", "build_establishments", "build_partners", "partner_warnings", "company_offences", "establishment_offences", "window_problems", "normalize_code_page", "event_text", "event_keys", "middle_page", "capital_growth_headquarters", "location_details", "map_quality_gate", "changed_packages", "revision_artifacts", "dashboard", "dashboard_filtered", "dashboard_headquarters", "stored_manifest", "business_rows", "company_search", "text_filter", "watchlist"]
 
 
