@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import diff, maps
 from tidemark.plans import adapter, store
-from tidemark.sources import revisions
+from tidemark.sources import revisions, sinks
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -308,3 +308,43 @@ def test_bitmaps_of_many_buckets(spark):
     assert rows_of(maps.summary(rows)) == rows_of(maps.summary_of_sets(cells))
     assert rows_of(maps.by_municipality(rows)) == rows_of(maps.by_municipality_of_sets(cells).select(*maps.by_municipality(rows).columns))
     assert rows_of(maps.summary(rows.limit(0))) == rows_of(maps.summary_of_sets(cells.limit(0)))
+
+
+def test_snapshots_are_shuffled_narrow_and_once(spark):
+    """Rows lie in the parts that they are stored in before texts and months are made of them."""
+    for name, (_, make) in store.SNAPSHOTS.items():
+        key = store.LAYOUTS[name][1]
+        plan = plan_of(make(spark, SF).repartition(adapter.buckets(spark, SF), key))
+        assert plan.count(f"Exchange hashpartitioning({key}") == 1
+        assert plan.index("Generate explode") < plan.index(f"Exchange hashpartitioning({key}")
+
+
+def test_parts_grow_with_the_tables(spark, monkeypatch):
+    said = spark.conf.get("spark.tidemark.buckets")
+    spark.conf.unset("spark.tidemark.buckets")
+    try:
+        monkeypatch.setattr(adapter, "_PARTS", {})
+        assert adapter.buckets(spark, SF) == adapter.BUCKETS
+        held = sum(os.path.getsize(f"{SF}/{name}.parquet") for name in adapter.GIVEN)
+        monkeypatch.setattr(adapter, "_PARTS", {})
+        monkeypatch.setattr(adapter, "BUCKET_BYTES", held // 20)
+        assert adapter.buckets(spark, SF) == 32
+    finally:
+        spark.conf.set("spark.tidemark.buckets", said)
+
+
+def test_a_package_is_checked_without_a_shuffle(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def report(df, contract):
+        plans.append(plan_of(found := reported(df, contract)))
+        return found
+
+    reported = sinks.contract_report
+    monkeypatch.setattr(sinks, "contract_report", report)
+    layout = revisions.Layout("competence", "cnpj_basic", 2)
+    rows = adapter.companies(spark, SF)
+    sinks.write_snapshots(rows, store.COMPANIES, str(tmp_path / "whole"), layout)
+    assert "Exchange hashpartitioning" not in plans[0]
+    with pytest.raises(ValueError, match="repeated_identities"):
+        sinks.write_snapshots(rows.unionByName(rows.filter("cnpj_basic = '00000012'")), store.COMPANIES, str(tmp_path / "twice"), layout)
