@@ -348,3 +348,10 @@ def test_a_package_is_checked_without_a_shuffle(spark, tmp_path, monkeypatch):
     assert "Exchange hashpartitioning" not in plans[0]
     with pytest.raises(ValueError, match="repeated_identities"):
         sinks.write_snapshots(rows.unionByName(rows.filter("cnpj_basic = '00000012'")), store.COMPANIES, str(tmp_path / "twice"), layout)
+
+
+def test_partners_meet_their_companies_in_place(spark):
+    known = diff.comparable(store.companies(spark, SF), store.pairs(spark))
+    rows = diff.changed(store.partners(spark, SF), store.pairs(spark), ["cnpj_basic", "partner_key"], together=True)
+    plan = plan_of(diff.partner_events(rows, known))
+    assert "Exchange hashpartitioning(cnpj_basic" not in plan
