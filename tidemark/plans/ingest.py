@@ -211,8 +211,8 @@ def domain_checks(spark, d):
 @query("ambiguous_partners", A.sql("SELECT competence, 'AMBIGUOUS_PARTNER' AS rule_code, cnpj_basic || '/' || partner_key AS entity_key, 2::BIGINT AS kinds FROM partner WHERE qualification_code = 'R'"))
 def ambiguous_partners(spark, d):
     p = S.partners(spark, d)
-    other = p.filter("qualification_code = 'R'").withColumn("record_hash", F.sha2("record_hash", 256))
-    return quality.first_of_ambiguous(p.unionByName(other))[1]
+    other = F.when(F.col("qualification_code") == "R", F.sha2("record_hash", 256))
+    return quality.first_of_ambiguous(p.withColumn("record_hash", F.explode(F.array_compact(F.array("record_hash", other)))))[1]
 
 
 @query("zero_dates", "SELECT 'day' AS column_name, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS zero_dates FROM orders UNION ALL SELECT 'other', count(*) FILTER (WHERE o_orderkey % 9 = 0) FROM orders")
@@ -441,8 +441,9 @@ def raw_partners(spark, d):
     p = A.partner_rows(spark, d)
     code = F.when(F.col("partner_type") == "PJ", "1").when(F.col("partner_type") == "PF", "2").otherwise("3")
     raw = p.select("cnpj_basic", code.alias("partner_type_code"), "display_name", "source_id", "country_code", "qualification_code", _sd("entry_date").alias("entry_date"), "competence")
-    keyed = raw.filter("source_id IS NOT NULL AND partner_type_code <> '3' AND qualification_code = 'R'")
-    return raw.unionByName(keyed.withColumn("display_name", F.concat("display_name", F.lit(" ZZ"))).withColumn("entry_date", F.lit("19990101")))
+    second = F.when(F.expr("source_id IS NOT NULL AND partner_type_code <> '3' AND qualification_code = 'R'"), F.struct(F.concat("display_name", F.lit(" ZZ")).alias("display_name"), F.lit("19990101").alias("entry_date")))
+    both = raw.withColumn("told", F.explode(F.array_compact(F.array(F.struct("display_name", "entry_date"), second))))
+    return both.withColumns({c: F.col(f"told.{c}") for c in ("display_name", "entry_date")}).drop("told")
 
 
 @query("build_partners", A.sql("SELECT * FROM partner"))
