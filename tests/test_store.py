@@ -355,3 +355,10 @@ def test_partners_meet_their_companies_in_place(spark):
     rows = diff.changed(store.partners(spark, SF), store.pairs(spark), ["cnpj_basic", "partner_key"], together=True)
     plan = plan_of(diff.partner_events(rows, known))
     assert "Exchange hashpartitioning(cnpj_basic" not in plan
+
+
+def test_candidates_meet_by_point(spark):
+    """As keys, before they are texts; points are told apart where they have met."""
+    spread = plan_of(store.reference(spark, SF))
+    assert spread.count("Exchange hashpartitioning") - spread.count("Exchange hashpartitioning(l_suppkey") == 1
+    assert "HashAggregate" not in spread and "REPARTITION_BY_NUM" in spread
