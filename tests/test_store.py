@@ -362,3 +362,33 @@ def test_candidates_meet_by_point(spark):
     spread = plan_of(store.reference(spark, SF))
     assert spread.count("Exchange hashpartitioning") - spread.count("Exchange hashpartitioning(l_suppkey") == 1
     assert "HashAggregate" not in spread and "REPARTITION_BY_NUM" in spread
+
+
+def test_a_row_of_many_months_is_stored_once(spark):
+    """Also where some of its months were published later, in another folder; changes are those of the months' rows."""
+    r = store.registry(spark, SF)
+    for name, (_, make) in store.SNAPSHOTS.items():
+        held, rows = spark.read.parquet(*{x.folder for x in r.months(name).values()}), getattr(store, name)(spark, SF)
+        keys = [c for c in rows.columns if c != "competence"]
+        assert held.count() == rows.select(keys).distinct().count() < 0.7 * rows.count()
+        assert rows_of(rows) == rows_of(make(spark, SF).select(*rows.columns))
+        want = diff.changed(rows, store.pairs(spark), store.IDENTITIES[name])
+        assert rows_of(store.changed(spark, SF, name).select(*want.columns)) == rows_of(want)
+
+
+def test_spans_of_two_revisions(spark, tmp_path):
+    """Of each folder the months count that it is the active one of; rows that meet again are one for what changed."""
+    months = [date(2020, m, 1) for m in (1, 2, 3, 4)]
+    layout, schema = revisions.Layout("competence", "k", 2, spans=True), "k string, record_hash string, competence date"
+    one = spark.createDataFrame([("a", "x", m) for m in months] + [("b", "y", m) for m in months[1:3]], schema)
+    two = spark.createDataFrame([("a", "z", months[1]), ("b", "y", months[1])], schema)
+    for i, rows in enumerate((one, two)):
+        revisions.write(store.spans.gathered(rows), f"{tmp_path}/t/{i}", layout)
+    held = store.spans.gathered(one).schema
+    found = revisions.open_table(spark, "t", held, layout, {m: f"{tmp_path}/t/{int(m == months[1])}" for m in months})
+    want = one.filter(F.col("competence") != months[1]).unionByName(two)
+    assert rows_of(store.spans.by_month(found).select(*want.columns)) == rows_of(want)
+    pairs = diff.month_pairs(want)
+    moved = store.spans.changed(found, pairs, ["k"])
+    assert rows_of(moved) == rows_of(diff.changed(want, pairs, ["k"]).select(*moved.columns)) and moved.count() == 4
+    assert "Exchange hashpartitioning(k" not in plan_of(moved)
