@@ -392,3 +392,13 @@ def test_spans_of_two_revisions(spark, tmp_path):
     moved = store.spans.changed(found, pairs, ["k"])
     assert rows_of(moved) == rows_of(diff.changed(want, pairs, ["k"]).select(*moved.columns)) and moved.count() == 4
     assert "Exchange hashpartitioning(k" not in plan_of(moved)
+
+
+def test_shuffles_are_released(spark, tmp_path):
+    """A write leaves no shuffle behind, and the session is as it was."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: blocks.getAllFiles().size()
+    before, had = held(), spark.conf.get(revisions.CLEANUP)
+    with revisions.shuffles_released(spark):
+        revisions.write(spark.range(1000).selectExpr("id AS k", "DATE '2020-01-01' AS competence"), f"{tmp_path}/t", revisions.Layout("competence", "k", 3))
+    assert held() <= before and spark.conf.get(revisions.CLEANUP) == had
