@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import diff, maps
-from tidemark.plans import adapter, store
+from tidemark.plans import adapter, ingest, store
 from tidemark.sources import revisions, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -402,3 +402,10 @@ def test_shuffles_are_released(spark, tmp_path):
     with revisions.shuffles_released(spark):
         revisions.write(spark.range(1000).selectExpr("id AS k", "DATE '2020-01-01' AS competence"), f"{tmp_path}/t", revisions.Layout("competence", "k", 3))
     assert held() <= before and spark.conf.get(revisions.CLEANUP) == had
+
+
+def test_the_cohort_is_met_once_for_each_content(spark):
+    """No row of a month is shuffled by id; only counts by month are."""
+    plan = plan_of(ingest.cohort_semi_join(spark, SF))
+    below = [x.split("FileScan")[0] for x in plan.split("Generate explode(months")[1:]]
+    assert len(below) == 2 and all("LeftSemi" in x for x in below)

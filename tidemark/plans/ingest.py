@@ -6,7 +6,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids, keys, show, text
-from tidemark.operators import cohort, contracts, geo, pages, quality
+from tidemark.operators import cohort, contracts, geo, pages, quality, spans
 from tidemark.plans import adapter as A
 from tidemark.plans import store as S
 from tidemark.plans.changes import _ISSUES, events_sql
@@ -115,9 +115,14 @@ def parse_source_fields(spark, d):
     return raw.select("o_orderkey", text.source_date(F.col("day")).alias("day"), text.money(F.col("amount")).alias("amount"), text.flag(F.col("flag")).alias("flag"), text.bad_date(F.col("day")).alias("bad_day"))
 
 
+def raw_spans(spark, d):
+    """Raw establishments of one content each, with their months."""
+    e = S.stored_spans(spark, d, "establishments")
+    return e.select("cnpj_basic", F.substring("cnpj", 9, 4).alias("cnpj_order"), F.substring("cnpj", 13, 2).alias("cnpj_digits"), F.concat(F.lit(" "), "municipality_tom_code").alias("municipality_tom_code"), spans.MONTHS)
+
+
 def raw_places(spark, d):
-    e = S.establishments(spark, d)
-    return e.select("cnpj_basic", F.substring("cnpj", 9, 4).alias("cnpj_order"), F.substring("cnpj", 13, 2).alias("cnpj_digits"), F.concat(F.lit(" "), "municipality_tom_code").alias("municipality_tom_code"), "competence")
+    return spans.by_month(raw_spans(spark, d))
 
 
 def region(spark, d):
@@ -143,9 +148,12 @@ _COHORT = "coh AS (SELECT DISTINCT cnpj FROM est WHERE is_in_region AND competen
 
 @query("cohort_semi_join", A.sql("SELECT 'companies' AS table_name, competence, count(*) AS n FROM company WHERE cnpj_basic IN (SELECT cnpj[1:8] FROM coh) GROUP BY 2 UNION ALL SELECT 'establishments', competence, count(*) FROM est WHERE cnpj IN (SELECT cnpj FROM coh) GROUP BY 2", _COHORT))
 def cohort_semi_join(spark, d):
-    known = cohort.discover(raw_places(spark, d).filter("competence < DATE '1998-04-01'"), region(spark, d))
-    one = lambda name, df: df.groupBy("competence").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "competence", "n")
-    return one("companies", cohort.of_cohort(S.companies(spark, d), known)).unionByName(one("establishments", cohort.of_cohort(raw_places(spark, d), known, by_id=True)))
+    """Rows meet the cohort once for each content; months multiply them afterwards."""
+    rows = raw_spans(spark, d)
+    early = spans.kept(rows, F.filter(spans.MONTHS, lambda m: m < F.lit("1998-04-01").cast("date")))
+    known = cohort.discover(early, region(spark, d))
+    one = lambda name, df: spans.by_month(df).groupBy("competence").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "competence", "n")
+    return one("companies", cohort.of_cohort(S.stored_spans(spark, d, "companies"), known)).unionByName(one("establishments", cohort.of_cohort(rows, known, by_id=True)))
 
 
 @query("company_tax_join", A.sql("SELECT c.cnpj_basic, c.competence, r.optant AS simples_optant, r.d AS simples_option_date FROM company c LEFT JOIN (SELECT cnpj_basic, competence, max(simples_optant) AS optant, max(coalesce(simples_option_date, simples_exclusion_date)) AS d FROM company WHERE cnpj_basic[8:8] <> '3' GROUP BY ALL) r ON r.cnpj_basic = c.cnpj_basic AND r.competence = c.competence"))
