@@ -148,3 +148,17 @@ def test_digests_combine_in_any_order(spark):
     one = lambda x: sinks.manifest({"t": x}).first().content_hash
     assert one(df) == one(df.orderBy("record_hash").repartition(7))
     assert len({one(df), one(df.limit(499)), one(df.unionByName(df.limit(1))), one(df.limit(499).unionByName(df.limit(1)))}) == 4
+
+
+def test_companies_are_missed_by_year_not_by_row(spark, capsys):
+    """Each month that has establishments but not their company, also where years and days differ or are unknown; what is shuffled are a root's months together."""
+    months = [date(1999, 12, 1), date(2000, 1, 1), date(2000, 2, 1), date(2004, 12, 1), date(2005, 1, 1), date(2005, 1, 2), None]
+    rows = lambda pairs: spark.createDataFrame(pairs, "cnpj_basic string, competence date")
+    places = rows([(root, m) for root in ("A", "B", None) for m in months for _ in range(3)])
+    firms = rows([("A", m) for m in months[1:]] + [("B", date(2005, 1, 1)), (None, months[0]), ("C", months[0])])
+    found = cohort.alone_roots(places, firms)
+    want = cohort.orphans(places.distinct(), firms)
+    key = lambda df: sorted(map(str, df.select("cnpj_basic", "competence").collect()))
+    assert key(found) == key(want) and found.count() == 2 + 6 + 7
+    found.explain()
+    assert "Exchange hashpartitioning(cnpj_basic" in (plan := capsys.readouterr().out) and "competence" not in plan[plan.rindex("Exchange") :].split("Aggregate")[0]
