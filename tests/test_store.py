@@ -8,7 +8,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import diff, maps
+from tidemark.operators import dashboard, diff, maps
 from tidemark.plans import adapter, ingest, store
 from tidemark.sources import revisions, sinks
 
@@ -409,3 +409,39 @@ def test_the_cohort_is_met_once_for_each_content(spark):
     plan = plan_of(ingest.cohort_semi_join(spark, SF))
     below = [x.split("FileScan")[0] for x in plan.split("Generate explode(months")[1:]]
     assert len(below) == 2 and all("LeftSemi" in x for x in below)
+
+
+def made_again(spark, monkeypatch, name):
+    """The plans of the writes that make a table again, of which nothing is in the registry meanwhile."""
+    plans, wrote, table = [], revisions.write_in_turn, getattr(store, name)
+    monkeypatch.setattr(revisions, "write_in_turn", lambda slices, *rest: wrote([(plans.append(plan_of(df)) or df, n) for df, n in slices], *rest))
+    before, r = rows_of(table(spark, SF)), store.registry(spark, SF)
+    plans.clear()
+    monkeypatch.setattr(r, "rows", {k: v for k, v in r.rows.items() if k[0] != name})
+    assert rows_of(table(spark, SF)) == before
+    return plans
+
+
+def test_events_are_stored_where_their_rows_lie(spark, monkeypatch):
+    """Of events only those of establishments are shuffled into their parts."""
+    (plan,) = made_again(spark, monkeypatch, "events")
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("Exchange hashpartitioning(cnpj_basic") == 1
+
+
+@pytest.mark.parametrize("name", ["events", "observations", "names"])
+def test_large_tables_are_written_in_slices(spark, monkeypatch, name):
+    """Of months, or of one month's keys; together they are the table."""
+    monkeypatch.setattr(store, "SLICE", 1)
+    assert len(made_again(spark, monkeypatch, name)) == 2
+
+
+def test_names_are_shuffled_once_by_company(spark):
+    """Establishments' names meet their companies where they were told apart; a name that two have of one company is there once."""
+    firms = store.companies(spark, SF).filter("competence = DATE '1998-12-01'")
+    places = store.establishments(spark, SF).filter("competence = DATE '1998-12-01'")
+    twice = places.withColumn("trade_name_search", F.when(F.substring("cnpj", 14, 1) == "1", "customer 000000012").otherwise(F.col("trade_name_search")))
+    index = dashboard.search_index(firms, twice)
+    assert index.count() == index.distinct().count() > 0
+    plan = plan_of(index)
+    assert plan.count("trade_name_search") and "Exchange hashpartitioning(competence" in plan
+    assert not [x for x in plan.split("Exchange hashpartitioning(")[1:] if "name#" in x.split(",")[2]]
